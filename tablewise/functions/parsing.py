@@ -65,6 +65,7 @@ def parse_number(c: Column, decimal_comma: bool = False) -> Column:
     return F.when(F.abs(v) != float("inf"), v)
 
 
+# --- fixed values: the date shapes -------------------------------------------
 _CLOCK = r"(?:[ T,]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*(AM|PM|am|pm)?)?"
 _ISO = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _CLOCK + "$"
 _NUMERIC = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2}|\d{4})" + _CLOCK + "$"
@@ -75,6 +76,7 @@ _YEAR_MONTH = r"^(\d{4})-(\d{1,2})$"
 _YEAR_QUARTER = r"^(\d{4})\s*-?\s*[qQ]([1-4])$"
 
 
+# ----------------------------------------------------------------------------
 _SHAPES = (
     # (pattern, rewrite to "layout|year|month|day|hour|minute|second|half")
     (_ISO, "y|$1|$2|$3|$4|$5|$6|$7"),

@@ -38,16 +38,12 @@ def flatten(df: DataFrame) -> DataFrame:
 def flatten_json_strings(df: DataFrame, col: str, schema: str | None = None, keep: list[str] = ()) -> DataFrame:
     """A column of JSON text as dotted columns; without a schema it is read off the data by a distributed pass."""
     if schema is None:
-        schema = df.agg(F.schema_of_json_agg(F.col(col)).alias("s")).first()["s"] if hasattr(F, "schema_of_json_agg") else _infer_json(df, col)
+        found = df.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(col))).alias("s")).first()["s"]
+        schema = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
     parsed = df.select(*keep, F.from_json(F.col(col), schema).alias(col))
     return flatten(parsed)
 
 
-def _infer_json(df: DataFrame, col: str) -> str:
-    strings = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull())
-    return df.sparkSession.read.json(strings.rdd.map(lambda r: r[0])).schema.simpleString()
-
-
 def _features(raw: DataFrame) -> DataFrame:
     return raw.select(F.explode("features").alias("f")).select("f.properties.*")
 
