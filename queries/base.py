@@ -30,7 +30,7 @@ def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf}/{table}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 4, /, **special: int) -> DataFrame:
     """Doubles rounded for comparison: sums depend on the order of addition in the last bits."""
     made = []
     for f in df.schema.fields:

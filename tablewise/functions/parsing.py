@@ -141,9 +141,8 @@ def date_order_votes(c: Column) -> tuple[Column, Column]:
 def currency_symbol(c: Column) -> Column:
     """The currency symbol at the front (after a sign or bracket) or at the end; null if none."""
     t = squeeze_ends(c.cast("string"))
-    front = F.regexp_extract(t, rf"^[-(]?([{CURRENCY_SYMBOLS}])", 1)
-    back = F.regexp_extract(t, rf"([{CURRENCY_SYMBOLS}])\)?$", 1)
-    return F.nullif(F.when(front != "", front).otherwise(back), F.lit(""))
+    hits = F.regexp_extract_all(t, F.lit(rf"^[-(]?[{CURRENCY_SYMBOLS}]|[{CURRENCY_SYMBOLS}]\)?$"), F.lit(0))
+    return F.regexp_extract(F.get(hits, F.lit(0)), rf"[{CURRENCY_SYMBOLS}]", 0)
 
 
 def js_round(c: Column, digits: int = 0) -> Column:

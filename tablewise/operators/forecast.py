@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.operators.aggregate import auto_grain, default_agg
-from tablewise.operators.series import _along, drop_partial_tail, indexed, period_values, step_periods
+from tablewise.operators.series import drop_partial_tail, indexed, period_values, step_periods
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -144,8 +144,11 @@ def fit_series(values, h: int = 6, season: int | None = None) -> dict:
 
 
 def _series(df: DataFrame, date: str, measure: str | None, agg: str, grain: str, by) -> DataFrame:
+    """Values per period of every series that is long enough to fit, without a partial last period."""
     frame = period_values(df, date, measure, agg, grain, by)
-    return frame if agg == "mean" else drop_partial_tail(frame, by, longer_than=6)
+    frame = frame if agg == "mean" else drop_partial_tail(frame, by, longer_than=6)
+    whole = Window.partitionBy(*by) if by else Window.partitionBy()
+    return frame.withColumn("__n", F.count(F.lit(1)).over(whole)).where(F.col("__n") >= MIN_PERIODS).drop("__n")
 
 
 def forecast(df: DataFrame, date: str, measure: str | None = None, horizon: int = 6, grain: str | None = None, by=(),
@@ -158,15 +161,14 @@ def forecast(df: DataFrame, date: str, measure: str | None = None, horizon: int
     grain = grain or auto_grain(df, date)
     agg = agg or default_agg(df, measure)
     season = SEASON.get(grain)
-    frame = _series(df, date, measure, agg, grain, by).withColumn("__series", F.struct(*by) if by else F.lit(0))
+    frame = _series(df, date, measure, agg, grain, by)
+    frame = frame if by else frame.withColumn("__series", F.lit(0))
     keys = [f"{b} {frame.schema[b].dataType.simpleString()}" for b in by]
     schema = ", ".join([*keys, "last timestamp_ntz", "step int", "method string", "yhat double", "lo80 double", "hi80 double",
                         "lo95 double", "hi95 double"])
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("period")
-        if len(ordered) < MIN_PERIODS:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         made = fit_series(ordered["value"].to_numpy(), horizon, season)
         out = pd.DataFrame({"step": np.arange(1, horizon + 1), "method": made["method"], "yhat": made["forecast"], "lo80": made["lo80"],
                             "hi80": made["hi80"], "lo95": made["lo95"], "hi95": made["hi95"]})
@@ -175,8 +177,7 @@ def forecast(df: DataFrame, date: str, measure: str | None = None, horizon: int
             out.insert(i, b, ordered[b].iloc[0])
         return out
 
-    grouped = frame.groupBy(*by) if by else frame.groupBy("__series")
-    fitted = grouped.applyInPandas(fit, schema)
+    fitted = frame.groupBy(*(by or ["__series"])).applyInPandas(fit, schema)
     return fitted.select(*by, step_periods(F.col("last"), F.col("step"), grain).alias("period"), "step", "method", "yhat", "lo80", "hi80", "lo95", "hi95")
 
 
@@ -194,7 +195,7 @@ def compare_models(df: DataFrame, date: str, measure: str | None = None, horizon
 
     def rate(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("period")
-        ranked = score(ordered["value"].to_numpy(dtype=float), horizon, season) if len(ordered) >= MIN_PERIODS else []
+        ranked = score(ordered["value"].to_numpy(dtype=float), horizon, season)
         out = pd.DataFrame([(i + 1, c[0], c[2], c[3]) for i, c in enumerate(ranked)], columns=["rank", "method", "rmse", "mape"])
         for i, b in enumerate(by):
             out.insert(i, b, ordered[b].iloc[0])

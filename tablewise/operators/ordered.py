@@ -23,7 +23,7 @@ IN_MEMORY_BYTES = 256 << 20
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; no job is run."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(size))
 
 
 def range_count(df: DataFrame, ranges: int | None = None) -> int:

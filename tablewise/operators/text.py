@@ -17,9 +17,9 @@ LETTERS = r"[\p{L}]+"
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+(?=[A-Z0-9\"“(])"
 PASSAGE_BREAK = r"(?U)(?<=[.!?])\s+"
 PARAGRAPH_BREAK = r"(?U)\n\s*\n"
-NUMBER = r"(?i)[$€£]?\s?-?\d[\d,]*\.?\d*(?:\s?%|\s?(?:percent|million|billion|bn|k|m)\b)?"
-DATE = (r"\b(?:\d{1,2}[\/.-]\d{1,2}[\/.-]\d{2,4}|\d{4}-\d{2}-\d{2}|"
-        r"(?:\d{1,2}\s)?(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s\d{4})\b")
+NUMBER = r"(?i)[$€£]?\s?-?\d[\d,]*\.?\d*(?:\s?%|\s?(?:percent|million|billion|bn|k|m)(?![A-Za-z0-9_]))?"
+DATE = (r"(?<![A-Za-z0-9_])(?:\d{1,2}[\/.-]\d{1,2}[\/.-]\d{2,4}|\d{4}-\d{2}-\d{2}|"
+        r"(?:\d{1,2}\s)?(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s\d{4})(?![A-Za-z0-9_])")
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
 WORDS_PER_MINUTE = 230
 FLESCH = (206.835, 1.015, 84.6)

@@ -27,7 +27,7 @@ class Step:
         return f"{self.op}({shown})"
 
 
-def apply_step(df: DataFrame, op: str, **params) -> DataFrame:
+def apply_step(df: DataFrame, op: str, /, **params) -> DataFrame:
     if op not in OPS:
         raise ValueError(f"Unknown step: {op}")
     return OPS[op](df, **params)
@@ -54,7 +54,7 @@ class History:
     steps: tuple[Step, ...] = ()
     undone: tuple[Step, ...] = ()
 
-    def apply(self, op: str, **params) -> "History":
+    def apply(self, op: str, /, **params) -> "History":
         apply_step(self.current(), op, **params)
         return History(self.original, (*self.steps, Step(op, params)), ())
 
@@ -94,7 +94,7 @@ def changed_values(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return cell.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def preview_step(df: DataFrame, key: str, op: str, **params) -> dict:
+def preview_step(df: DataFrame, key: str, op: str, /, **params) -> dict:
     """What a step would do: row counts, changed cells, the first six changes and new columns."""
     after = apply_step(df, op, **params)
     changes = changed_values(df, after, key)
