@@ -177,10 +177,10 @@ def st13b(spark, sf):
 
 @query("st14_outlier_report", f"""
     with s as (select avg(spiked) as m, stddev_samp(spiked) as sd, quantile_cont(spiked, 0.25) as q1, quantile_cont(spiked, 0.75) as q3 from {dirty_sql('o_orderkey', 'spiked')})
-    select o_orderkey, spiked, {r('(spiked - m) / sd')} as z from {dirty_sql('o_orderkey', 'spiked')}, s where spiked < q1 - 1.5 * (q3 - q1) or spiked > q3 + 1.5 * (q3 - q1)
+    select o_orderkey, {r('spiked', 2)} as spiked, {r('(spiked - m) / sd')} as z from {dirty_sql('o_orderkey', 'spiked')}, s where spiked < q1 - 1.5 * (q3 - q1) or spiked > q3 + 1.5 * (q3 - q1)
     order by abs((spiked - m) / sd) desc, o_orderkey limit 25""")
 def st14(spark, sf):
-    return rounded(h.outlier_report(dirty(spark, sf, "o_orderkey", "spiked"), "spiked", "o_orderkey"))
+    return rounded(h.outlier_report(dirty(spark, sf, "o_orderkey", "spiked"), "spiked", "o_orderkey"), 4, spiked=2)
 
 
 @query("st14_outlier_counts", f"""

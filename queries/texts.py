@@ -144,8 +144,8 @@ def vf01(spark, sf):
 
 @query("vf02_extract_facts", f"""
     select o_orderkey, o_totalprice as value from orders union all select o_orderkey, cast(o_custkey as double) from orders
-    union all select o_orderkey, floor(o_totalprice / 100) * 100 from orders union all select o_orderkey, 12.5 from orders""")
+    union all select o_orderkey, round(floor(o_totalprice / 100) * 100, 2) from orders union all select o_orderkey, 12.5 from orders""")
 def vf02(spark, sf):
     results = load(spark, sf, "orders").selectExpr(
         "o_orderkey", "o_totalprice", "o_custkey", "concat('about $', replace(format_number(floor(o_totalprice / 100) / 10, 1), ',', ''), 'K, up 12.5%') as note", "o_orderkey > 5 as flag")
-    return claims.extract_facts(results, "o_orderkey")
+    return rounded(claims.extract_facts(results, "o_orderkey"), 2)

@@ -31,7 +31,7 @@ def confidence(p: float | None, n: int) -> str:
     return "High" if p < 0.001 and n >= 30 else "Medium" if p < 0.05 else "Low"
 
 
-def _finding(id_, kind, score, conf, **evidence) -> dict:
+def _finding(id_, kind, score, conf, /, **evidence) -> dict:
     return {"id": id_, "kind": kind, "score": float(score), "confidence": conf, "evidence": {k: str(v) for k, v in evidence.items()}}
 
 

@@ -253,8 +253,9 @@ def segment_profile(df: DataFrame, segment_col: str, cols: list[str]) -> DataFra
     values = df.select(F.col(segment_col).alias("segment"), *[numeric(F.col(c)).alias(c) for c in cols])
     overall = scalar(values, **{f"o{i}": F.avg(c) for i, c in enumerate(cols)})
     means = values.where(F.col("segment").isNotNull()).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols])
-    gaps = [F.struct(F.coalesce(F.try_divide(F.col(c), overall[f"o{i}"]) - 1, F.lit(0.0)).alias("gap"), F.lit(c).alias("column")) for i, c in enumerate(cols)]
-    ranked = F.array_sort(F.array(*gaps), lambda a, b: F.when(F.abs(a["gap"]) > F.abs(b["gap"]), -1).when(F.abs(a["gap"]) < F.abs(b["gap"]), 1).otherwise(0))
+    gap = lambda i, c: F.coalesce(F.try_divide(F.col(c), overall[f"o{i}"]) - 1, F.lit(0.0))
+    # Sorted by size of the gap, earlier columns first among equals.
+    ranked = F.sort_array(F.array(*[F.struct((-F.abs(gap(i, c))).alias("size"), F.lit(i).alias("i"), gap(i, c).alias("gap"), F.lit(c).alias("column")) for i, c in enumerate(cols)]))
     out = means.withColumn("__g", ranked)
     pick = lambda i: [F.col("__g")[i]["column"].alias(f"differs_{i + 1}"), F.col("__g")[i]["gap"].alias(f"gap_{i + 1}")]
     extra = pick(0) + (pick(1) if len(cols) > 1 else [])
