@@ -244,7 +244,7 @@ def sl03(spark, sf):
 @query("sl03_every_nth_row", """
     select event_id, value from (select *, row_number() over (order by ts, event_id) - 1 as i from events) where i % 9 = 0""")
 def sl03b(spark, sf):
-    return nth_row_sample(load(spark, sf, "events"), 9, ["ts", "event_id"], ranges=4).select("event_id", "value")
+    return nth_row_sample(load(spark, sf, "events"), 9, ["ts", "event_id"]).select("event_id", "value")
 
 
 @query("sl05_distinct_values", "select distinct p_brand from part order by 1 limit 200")

@@ -77,7 +77,7 @@ def cl06(spark, sf):
 def cl07(spark, sf):
     from tablewise.operators.ordered import interpolate
 
-    return rounded(interpolate(gappy(spark, sf), "value", ["ts", "event_id"], ranges=4).select("event_id", "value"))
+    return rounded(interpolate(gappy(spark, sf), "value", ["ts", "event_id"]).select("event_id", "value"))
 
 
 @query("cl08_drop_missing", f"select o_orderkey, price, status from {dirty_sql()} where price is not null and status is not null")

@@ -57,7 +57,7 @@ def ml02b(spark, sf):
     with s as (select list(o_totalprice order by o_totalprice) as l, count(*) as n from orders)
     select o_orderkey, greatest(l[cast(floor(0.01 * (n - 1)) as integer) + 1], least(l[cast(ceil(0.99 * (n - 1)) as integer) + 1], o_totalprice)) as o_totalprice from orders, s""")
 def ml02c(spark, sf):
-    return models.winsorize(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], ranges=4)
+    return models.winsorize(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"])
 
 
 @query("ml03_silhouette")

@@ -80,7 +80,7 @@ SPEARMAN = f"(select {_midrank('price')} as price, {_midrank('o_custkey')} as o_
 
 @query("st05_spearman", _corr_sql(SPEARMAN, ["price", "o_custkey"]))
 def st05(spark, sf):
-    return rounded(moments.spearman(dirty(spark, sf, "price", "o_custkey"), ["price", "o_custkey"], ranges=4), 6, t=4)
+    return rounded(moments.spearman(dirty(spark, sf, "price", "o_custkey"), ["price", "o_custkey"]), 6, t=4)
 
 
 TWO = "l_linestatus"
@@ -127,14 +127,14 @@ NORMAL = ("0.3989423 * exp(-z * z / 2) * t * (0.3193815 + t * (-0.3565638 + t *
     z as (select *, (u - n1 * n2 / 2) / sqrt(n1::double * n2 * (n1 + n2 + 1) / 12) as z, 1 / (1 + 0.2316419 * abs((u - n1 * n2 / 2) / sqrt(n1::double * n2 * (n1 + n2 + 1) / 12))) as t from u)
     select n1 as n_a, n2 as n_b, cast(u as double) as u, {r('z', 6)} as z, {r('2 * ' + NORMAL, 6)} as p, {r('abs(z) / sqrt(n1 + n2)', 6)} as r_effect from z""")
 def st09(spark, sf):
-    return rounded(h.mann_whitney(load(spark, sf, "lineitem"), "l_extendedprice", TWO, "F", "O", ranges=8), 6)
+    return rounded(h.mann_whitney(load(spark, sf, "lineitem"), "l_extendedprice", TWO, "F", "O"), 6)
 
 
 @query("st10_kruskal", f"""
     with k as (select p_brand as g, {_midrank('p_retailprice')} as rk from part), s as (select g, count(*) as n, sum(rk) as rs from k group by 1)
     select {r('12.0 / (sum(n) * (sum(n) + 1)) * sum(rs * rs / n) - 3 * (sum(n) + 1)')} as h, count(*) - 1 as df from s""")
 def st10(spark, sf):
-    return rounded(h.kruskal(load(spark, sf, "part"), "p_retailprice", "p_brand", ranges=4))
+    return rounded(h.kruskal(load(spark, sf, "part"), "p_retailprice", "p_brand"))
 
 
 def _jb_row(c):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.base import load, query, r, rounded
+from queries.base import ORACLES, load, query, r, rounded
 from tablewise.operators import claims, text
 from tablewise.operators.text import STOP_WORDS
 
@@ -139,7 +139,16 @@ def vf01(spark, sf):
     orders = load(spark, sf, "orders")
     answers = orders.selectExpr("o_orderkey as answer_id", f"{ANSWER} as text")
     results = orders.selectExpr("o_orderkey as answer_id", "o_totalprice", "case when o_orderkey % 3 = 0 then (o_orderkey % 40 + 0.5) / 100 end as change")
-    return claims.verify_claims(answers, claims.extract_facts(results, "answer_id"), ranges=4).select("answer_id", "token")
+    return claims.verify_claims(answers, claims.extract_facts(results, "answer_id")).select("answer_id", "token")
+
+
+@query("vf01_verify_claims_ranges", ORACLES["vf01_verify_claims"])
+def vf01b(spark, sf):
+    """Facts and quoted numbers spread over ranges, as for answers with very many facts."""
+    orders = load(spark, sf, "orders")
+    answers = orders.selectExpr("o_orderkey as answer_id", f"{ANSWER} as text")
+    results = orders.selectExpr("o_orderkey as answer_id", "o_totalprice", "case when o_orderkey % 3 = 0 then (o_orderkey % 40 + 0.5) / 100 end as change")
+    return claims.verify_claims(answers, claims.extract_facts(results, "answer_id"), ranges=6).select("answer_id", "token")
 
 
 @query("vf02_extract_facts", f"""

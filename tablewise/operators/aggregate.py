@@ -91,7 +91,11 @@ def _keyed(df: DataFrame, spec: AggSpec) -> DataFrame:
             rows = rows.withColumn(k, bucket(F.col(k), spec.time_grain or auto_grain(df, k)))
         if not spec.drop_null:
             rows = rows.withColumn(k, F.coalesce(F.col(k).cast("string"), F.lit(MISSING_LABEL)))
-    return rows.dropna(subset=list(spec.by)) if spec.by and spec.drop_null else rows
+    if spec.drop_null:
+        # Plain null tests reach the scan, and leave later joins on the keys nothing to add.
+        for k in spec.by:
+            rows = rows.where(F.col(k).isNotNull())
+    return rows
 
 
 def _groups(df: DataFrame, spec: AggSpec) -> DataFrame:
@@ -182,8 +186,9 @@ def group_summary(df: DataFrame, by: str, measure: str | None = None, agg: str |
             groups = groups.withColumnRenamed("count", "n")
     out = groups
     if kind in ("sum", "count"):
-        # The total reads the same grouped exchange, so the source is scanned once.
-        total = groups.agg(F.sum(value).alias("t")).scalar()
+        # The total asks for every grouped column, so it reads the same exchange and the source is scanned once.
+        rest = [F.max(c).alias(c) for c in groups.columns if c not in (by, value)]
+        total = groups.agg(F.struct(F.sum(value).alias("t"), *rest).alias("s")).scalar()["t"]
         out = groups.withColumn("share", F.try_divide(F.col(value), total))
     order = default_order(df, spec, out)
     return out.orderBy(*order)

@@ -9,8 +9,8 @@ from tablewise.functions.parsing import WEEKDAYS, MONTHS, excel_serial_date, js_
 from tablewise.functions.text import keep_plain, label_key, squish, title_case
 from tablewise.meta import is_numeric, is_string, is_temporal
 from tablewise.operators import filters as basic
-from tablewise.operators.ordered import fill_backward, fill_forward, interpolate
-from tablewise.operators.scalars import numeric, scalar, scalar_quantiles
+from tablewise.operators.ordered import fill_backward, fill_forward, interpolate, quantiles
+from tablewise.operators.scalars import numeric, scalar_quantiles
 
 # --- fixed values: natural orders of extracted date parts --------------------
 PART_ORDERS = {"month": MONTHS, "weekday": WEEKDAYS, "quarter": ("Q1", "Q2", "Q3", "Q4")}
@@ -137,33 +137,34 @@ def squish_ends(c: Column) -> Column:
     return squeeze_ends(c)
 
 
-def fences(df: DataFrame, col: str, method: str = "iqr", k: float | None = None, quantile_method: str = "auto") -> tuple[Column, Column]:
-    """Lower and upper bound as one-row subqueries; a measure that is never negative keeps its own minimum as floor."""
+def fences(df: DataFrame, col: str, method: str = "iqr", k: float | None = None, quantile_method: str = "auto") -> Column:
+    """Lower and upper bound as one one-row subquery; a measure that is never negative keeps its own minimum as floor."""
+    if method not in FENCE_WIDTH:
+        raise ValueError(f"Unknown outlier method: {method}")
     width = float(k or FENCE_WIDTH[method])
     v = df.select(numeric(F.col(col)).alias(col))
-    floor = v.agg(F.min(col).alias("m")).scalar()
     if method == "zscore":
-        s = scalar(v, m=F.avg(col), sd=F.stddev_samp(col))
-        low, high = s["m"] - width * s["sd"], s["m"] + width * s["sd"]
+        marks = v.agg(F.min(col).alias("floor"), (F.avg(col) - width * F.stddev_samp(col)).alias("low"), (F.avg(col) + width * F.stddev_samp(col)).alias("high"))
     elif method == "logiqr":
         logs = v.where(F.col(col) > 0).select(F.log(col).alias(col))
-        q = scalar_quantiles(logs, col, quantile_method, q1=0.25, q3=0.75)
-        low, high = F.exp(q["q1"] - width * (q["q3"] - q["q1"])), F.exp(q["q3"] + width * (q["q3"] - q["q1"]))
-    elif method == "iqr":
-        q = scalar_quantiles(v, col, quantile_method, q1=0.25, q3=0.75)
-        low, high = q["q1"] - width * (q["q3"] - q["q1"]), q["q3"] + width * (q["q3"] - q["q1"])
+        q = quantiles(logs, col, {"q1": 0.25, "q3": 0.75}, method=quantile_method)
+        span = F.col("q3") - F.col("q1")
+        marks = q.select(v.agg(F.min(col).alias("m")).scalar().alias("floor"), F.exp(F.col("q1") - width * span).alias("low"), F.exp(F.col("q3") + width * span).alias("high"))
     else:
-        raise ValueError(f"Unknown outlier method: {method}")
-    return F.when((floor >= 0) & (low < floor), floor).otherwise(low), high
+        q = quantiles(v, col, {"floor": 0.0, "q1": 0.25, "q3": 0.75}, method=quantile_method)
+        span = F.col("q3") - F.col("q1")
+        marks = q.select("floor", (F.col("q1") - width * span).alias("low"), (F.col("q3") + width * span).alias("high"))
+    low = F.when((F.col("floor") >= 0) & (F.col("low") < F.col("floor")), F.col("floor")).otherwise(F.col("low"))
+    return marks.select(F.struct(low.alias("low"), "high").alias("s")).scalar()
 
 
 def outliers(df: DataFrame, col: str, method: str = "iqr", action: str = "cap", k: float | None = None, quantile_method: str = "auto") -> DataFrame:
     _need(df, col)
-    low, high = fences(df, col, method, k, quantile_method)
+    bounds = fences(df, col, method, k, quantile_method)
     v = numeric(F.col(col))
     if action == "cap":
-        return df.withColumn(col, F.when(v < low, low).when(v > high, high).otherwise(v))
-    return df.where(v.isNull() | v.between(low, high))
+        return df.withColumn(col, F.when(v < bounds["low"], bounds["low"]).when(v > bounds["high"], bounds["high"]).otherwise(v))
+    return df.where(v.isNull() | v.between(bounds["low"], bounds["high"]))
 
 
 def extract_date(df: DataFrame, col: str, part: str, name: str | None = None) -> DataFrame:

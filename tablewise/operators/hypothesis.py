@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.tails import normal_cdf, p_chi2, p_f, p_normal, p_t, t_critical
 from tablewise.operators.ordered import quantiles, value_ranks
-from tablewise.operators.pivots import crosstab_cells
-from tablewise.operators.scalars import numeric, scalar_quantiles
+from tablewise.operators.pivots import among, leading_levels
+from tablewise.operators.scalars import numeric
 
 
 def _values(df: DataFrame, measure: str, group: str) -> DataFrame:
@@ -123,17 +123,20 @@ def kruskal_test(df: DataFrame, measure: str, group: str) -> DataFrame:
 def chi_square_cells(df: DataFrame, a: str, b: str, k: int = 12) -> DataFrame:
     """Observed and expected counts and standardised residuals for every cell, empty ones included.
 
-    ``k`` bounds both margins, so the grid (at most k x k cells) is filled from an array of margins.
+    The levels come first (at most ``k`` per side), then one pass pivots the counts, which fills empty cells with 0.
+    The margins are windows over that grid of at most k x k cells.
     """
-    cells = crosstab_cells(df, a, b, k).select(F.col(a).alias("a"), F.col(b).alias("b"), "n")
-    rows = cells.groupBy("a").agg(F.sum("n").alias("row_total"))
-    cols = cells.groupBy("b").agg(F.sum("n").alias("col_total"))
-    margins = cols.agg(F.array_sort(F.collect_list(F.struct("b", "col_total"))).alias("m")).scalar()
-    total = rows.agg(F.sum("row_total").alias("t")).scalar()
-    grid = rows.select("a", "row_total", F.inline(margins))
-    full = grid.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"),
-                                                       (F.col("row_total") * F.col("col_total") / total).alias("expected"))
-    return full.withColumn("residual", F.when(F.col("expected") > 0, (F.col("n") - F.col("expected")) / F.sqrt("expected")).otherwise(0.0))
+    levels = leading_levels(df, [a, b], k)
+    rows = df.where(among(df, a, levels[a]) & among(df, b, levels[b])).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
+    names = [f"l{i}" for i in range(len(levels[b]))]
+    wide = rows.groupBy("a").agg(*[F.count_if(F.col("b") == v).alias(n) for n, v in zip(names, levels[b])])
+    pairs = F.array(*[F.struct(F.lit(v).alias("b"), F.col(n).alias("n")) for n, v in zip(names, levels[b])])
+    cells = wide.select("a", F.inline(pairs)) if names else rows.select("a", "b", F.lit(0).cast("long").alias("n"))
+    over = lambda *keys: F.sum("n").over(Window.partitionBy(*keys))
+    cells = cells.withColumn("col_total", over("b")).withColumn("row_total", over("a")).withColumn("total", over())
+    cells = cells.where((F.col("row_total") > 0) & (F.col("col_total") > 0))
+    cells = cells.select("a", "b", "n", (F.col("row_total") * F.col("col_total") / F.col("total")).alias("expected"))
+    return cells.withColumn("residual", (F.col("n") - F.col("expected")) / F.sqrt("expected"))
 
 
 def chi_square(df: DataFrame, a: str, b: str, k: int = 12) -> DataFrame:
@@ -190,25 +193,28 @@ def effect_label(kind: str, value: Column) -> Column:
     return out.otherwise("negligible")
 
 
+def _marks(values: DataFrame) -> Column:
+    """Mean, spread and 1.5 IQR fences of column ``v`` as one one-row subquery."""
+    q = quantiles(values, "v", {"q1": 0.25, "q3": 0.75})
+    s = values.agg(F.struct(F.avg("v").alias("m"), F.stddev_samp("v").alias("sd")).alias("s")).scalar()
+    iqr = F.col("q3") - F.col("q1")
+    facts = q.select((F.col("q1") - 1.5 * iqr).alias("low"), (F.col("q3") + 1.5 * iqr).alias("high"), s.alias("s"))
+    return facts.select(F.struct("low", "high", F.col("s.m").alias("m"), F.col("s.sd").alias("sd")).alias("k")).scalar()
+
+
 def outlier_report(df: DataFrame, col: str, key: str, top: int = 25) -> DataFrame:
     """Rows outside the 1.5 IQR fences, the most extreme z-scores first."""
     v = numeric(F.col(col))
-    values = df.select(v.alias("v"))
-    s = values.agg(F.struct(F.avg("v").alias("m"), F.stddev_samp("v").alias("sd")).alias("s")).scalar()
-    q = scalar_quantiles(values, "v", q1=0.25, q3=0.75)
-    iqr = q["q3"] - q["q1"]
-    beyond = (v < q["q1"] - 1.5 * iqr) | (v > q["q3"] + 1.5 * iqr)
-    rows = df.where(beyond).select(key, v.alias(col), ((v - s["m"]) / s["sd"]).alias("z"))
-    return rows.orderBy(F.abs("z").desc(), key).limit(top)
+    rows = df.select(key, v.alias("v"), _marks(df.select(v.alias("v"))).alias("k"))
+    beyond = rows.where((F.col("v") < F.col("k.low")) | (F.col("v") > F.col("k.high")))
+    out = beyond.select(key, F.col("v").alias(col), ((F.col("v") - F.col("k.m")) / F.col("k.sd")).alias("z"))
+    return out.orderBy(F.abs("z").desc(), key).limit(top)
 
 
 def outlier_counts(df: DataFrame, col: str) -> DataFrame:
     """How many values lie outside the fences and beyond three standard deviations."""
     values = df.select(numeric(F.col(col)).alias("v")).dropna()
-    s = values.agg(F.struct(F.avg("v").alias("m"), F.stddev_samp("v").alias("sd")).alias("s")).scalar()
-    q = scalar_quantiles(values, "v", q1=0.25, q3=0.75)
-    iqr = q["q3"] - q["q1"]
-    low, high = q["q1"] - 1.5 * iqr, q["q3"] + 1.5 * iqr
+    rows = values.withColumn("k", _marks(values))
     v = F.col("v")
-    return values.agg(F.count(v).alias("n"), F.count_if((v < low) | (v > high)).alias("outside"),
-                      F.count_if(F.abs((v - s["m"]) / s["sd"]) > 3).alias("far"), F.first(low).alias("low"), F.first(high).alias("high"))
+    return rows.agg(F.count(v).alias("n"), F.count_if((v < F.col("k.low")) | (v > F.col("k.high"))).alias("outside"),
+                    F.count_if(F.abs((v - F.col("k.m")) / F.col("k.sd")) > 3).alias("far"), F.max("k.low").alias("low"), F.max("k.high").alias("high"))

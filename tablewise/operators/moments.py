@@ -42,11 +42,12 @@ def _per_column(df: DataFrame, cols: list[str], facts) -> DataFrame:
     return union_all(frames)
 
 
-def describe(df: DataFrame, cols: list[str], method: str = "auto") -> DataFrame:
+def describe(df: DataFrame, cols: list[str], method: str = "auto", quality: bool = False) -> DataFrame:
     """Counts, moments, quantiles and outlier counts, one row per column.
 
     Small plans take everything from one wide aggregate.  Large ones send the quantiles through the distributed
-    rank search, where every column is a group that may span any number of ranges.
+    rank search, where every column is a group that may span any number of ranges.  ``quality`` adds what the
+    quality rules need (negatives, whole numbers, values beyond three IQRs) to the same two passes.
     """
     values = df.select(*[numeric(F.col(c)).alias(c) for c in cols])
     if method == "auto":
@@ -58,6 +59,8 @@ def describe(df: DataFrame, cols: list[str], method: str = "auto") -> DataFrame:
         v = F.col(c)
         out = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"),
                F.sum(v).alias("sum"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), F.count_if(v == 0).alias("zeros")]
+        if quality:
+            out += [F.count_if(v < 0).alias("negatives"), (F.count_if(v != F.floor(v)) == 0).alias("whole")]
         return out + ([F.percentile(v, F.array(*[F.lit(p) for p in probs])).alias("q")] if inline else [])
 
     base = _per_column(values, cols, facts)
@@ -69,18 +72,23 @@ def describe(df: DataFrame, cols: list[str], method: str = "auto") -> DataFrame:
     base = base.withColumn("iqr", F.col("q3") - F.col("q1"))
     # Second pass: the fences are one row per column, turned into a map that travels as a literal.
     marks = base.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct(
-        (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"))))).alias("m")).scalar()
+        (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"), F.col("iqr").alias("iqr"))))).alias("m")).scalar()
 
     def beyond(c):
-        fence = F.element_at(marks, F.lit(c))
-        return [F.count_if((F.col(c) < fence["lo"]) | (F.col(c) > fence["hi"])).alias("outliers")]
-
-    counts = _per_column(values, cols, beyond)
+        fence, v = F.col("__m")[F.lit(c)], F.col(c)
+        out = [F.count_if((v < fence["lo"]) | (v > fence["hi"])).alias("outliers")]
+        if quality:
+            wide = 1.5 * fence["iqr"]
+            out.append(F.count_if((fence["iqr"] > 0) & ((v < fence["lo"] - wide) | (v > fence["hi"] + wide))).alias("extreme"))
+        return out
+
+    counts = _per_column(values.withColumn("__m", marks), cols, beyond)
     n, sd = F.col("n"), F.col("sd")
     return base.join(counts, "column").select(
         "column", "n", "mean", "sd", "min", "p5", "q1", "median", "q3", "p95", "max", "iqr",
         adjusted_skewness(n, F.col("g1"), sd).alias("skew"), adjusted_kurtosis(n, F.col("g2"), sd).alias("kurt"),
-        F.when(F.col("mean") != 0, sd / F.abs("mean")).alias("cv"), "sum", "zeros", "outliers", (sd / F.sqrt(n)).alias("se"))
+        F.when(F.col("mean") != 0, sd / F.abs("mean")).alias("cv"), "sum", "zeros", "outliers", (sd / F.sqrt(n)).alias("se"),
+        *(["negatives", "whole", "extreme"] if quality else []))
 
 
 def jarque_bera(described: DataFrame) -> DataFrame:

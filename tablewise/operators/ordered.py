@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 RANGE = "__range"
 BYTES_PER_RANGE = 128 << 20
-SAMPLE_PER_RANGE = 60
-MAX_RANGES = 4096
+SAMPLE_PER_RANGE = 40
+MAX_RANGES = 16384
+CUTS_PER_BLOCK = 64
 IN_MEMORY_BYTES = 256 << 20
 
 
@@ -54,37 +55,55 @@ def with_ranges(df: DataFrame, keys: list[str], ranges: int | None = None) -> Da
         return df.withColumn(RANGE, F.lit(0))
     key_columns = [_sort_key(df, k) for k in keys]
     names = [f"k{i}" for i in range(len(keys))]
-    sample = (
-        df.select(*[c.alias(a) for c, a in zip(key_columns, names)])
-        .orderBy(F.rand(17)).limit(n * SAMPLE_PER_RANGE).orderBy(*names).collect()
-    )
-    cuts = []
-    for i in range(1, n):
-        cut = tuple(sample[min(len(sample) - 1, i * len(sample) // n)]) if sample else None
-        if cut is not None and (not cuts or cut != cuts[-1]):
-            cuts.append(cut)
+    cuts = _cut_points(df.select(*[c.alias(a) for c, a in zip(key_columns, names)]), names, n)
     here = F.struct(*[c.alias(a) for c, a in zip(key_columns, names)])
     literals = [_literal(df, key_columns, c) for c in cuts]
+    # Few cuts: a balanced tree of comparisons. Many: the tree finds a block of cuts, a short scan the place in it.
+    step = 1 if len(cuts) <= 2 * CUTS_PER_BLOCK else CUTS_PER_BLOCK
+    leads = literals[step - 1::step] if step > 1 else literals
 
     def search(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        return F.when(here < literals[mid], search(low, mid)).otherwise(search(mid + 1, high))
-
-    return df.withColumn(RANGE, search(0, len(cuts)))
+        return F.when(here < leads[mid], search(low, mid)).otherwise(search(mid + 1, high))
+
+    block = search(0, len(leads))
+    if step == 1:
+        return df.withColumn(RANGE, block)
+    blocks = F.array(*[F.array(*literals[i:i + step]) for i in range(0, len(literals), step)])
+    located = df.withColumn("__block", block).withColumn("__here", here)
+    inside = F.size(F.filter(F.coalesce(F.get(blocks, F.col("__block")), F.array(literals[0])), lambda c: c <= F.col("__here")))
+    last = F.col("__block") * step >= len(literals)
+    return located.withColumn(RANGE, F.col("__block") * step + F.when(last, 0).otherwise(inside)).drop("__block", "__here")
+
+
+def _cut_points(keys: DataFrame, names: list[str], n: int) -> list[tuple]:
+    """At most ``n`` - 1 evenly spaced key tuples from a sample of bounded size."""
+    rows = keys.count()
+    share = min(1.0, n * SAMPLE_PER_RANGE * 1.2 / max(1, rows))
+    sample = (keys if share >= 1.0 else keys.sample(fraction=share, seed=17)).orderBy(*names).collect()
+    cuts: list[tuple] = []
+    for i in range(1, n if sample else 1):
+        cut = tuple(sample[min(len(sample) - 1, i * len(sample) // n)])
+        if not cuts or cut != cuts[-1]:
+            cuts.append(cut)
+    return cuts
 
 
 def _ordering(order_by, descending: bool = False) -> list[Column]:
     return [F.col(o).desc() if descending else F.col(o).asc() for o in order_by]
 
 
-def _attach(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join of the per-range summary (one row per range and partition), nulls matching nulls."""
-    renamed = summary.select(*[F.col(k).alias(f"__s_{i}") for i, k in enumerate(keys)],
-                             *[c for c in summary.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"__s_{i}")) for i, k in enumerate(keys)]
-    return df.join(renamed, on, "left").drop(*[f"__s_{i}" for i in range(len(keys))])
+def _attach(df: DataFrame, summary: DataFrame, parts: list[str]) -> DataFrame:
+    """Left join of the summary: one row per range, or per range and partition."""
+    if not parts:
+        # Never more rows than there are ranges.
+        return df.join(F.broadcast(summary), RANGE, "left")
+    renamed = summary.select(F.col(RANGE).alias("__s_r"), *[F.col(k).alias(f"__s_{i}") for i, k in enumerate(parts)],
+                             *[c for c in summary.columns if c not in (RANGE, *parts)])
+    on = [F.col(RANGE) == F.col("__s_r"), *[F.col(k).eqNullSafe(F.col(f"__s_{i}")) for i, k in enumerate(parts)]]
+    return df.join(renamed, on, "left").drop("__s_r", *[f"__s_{i}" for i in range(len(parts))])
 
 
 def running_total(df: DataFrame, weight: str | None, order_by: list[str], partition_by: list[str] = (),
@@ -102,7 +121,7 @@ def running_total(df: DataFrame, weight: str | None, order_by: list[str], partit
     offsets = per_range.withColumn("__off", F.coalesce(F.sum("__sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if total:
         offsets = offsets.withColumn(total, F.sum("__sum").over(whole))
-    out = _attach(local, offsets.drop("__sum"), [RANGE, *parts])
+    out = _attach(local, offsets.drop("__sum"), parts)
     return out.withColumn(name, F.col(name) + F.col("__off")).drop("__off", RANGE)
 
 
@@ -120,7 +139,7 @@ def carry(df: DataFrame, value: Column, order_by: list[str], partition_by: list[
     step = F.col(RANGE).desc() if backward else F.col(RANGE).asc()
     across = (Window.partitionBy(*parts).orderBy(step) if parts else Window.orderBy(step)).rowsBetween(Window.unboundedPreceding, -1)
     handed = per_range.select(RANGE, *parts, F.last("__edge", ignorenulls=True).over(across).alias("__handed"))
-    out = _attach(local, handed, [RANGE, *parts])
+    out = _attach(local, handed, parts)
     return out.withColumn(name, F.coalesce("__near", "__handed")).drop("__near", "__handed", "__v")
 
 

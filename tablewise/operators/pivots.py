@@ -2,51 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewise.meta import is_string
 from tablewise.operators.aggregate import AggSpec, _groups, metric_column, metric_name
-from tablewise.operators.ordered import quantiles
-from tablewise.operators.scalars import numeric, scalar
+from tablewise.operators.ordered import IN_MEMORY_BYTES, estimated_bytes, quantiles
+from tablewise.operators.scalars import numeric
 
 OTHER = "Other"
 
 
-def top_levels(counts: DataFrame, col: str, weight: str, k: int) -> DataFrame:
-    """The ``k`` levels with the largest total weight; at most ``k`` rows, so safe to broadcast."""
-    return (
-        counts.where(F.col(col).isNotNull()).groupBy(col).agg(F.sum(weight).alias("__w"))
-        .orderBy(F.col("__w").desc(), F.col(col)).limit(k).select(col)
-    )
+def leading_levels(df: DataFrame, cols: list[str], k: int) -> dict[str, list]:
+    """The ``k`` most frequent values of every column, in one pass; only those few values reach the driver."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = Window.partitionBy("column").orderBy(F.col("n").desc(), "value")
+    best = counts.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    out: dict[str, list] = {c: [] for c in cols}
+    for row in best.orderBy("column", "rank").collect():
+        out[row["column"]].append(row["value"])
+    return out
+
+
+def among(df: DataFrame, col: str, levels: list) -> Column:
+    """Membership test; on string columns it reaches the scan."""
+    return (F.col(col) if is_string(df, col) else F.col(col).cast("string")).isin(*levels)
 
 
 def crosstab_cells(df: DataFrame, a: str, b: str, k: int = 12) -> DataFrame:
     """Counts of the top ``k`` levels of both columns in long form."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    # Levels are ranked on each column alone, before pairs with a missing partner are left out.
-    rows = df.groupBy(a).agg(F.count(F.lit(1)).alias("n"))
-    cols = df.groupBy(b).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        cells.join(F.broadcast(top_levels(rows, a, "n", k)), a, "left_semi")
-        .join(F.broadcast(top_levels(cols, b, "n", k)), b, "left_semi")
-        .select(a, b, "n")
-    )
+    levels = leading_levels(df, [a, b], k)
+    rows = df.where(among(df, a, levels[a]) & among(df, b, levels[b]))
+    return rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
 def crosstab(df: DataFrame, a: str, b: str, k: int = 12, order_a=None, order_b=None) -> DataFrame:
     """Rows of ``a``, one column per level of ``b``, and the row total."""
-    cells = crosstab_cells(df, a, b, k)
-    found = [r[0] for r in cells.groupBy(b).agg(F.sum("n").alias("w")).orderBy(F.col("w").desc(), F.col(b)).collect()]
-    levels = [v for v in order_b if v in found] if order_b else found
-    wide = cells.groupBy(a).pivot(b, levels).agg(F.sum("n")).fillna(0)
-    total = sum((F.col(f"`{v}`") for v in levels[1:]), F.col(f"`{levels[0]}`"))
-    wide = wide.withColumn("Total", total)
+    levels = leading_levels(df, [a, b], k)
+    named = [v for v in order_b if v in levels[b]] if order_b else levels[b]
+    rows = df.where(among(df, a, levels[a]) & among(df, b, named))
+    wide = rows.groupBy(a).pivot(b, named).agg(F.count(F.lit(1))).fillna(0, subset=named)
+    wide = wide.withColumn("Total", sum((F.col(f"`{v}`") for v in named), F.lit(0)))
     if order_a:
         return wide.orderBy(F.array_position(F.array(*[F.lit(v) for v in order_a]), F.col(a)))
     return wide.orderBy(F.col("Total").desc(), F.col(a))
 
 
-def _folded(groups: DataFrame, col: str, weight: str, keep: DataFrame, additive: bool, label: str = OTHER) -> DataFrame:
+def _folded(groups: DataFrame, col: str, keep: DataFrame, additive: bool, label: str = OTHER) -> DataFrame:
     """Levels outside ``keep`` become one label, or are dropped when the metric cannot be added up."""
     if not additive:
         return groups.join(F.broadcast(keep), col, "left_semi")
@@ -60,60 +63,51 @@ def fold_top(groups: DataFrame, key: str, value: str, n: int, additive: bool = T
     keep = groups.orderBy(*ranked).limit(n - 1).select(key)
     size = groups.agg(F.count(F.lit(1)).alias("c")).scalar()
     everything = groups.select(F.col(key).cast("string").alias(key), value).where(size <= n)
-    folded = _folded(groups.select(key, value).where(size > n), key, value, keep, additive)
+    folded = _folded(groups.select(key, value).where(size > n), key, keep, additive)
     folded = folded.groupBy(key).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias(value))
     return everything.unionByName(folded.select(F.col(key).cast("string").alias(key), value))
 
 
 def chart_series(df: DataFrame, x: str, color: str, measure: str | None = None, agg: str = "count", top_x: int | None = 15,
                  grain: str | None = None, filters=()) -> DataFrame:
-    """Long (x, series, value) with every cell present; at most eight series, the tail folded into one if additive."""
+    """Long (x, series, value) with every cell present; at most eight series, the tail folded into one if additive.
+
+    The leading levels (at most nine and ``top_x``) are fetched first, so the final pass filters at the scan.
+    """
     spec = AggSpec(by=(x, color), metrics=((measure, agg),), time_grain=grain, filters=tuple(filters))
     groups = _groups(df, spec).withColumnRenamed(metric_name(measure, agg), "value")
-    additive = agg in ("sum", "count")
-    colors = groups.groupBy(color).agg(F.sum("value").alias("w"))
-    count = colors.agg(F.count(F.lit(1)).alias("c")).scalar()
-    ranked = colors.orderBy(F.col("w").desc(), F.col(color)).limit(8)
-    place = F.coalesce(F.col("w"), F.lit(0))
-    keep = ranked.select(color, F.row_number().over(_rank_window(place, color)).alias("__rk")).where(
-        (count <= 8) | (F.col("__rk") <= 7)).select(color)
-    series = _folded(groups, color, "value", keep, additive).withColumn("series", F.col(color).cast("string"))
-    if top_x is not None:
-        keep_x = groups.groupBy(x).agg(F.sum("value").alias("w")).orderBy(F.col("w").desc(), F.col(x)).limit(top_x).select(x)
-        series = series.join(F.broadcast(keep_x), x, "left_semi")
-    cells = series.groupBy(x, "series").agg(F.sum("value").alias("value"))
-    # At most eight series names: fill the grid from an array, not from a cross join.
-    names = cells.agg(F.array_sort(F.collect_set("series")).alias("a")).scalar()
-    grid = cells.select(x).distinct().select(x, F.explode(names).alias("series"))
-    return grid.join(cells, [x, "series"], "left").select(x, "series", F.coalesce("value", F.lit(0)).alias("value"))
-
-
-def _rank_window(weight: Column, tie: str):
-    from pyspark.sql import Window
-
-    # Used on frames already cut to a handful of rows by a limit.
-    return Window.orderBy(weight.desc(), F.col(tie))
+    leaders = lambda c, k: [row[0] for row in groups.groupBy(c).agg(F.sum("value").alias("w")).orderBy(F.col("w").desc(), F.col(c)).limit(k).collect()]
+    colors = leaders(color, 9)
+    keep = colors if len(colors) <= 8 else colors[:7]
+    rows = groups if top_x is None else groups.where(F.col(x).isin(*leaders(x, top_x)))
+    known = F.col(color).isin(*keep)
+    names = [str(c) for c in keep]
+    if agg in ("sum", "count") and len(colors) > 8:
+        rows, names = rows.withColumn("series", F.when(known, F.col(color).cast("string")).otherwise(OTHER)), [*names, OTHER]
+    else:
+        rows = rows.where(known).withColumn("series", F.col(color).cast("string"))
+    wide = rows.groupBy(x).pivot("series", names).agg(F.sum("value"))
+    filled = wide.select(x, *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) for n in names])
+    return filled.unpivot([x], names, "series", "value")
 
 
 def share_100(cells: DataFrame, x: str) -> DataFrame:
     """Each x adds up to one. ``cells`` is the folded frame, at most eight rows per x."""
-    from pyspark.sql import Window
-
     total = F.sum("value").over(Window.partitionBy(x))
     return cells.withColumn("value", F.col("value") / F.when(total == 0, 1).otherwise(total))
 
 
-def pivot_wide(cells: DataFrame, x: str) -> DataFrame:
-    names = [r[0] for r in cells.select("series").distinct().orderBy("series").collect()]
+def pivot_wide(cells: DataFrame, x: str, names: list[str] | None = None) -> DataFrame:
+    """One column per series; without ``names`` they are read off the cells (at most eight)."""
+    names = names or [row[0] for row in cells.select("series").distinct().orderBy("series").collect()]
     return cells.groupBy(x).pivot("series", names).agg(F.sum("value")).fillna(0)
 
 
 def heatmap(df: DataFrame, x: str, y: str, measure: str | None = None, agg: str = "count", k: int = 15) -> DataFrame:
     """Metric per cell of the ``k`` most frequent levels of both columns."""
-    name = metric_name(measure, agg)
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(metric_column(measure, agg).alias(name))
-    top = lambda c: top_levels(df.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, "n", k)
-    return cells.join(F.broadcast(top(x)), x, "left_semi").join(F.broadcast(top(y)), y, "left_semi").select(x, y, name)
+    levels = leading_levels(df, [x, y], k)
+    rows = df.where(among(df, x, levels[x]) & among(df, y, levels[y]))
+    return rows.groupBy(x, y).agg(metric_column(measure, agg).alias(metric_name(measure, agg)))
 
 
 def rate_heatmap(df: DataFrame, x: str, y: str, outcome: str, positive: str, k: int = 15) -> DataFrame:
@@ -126,16 +120,16 @@ def rate_heatmap(df: DataFrame, x: str, y: str, outcome: str, positive: str, k:
 def histogram(df: DataFrame, col: str, bins: int = 24) -> DataFrame:
     """Equal-width bins, the last one closed; a constant column gives a single bin."""
     spark = df.sparkSession
-    v = numeric(F.col(col))
-    values = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    span = scalar(values, mn=F.min("v"), mx=F.max("v"))
-    width = (span["mx"] - span["mn"]) / bins
-    spot = F.when(span["mx"] == span["mn"], 0).otherwise(F.least(F.floor((F.col("v") - span["mn"]) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
-    counts = values.groupBy(spot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    frame = spark.range(bins).select(F.col("id").cast("int").alias("bin")).where(
-        span["mn"].isNotNull() & ((span["mx"] > span["mn"]) | (F.col("bin") == 0)))
-    edges = frame.select("bin", (span["mn"] + F.col("bin") * width).alias("x0"), (span["mn"] + (F.col("bin") + 1) * width).alias("x1"))
-    return edges.join(counts, "bin", "left").select("bin", "x0", "x1", F.coalesce("n", F.lit(0)).alias("n"))
+    values = df.select(numeric(F.col(col)).alias("v")).where(F.col("v").isNotNull())
+    edge = F.struct(F.min("v").alias("mn"), F.max("v").alias("mx"), ((F.max("v") - F.min("v")) / bins).alias("w"))
+    span = values.agg(edge.alias("s")).scalar()
+    placed = values.withColumn("s", span)
+    spot = F.least(F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("s.mn"), F.col("s.w"))), F.lit(0)), F.lit(bins - 1))
+    counts = placed.groupBy(spot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    frame = spark.range(bins).select(F.col("id").cast("int").alias("bin"), span.alias("s")).where(
+        F.col("s.mn").isNotNull() & ((F.col("s.w") > 0) | (F.col("bin") == 0)))
+    edges = frame.select("bin", (F.col("s.mn") + F.col("bin") * F.col("s.w")).alias("x0"), (F.col("s.mn") + (F.col("bin") + 1) * F.col("s.w")).alias("x1"))
+    return edges.join(F.broadcast(counts), "bin", "left").select("bin", "x0", "x1", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def top_values(df: DataFrame, col: str, k: int = 12, order=None) -> DataFrame:
@@ -147,19 +141,22 @@ def top_values(df: DataFrame, col: str, k: int = 12, order=None) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), F.col(col)).limit(k)
 
 
-def box_summary(df: DataFrame, y: str, by: str | None = None, k: int = 12) -> DataFrame:
+def box_summary(df: DataFrame, y: str, by: str | None = None, k: int = 12, method: str = "auto") -> DataFrame:
     """n, mean, sd, quartiles and range, for the ``k`` most frequent groups."""
-    v = numeric(F.col(y))
-    rows = df.withColumn(y, v).where(F.col(y).isNotNull())
+    if method == "auto":
+        method = "memory" if estimated_bytes(df) <= IN_MEMORY_BYTES else "ranges"
     keys = [by] if by else []
-    if by:
-        rows = rows.join(F.broadcast(top_levels(df.groupBy(by).agg(F.count(F.lit(1)).alias("n")), by, "n", k)), by, "left_semi")
-    base = rows.groupBy(*keys).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"), F.min(y).alias("min"), F.max(y).alias("max"))
-    marks = quantiles(rows, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
-    if not by:
-        spots = marks.select(F.struct("q1", "median", "q3").alias("s")).scalar()
-        return base.select("*", spots["q1"].alias("q1"), spots["median"].alias("median"), spots["q3"].alias("q3"))
-    return base.join(marks, by)
+    rows = df.where(among(df, by, leading_levels(df, [by], k)[by])) if by else df
+    rows = rows.select(*keys, numeric(F.col(y)).alias(y)).where(F.col(y).isNotNull())
+    facts = [F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"), F.min(y).alias("min"), F.max(y).alias("max")]
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    if method == "memory":
+        spots = F.percentile(F.col(y), F.array(*[F.lit(p) for p in probs.values()])).alias("__q")
+        base = rows.groupBy(*keys).agg(*facts, spots)
+        return base.select(*[c for c in base.columns if c != "__q"], *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
+    keyed = rows if by else rows.withColumn("__all", F.lit(0))
+    keys = keys or ["__all"]
+    return keyed.groupBy(*keys).agg(*facts).join(quantiles(keyed, y, probs, keys, method), keys).drop("__all")
 
 
 def scatter_points(df: DataFrame, x: str, y: str, key: str, color: str | None = None, size: str | None = None,
@@ -171,15 +168,12 @@ def scatter_points(df: DataFrame, x: str, y: str, key: str, color: str | None =
     rows = df.dropna(subset=need)
     if step > 1:
         rows = systematic_sample(rows, key, step)
-    cols = [key, *need]
-    if color:
-        counts = rows.where(F.col(color).isNotNull()).groupBy(color).agg(F.count(F.lit(1)).alias("n"))
-        many = counts.agg(F.count(F.lit(1)).alias("c")).scalar()
-        lead = counts.orderBy(F.col("n").desc(), F.col(color)).limit(4)
-        keep = lead.withColumn("__rk", F.row_number().over(_rank_window(F.col("n"), color))).where((many <= 4) | (F.col("__rk") <= 3)).select(color)
-        rows = _folded(rows, color, "n", keep, True)
-        cols.append(color)
-    return rows.select(*cols)
+    if not color:
+        return rows.select(key, *need)
+    lead = leading_levels(rows, [color], 5)[color]
+    keep = lead if len(lead) <= 4 else lead[:3]
+    shown = F.when(among(rows, color, keep), F.col(color).cast("string")).otherwise(OTHER)
+    return rows.select(key, *need, shown.alias(color))
 
 
 def duplicate_count(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -45,13 +45,21 @@ def column_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long_text(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def value_facts(counts: DataFrame) -> DataFrame:
-    """Per column: rows, missing, distinct values, stray spaces and text length, from value counts."""
+def value_facts(counts: DataFrame, label_columns: list[str] = ()) -> DataFrame:
+    """Per column: rows, missing, distinct values, stray spaces, text length, and labels spelled more than one way.
+
+    Spellings of one label meet in a first group-by; columns that hold no labels collapse before that shuffle.
+    """
     v, n = F.col("value"), F.col("n")
-    return counts.groupBy("column").agg(
+    labelled = F.col("column").isin(*label_columns) if label_columns else F.lit(False)
+    keyed = counts.withColumn("key", F.when(labelled & v.isNotNull(), label_key(v)))
+    per_key = keyed.groupBy("column", "key").agg(
         F.sum(n).alias("rows"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("missing"), F.count(v).alias("unique"),
-        F.coalesce(F.sum(F.when(v != squeeze_ends(v), n)), F.lit(0)).alias("whitespace"),
-        (F.sum(F.length(v) * n) / F.sum(F.when(v.isNotNull(), n))).alias("avg_length"))
+        F.coalesce(F.sum(F.when(v != squeeze_ends(v), n)), F.lit(0)).alias("whitespace"), F.sum(F.length(v) * n).alias("chars"))
+    return per_key.groupBy("column").agg(
+        F.sum("rows").alias("rows"), F.sum("missing").alias("missing"), F.sum("unique").alias("unique"), F.sum("whitespace").alias("whitespace"),
+        F.try_divide(F.sum("chars"), F.sum("rows") - F.sum("missing")).alias("avg_length"),
+        F.count_if(F.col("key").isNotNull() & (F.col("unique") > 1)).alias("inconsistent"))
 
 
 def inconsistent_labels(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -79,14 +87,12 @@ def profile_frame(df: DataFrame, metas: list[ColumnMeta] | None = None) -> DataF
     """One row per column: type, missing, distinct and (for numbers) all descriptive statistics."""
     metas = metas or simple_metas(df)
     cols = [m.name for m in metas]
-    facts = value_facts(column_counts(df, cols))
+    facts = value_facts(column_counts(df, cols), [m.name for m in metas if m.type == "category"])
     kinds = F.create_map(*[x for m in metas for x in (F.lit(m.name), F.lit(m.type))])
     out = facts.withColumn("type", kinds[F.col("column")])
     numbers = [m.name for m in metas if m.type == "number" and is_numeric(df, m.name)]
     if numbers:
-        stats = describe(df, numbers)
-        negatives = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(numeric(F.col(c)) < 0).alias("negatives")) for c in numbers]).alias("t")).select(F.inline("t"))
-        out = out.join(stats.join(negatives, "column"), "column", "left")
+        out = out.join(describe(df, numbers, quality=True), "column", "left")
     return out.withColumn("missing_share", F.col("missing") / F.col("rows"))
 
 
@@ -100,20 +106,17 @@ def date_facts(df: DataFrame, cols: list[str]) -> DataFrame:
         "days", (F.unix_micros("last") - F.unix_micros("first")) / 86400e6)
 
 
-def extreme_counts(df: DataFrame, described: dict[str, dict], width: float = 3.0) -> DataFrame:
-    """Values beyond three IQRs, on the plain and on the log scale; the bounds are one literal pair per column."""
-    cols = [c for c, d in described.items() if d["n"] and d["n"] > 0]
-    packed = []
+def log_extremes(df: DataFrame, cols: list[str], width: float = 3.0) -> dict[str, int]:
+    """Values beyond three IQRs on the log scale, for skewed positive columns."""
+    logs = df.select(*[F.log(numeric(F.col(c))).alias(c) for c in cols])
+    marks = {row["column"]: row for row in describe(logs, cols).select("column", "q1", "q3").collect()}
+    counted = []
     for c in cols:
-        d, v = described[c], numeric(F.col(c))
-        plain = F.count_if((v < d["q1"] - width * d["iqr"]) | (v > d["q3"] + width * d["iqr"])) if d["iqr"] and d["iqr"] > 0 else F.lit(0).cast("long")
-        logged = F.lit(0).cast("long")
-        if d.get("log_q1") is not None and d["log_q3"] > d["log_q1"]:
-            span = d["log_q3"] - d["log_q1"]
-            logged = F.count_if((v < math.exp(d["log_q1"] - width * span)) | (v > math.exp(d["log_q3"] + width * span)))
-        packed.append(F.struct(F.lit(c).alias("column"), plain.alias("extreme"), logged.alias("log_extreme"),
-                               (F.count_if(v != F.floor(v)) == 0).alias("whole")))
-    return df.agg(F.array(*packed).alias("t")).select(F.inline("t"))
+        low, high = marks[c]["q1"], marks[c]["q3"]
+        span, v = high - low, numeric(F.col(c))
+        beyond = F.count_if((v < math.exp(low - width * span)) | (v > math.exp(high + width * span))) if span > 0 else F.lit(0)
+        counted.append(beyond.alias(c))
+    return df.agg(*counted).first().asDict()
 
 
 @dataclass
@@ -144,10 +147,7 @@ def build_profile(df: DataFrame, metas: list[ColumnMeta] | None = None, unnamed_
     metas = metas or simple_metas(df)
     columns = {r["column"]: r.asDict() for r in profile_frame(df, metas).collect()}
     dup = duplicate_count(df).first()
-    cats = [m.name for m in metas if m.type == "category"]
-    bad = {}
-    if cats:
-        bad = {r["column"]: r["c"] for r in inconsistent_labels(df, cats).groupBy("column").agg(F.count(F.lit(1)).alias("c")).collect()}
+    bad = {m.name: columns[m.name]["inconsistent"] for m in metas if m.type == "category" and columns[m.name]["inconsistent"]}
     dates = [m.name for m in metas if m.type == "date" and is_temporal(df, m.name)]
     if dates:
         for r in date_facts(df, dates).collect():
@@ -155,12 +155,8 @@ def build_profile(df: DataFrame, metas: list[ColumnMeta] | None = None, unnamed_
     numbers = {m.name: columns[m.name] for m in metas if m.type == "number" and columns[m.name].get("n") is not None}
     skewed = [c for c, d in numbers.items() if d["n"] and (d["skew"] or 0) > 1 and (d["min"] or 0) > 0]
     if skewed:
-        logs = describe(df.select(*[F.log(numeric(F.col(c))).alias(c) for c in skewed]), skewed)
-        for r in logs.select("column", "q1", "q3").collect():
-            numbers[r["column"]].update(log_q1=r["q1"], log_q3=r["q3"])
-    if any(d["n"] for d in numbers.values()):
-        for r in extreme_counts(df, numbers).collect():
-            numbers[r["column"]].update(extreme=r["extreme"], log_extreme=r["log_extreme"], whole=r["whole"])
+        for c, count in log_extremes(df, skewed).items():
+            numbers[c]["log_extreme"] = count
     p = Profile(dup["rows"], metas, columns, dup["duplicates"], bad, unnamed_headers)
     p.health, p.issues, p.roles = health(p), quality_issues(p), roles(p)
     return p
@@ -283,18 +279,13 @@ def schema_summary(spark: SparkSession, p: Profile) -> DataFrame:
 def health_score(df: DataFrame) -> DataFrame:
     """Health from the values alone, as one lazy query: completeness, uniqueness, consistency and structure inputs."""
     cols = df.columns
-    facts = value_facts(column_counts(df, cols))
-    dup = duplicate_count(df).agg(F.struct(F.max("rows").alias("rows"), F.max("duplicates").alias("dup")).alias("s")).scalar()
     kinds = [c for c in cols if not is_numeric(df, c) and not is_temporal(df, c)]
-    unclean = F.lit(0)
-    if kinds:
-        counts = column_counts(df, kinds)
-        both = variants_of(counts).select("column").unionByName(value_facts(counts).where(F.col("whitespace") > 0).select("column"))
-        unclean = both.agg(F.count_distinct("column").alias("c")).scalar()
-    row = facts.agg(F.sum("missing").alias("missing"), F.count_if(((F.col("unique") == 1) & (F.col("rows") > 1)) | (F.col("missing") / F.col("rows") > 0.95)).alias("weak"))
+    facts = value_facts(column_counts(df, cols), kinds)
+    dup = duplicate_count(df).agg(F.struct(F.max("rows").alias("rows"), F.max("duplicates").alias("dup")).alias("s")).scalar()
+    row = facts.agg(F.sum("missing").alias("missing"), F.count_if((F.col("inconsistent") > 0) | (F.col("whitespace") > 0)).alias("unclean"), F.count_if(((F.col("unique") == 1) & (F.col("rows") > 1)) | (F.col("missing") / F.col("rows") > 0.95)).alias("weak"))
     width = F.lit(len(cols))
     return row.select(
         (100 * (1 - F.col("missing") / (dup["rows"] * width))).alias("completeness"),
         (100 * (1 - F.least(F.lit(1.0), dup["dup"] / dup["rows"] * 8))).alias("uniqueness"),
-        F.greatest(F.lit(0), 100 - unclean * 25).cast("double").alias("consistency"),
+        F.greatest(F.lit(0), 100 - F.col("unclean") * 25).cast("double").alias("consistency"),
         (100 * (1 - F.least(F.lit(1.0), F.col("weak") / width) * 0.8)).alias("structure"))
