@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.operators.ordered import RANGE, carry, with_ranges
 from tablewise.meta import NUMERIC_TYPES
+from tablewise.operators.ordered import carry, range_count, with_ranges
+from tablewise.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 NUMBER_TOKEN = r"(?U)(?<![\w.])[-−]?[$€£¥₹৳]?\d(?:[\d,]*\d)?(?:\.\d+)?\s?(?:%|[kKmMbB](?![a-zA-Z]))?"
@@ -30,13 +31,10 @@ def number_tokens(c: Column) -> Column:
 
 def token_value(token: Column) -> Column:
     """Numeric value of a quoted number; K, M and B are scaled, percent signs dropped."""
-    plain = F.regexp_replace(F.replace(token, F.lit("−"), F.lit("-")), r"(?U)[$€£¥₹৳,\s]", "")
-    digits = F.regexp_replace(plain, r"[%kKmMbB]+$", "").try_cast("double")
-    unit = F.lower(F.right(F.regexp_replace(plain, "%$", ""), F.lit(1)))
-    scaled = F.lit(None).cast("double")
-    for letter, factor in SCALES.items():
-        scaled = F.when(unit == letter, digits * factor).otherwise(scaled)
-    return F.coalesce(scaled, digits)
+    plain = F.regexp_replace(F.replace(token, F.lit("−"), F.lit("-")), r"[$€£¥₹৳,\s\u00a0%]", "")
+    factors = F.create_map(*[x for letter, factor in SCALES.items() for x in (F.lit(letter), F.lit(factor))])
+    digits = F.regexp_replace(plain, "[kKmMbB]$", "").try_cast("double")
+    return digits * F.coalesce(F.try_element_at(factors, F.lower(F.right(plain, F.lit(1)))), F.lit(1.0))
 
 
 def extract_facts(results: DataFrame, key: str) -> DataFrame:
@@ -59,7 +57,7 @@ def within_tolerance(known: Column, quoted: Column) -> Column:
 def claims_of(answers: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, token, value, percent): every number quoted in the text, years left out."""
     tokens = answers.select(key, F.posexplode(number_tokens(F.col(text))).alias("position", "token"))
-    tokens = tokens.withColumn("token", F.regexp_replace("token", r"(?U)^\s+|\s+$", "")).where(~F.col("token").rlike(YEAR))
+    tokens = tokens.withColumn("token", F.trim("token")).where(~F.col("token").rlike(YEAR))
     return tokens.withColumn("value", token_value(F.col("token"))).withColumn("percent", F.col("token").rlike("%$")).where(F.col("value").isNotNull())
 
 
@@ -70,18 +68,19 @@ def verify_claims(answers: DataFrame, facts: DataFrame, key: str = "answer_id",
     # 18.4 % may be stored as 0.184, and prose drops the sign of a fall.
     readings = F.when(F.col("percent"), F.array(v, v / 100, -v, -v / 100)).otherwise(F.array(v, -v))
     read = claims.select(key, "position", "token", F.explode(readings).alias("value"))
-    counting = F.lit(False)
-    for i in COUNTING_NUMBERS:
-        counting = counting | within_tolerance(F.lit(float(i)), F.col("value"))
-    settled = read.withColumn("fine", counting)
+    # The nearest counting number decides: any other is farther by more than the tolerance gains.
+    nearest = F.least(F.lit(float(COUNTING_NUMBERS[-1])), F.greatest(F.lit(float(COUNTING_NUMBERS[0])), F.rint("value")))
+    settled = read.withColumn("fine", within_tolerance(nearest, F.col("value")))
     quoted = settled.select(key, "value", F.lit(1).alias("kind"), "position", "token", "fine")
     known = facts.select(key, F.col("value").cast("double").alias("value")).distinct().select(
         key, "value", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("token"),
         F.lit(False).alias("fine"))
     order = ["value", "kind", "position"]
-    line = with_ranges(quoted.unionByName(known), [key, *order], ranges)
-    fact = F.when(F.col("kind") == 0, F.col("value"))
-    near = carry(carry(line, fact, order, [key], "below"), fact, order, [key], "above", backward=True).drop(RANGE)
+    line = quoted.unionByName(known)
+    if range_count(line, ranges) > 1:
+        line = cut_lineage(line)  # reading the texts is the costly part, and the ranges pass over the rows several times
+    line = with_ranges(line, [key, *order], ranges)
+    near = carry(line, F.when(F.col("kind") == 0, F.col("value")), order, [key], "below", "above")
     judged = near.where(F.col("kind") == 1).withColumn(
         "ok", F.col("fine") | within_tolerance(F.col("below"), F.col("value")) | within_tolerance(F.col("above"), F.col("value")))
     return judged.groupBy(key, "position", "token").agg(F.bool_or("ok").alias("ok")).where(~F.col("ok")).select(key, "position", "token")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.tails import f_upper, p_t
 from tablewise.meta import is_numeric
+from tablewise.operators.moments import union_all
 from tablewise.operators.ordered import value_ranks
-from tablewise.operators.scalars import numeric, scalar
+from tablewise.operators.scalars import numeric
 
 MAX_LEVELS = 12
 SEED = 7
@@ -152,26 +153,35 @@ def predict(model: LinearModel, df: DataFrame) -> DataFrame:
     return out.where(F.col("fitted").isNotNull() & F.col("residual").isNotNull())
 
 
+def _moments(values: DataFrame, cols: list[str]) -> Column:
+    """Means and standard deviations of all columns as one one-row subquery; no spread counts as one."""
+    sd = lambda c: F.when(F.stddev_samp(c) > 0, F.stddev_samp(c)).otherwise(1.0)
+    facts = [F.struct(F.avg(c).alias("m"), sd(c).alias("sd")).alias(f"c{i}") for i, c in enumerate(cols)]
+    return values.agg(F.struct(*facts).alias("s")).scalar()
+
+
 def standardize(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
     """z-scores of complete rows; a column without spread keeps its centred values."""
     values = df.select(*keep, *[numeric(F.col(c)).alias(c) for c in cols])
-    s = scalar(values, **{f"m_{i}": F.avg(c) for i, c in enumerate(cols)}, **{f"s_{i}": F.stddev_samp(c) for i, c in enumerate(cols)})
-    sd = lambda i: F.when(s[f"s_{i}"] > 0, s[f"s_{i}"]).otherwise(1.0)
-    return values.dropna(subset=list(cols)).select(*keep, *[((F.col(c) - s[f"m_{i}"]) / sd(i)).alias(c) for i, c in enumerate(cols)])
+    rows = values.withColumn("__s", _moments(values, cols)).dropna(subset=list(cols))
+    return rows.select(*keep, *[((F.col(c) - F.col(f"__s.c{i}.m")) / F.col(f"__s.c{i}.sd")).alias(c) for i, c in enumerate(cols)])
 
 
 def winsorize(df: DataFrame, cols: list[str], tail: float = 0.01, ranges: int | None = None) -> DataFrame:
-    """Clip to the observed values at the lower and upper tail positions, so one wild row cannot form a segment."""
-    out = df
+    """Clip to the observed values at the lower and upper tail positions, so one wild row cannot form a segment.
+
+    The two cut values per column are found by rank and enter the plan as literals.
+    """
+    found = []
     for c in cols:
         ranked = value_ranks(df.select(numeric(F.col(c)).alias("v")), "v", ranges=ranges)
         inside = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("cnt"))
         last = F.col("total") - 1
-        cut = ranked.agg(F.struct(F.max(F.when(inside(F.floor(last * tail)), F.col("v"))).alias("lo"),
-                                  F.max(F.when(inside(F.ceil(last * (1 - tail))), F.col("v"))).alias("hi")).alias("s")).scalar()
-        v = numeric(F.col(c))
-        out = out.withColumn(c, F.when(v.isNotNull(), F.greatest(cut["lo"], F.least(cut["hi"], v))))
-    return out
+        found.append(ranked.agg(F.lit(c).alias("c"), F.max(F.when(inside(F.floor(last * tail)), F.col("v"))).alias("lo"),
+                                F.max(F.when(inside(F.ceil(last * (1 - tail))), F.col("v"))).alias("hi")))
+    cuts = {row["c"]: row for row in union_all(found).collect()}
+    clip = lambda c: F.when(numeric(F.col(c)).isNotNull(), F.greatest(F.lit(cuts[c]["lo"]), F.least(F.lit(cuts[c]["hi"]), numeric(F.col(c)))))
+    return df.withColumns({c: clip(c) for c in cols})
 
 
 def _features(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -231,11 +241,10 @@ def segment(df: DataFrame, cols: list[str], k: int | None = None, keep: list[str
 
 def add_segments(df: DataFrame, cols: list[str], k: int, name: str = "segment") -> DataFrame:
     """Segment label per row, null where an input is missing; no winsorising, as a replayable step."""
-    s = scalar(df, **{f"m_{i}": F.avg(numeric(F.col(c))) for i, c in enumerate(cols)},
-               **{f"s_{i}": F.stddev_samp(numeric(F.col(c))) for i, c in enumerate(cols)})
+    values = df.select(*[numeric(F.col(c)).alias(c) for c in cols])
     zs = [f"__z{i}" for i in range(len(cols))]
-    sd = lambda i: F.when(s[f"s_{i}"] > 0, s[f"s_{i}"]).otherwise(1.0)
-    scored = df.select("*", *[((numeric(F.col(c)) - s[f"m_{i}"]) / sd(i)).alias(z) for i, (c, z) in enumerate(zip(cols, zs))])
+    placed = df.withColumn("__s", _moments(values, cols))
+    scored = placed.select(*df.columns, *[((numeric(F.col(c)) - F.col(f"__s.c{i}.m")) / F.col(f"__s.c{i}.sd")).alias(z) for i, (c, z) in enumerate(zip(cols, zs))])
     model = _kmeans(k).fit(_features(scored.select(*zs).dropna(), zs))
     from pyspark.ml.feature import VectorAssembler
 
@@ -251,9 +260,11 @@ def add_segments(df: DataFrame, cols: list[str], k: int, name: str = "segment")
 def segment_profile(df: DataFrame, segment_col: str, cols: list[str]) -> DataFrame:
     """Size, raw means and the two largest relative differences from the overall mean."""
     values = df.select(F.col(segment_col).alias("segment"), *[numeric(F.col(c)).alias(c) for c in cols])
-    overall = scalar(values, **{f"o{i}": F.avg(c) for i, c in enumerate(cols)})
+    facts = F.struct(*[F.avg(c).alias(f"o{i}") for i, c in enumerate(cols)])
+    overall = values.agg(facts.alias("s")).scalar()
     means = values.where(F.col("segment").isNotNull()).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols])
-    gap = lambda i, c: F.coalesce(F.try_divide(F.col(c), overall[f"o{i}"]) - 1, F.lit(0.0))
+    means = means.withColumn("__o", overall)
+    gap = lambda i, c: F.coalesce(F.try_divide(F.col(c), F.col(f"__o.o{i}")) - 1, F.lit(0.0))
     # Sorted by size of the gap, earlier columns first among equals.
     ranked = F.sort_array(F.array(*[F.struct((-F.abs(gap(i, c))).alias("size"), F.lit(i).alias("i"), gap(i, c).alias("gap"), F.lit(c).alias("column")) for i, c in enumerate(cols)]))
     out = means.withColumn("__g", ranked)

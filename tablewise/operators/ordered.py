@@ -49,10 +49,13 @@ def _literal(df: DataFrame, keys: list[Column], values) -> Column:
 
 
 def with_ranges(df: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
-    """Add the range number of every row; ranges follow the order of ``keys``."""
+    """Add the range number of every row; ranges follow the order of ``keys``.
+
+    A frame small enough for a single range comes back unchanged, and plain windows do the rest.
+    """
     n = range_count(df, ranges)
     if n == 1:
-        return df.withColumn(RANGE, F.lit(0))
+        return df
     key_columns = [_sort_key(df, k) for k in keys]
     names = [f"k{i}" for i in range(len(keys))]
     cuts = _cut_points(df.select(*[c.alias(a) for c, a in zip(key_columns, names)]), names, n)
@@ -107,11 +110,15 @@ def _attach(df: DataFrame, summary: DataFrame, parts: list[str]) -> DataFrame:
 
 
 def running_total(df: DataFrame, weight: str | None, order_by: list[str], partition_by: list[str] = (),
-                  name: str = "before", total: str | None = None, ranges: int | None = None) -> DataFrame:
+                  name: str = "before", total: str | None = None, ranges: int | None = None, keep_range: bool = False) -> DataFrame:
     """Add the sum of ``weight`` (or the row count) over all earlier rows of the partition, and its total on request."""
     parts = list(partition_by)
     w = F.col(weight) if weight else F.lit(1)
     ranged = df if RANGE in df.columns else with_ranges(df, parts + list(order_by), ranges)
+    if RANGE not in ranged.columns:
+        earlier = Window.partitionBy(*parts).orderBy(*_ordering(order_by)).rowsBetween(Window.unboundedPreceding, -1)
+        out = ranged.withColumn(name, F.coalesce(F.sum(w).over(earlier), F.lit(0)))
+        return out.withColumn(total, F.sum(w).over(Window.partitionBy(*parts))) if total else out
     inside = Window.partitionBy(RANGE, *parts).orderBy(*_ordering(order_by))
     local = ranged.withColumn(name, F.coalesce(F.sum(w).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     per_range = ranged.groupBy(RANGE, *parts).agg(F.sum(w).alias("__sum"))
@@ -122,43 +129,56 @@ def running_total(df: DataFrame, weight: str | None, order_by: list[str], partit
     if total:
         offsets = offsets.withColumn(total, F.sum("__sum").over(whole))
     out = _attach(local, offsets.drop("__sum"), parts)
-    return out.withColumn(name, F.col(name) + F.col("__off")).drop("__off", RANGE)
+    return out.withColumn(name, F.col(name) + F.col("__off")).drop("__off", *([] if keep_range else [RANGE]))
+
 
+def carry(ranged: DataFrame, value: Column, order_by: list[str], partition_by: list[str] = (), before: str | None = "before",
+          after: str | None = None) -> DataFrame:
+    """Add the nearest non-null ``value`` at or before each row, at or after it, or both.
 
-def carry(df: DataFrame, value: Column, order_by: list[str], partition_by: list[str] = (), name: str = "carried",
-          backward: bool = False) -> DataFrame:
-    """Add the nearest non-null ``value`` at or before (or at or after) each row; the frame must have its ranges."""
+    The frame comes from ``with_ranges``; without a range column it is small and one window per direction suffices.
+    """
     parts = list(partition_by)
-    source = df.withColumn("__v", value)
-    # Backward fills scan in descending order: a frame that runs to the end would be quadratic.
-    inside = Window.partitionBy(RANGE, *parts).orderBy(*_ordering(order_by, backward)).rowsBetween(Window.unboundedPreceding, 0)
-    local = source.withColumn("__near", F.last("__v", ignorenulls=True).over(inside))
+    source = ranged.withColumn("__v", value)
+    cut = [RANGE] if RANGE in ranged.columns else []
     place = F.when(F.col("__v").isNotNull(), F.struct(*[F.col(o) for o in order_by]))
-    edge = F.min_by("__v", place) if backward else F.max_by("__v", place)
-    per_range = source.groupBy(RANGE, *parts).agg(edge.alias("__edge"))
-    step = F.col(RANGE).desc() if backward else F.col(RANGE).asc()
-    across = (Window.partitionBy(*parts).orderBy(step) if parts else Window.orderBy(step)).rowsBetween(Window.unboundedPreceding, -1)
-    handed = per_range.select(RANGE, *parts, F.last("__edge", ignorenulls=True).over(across).alias("__handed"))
-    out = _attach(local, handed, parts)
-    return out.withColumn(name, F.coalesce("__near", "__handed")).drop("__near", "__handed", "__v")
+    local, edges, handed = source, [], []
+    for name, backward in ((before, False), (after, True)):
+        if name is None:
+            continue
+        # Backward fills scan in descending order: a frame that runs to the end would be quadratic.
+        inside = Window.partitionBy(*cut, *parts).orderBy(*_ordering(order_by, backward)).rowsBetween(Window.unboundedPreceding, 0)
+        local = local.withColumn(name, F.last("__v", ignorenulls=True).over(inside))
+        edges.append((F.min_by if backward else F.max_by)("__v", place).alias(f"__edge_{name}"))
+        step = F.col(RANGE).desc() if backward else F.col(RANGE).asc()
+        across = (Window.partitionBy(*parts).orderBy(step) if parts else Window.orderBy(step)).rowsBetween(Window.unboundedPreceding, -1)
+        handed.append(F.last(f"__edge_{name}", ignorenulls=True).over(across).alias(f"__handed_{name}"))
+    if not cut:
+        return local.drop("__v")
+    summary = source.groupBy(RANGE, *parts).agg(*edges).select(RANGE, *parts, *handed)
+    out = _attach(local, summary, parts)
+    for name in (before, after):
+        if name is not None:
+            out = out.withColumn(name, F.coalesce(name, f"__handed_{name}")).drop(f"__handed_{name}")
+    return out.drop("__v")
 
 
 def fill_forward(df: DataFrame, col: str, order_by: list[str], partition_by: list[str] = (), ranges: int | None = None) -> DataFrame:
     ranged = with_ranges(df, [*partition_by, *order_by], ranges)
-    return carry(ranged, F.col(col), order_by, partition_by, "__f").withColumn(col, F.col("__f")).drop("__f", RANGE).select(*df.columns)
+    return carry(ranged, F.col(col), order_by, partition_by, "__f").withColumn(col, F.col("__f")).select(*df.columns)
 
 
 def fill_backward(df: DataFrame, col: str, order_by: list[str], partition_by: list[str] = (), ranges: int | None = None) -> DataFrame:
     ranged = with_ranges(df, [*partition_by, *order_by], ranges)
-    return carry(ranged, F.col(col), order_by, partition_by, "__b", True).withColumn(col, F.col("__b")).drop("__b", RANGE).select(*df.columns)
+    return carry(ranged, F.col(col), order_by, partition_by, None, "__b").withColumn(col, F.col("__b")).select(*df.columns)
 
 
 def interpolate(df: DataFrame, col: str, order_by: list[str], partition_by: list[str] = (), ranges: int | None = None) -> DataFrame:
     """Linear by row position; the edges repeat the nearest value."""
-    ranged = with_ranges(df, [*partition_by, *order_by], ranges).withColumn("__r2", F.col(RANGE))
-    placed = running_total(ranged, None, order_by, partition_by, "__pos").withColumnRenamed("__r2", RANGE)
+    ranged = with_ranges(df, [*partition_by, *order_by], ranges)
+    placed = running_total(ranged, None, order_by, partition_by, "__pos", ranges=1, keep_range=True)
     known = F.when(F.col(col).isNotNull(), F.struct(F.col(col).cast("double").alias("v"), F.col("__pos").alias("p")))
-    both = carry(carry(placed, known, order_by, partition_by, "__f"), known, order_by, partition_by, "__b", True)
+    both = carry(placed, known, order_by, partition_by, "__f", "__b")
     before, after = F.col("__f"), F.col("__b")
     between = before["v"] + (after["v"] - before["v"]) * (F.col("__pos") - before["p"]) / (after["p"] - before["p"])
     filled = F.when(F.col(col).isNotNull(), F.col(col)).when(before.isNotNull() & after.isNotNull(), between).otherwise(F.coalesce(before["v"], after["v"]))

@@ -74,13 +74,14 @@ def repeated_tag(spark: SparkSession, path: str, peek_lines: int = 2000) -> str
     """The child element that repeats most under one parent, judged on the first lines."""
     lines = [r["value"] for r in spark.read.text(path).limit(peek_lines).collect()]
     parser = ElementTree.XMLPullParser(["start", "end"])
-    stack, pairs, holds = [], Counter(), []
+    stack, pairs, holds, first_seen = [], Counter(), [], {}
     try:
         parser.feed("\n".join(lines))
         for event, node in parser.read_events():
             if event == "start":
                 if holds:
                     holds[-1] = True
+                    first_seen.setdefault((stack[-1], node.tag), len(first_seen))
                 stack.append(node.tag)
                 holds.append(False)
             else:
@@ -90,8 +91,8 @@ def repeated_tag(spark: SparkSession, path: str, peek_lines: int = 2000) -> str
     except ElementTree.ParseError:
         if not pairs:
             raise ValueError("This XML file could not be read.") from None
-    best = pairs.most_common(1)
-    return best[0][0][1] if best and best[0][1] >= 2 else None
+    best = min(pairs, key=lambda pair: (-pairs[pair], first_seen[pair]), default=None)
+    return best[1] if best and pairs[best] >= 2 else None
 
 
 def _leaf_text(c: Column, kind: T.DataType) -> Column:
