@@ -13,6 +13,7 @@ CURRENCY_CODES = "AUD|USD|EUR|GBP|BDT|INR|NZD|CAD"
 CURRENCY_SYMBOLS = "$€£¥₹৳"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
+WHITE_SPACE = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 FIRST_YEAR, LAST_YEAR = 1000, 2999
 CENTURY_PIVOT = 50
 EXCEL_SERIAL_RANGE = (20000, 80000)
@@ -22,7 +23,7 @@ EXCEL_UNIX_OFFSET_DAYS = 25569
 
 def squeeze_ends(c: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^[\s﻿]+|[\s﻿]+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def is_missing_token(c: Column) -> Column:
@@ -61,7 +62,8 @@ def parse_number(c: Column, decimal_comma: bool = False) -> Column:
         t = F.regexp_replace(t, grouped(",", r"\."), "")
     t = F.regexp_replace(t, _BRACKET + "-", "")
     t = F.regexp_replace(t, _BRACKET + r"\+?", "-")
-    v = F.regexp_extract(t, r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$", 0).try_cast("double")
+    digits = F.regexp_extract_all(t, F.lit(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"), F.lit(0))
+    v = F.get(digits, F.lit(0)).cast("double")  # unreadable text is null before the cast, which would throw per row
     return F.when(F.abs(v) != float("inf"), v)
 
 
@@ -91,7 +93,8 @@ _SHAPES = (
 
 def _moment(parts: Column, order: str) -> Column:
     """Timestamp from the seven text parts, or null when they name no real moment."""
-    whole = lambda i: parts[i].try_cast("int")
+    # Only digits are cast: a failing cast costs an exception per row.
+    whole = lambda i: F.when(parts[i].rlike(r"^\d+$"), parts[i].cast("int"))
     layout, year, m, d = parts[0], whole(1), whole(2), whole(3)
     named = F.array_position(F.array(*[F.lit(x.lower()) for x in MONTHS]), F.lower(F.substring(parts[2], 1, 3))).cast("int")
     swapped = (m > 12) | ((d <= 12) & F.lit(order != "mdy"))  # numeric dates arrive as first|second part

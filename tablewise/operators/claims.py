@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.meta import NUMERIC_TYPES
-from tablewise.operators.ordered import carry, range_count, with_ranges
+from tablewise.operators.ordered import carry, range_count, spread, with_ranges
 from tablewise.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
@@ -56,7 +56,7 @@ def within_tolerance(known: Column, quoted: Column) -> Column:
 
 def claims_of(answers: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, token, value, percent): every number quoted in the text, years left out."""
-    tokens = answers.select(key, F.posexplode(number_tokens(F.col(text))).alias("position", "token"))
+    tokens = spread(answers.select(key, text)).select(key, F.posexplode(number_tokens(F.col(text))).alias("position", "token"))
     tokens = tokens.withColumn("token", F.trim("token")).where(~F.col("token").rlike(YEAR))
     return tokens.withColumn("value", token_value(F.col("token"))).withColumn("percent", F.col("token").rlike("%$")).where(F.col("value").isNotNull())
 

@@ -23,8 +23,9 @@ def predicate(df: DataFrame, col: str, op: str, value) -> Column:
     if is_numeric(df, col):
         target = F.lit(value) if isinstance(value, (int, float)) else parse_number(F.lit(str(value)))
     elif is_temporal(df, col):
-        # Literal on one side only, so the comparison still reaches the scan.
-        target = parse_date(F.lit(str(value))).cast(df.schema[col].dataType)
+        # Read the date once and compare with a plain literal, so that the test reaches the scan.
+        moment = df.sparkSession.range(1).select(parse_date(F.lit(str(value)))).first()[0]
+        target = F.lit(moment).cast("timestamp_ntz").cast(df.schema[col].dataType)
     else:
         if op in ("=", "!="):
             c, target = F.lower(c.cast("string")), F.lit(str(value).lower())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.parsing import CURRENCY_SYMBOLS, currency_symbol, date_order_votes, parse_date, parse_number, present
 from tablewise.meta import ColumnMeta, is_string, is_temporal
+from tablewise.operators.ordered import spread
 
 # --- fixed values -----------------------------------------------------------
 SCALES = (
@@ -45,7 +46,7 @@ def string_columns(df: DataFrame) -> list[str]:
 
 def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value): one trimmed value per row and column, missing tokens as null."""
-    return df.select(*[present(F.col(f"`{c}`")).alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    return spread(df.select(*[F.col(f"`{c}`") for c in cols])).select(*[present(F.col(f"`{c}`")).alias(c) for c in cols]).unpivot([], cols, "column", "value")
 
 
 def type_evidence(df: DataFrame, cols: list[str]) -> DataFrame:

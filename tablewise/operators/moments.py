@@ -70,12 +70,12 @@ def describe(df: DataFrame, cols: list[str], method: str = "auto", quality: bool
         long = values.unpivot([], cols, "column", "v")
         base = base.join(quantiles(long, "v", QUANTILE_POINTS, ["column"], method), "column", "left")
     base = base.withColumn("iqr", F.col("q3") - F.col("q1"))
-    # Second pass: the fences are one row per column, turned into a map that travels as a literal.
-    marks = base.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct(
-        (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"), F.col("iqr").alias("iqr"))))).alias("m")).scalar()
+    # Second pass: the fences are one row per column, turned into one struct that travels as a literal.
+    pack = F.struct((F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"), F.col("iqr").alias("iqr"))
+    marks = base.agg(F.struct(*[F.max(F.when(F.col("column") == c, pack)).alias(f"c{i}") for i, c in enumerate(cols)]).alias("m")).scalar()
 
     def beyond(c):
-        fence, v = F.col("__m")[F.lit(c)], F.col(c)
+        fence, v = F.col(f"__m.c{cols.index(c)}"), F.col(c)
         out = [F.count_if((v < fence["lo"]) | (v > fence["hi"])).alias("outliers")]
         if quality:
             wide = 1.5 * fence["iqr"]

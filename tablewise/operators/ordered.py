@@ -27,6 +27,18 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(size))
 
 
+SPREAD_BYTES_PER_CORE = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input over all cores before work that is heavy per row.
+
+    A large scan has enough splits of its own and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < cores * SPREAD_BYTES_PER_CORE else df
+
+
 def range_count(df: DataFrame, ranges: int | None = None) -> int:
     if ranges is not None:
         return max(1, ranges)

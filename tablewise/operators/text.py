@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewise.functions.parsing import squeeze_ends
+from tablewise.operators.ordered import spread
+
 # --- fixed values -----------------------------------------------------------
 STOP_WORDS = frozenset((
     "a an the and or but if then else of to in on at for from by with without about as is are was were be been being it its this that "
@@ -37,7 +40,7 @@ def words_of(c: Column) -> Column:
 
 
 def sentences_of(c: Column) -> Column:
-    parts = F.transform(F.split(clean(c), SENTENCE_BREAK), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(F.split(clean(c), SENTENCE_BREAK), squeeze_ends)
     return F.filter(parts, lambda s: F.length(s) > 2)
 
 
@@ -50,7 +53,7 @@ def _syllables(words: Column) -> Column:
 
 def text_stats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Sizes, reading time, diversity and readability per document, without a shuffle."""
-    base = docs.select(doc, clean(F.col(text)).alias("__t"), words_of(F.col(text)).alias("__w"), sentences_of(F.col(text)).alias("__s"))
+    base = spread(docs.select(doc, text)).select(doc, clean(F.col(text)).alias("__t"), words_of(F.col(text)).alias("__w"), sentences_of(F.col(text)).alias("__s"))
     paragraphs = F.size(F.filter(F.split("__t", PARAGRAPH_BREAK), lambda p: p.rlike(r"(?U)\S")))
     counted = base.select(
         doc, F.length("__t").alias("chars"), F.size("__w").alias("words"), F.size(F.array_distinct("__w")).alias("distinct_words"),
@@ -72,7 +75,7 @@ def _content_word(w: Column) -> Column:
 def word_counts(docs: DataFrame, doc: str | None = "doc_id", text: str = "text") -> DataFrame:
     """(doc, word, n) of content words; without ``doc`` over the whole corpus."""
     keys = [doc] if doc else []
-    long = docs.select(*keys, F.explode(words_of(F.col(text))).alias("word")).where(_content_word(F.col("word")))
+    long = spread(docs.select(*keys, text)).select(*keys, F.explode(words_of(F.col(text))).alias("word")).where(_content_word(F.col("word")))
     return long.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -90,7 +93,7 @@ def keywords(docs: DataFrame, k: int = 25, doc: str | None = "doc_id", text: str
 def bigrams(docs: DataFrame, k: int = 15, doc: str | None = "doc_id", text: str = "text") -> DataFrame:
     """Adjacent content words that occur together more than once."""
     keys = [doc] if doc else []
-    listed = docs.select(*keys, words_of(F.col(text)).alias("w")).where(F.size("w") > 1)
+    listed = spread(docs.select(*keys, text)).select(*keys, words_of(F.col(text)).alias("w")).where(F.size("w") > 1)
     n = F.size("w") - 1
     pairs = listed.select(*keys, F.inline(F.arrays_zip(F.slice("w", 1, n).alias("a"), F.slice("w", 2, n).alias("b"))))
     pairs = pairs.where(_content_word(F.col("a")) & _content_word(F.col("b")))
@@ -99,7 +102,7 @@ def bigrams(docs: DataFrame, k: int = 15, doc: str | None = "doc_id", text: str
 
 
 def text_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(doc, F.posexplode(F.split(clean(F.col(text)), "\n")).alias("line_no", "line"))
+    return spread(docs.select(doc, text)).select(doc, F.posexplode(F.split(clean(F.col(text)), "\n")).alias("line_no", "line"))
 
 
 def numbers_in_context(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int | None = None) -> DataFrame:
@@ -118,11 +121,11 @@ def numbers_in_context(docs: DataFrame, doc: str = "doc_id", text: str = "text",
             F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(m["gaps"])).alias("start"), m["found"].alias("found")))).alias("out")),
         lambda acc: acc["out"])
     spots = lines.select(doc, "line_no", "line", F.inline(marks))
-    value = F.regexp_replace("found", r"(?U)^\s+|\s+$", "")
+    value = squeeze_ends(F.col("found"))
     first = F.greatest(F.lit(0), F.col("start") - CONTEXT_CHARS)
     last = F.col("start") + F.length("value") + CONTEXT_CHARS
     out = spots.withColumn("value", value).where(~F.col("value").rlike(r"^\d{1,2}$"))
-    out = out.select(doc, "line_no", "start", "value", F.regexp_replace(F.substring("line", first + 1, last - first), r"(?U)^\s+|\s+$", "").alias("context"))
+    out = out.select(doc, "line_no", "start", "value", squeeze_ends(F.substring("line", first + 1, last - first)).alias("context"))
     if limit is None:
         return out
     place = Window.partitionBy(doc).orderBy("line_no", "start")
@@ -141,7 +144,7 @@ def count_emails(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
 
 def headings(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int | None = None) -> DataFrame:
     """Lines with one to four leading hashes, or short lines that start like a title and hold no full stop."""
-    lines = text_lines(docs, doc, text).withColumn("__t", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
+    lines = text_lines(docs, doc, text).withColumn("__t", squeeze_ends(F.col("line")))
     short = F.length("__t").between(4, 69) & F.col("__t").rlike(r"^[A-Z0-9][^.!?]*$")
     out = lines.where(F.col("line").rlike(r"(?U)^#{1,4}\s") | short).select(doc, "line_no", F.col("line").alias("heading"))
     if limit is None:
@@ -154,13 +157,15 @@ def key_sentences(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str =
     """Sentences richest in the document's frequent words."""
     counts = word_counts(docs, doc, text)
     peak = counts.groupBy(doc).agg(F.max("n").alias("peak"))
-    sentences = docs.select(doc, F.posexplode(sentences_of(F.col(text))).alias("position", "sentence")).where(F.length("sentence") < MAX_SENTENCE)
-    tokens = sentences.select(doc, "position", F.regexp_extract_all(F.lower("sentence"), F.lit(LETTERS), F.lit(0)).alias("w"))
-    sizes = tokens.select(doc, "position", F.size("w").alias("size"))
-    used = tokens.select(doc, "position", F.explode("w").alias("word")).groupBy(doc, "position", "word").agg(F.count(F.lit(1)).alias("c"))
-    hits = used.join(counts, [doc, "word"]).groupBy(doc, "position").agg(F.sum(F.col("c") * F.col("n")).alias("hits"))
-    scored = sentences.join(hits, [doc, "position"], "left").join(peak, doc, "left").join(sizes, [doc, "position"])
-    value = F.coalesce(F.col("hits"), F.lit(0)) / F.greatest(F.lit(1), F.coalesce("peak", F.lit(1))) / F.sqrt(F.greatest(F.lit(1), F.col("size")))
+    sentences = spread(docs.select(doc, text)).select(doc, F.posexplode(sentences_of(F.col(text))).alias("position", "sentence"))
+    sentences = sentences.where(F.length("sentence") < MAX_SENTENCE)
+    tokens = sentences.withColumn("w", F.regexp_extract_all(F.lower("sentence"), F.lit(LETTERS), F.lit(0))).withColumn("size", F.size("w"))
+    # A sentence without words keeps one empty token, so no second pass over the texts is needed.
+    used = tokens.select(doc, "position", "sentence", "size", F.explode_outer("w").alias("word"))
+    weighed = used.join(counts, [doc, "word"], "left")
+    scored = weighed.groupBy(doc, "position").agg(
+        F.any_value("sentence").alias("sentence"), F.any_value("size").alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits")).join(peak, doc, "left")
+    value = F.col("hits") / F.greatest(F.lit(1), F.coalesce("peak", F.lit(1))) / F.sqrt(F.greatest(F.lit(1), F.col("size")))
     scored = scored.select(doc, "position", "sentence", value.alias("score"))
     place = Window.partitionBy(doc).orderBy(F.col("score").desc(), "position")
     return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
@@ -171,9 +176,9 @@ def search_passages(docs: DataFrame, question: str, k: int = 3, doc: str = "doc_
     import re
 
     asked = re.findall(r"[^\W\d_]{4,}", question.lower())
-    passages = docs.select(doc, F.posexplode(F.split(F.col(text), PASSAGE_BREAK)).alias("position", "passage"))
+    passages = spread(docs.select(doc, text)).select(doc, F.posexplode(F.split(F.col(text), PASSAGE_BREAK)).alias("position", "passage"))
     score = sum((F.lower("passage").contains(w).cast("int") for w in asked), F.lit(0))
     hit = passages.withColumn("score", score).where(F.col("score") > 0)
     place = Window.partitionBy(doc).orderBy(F.col("score").desc(), "position")
     out = hit.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-    return out.withColumn("passage", F.regexp_replace("passage", r"(?U)^\s+|\s+$", ""))
+    return out.withColumn("passage", squeeze_ends(F.col("passage")))

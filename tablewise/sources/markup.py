@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewise.operators.ordered import spread
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # --- fixed values -----------------------------------------------------------
@@ -105,7 +107,7 @@ def extract_html_tables(pages: DataFrame, page: str = "page_id", html: str = "ht
                     for t, table in enumerate(tables_in(h), 1) for r, cells in enumerate(table)]
             yield pd.DataFrame(rows, columns=[page, "table_no", "row_no", "cells"])
 
-    return pages.select(page, html).mapInPandas(run, f"{page} {key}, table_no int, row_no int, cells array<string>")
+    return spread(pages.select(page, html)).mapInPandas(run, f"{page} {key}, table_no int, row_no int, cells array<string>")
 
 
 def html_to_text(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
@@ -116,12 +118,12 @@ def html_to_text(pages: DataFrame, page: str = "page_id", html: str = "html") ->
         for batch in batches:
             yield pd.DataFrame({page: batch[page], "text": [text_in(h) for h in batch[html]]})
 
-    return pages.select(page, html).mapInPandas(run, f"{page} {key}, text string")
+    return spread(pages.select(page, html)).mapInPandas(run, f"{page} {key}, text string")
 
 
 def extract_markdown_tables(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, table_no, row_no, cells) of pipe tables; row 0 is the header, the dashed line is left out."""
-    lines = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    lines = spread(docs.select(doc, text)).select(doc, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     along = Window.partitionBy(doc).orderBy("line_no")
     piped = F.col("line").rlike(r"(?U)^\s*\|.*\|\s*$")
     dashed = F.coalesce(F.lead("line").over(along).rlike(r"(?U)^\s*\|?\s*:?-{2,}"), F.lit(False))
