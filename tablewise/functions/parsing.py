@@ -52,8 +52,9 @@ def parse_number(c: Column, decimal_comma: bool = False) -> Column:
     t = F.regexp_replace(t, rf"[{CURRENCY_SYMBOLS}]$", "")
     t = F.regexp_replace(t, "%$", "")
     t = F.regexp_replace(t, r"(?U)\s", "")
+    # A separator goes only when the whole text is grouped in threes; the literal first keeps the search cheap.
     grouped = lambda sep, tail: (
-        rf"(?<=^{_BRACKET}?[-+]?\d{{1,3}}(?:{sep}\d{{3}}){{0,99}}){sep}(?=\d{{3}}(?:{sep}\d{{3}})*(?:{tail}\d+)?$)"
+        rf"{sep}(?<=^{_BRACKET}?[-+]?\d{{1,3}}(?:{sep}\d{{3}}){{0,99}}{sep})(?=\d{{3}}(?:{sep}\d{{3}})*(?:{tail}\d+)?$)"
     )
     if decimal_comma:
         t = F.regexp_replace(t, grouped(r"\.", ","), "")

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.tails import p_chi2, p_t
-from tablewise.operators.ordered import IN_MEMORY_BYTES, estimated_bytes, quantiles, value_ranks
+from tablewise.operators.ordered import IN_MEMORY_BYTES, estimated_bytes, quantiles, spread, value_ranks
 from tablewise.operators.scalars import numeric
 
 QUANTILE_POINTS = {"p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
 # Aggregates per pass: keeps generated code within the JIT's limits.
 CHUNK = 60
+COLUMNS_PER_PASS = 10
 
 
 def adjusted_skewness(n: Column, g1: Column, sd: Column) -> Column:
@@ -33,64 +34,64 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _per_column(df: DataFrame, cols: list[str], facts) -> DataFrame:
-    """One row per column from wide aggregates, in chunks."""
-    frames = []
-    for i in range(0, len(cols), CHUNK // 6):
-        packed = F.array(*[F.struct(F.lit(c).alias("column"), *facts(c)) for c in cols[i:i + CHUNK // 6]])
-        frames.append(df.agg(packed.alias("t")).select(F.inline("t")))
-    return union_all(frames)
+def column_quantiles(values: DataFrame, cols: list[str], method: str) -> dict[str, list]:
+    """Quantile points of every column; a handful of numbers per column reaches the driver."""
+    probs = list(QUANTILE_POINTS.values())
+    if method == "memory":
+        spots = [F.percentile(F.col(c), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i, c in enumerate(cols)]
+        row = spread(values).agg(*spots).first()
+        return {c: row[i] or [None] * len(probs) for i, c in enumerate(cols)}
+    found = quantiles(values.unpivot([], cols, "column", "v"), "v", QUANTILE_POINTS, ["column"], method).collect()
+    out = {c: [None] * len(probs) for c in cols}
+    out.update({row["column"]: [row[n] for n in QUANTILE_POINTS] for row in found})
+    return out
 
 
 def describe(df: DataFrame, cols: list[str], method: str = "auto", quality: bool = False) -> DataFrame:
-    """Counts, moments, quantiles and outlier counts, one row per column.
+    """Counts, moments, quantiles and outlier counts, one row per column, in two passes.
 
-    Small plans take everything from one wide aggregate.  Large ones send the quantiles through the distributed
-    rank search, where every column is a group that may span any number of ranges.  ``quality`` adds what the
-    quality rules need (negatives, whole numbers, values beyond three IQRs) to the same two passes.
+    The first pass finds the quantiles: in memory while the plan is small, else by the distributed rank search, where
+    every column is a group that may span any number of ranges.  The second is one code-generated aggregate with the
+    fences as literals.  ``quality`` adds negatives, whole numbers and values beyond three IQRs to it.
     """
-    values = df.select(*[numeric(F.col(c)).alias(c) for c in cols])
+    values = df.select(*[numeric(F.col(f"`{c}`")).alias(c) for c in cols])
     if method == "auto":
         method = "memory" if estimated_bytes(df) <= IN_MEMORY_BYTES else "ranges"
-    inline = method == "memory"
-    probs = list(QUANTILE_POINTS.values())
-
-    def facts(c):
-        v = F.col(c)
-        out = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"),
-               F.sum(v).alias("sum"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), F.count_if(v == 0).alias("zeros")]
-        if quality:
-            out += [F.count_if(v < 0).alias("negatives"), (F.count_if(v != F.floor(v)) == 0).alias("whole")]
-        return out + ([F.percentile(v, F.array(*[F.lit(p) for p in probs])).alias("q")] if inline else [])
-
-    base = _per_column(values, cols, facts)
-    if inline:
-        base = base.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILE_POINTS)]).drop("q")
-    else:
-        long = values.unpivot([], cols, "column", "v")
-        base = base.join(quantiles(long, "v", QUANTILE_POINTS, ["column"], method), "column", "left")
-    base = base.withColumn("iqr", F.col("q3") - F.col("q1"))
-    # Second pass: the fences are one row per column, turned into one struct that travels as a literal.
-    pack = F.struct((F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"), F.col("iqr").alias("iqr"))
-    marks = base.agg(F.struct(*[F.max(F.when(F.col("column") == c, pack)).alias(f"c{i}") for i, c in enumerate(cols)]).alias("m")).scalar()
-
-    def beyond(c):
-        fence, v = F.col(f"__m.c{cols.index(c)}"), F.col(c)
-        out = [F.count_if((v < fence["lo"]) | (v > fence["hi"])).alias("outliers")]
-        if quality:
-            wide = 1.5 * fence["iqr"]
-            out.append(F.count_if((fence["iqr"] > 0) & ((v < fence["lo"] - wide) | (v > fence["hi"] + wide))).alias("extreme"))
-        return out
-
-    counts = _per_column(values.withColumn("__m", marks), cols, beyond)
+    marks = column_quantiles(values, cols, method)
+    frames = []
+    for start in range(0, len(cols), COLUMNS_PER_PASS):
+        packed = F.array(*[F.struct(*_facts(c, marks[c], quality)) for c in cols[start:start + COLUMNS_PER_PASS]])
+        frames.append(values.agg(packed.alias("t")).select(F.inline("t")))
+    base = union_all(frames)
     n, sd = F.col("n"), F.col("sd")
-    return base.join(counts, "column").select(
-        "column", "n", "mean", "sd", "min", "p5", "q1", "median", "q3", "p95", "max", "iqr",
+    return base.select(
+        "column", "n", "mean", "sd", "min", "p5", "q1", "median", "q3", "p95", "max", (F.col("q3") - F.col("q1")).alias("iqr"),
         adjusted_skewness(n, F.col("g1"), sd).alias("skew"), adjusted_kurtosis(n, F.col("g2"), sd).alias("kurt"),
         F.when(F.col("mean") != 0, sd / F.abs("mean")).alias("cv"), "sum", "zeros", "outliers", (sd / F.sqrt(n)).alias("se"),
         *(["negatives", "whole", "extreme"] if quality else []))
 
 
+def _facts(c: str, marks: list, quality: bool) -> list[Column]:
+    v = F.col(f"`{c}`")
+    points = dict(zip(QUANTILE_POINTS, marks))
+    out = [F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"),
+           F.sum(v).alias("sum"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), F.count_if(v == 0).alias("zeros"),
+           *[F.lit(x).cast("double").alias(name) for name, x in points.items()]]
+
+    def beyond(width):
+        if points["q1"] is None:
+            return F.count_if(F.lit(False))
+        iqr = points["q3"] - points["q1"]
+        return F.count_if((v < points["q1"] - width * iqr) | (v > points["q3"] + width * iqr))
+
+    out.append(beyond(1.5).alias("outliers"))
+    if quality:
+        flat = points["q1"] is None or points["q3"] <= points["q1"]
+        out += [F.count_if(v < 0).alias("negatives"), (F.count_if(v != F.floor(v)) == 0).alias("whole"),
+                (F.count_if(F.lit(False)) if flat else beyond(3.0)).alias("extreme")]
+    return out
+
+
 def jarque_bera(described: DataFrame) -> DataFrame:
     """Normality test from a described frame; needs eight values."""
     jb = F.when(F.col("n") >= 8, F.col("n") / 6 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4))
