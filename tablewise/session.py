@@ -34,10 +34,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir; one of our own only on a local master, which is one machine."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tablewise-checkpoint-"))
     return df.checkpoint(eager=True)
