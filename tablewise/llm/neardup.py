@@ -5,9 +5,10 @@ drawn and every (left i, right j) pair forms the key of table (i, j): m * m tabl
 similarity s meets in some table with probability (1 - (1 - s^HALF)^m)^2; with HALF = 2 and m = 10 a pair at 0.8 is missed with
 probability below 1e-4, one at 0.9 below 1e-7.
 
-Candidates of a bucket are verified in two steps, so that no group is expanded into all its pairs: first every member against the
-smallest one; then, in buckets that still span several components, the members outside the smallest one's component against the
-others. What is then unlinked has been compared, so components are exact for the candidates found."""
+Candidates of a bucket are verified in two steps, so that no group is expanded into pairs: first every member against the smallest one;
+then the members of buckets that still span several components are put into blocks of bounded size, and blocks that meet in a bucket
+are compared set by set inside one task, which hands on one link for any two components. Every pair that shares a table key has then
+been compared or lies in one component, so components are exact for the candidates found."""
 
 from __future__ import annotations
 
@@ -24,7 +25,8 @@ from tablewise.llm.tokens import U, mix, shingle_sets
 
 HALF, SIDES = 2, 10
 N_HASH = 2 * HALF * SIDES
-PROBES, BUILDS = 64, 512  # members of one comparison unit on either side
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 300_000  # of the blocks that are compared with each other
+COLUMNS = 16_384  # shingles of one matrix product
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,44 +96,56 @@ def _compare_sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in ("a", "b")], ["a", "b"])
 
 
-def _unit_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of comparison units: likely pairs between probes and members of other components. A unit holds a bounded number of rows."""
-    names = ["key", "p", "b"]
+def _common(cut_a, ids_a, cut_b, ids_b, size: int) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets of numbers below size, by blocks of columns."""
+    out = np.zeros((len(cut_a) - 1, len(cut_b) - 1))
+    for begin in range(0, size, COLUMNS):
+        dense = []
+        for cut, ids in ((cut_a, ids_a), (cut_b, ids_b)):
+            m = np.zeros((len(cut) - 1, min(COLUMNS, size - begin)), np.float32)
+            here = (ids >= begin) & (ids < begin + COLUMNS)
+            m[np.repeat(np.arange(len(cut) - 1), np.diff(cut))[here], ids[here] - begin] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _unit_links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of comparison units, unit by unit: one link, if there is any, for each two components between its two blocks. A unit holds two
+    blocks of bounded size, so it fits in memory."""
     left: pa.Table | None = None
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        ids = {k: t.column(k).to_numpy() for k in (*names, "node", "component", "n")}
-        probe, sig = t.column("probe").to_numpy(), _matrix(t.column("sig"))
-        new = np.ones(len(t), bool)
-        new[1:] = np.logical_or.reduce([ids[k][1:] != ids[k][:-1] for k in names])
-        begins = np.flatnonzero(new)
-        out = []
-        for s, e in zip(begins, np.append(begins[1:], len(t)), strict=True):
-            i, j = s + np.flatnonzero(probe[s:e]), s + np.flatnonzero(~probe[s:e])
-            if len(i) and len(j):
-                x, y = (z.ravel() for z in np.meshgrid(i, j, indexing="ij"))
-                apart = ids["component"][x] != ids["component"][y]
-                x, y = x[apart], y[apart]
-                ok = _likely(ids["n"][x], ids["n"][y], sig[x], sig[y], percent)
-                out.append(np.sort(np.stack([ids["node"][x[ok]], ids["node"][y[ok]]], 1), 1))
-        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+    def links(t: pa.Table) -> pa.RecordBatch:
+        values, cut = shingle_sets(t.column("text"), width)
+        node, component, block = (t.column(k).to_numpy() for k in ("node", "component", "block"))
+        one, two = (np.flatnonzero(block == t.column(k)[0].as_py()) for k in ("ba", "bb"))
+        distinct, ids = np.unique(values, return_inverse=True)
+        shared = np.bincount(ids, minlength=len(distinct)) > 1  # a shingle of one set is in no intersection
+        short = np.cumsum(shared) - 1
+        n = np.diff(cut)
+
+        def side(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            parts = [short[x[shared[x]]] for x in (ids[cut[r]: cut[r + 1]] for r in rows)]
+            return np.concatenate([[0], np.cumsum([len(x) for x in parts])]), np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+        common = _common(*side(one), *side(two), int(shared.sum()))
+        linked = (common > 0) & (100 * common >= percent * (n[one][:, None] + n[two] - common)) & (component[one][:, None] != component[two])
+        i, j = np.nonzero(linked)
+        pairs = np.sort(np.stack([component[one][i], component[two][j]], 1), 1)
+        _, first = np.unique(pairs, axis=0, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(node[one][i[first]]), pa.array(node[two][j[first]])], ["a", "b"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
-        t = t if left is None else pa.concat_tables([left, t]).combine_chunks()
-        if not len(t):
-            continue
-        same = np.ones(len(t), bool)
-        for k in names:
-            v = t.column(k).to_numpy()
-            same &= v == v[-1]
-        whole = len(t) - int(same[::-1].argmin() if not same.all() else len(t))
-        left = t.slice(whole)
-        if whole:
-            yield pairs(t.slice(0, whole))
+        left = t if left is None else pa.concat_tables([left, t]).combine_chunks()
+        ba, bb = left.column("ba").to_numpy(), left.column("bb").to_numpy()
+        begins = np.flatnonzero(np.concatenate([[True], (ba[1:] != ba[:-1]) | (bb[1:] != bb[:-1])])) if len(left) else []
+        for s, e in zip(begins[:-1], begins[1:], strict=True):
+            yield links(left.slice(s, e - s))
+        if len(begins):
+            left = left.slice(begins[-1])
     if left is not None and len(left):
-        yield pairs(left)
+        yield links(left)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -166,18 +180,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = verified(star)
     found = components(links, "a", "b")
     placed = members.join(found, "node", "left").select("key", "node", "lo", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("key").agg(F.min_by("component", "node").alias("main"), F.count(F.lit(1)).alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    placed = placed.join(open_.select("key", "main", "members"), "key")
-    outside = placed.where("component != main").groupBy("key").agg(F.count(F.lit(1)).alias("probes"))
-    placed = placed.join(outside, "key").join(signed.withColumnRenamed("rep", "node"), "node")
-    deal = lambda n: F.pmod(F.xxhash64("node"), n)
-    ps, bs = F.ceil(F.col("probes") / PROBES), F.ceil(F.col("members") / BUILDS)
-    columns = ["key", "p", "b", "node", "component", "n", "sig", "probe"]
-    probes = placed.where("component != main").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), bs - 1))).withColumn("p", deal(ps)).withColumn("probe", F.lit(True))
-    builds = placed.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), ps - 1))).withColumn("b", deal(bs)).withColumn("probe", F.lit(False))
-    units = probes.select(columns).union(builds.select(columns)).repartition("key", "p", "b").sortWithinPartitions("key", "p", "b")
-    more = units.mapInArrow(lambda it: _unit_pairs(it, percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(verified(more))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    placed = stash(placed.join(open_, "key"), "open")
+    # A node's home is the smallest node it shares an open bucket with; homes are cut into blocks of bounded rows and shingles.
+    nodes = placed.groupBy("node").agg(F.min("lo").alias("home"), F.first("component").alias("component")).join(reps.select(F.col("rep").alias("node"), "n"), "node")
+    homes = nodes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
+    nodes = stash(nodes.join(homes, "home").withColumn("block", block), "blocks")
+    blocks = nodes.groupBy("home", "block").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    touching = placed.join(nodes.select("node", "home"), "node").select("key", "home").distinct()
+    met = touching.withColumnRenamed("home", "ha").join(touching.withColumnRenamed("home", "hb"), "key").where("ha <= hb").select("ha", "hb").distinct()
+    side = lambda k: blocks.select(F.col("home").alias(f"h{k}"), F.col("block").alias(f"b{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    units = met.join(side("a"), "ha").join(side("b"), "hb").where("(ha != hb or ba <= bb) and not (xa = ya and xb = yb and xa = xb)").select("ba", "bb").distinct()
+    rows_of = units.withColumn("block", F.explode(F.array_distinct(F.array("ba", "bb")))).join(nodes.select("block", "node", "component"), "block")
+    asked = nodes.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.join(bounded_broadcast(asked), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+    filled = rows_of.join(texts, "node").repartition("ba", "bb").sortWithinPartitions("ba", "bb").select("ba", "bb", "block", "node", "component", "text")
+    links = links.union(stash(filled.mapInArrow(lambda it: _unit_links(it, width, percent), "a long, b long").distinct(), "more-links"))
     # Rows that share a doc_id are one document: its classes hang together.
     named = rows.where("n > 0 and doc_id is not null").join(reps.select("n", "p", "q", "rep"), ["n", "p", "q"])
     links = links.union(named.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))

@@ -37,7 +37,7 @@ _WORD = "|".join(DIGITS)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOTTED = rf"(?:\s+dot\s+|\s?{_OPEN}\s?(?:dot|\.)\s?{_CLOSE}\s?)"
 _RULES = re.compile(
-    rf"(?P<at>\s?{_OPEN}\s?(?:at|@)\s?{_CLOSE}\s?|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]{{1,63}}{_DOTTED}))"
+    rf"(?P<at>\s?{_OPEN}\s?(?:at|@)\s?{_CLOSE}\s?|(?<=[A-Za-z0-9])\s+at\s+(?!(?:the|an?|this|that)\b)(?=[A-Za-z0-9-]{{1,63}}{_DOTTED}))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOTTED}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus\s+(?=[0-9(]|(?:{_WORD})\b))"
     rf"|(?P<digit>\b(?:{_WORD})\b)(?:[ -](?=(?:{_WORD})\b))?", re.IGNORECASE)

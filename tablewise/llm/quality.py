@@ -54,8 +54,9 @@ def _parts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     begin[1:] &= space[:-1]
     begin[bounds[:-1][np.diff(bounds) > 0]] |= ~space[bounds[:-1][np.diff(bounds) > 0]]
     starts = np.flatnonzero(begin)
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(starts, append=len(data))) if len(starts) == 0 or starts[0] == 0 else \
-        np.arange(len(data)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(starts, append=len(data)))])
+    mark = np.zeros(len(data), np.int64)
+    mark[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(mark)
     weight = mix(np.minimum(place, 15).astype(U) * U(64) + collapsed)
     shape = np.add.reduceat(np.where(space | (collapsed == 0), U(0), weight), starts) if len(starts) else np.zeros(0, U)
     before = np.concatenate([np.zeros(min(1, len(shape)), U), shape[:-1]])
