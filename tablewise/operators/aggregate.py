@@ -105,14 +105,16 @@ def _groups(df: DataFrame, spec: AggSpec) -> DataFrame:
     spread = medians and estimated_bytes(rows) > IN_MEMORY_BYTES
     direct = [m for m in metrics if not (spread and m[1] == "median")]
     aggregates = [metric_column(c, a).alias(metric_name(c, a)) for c, a in direct]
-    if not spec.by:
+    if not spec.by and not spread:
         out = rows.agg(*aggregates, F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 0).drop("__n")
         return out
-    out = rows.groupBy(*spec.by).agg(*aggregates) if aggregates else rows.select(*spec.by).distinct()
+    by = spec.by or ("__all",)  # a constant key lets the global median take the same way as the grouped one
+    rows = rows if spec.by else rows.withColumn("__all", F.lit(0))
+    out = rows.groupBy(*by).agg(*aggregates) if aggregates else rows.select(*by).distinct()
     if spread:
         for col, agg in medians:
             clean = rows.withColumn(col, numeric(F.col(col)))
-            out = out.join(quantiles(clean, col, {metric_name(col, agg): 0.5}, spec.by, "ranges"), list(spec.by), "left")
+            out = out.join(quantiles(clean, col, {metric_name(col, agg): 0.5}, by, "ranges"), list(by), "left")
         out = out.select(*spec.by, *[metric_name(c, a) for c, a in metrics])
     return out
 

@@ -44,8 +44,9 @@ def join_tables(a: DataFrame, b: DataFrame, col_a: str, col_b: str, how: str = "
     hot = hot_keys(a, _key(a, col_a, both), salt_share) if salt_share else []
     if hot:
         is_hot = lambda c: F.coalesce(c.isin(*hot), F.lit(False))
-        # The salt is a hash of the row, so a recomputed task salts the same way.
-        left = left.withColumn("__salt", F.when(is_hot(F.col("__ka")), F.pmod(F.xxhash64(*a.columns), F.lit(salts))).otherwise(0))
+        # The salt is a hash of the row and its place, so equal rows spread and a recomputed task salts the same way.
+        place = F.xxhash64(*a.columns, F.monotonically_increasing_id())
+        left = left.withColumn("__salt", F.when(is_hot(F.col("__ka")), F.pmod(place, F.lit(salts))).otherwise(0))
         copies = F.when(is_hot(F.col("__kb")), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         right = right.withColumn("__salt_b", F.explode(copies))
         on = on & (F.col("__salt") == F.col("__salt_b"))

@@ -151,6 +151,6 @@ def spearman(df: DataFrame, cols: list[str], ranges: int | None = None) -> DataF
 
 
 def correlation(df: DataFrame, cols: list[str], method: str = "pearson", top: int = 15) -> DataFrame:
-    """Strongest pairs first, with p-values; at most 14 columns enter."""
-    made = spearman(df, cols[:14]) if method == "spearman" else pearson(df, cols[:14])
+    """The strongest pairs of all columns, with p-values."""
+    made = spearman(df, cols) if method == "spearman" else pearson(df, cols)
     return made.withColumn("p", p_t(F.col("t"), F.col("n") - 2)).orderBy(F.abs("r").desc(), "column_a", "column_b").limit(top)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.meta import is_string
 from tablewise.operators.aggregate import AggSpec, _groups, metric_column, metric_name
@@ -79,7 +80,9 @@ def chart_series(df: DataFrame, x: str, color: str, measure: str | None = None,
     leaders = lambda c, k: [row[0] for row in groups.groupBy(c).agg(F.sum("value").alias("w")).orderBy(F.col("w").desc(), F.col(c)).limit(k).collect()]
     colors = leaders(color, 9)
     keep = colors if len(colors) <= 8 else colors[:7]
-    rows = groups if top_x is None else groups.where(F.col(x).isin(*leaders(x, top_x)))
+    # Only categories are cut to the leading levels; dates and numbers keep every value.
+    ordered = not isinstance(df.schema[x].dataType, T.StringType)
+    rows = groups if top_x is None or ordered else groups.where(F.col(x).isin(*leaders(x, top_x)))
     known = F.col(color).isin(*keep)
     names = [str(c) for c in keep]
     if agg in ("sum", "count") and len(colors) > 8:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections import Counter
 from xml.etree import ElementTree
 
@@ -11,9 +13,8 @@ from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------
 MAX_STRUCT_FIELDS = 30
-MAX_COLUMNS = 200
-MAX_TABLES = 10
-NESTED_TEXT = 200
+MAX_COLUMNS: int | None = None  # set to cut wide results
+MAX_TABLES: int | None = None
 # ----------------------------------------------------------------------------
 
 
@@ -22,7 +23,7 @@ def _flat(c: Column, kind: T.DataType, name: str) -> list[Column]:
         return [x for f in kind.fields for x in _flat(c[f.name], f.dataType, f"{name}.{f.name}")]
     if isinstance(kind, T.ArrayType):
         if isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
-            return [F.substring(F.to_json(c), 1, NESTED_TEXT).alias(name)]
+            return [F.to_json(c).alias(name)]
         return [F.array_join(c.cast("array<string>"), ", ", "").alias(name)]
     if isinstance(kind, (T.StructType, T.MapType)):
         return [F.to_json(c).alias(name)]
@@ -39,7 +40,8 @@ def flatten_json_strings(df: DataFrame, col: str, schema: str | None = None, kee
     """A column of JSON text as dotted columns; without a schema it is read off the data by a distributed pass."""
     if schema is None:
         found = df.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(col))).alias("s")).first()["s"]
-        schema = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+        # Only whole type words change; keys may hold the same letters.
+        schema = re.sub(r"(^|<|: )OBJECT<", r"\1STRUCT<", re.sub(r"(^|<|: )VOID(?=[,>]|$)", r"\1STRING", found))
     parsed = df.select(*keep, F.from_json(F.col(col), schema).alias(col))
     return flatten(parsed)
 
@@ -113,5 +115,5 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
     for f in raw.schema.fields:
         c = F.col(f"`{f.name}`")
         nested = isinstance(f.dataType, (T.StructType, T.ArrayType))
-        made.append((F.substring(F.trim(_leaf_text(c, f.dataType)), 1, NESTED_TEXT) if nested else F.trim(c.cast("string"))).alias(f.name))
+        made.append((F.trim(_leaf_text(c, f.dataType)) if nested else F.trim(c.cast("string"))).alias(f.name))
     return raw.select(*made)
