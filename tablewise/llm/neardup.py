@@ -25,7 +25,7 @@ from tablewise.llm.tokens import U, mix, shingle_sets
 
 HALF, SIDES = 2, 10
 N_HASH = 2 * HALF * SIDES
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 300_000  # of the blocks that are compared with each other
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000  # of the blocks that are compared with each other
 COLUMNS = 16_384  # shingles of one matrix product
 
 
@@ -183,7 +183,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     placed = stash(placed.join(open_, "key"), "open")
     # A node's home is the smallest node it shares an open bucket with; homes are cut into blocks of bounded rows and shingles.
-    nodes = placed.groupBy("node").agg(F.min("lo").alias("home"), F.first("component").alias("component")).join(reps.select(F.col("rep").alias("node"), "n"), "node")
+    # Two hops more, and a dense group has one home.
+    home = placed.groupBy("node").agg(F.min("lo").alias("home"))
+    for _ in range(2):
+        nearest = placed.select("key", "node").join(home, "node").groupBy("key").agg(F.min("home").alias("home"))
+        home = placed.select("key", "node").join(nearest, "key").groupBy("node").agg(F.min("home").alias("home"))
+    nodes = placed.groupBy("node").agg(F.first("component").alias("component")).join(home, "node").join(reps.select(F.col("rep").alias("node"), "n"), "node")
     homes = nodes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
     nodes = stash(nodes.join(homes, "home").withColumn("block", block), "blocks")
