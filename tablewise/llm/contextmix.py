@@ -151,16 +151,16 @@ def _decisions(gram: np.ndarray, n: np.ndarray, low: dict[int, _Low], own: bool)
             full_key, full_n = low[order].key[wanted], low[order].n[wanted]
         else:
             full_key, full_n = key, np.bincount(inverse, n)
-        tables.append((full_key, np.concatenate([[0.0], np.cumsum(full_n)]), gram & mask))
+        tables.append((full_key, np.concatenate([[0.0], np.cumsum(full_n)]), key, inverse))
     for bit in range(8):
         shift = U(8 - bit)
         one = (symbol >> (shift - U(1))) & U(1)
         inputs, known = [], np.zeros(len(gram), np.int64)
-        for full_key, run, key in tables:
-            node = (key >> shift) << shift  # keys of the node are a range of the sorted ones
+        for full_key, run, key, inverse in tables:
+            node = (key >> shift) << shift  # keys of the node are a range of the sorted ones; equal contexts are looked up once
             half = node | (U(1) << (shift - U(1)))
-            a, b, c = (np.searchsorted(full_key, x) for x in (node, half, node + (U(1) << shift)))
-            n0, n1 = run[b] - run[a], run[c] - run[b]
+            a, b, c = (run[np.searchsorted(full_key, x)] for x in (node, half, node + (U(1) << shift)))
+            n0, n1 = (b - a)[inverse], (c - b)[inverse]
             if not own:
                 n0, n1 = np.maximum(n0 - (one == 0), 0), np.maximum(n1 - (one == 1), 0)
             known += n0 + n1 >= 2
