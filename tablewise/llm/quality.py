@@ -171,7 +171,9 @@ def score_quality(docs: DataFrame, fit_rows: int = FIT_ROWS, least: float = 0.5)
     rows = sample.select("text").mapInArrow(features, "index array<int>, value array<float>, label double").toPandas()
     if len(rows):
         cut = np.concatenate([[0], np.cumsum([len(x) for x in rows["index"]])])
-        w = _fit_linear(np.concatenate(rows["index"].to_list()).astype(np.int64), np.concatenate(rows["value"].to_list()), cut, rows["label"].to_numpy())
+        index, value, label = np.concatenate(rows["index"].to_list()), np.concatenate(rows["value"].to_list()), rows["label"].to_numpy()
+        rows = None  # the arrays are enough; the frame of lists is several times their size
+        w = _fit_linear(index, value, cut, label)
     else:
         w = np.zeros(2 * BUCKETS + 1)
     w = w.astype(np.float32)
