@@ -1,5 +1,5 @@
 """A training corpus from raw documents, in five stages. Each works on all rows its predecessor kept; all but the last return the
-columns of documents."""
+columns of documents as they are, also those that bear the name of a column an operator makes; the last replaces such columns."""
 
 from __future__ import annotations
 
@@ -11,13 +11,14 @@ from tablewise.llm.mixing import mix_sources
 from tablewise.llm.neardup import near_duplicates
 from tablewise.llm.pii import find_pii
 from tablewise.llm.quality import score_quality
-from tablewise.llm.shared import stash, word_count
+from tablewise.llm.shared import aside, stash, word_count
 from tablewise.session import configure
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality scorer rejects go."""
-    return score_quality(docs).where("keep").select(docs.columns)
+    docs, back = aside(docs, {"quality_vote", "quality", "keep"})
+    return score_quality(docs).where("keep").select(back)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +30,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("leaks") == 0).select(docs.columns)
+    docs, back = aside(docs, {"leaks"})
+    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("leaks") == 0).select(back)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to placeholders, n_chars follows the new text."""
+    docs, back = aside(docs, {"pii_base", "pii_added", "pii_redacted"})
     found = find_pii(docs).withColumn("text", F.col("pii_redacted"))
     if "n_chars" in docs.columns:
         changed = F.size("pii_base") + F.size("pii_added") > 0
         found = found.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(docs.columns)
+    return found.select(back)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

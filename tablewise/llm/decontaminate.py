@@ -172,7 +172,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text, take no part; items of equal text are each reported. Rows are independent, so nothing is shuffled; repeated rows repeat
     their result. An empty benchmark gives empty arrays."""
     prepare(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name != "leaks"]
+    kept = [f for f in docs.schema.fields if f.name.lower() != "leaks"]
     out = docs.select([F.col(f"`{f.name}`") for f in kept]).withColumn("leaks", F.expr(f"cast(array() as {_LEAK_SQL})"))
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.shared import bounded_broadcast, stash
+from tablewise.llm.shared import aside, bounded_broadcast, stash
 
 WEIGHTS = (5, 2, 1)
 MAX_STEPS, TOLERANCE = 80, 1e-10
 CELL = 4096  # documents of a cell that are ranked together; larger cells are split by hash
 SOURCE = ["_none", "_src"]
+MADE = ["size", "source_size", "target", "copies"]
 
 
 def _exact(c: Column) -> Column:
@@ -71,7 +72,7 @@ def mix_sources(docs: DataFrame, size: Column, share: float = 1.5, repeats: int
     row (null counts as 0). Documents of size 0 are taken once. Repeated rows are documents of their own; which of several equal ones
     is copied is decided by a hash of doc_id, and between rows of one doc_id it does not matter. A null source is a source, last in
     order. An empty table gives an empty result. Reruns agree."""
-    docs = docs.drop("source_size", "target", "copies").withColumn("size", F.coalesce(size, F.lit(0)).cast("long"))
+    docs, back = aside(docs.withColumn("size", F.coalesce(size, F.lit(0)).cast("long")).drop(*MADE[1:]), {*SOURCE, "_part", "_parts", "base", "due"})
     docs = docs.withColumn("_none", F.col("source").isNull()).withColumn("_src", F.coalesce("source", F.lit("")))
     cells = stash(docs.groupBy(*SOURCE, "size").agg(F.count(F.lit(1)).alias("n")), "cells")
     dual = stash(solve(cells, stash(targets(cells, share, float(repeats), weights), "targets"), float(repeats)), "tilts")
@@ -106,4 +107,4 @@ def mix_sources(docs: DataFrame, size: Column, share: float = 1.5, repeats: int
     shared = shared.select(*key, "_part", "base", due.alias("due"), "source_size", "target")
     order = Window.partitionBy(*key, "_part").orderBy(F.xxhash64(F.col("doc_id"), F.lit("copies")), "doc_id")
     out = docs.join(shared, [*key, "_part"]).withColumn("copies", (F.col("base") + (F.row_number().over(order) <= F.col("due")).cast("long")).cast("long"))
-    return out.drop(*SOURCE, "_part", "base", "due")
+    return out.select(*back, *MADE[1:])

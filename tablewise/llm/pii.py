@@ -161,7 +161,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     pass through; columns that already have one of the three names are replaced."""
     prepare(docs.sparkSession)
     made = ["pii_base", "pii_added", "pii_redacted"]
-    kept = [f for f in docs.schema.fields if f.name not in made]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in made]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"pii_base {_SPAN_SQL}", f"pii_added {_SPAN_SQL}", "pii_redacted string"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

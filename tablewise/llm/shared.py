@@ -7,7 +7,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: long texts fill memory before short ones fill a batch.
@@ -51,6 +51,13 @@ def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def aside(df: DataFrame, names: set[str]) -> tuple[DataFrame, list[Column]]:
+    """df with the columns whose names an operator needs for itself renamed, and the columns that give df back as it was."""
+    moved = {c: f"_aside_{i}" for i, c in enumerate(df.columns) if c.lower() in names}
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    return df.withColumnsRenamed(moved), [F.col(quoted(moved.get(c, c))).alias(c) for c in df.columns]
+
+
 def texts_of(column) -> pa.Array:
     """A batch's text column as one array without nulls; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.llm.components import components
-from tablewise.llm.shared import bounded_broadcast, stash
+from tablewise.llm.shared import aside, bounded_broadcast, stash
 
 #: A link element with rel=canonical or a meta refresh, and the address in it.
 _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
@@ -66,7 +66,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     (allow or block), host, path. redirects: source and target urls, optional. A url that a rule fits has that rule's verdict. Any other
     takes it from its component of redirect and canonical links: allow if a rule explicitly allows one of its addresses, else block
     if one is blocked, else allow. A null url, or one without ``://``, has empty host and path, no aliases, and is allowed."""
-    pages = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    pages, back = aside(pages.drop("host", "path", "rule", "verdict"), {"action", "inherited", "_node"})
+    pages = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     links = page_links(pages) if "html" in pages.columns else None
     if redirects is not None:
         told = redirects.select(address_of(F.col("source")).alias("source"), address_of(F.col("target")).alias("target"))
@@ -78,7 +79,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
             alias = components(links, "source", "target")
     ruled = pages.join(rule_matches(pages, rules), ["host", "path"], "left")
     if alias is None:
-        return ruled.withColumn("verdict", F.coalesce("action", F.lit("allow"))).drop("action")
+        return ruled.select(*back, "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"))
     # An address that only links name takes part in its component with its own rule.
     as_url = F.concat(F.lit("x://"), F.col("node"))
     nodes = alias.withColumn("host", host_of(as_url)).withColumn("path", path_of(as_url))
@@ -86,4 +87,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     group = judged.groupBy("component").agg(F.min("action").alias("inherited"))  # allow sorts before block
     inherited = alias.join(group, "component").select(F.col("node").alias("_node"), "inherited")
     return (ruled.withColumn("_node", address_of(F.col("url"))).join(inherited, "_node", "left")
-            .withColumn("verdict", F.coalesce("action", "inherited", F.lit("allow"))).drop("_node", "inherited", "action"))
+            .select(*back, "host", "path", "rule", F.coalesce("action", "inherited", F.lit("allow")).alias("verdict")))

@@ -291,3 +291,23 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark):
     five = p.mixing_stage(spark, four, sf).collect()
     assert all(r.copies in (1, 2) for r in five) and len(p.STAGES) == 5
     one.unpersist(), two.unpersist(), three.unpersist(), four.unpersist()
+
+
+def test_clashing_columns_pass_through(spark):
+    """Columns with the names that operators use inside, or make, survive; stages give back the documents' own columns."""
+    import corpus_pipeline as p
+
+    mine = ["base", "due", "_part", "_none", "action", "inherited", "_node", "Leaks", "PII_Base", "keep", "quality", "key", "n"]
+    rows = [(i, f"A plain sentence number {i} about the river and its bridges. It goes on for a while.", ["a", None][i % 2]) for i in range(30)] + [(None, None, None), (31, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(f"mine {c}").alias(c) for c in mine])
+    kept = [f"mine {c}" for c in mine]
+    mixed = mix_sources(docs, word_count(F.col("text"))).collect()
+    assert len(mixed) == len(rows) and all([r[c] for c in mine] == kept for r in mixed)
+    rules = spark.createDataFrame([("block", "net", "/")], "action string, host string, path string")
+    pages = docs.withColumn("url", F.lit("http://a.net/x")).withColumn("html", F.lit('<link rel="canonical" href="http://b.org/">'))
+    for df in (pages, pages.drop("html")):
+        assert all([r[c] for c in mine] == kept and r.verdict == "block" for r in judge_urls(df, rules).collect())
+    for _, stage in p.STAGES[:-1]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns and found.count() > 0 and all([r[c] for c in mine] == kept for r in found.collect())
+        assert stage(spark, docs.limit(0), SF).count() == 0
