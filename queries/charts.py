@@ -13,6 +13,11 @@ from tablewise.operators.aggregate import AggSpec, aggregate
     with ta as (select p_brand from part group by 1 order by count(*) desc, 1 limit 12), tb as (select p_type from part group by 1 order by count(*) desc, 1 limit 12)
     select p_brand, p_type, count(*) as n from part where p_brand in (from ta) and p_type in (from tb) group by 1, 2""")
 def ag12(spark, sf):
+    return pivots.crosstab_cells(load(spark, sf, "part"), "p_brand", "p_type", 12)
+
+
+@query("ag12_crosstab_all_levels", "select p_brand, p_type, count(*) as n from part where p_brand is not null and p_type is not null group by 1, 2")
+def ag12c(spark, sf):
     return pivots.crosstab_cells(load(spark, sf, "part"), "p_brand", "p_type")
 
 

@@ -35,6 +35,15 @@ def ml01c(spark, sf):
     return rounded(models.coefficient_frame(spark, model).select("term", "coef"), 3)
 
 
+@query("ml01_regression_many_levels", f"""
+    with t as (select p_brand, row_number() over (order by count(*) desc, p_brand) as rk from part group by 1),
+    g as (select case when rk <= 12 then p_brand else '(other)' end as g, min(rk) as rk, avg(p_retailprice) as m from part join t using (p_brand) group by 1), b as (select m as base from g where rk = 1)
+    select case when rk = 1 then '(Intercept)' else 'p_brand = ' || g end as term, {r('case when rk = 1 then m else m - base end', 3)} as coef from g, b""")
+def ml01e(spark, sf):
+    model = models.fit_linear(load(spark, sf, "part"), "p_retailprice", ["p_brand"])
+    return rounded(models.coefficient_frame(spark, model).select("term", "coef"), 3)
+
+
 @query("ml01_regression_full")
 def ml01d(spark, sf):
     model = models.fit_linear(load(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag"])

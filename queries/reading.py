@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.base import dirty, dirty_sql, load, query
-from tablewise.sources.delimited import drop_blank, drop_repeated_headers, guarded
+from tablewise.session import scratch
+from tablewise.sources.delimited import drop_blank, drop_repeated_headers, guarded, read_delimited, write_csv_safe, write_json
 from tablewise.sources.markup import extract_html_tables, extract_markdown_tables, html_to_text
-from tablewise.sources.nested import flatten, flatten_json_strings
-from tablewise.sources.store import detect_delimited_text, flag_binary_text
+from tablewise.sources.nested import flatten, flatten_json_strings, read_json
+from tablewise.sources.store import detect_delimited_text, flag_binary_text, load_many
 
 EXPORT = {
     "key_text": "case when o_orderkey % 29 = 0 then 'key_text' when o_orderkey % 31 = 0 then 'N/A' else cast(o_orderkey as string) end",
@@ -17,6 +18,25 @@ EXPORT = {
 }
 
 
+NOTED = ("o_orderkey as order_key", "concat(o_orderpriority, ', ', o_orderstatus, chr(10), 'second \"line\"') as note", "o_orderstatus as status")
+
+
+@query("io01_read_delimited", f"select cast(order_key as varchar) as order_key, note, status from (select {', '.join(NOTED)} from orders)")
+def io01(spark, sf):
+    path = f"{scratch(spark)}/orders.csv"
+    write_csv_safe(load(spark, sf, "orders").selectExpr(*NOTED), path)
+    return read_delimited(spark, path)
+
+
+@query("io01_ragged_rows", """
+    select cast(o_orderkey as varchar) as "k", o_orderstatus as "s", case when o_orderkey % 97 = 0 then cast(o_custkey as varchar) end as "column_3" from orders""")
+def io01b(spark, sf):
+    path = f"{scratch(spark)}/ragged.txt"
+    lines = load(spark, sf, "orders").selectExpr("concat(o_orderkey, ';', o_orderstatus, case when o_orderkey % 97 = 0 then concat(';', o_custkey) else '' end) as value")
+    lines.withColumnRenamed("value", "k;s").write.csv(path, header=True, sep="\u0001", quote="\u0000")
+    return read_delimited(spark, path)
+
+
 @query("io03_drop_repeated_headers", """
     select cast(o_orderkey as varchar) as key_text, o_orderstatus as status_text from orders
     where o_orderkey % 29 <> 0 and o_orderkey % 31 <> 0""")
@@ -30,6 +50,13 @@ def io05(spark, sf):
     return flatten_json_strings(load(spark, sf, "events"), "props", keep=["event_id"]).withColumnRenamed("props.k", "props_k")
 
 
+@query("io05_read_json_content", "select o_orderkey as k, o_orderstatus as s from orders")
+def io05b(spark, sf):
+    path = f"{scratch(spark)}/orders.json"
+    load(spark, sf, "orders").selectExpr("to_json(struct(o_orderkey as k, o_orderstatus as s)) as value").write.text(path)
+    return read_json(spark, path)["rows"]
+
+
 @query("io06_flatten", """
     select o_orderkey, o_orderstatus as detail_status, o_totalprice as detail_money_price,
            concat(o_orderstatus, ', ', o_orderpriority) as tags,
@@ -117,3 +144,22 @@ def io17(spark, sf):
     made = load(spark, sf, "orders").selectExpr(
         "-1 - o_orderkey as doc_id", "case when o_orderkey % 3 = 0 then concat(chr(1), chr(2), o_orderpriority, decode(unhex('EFBFBD'), 'UTF-8')) else o_orderpriority end as text")
     return flag_binary_text(docs.unionByName(made)).withColumn("bad_share", F.round("bad_share", 6))
+
+
+@query("io15_write_json", "select o_orderkey, o_orderstatus, case when o_orderkey % 17 = 0 then null else o_totalprice end as price from orders")
+def io15(spark, sf):
+    path = f"{scratch(spark)}/orders.jsonl"
+    write_json(load(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus", "case when o_orderkey % 17 = 0 then null else o_totalprice end as price"), path)
+    return read_json(spark, path)["rows"].select("o_orderkey", "o_orderstatus", "price")
+
+
+@query("io16_load_many", """
+    select 'events.csv' as name, count(*) as n from events union all select 'events.jsonl', count(*) from events union all select 'events.zip', 0""")
+def io16(spark, sf):
+    base = scratch(spark)
+    events = load(spark, sf, "events").select("event_id", "event_type")
+    write_csv_safe(events, f"{base}/events.csv")
+    write_json(events, f"{base}/events.jsonl")
+    tables, errors = load_many(spark, [f"{base}/events.csv", f"{base}/events.jsonl", f"{base}/events.zip"])
+    counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in tables.items()]
+    return counts[0].union(counts[1]).union(errors.select("name", F.lit(0).cast("long")))

@@ -152,12 +152,23 @@ CHI = """with la as (select p_brand from part group by 1 order by count(*) desc,
     e as (select a, b, coalesce(n, 0) as n, ra * rb * 1.0 / (select sum(n) from o) as expected from ra cross join rb left join o using (a, b))"""
 
 
-@query("st12_chi_square", CHI + f"""
+CHI_ALL = """with o as (select p_brand as a, cast(p_size as varchar) as b, count(*) as n from part where p_brand is not null and p_size is not null group by 1, 2),
+    ra as (select a, sum(n) as ra from o group by 1), rb as (select b, sum(n) as rb from o group by 1),
+    e as (select a, b, coalesce(n, 0) as n, ra * rb * 1.0 / (select sum(n) from o) as expected from ra cross join rb left join o using (a, b))"""
+CHI_ROW = f"""
     select cast(sum(n) as bigint) as n, {r('sum((n - expected) ** 2 / expected)')} as chi2, (count(distinct a) - 1) * (count(distinct b) - 1) as df,
            {r('sqrt(sum((n - expected) ** 2 / expected) / (sum(n) * greatest(1, least(count(distinct a) - 1, count(distinct b) - 1))))', 6)} as cramers_v,
-           {r('avg(case when expected < 5 then 1.0 else 0.0 end)')} as low_expected from e""")
+           {r('avg(case when expected < 5 then 1.0 else 0.0 end)')} as low_expected from e"""
+
+
+@query("st12_chi_square", CHI + CHI_ROW)
 def st12(spark, sf):
-    return rounded(h.chi_square(load(spark, sf, "part"), "p_brand", "p_type"), 4, cramers_v=6)
+    return rounded(h.chi_square(load(spark, sf, "part"), "p_brand", "p_type", 12), 4, cramers_v=6)
+
+
+@query("st12_chi_square_all_levels", CHI_ALL + CHI_ROW)
+def st12c(spark, sf):
+    return rounded(h.chi_square(load(spark, sf, "part"), "p_brand", "p_size"), 4, cramers_v=6)
 
 
 @query("st12_residuals", CHI + f" select a, b, n, {r('expected')} as expected, {r('(n - expected) / sqrt(expected)')} as residual from e")

@@ -94,17 +94,25 @@ def tx07(spark, sf):
     return text.headings(docs(spark, sf))
 
 
-@query("tx08_key_sentences", rf"""
+KEY_SENTENCES = rf"""
     with pk as (select doc_id, max(n) as peak from {WORD_COUNTS} group by 1),
     s as (select doc_id, unnest(range(len(s))) as position, unnest(s) as sentence from {DOCS}),
-    t as (select doc_id, position, regexp_extract_all(lower(sentence), '[\p{{L}}]+') as w from s where length(sentence) < 400),
+    t as (select doc_id, position, regexp_extract_all(lower(sentence), '[\p{{L}}]+') as w from s where {{kept}}),
     x as (select doc_id, position, unnest(w) as word from t),
     h as (select x.doc_id, position, sum(n) as hits from x join {WORD_COUNTS} c on c.doc_id = x.doc_id and c.word = x.word group by 1, 2),
     v as (select t.doc_id, t.position, coalesce(hits, 0) / greatest(1, coalesce(peak, 1)) / sqrt(greatest(1, len(w))) as score
           from t left join h using (doc_id, position) left join pk on pk.doc_id = t.doc_id)
     select doc_id, cast(position as integer) as position, {r('score')} as score, cast(rk as integer) as rank
-    from (select *, row_number() over (partition by doc_id order by score desc, position) as rk from v) where rk <= 5""")
+    from (select *, row_number() over (partition by doc_id order by score desc, position) as rk from v) where rk <= 5"""
+
+
+@query("tx08_key_sentences", KEY_SENTENCES.replace("{kept}", "length(sentence) < 400"))
 def tx08(spark, sf):
+    return rounded(text.key_sentences(docs(spark, sf), 5, max_chars=400).select("doc_id", "position", "score", "rank"))
+
+
+@query("tx08_key_sentences_any_length", KEY_SENTENCES.replace("{kept}", "true"))
+def tx08b(spark, sf):
     return rounded(text.key_sentences(docs(spark, sf), 5).select("doc_id", "position", "score", "rank"))
 
 

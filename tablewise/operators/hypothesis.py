@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.tails import normal_cdf, p_chi2, p_f, p_normal, p_t, t_critical
 from tablewise.operators.ordered import quantiles, value_ranks
-from tablewise.operators.pivots import among, leading_levels
+from tablewise.operators.pivots import among, crosstab_cells, leading_levels
 from tablewise.operators.scalars import numeric
 
 
@@ -139,15 +139,29 @@ def chi_square_cells(df: DataFrame, a: str, b: str, k: int = 12) -> DataFrame:
     return cells.withColumn("residual", (F.col("n") - F.col("expected")) / F.sqrt("expected"))
 
 
-def chi_square(df: DataFrame, a: str, b: str, k: int = 12) -> DataFrame:
-    full = chi_square_cells(df, a, b, k)
-    row = full.agg(F.sum("n").alias("n"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"),
-                   F.sum(F.col("residual") * F.col("residual")).alias("chi2"), F.avg((F.col("expected") < 5).cast("int")).alias("low_expected"))
+def chi_square(df: DataFrame, a: str, b: str, k: int | None = None) -> DataFrame:
+    """Chi-square of all levels, or of the top ``k`` of either column. Only cells that hold rows are formed: the empty ones add up to
+    what the expected counts of the others leave of n, and cells of low expectation are counted from the two margins."""
+    cells = crosstab_cells(df, a, b, k).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), "n")
+    rows, cols = (cells.groupBy(c).agg(F.sum("n").alias(f"n_{c}")) for c in "ab")
+    total = cells.agg(F.sum("n").alias("n")).scalar()
+    expected = F.col("n_a") * F.col("n_b") / total
+    held = cells.join(rows, "a").join(cols, "b").agg(
+        F.sum((F.col("n") - expected) * (F.col("n") - expected) / expected).alias("held"), F.sum(expected).alias("expected"), F.sum("n").alias("n"))
+    # A cell is low if n_a * n_b < 5 n. Margins of one size go together: n rows have at most sqrt(2 n) different sizes.
+    bound = F.ceil(F.lit(5) * total / F.col("n_a"))
+    points = rows.groupBy("n_a").agg(F.count(F.lit(1)).alias("r")).select(bound.alias("at"), "r", F.lit(0).cast("long").alias("c")).union(
+        cols.groupBy("n_b").agg(F.count(F.lit(1)).alias("c")).select(F.col("n_b").alias("at"), F.lit(0).cast("long"), "c"))
+    under = Window.orderBy("at", F.col("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low = points.withColumn("under", F.sum("c").over(under)).agg(F.sum(F.col("r") * F.col("under")).alias("low"), F.sum("r").alias("r"), F.sum("c").alias("c"))
+    fact = lambda name: low.select(name).scalar()
+    row = held.select("n", (F.col("held") + F.greatest(F.lit(0.0), F.col("n") - F.col("expected"))).alias("chi2"), fact("r").alias("r"), fact("c").alias("c"),
+                                                    (fact("low") / (fact("r") * fact("c"))).alias("low_expected"))
     span = F.greatest(F.lit(1), F.least(F.col("r") - 1, F.col("c") - 1))
     return row.select("n", "chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), F.sqrt(F.col("chi2") / (F.col("n") * span)).alias("cramers_v"), "low_expected")
 
 
-def chi_square_test(df: DataFrame, a: str, b: str, k: int = 12) -> DataFrame:
+def chi_square_test(df: DataFrame, a: str, b: str, k: int | None = None) -> DataFrame:
     return chi_square(df, a, b, k).withColumn("p", p_chi2(F.col("chi2"), F.col("df")))
 
 

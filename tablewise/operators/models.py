@@ -14,20 +14,24 @@ from tablewise.operators.moments import union_all
 from tablewise.operators.ordered import value_ranks
 from tablewise.operators.scalars import numeric
 
-MAX_LEVELS = 12
+MAX_LEVELS = 12  # indicators of one column; rarer levels share the indicator OTHER
+OTHER = "(other)"
 SEED = 7
 PASS_WIDTH = 120
 
 
 @dataclass(frozen=True)
 class Term:
-    """One design column: a numeric column, or the indicator of one level."""
+    """One design column: a numeric column, the indicator of one level, or of all levels outside ``known``."""
 
     name: str
     column: str
     level: str | None = None
+    known: tuple = ()
 
     def expr(self) -> Column:
+        if self.known:
+            return (~F.col(self.column).isin(*self.known)).cast("double")
         if self.level is None:
             return numeric(F.col(self.column))
         return (F.col(self.column) == F.lit(self.level)).cast("double")
@@ -70,10 +74,21 @@ def top_predictors(df: DataFrame, target: str, candidates: list[str], k: int = 4
     return df.agg(packed.alias("t")).select(F.inline("t")).where(F.col("r").isNotNull()).orderBy(F.abs("r").desc(), "column").limit(k)
 
 
-def _levels(df: DataFrame, col: str, order=None) -> list:
+def _levels(df: DataFrame, col: str, order=None) -> tuple[list, bool]:
+    """The most frequent levels, in the given order where there is one, and whether there are more."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    found = [r[0] for r in counts.orderBy(F.col("n").desc(), F.col(col)).limit(MAX_LEVELS).collect()]
-    return [v for v in order if v in found] if order else found
+    found = [r[0] for r in counts.orderBy(F.col("n").desc(), F.col(col)).limit(MAX_LEVELS + 1).collect()]
+    kept = found[:MAX_LEVELS]
+    place = {v: i for i, v in enumerate(order or [])}
+    return sorted(kept, key=lambda v: place.get(v, len(place))), len(found) > len(kept)
+
+
+def _of_levels(df: DataFrame, terms, levels: dict[str, tuple]) -> DataFrame:
+    """Rows whose levels the terms know: all but nulls where a column has an indicator for other levels."""
+    open_ = {t.column for t in terms if t.known}
+    for p, found in levels.items():
+        df = df.where(F.col(p).isNotNull() if p in open_ else F.col(p).isin(*found))
+    return df
 
 
 def fit_linear(df: DataFrame, target: str, predictors: list[str], orders: dict | None = None) -> LinearModel:
@@ -86,11 +101,12 @@ def fit_linear(df: DataFrame, target: str, predictors: list[str], orders: dict |
         if is_numeric(df, p):
             terms.append(Term(p, p))
         else:
-            levels[p] = tuple(_levels(df, p, (orders or {}).get(p)))
-            terms += [Term(f"{p} = {v}", p, v) for v in levels[p][1:]]
-    rows = df
-    for p, found in levels.items():
-        rows = rows.where(F.col(p).isin(*found))
+            found, more = _levels(df, p, (orders or {}).get(p))
+            levels[p] = tuple(found)
+            terms += [Term(f"{p} = {v}", p, v) for v in found[1:]]
+            if more:
+                terms.append(Term(f"{p} = {OTHER}", p, known=levels[p]))
+    rows = _of_levels(df, terms, levels)
     width = len(terms)
     xs = [f"x{i}" for i in range(width)]
     design = rows.select(numeric(F.col(target)).alias("y"), *[t.expr().alias(x) for t, x in zip(terms, xs)]).dropna()
@@ -143,9 +159,7 @@ def fit_frame(spark, model: LinearModel) -> DataFrame:
 
 def predict(model: LinearModel, df: DataFrame) -> DataFrame:
     """Fitted value and residual of every complete row, as one linear expression."""
-    rows = df
-    for p, found in model.levels.items():
-        rows = rows.where(F.col(p).isin(*found))
+    rows = _of_levels(df, model.terms, model.levels)
     fitted = F.lit(model.coef[0])
     for term, b in zip(model.terms, model.coef[1:]):
         fitted = fitted + F.lit(b) * term.expr()

@@ -31,8 +31,10 @@ def among(df: DataFrame, col: str, levels: list) -> Column:
     return (F.col(col) if is_string(df, col) else F.col(col).cast("string")).isin(*levels)
 
 
-def crosstab_cells(df: DataFrame, a: str, b: str, k: int = 12) -> DataFrame:
-    """Counts of the top ``k`` levels of both columns in long form."""
+def crosstab_cells(df: DataFrame, a: str, b: str, k: int | None = None) -> DataFrame:
+    """Counts of all pairs of levels in long form; with ``k`` only of the top ``k`` levels of either column."""
+    if k is None:
+        return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     levels = leading_levels(df, [a, b], k)
     rows = df.where(among(df, a, levels[a]) & among(df, b, levels[b]))
     return rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))

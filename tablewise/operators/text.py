@@ -27,7 +27,6 @@ EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
 WORDS_PER_MINUTE = 230
 FLESCH = (206.835, 1.015, 84.6)
 CONTEXT_CHARS = 50
-MAX_SENTENCE = 400
 # ----------------------------------------------------------------------------
 
 
@@ -153,12 +152,13 @@ def headings(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: in
     return out.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= limit).drop("__r")
 
 
-def key_sentences(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sentences richest in the document's frequent words."""
+def key_sentences(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str = "text", max_chars: int | None = None) -> DataFrame:
+    """Sentences richest in the document's frequent words; with ``max_chars`` only sentences shorter than that."""
     counts = word_counts(docs, doc, text)
     peak = counts.groupBy(doc).agg(F.max("n").alias("peak"))
     sentences = spread(docs.select(doc, text)).select(doc, F.posexplode(sentences_of(F.col(text))).alias("position", "sentence"))
-    sentences = sentences.where(F.length("sentence") < MAX_SENTENCE)
+    if max_chars is not None:
+        sentences = sentences.where(F.length("sentence") < max_chars)
     tokens = sentences.withColumn("w", F.regexp_extract_all(F.lower("sentence"), F.lit(LETTERS), F.lit(0))).withColumn("size", F.size("w"))
     # A sentence without words keeps one empty token, so no second pass over the texts is needed.
     used = tokens.select(doc, "position", "sentence", "size", F.explode_outer("w").alias("word"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name below the shared folder in spark.checkpoint.dir; below one of our own only on a local master, which is one machine."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    return f"{(shared or tempfile.mkdtemp(prefix='tablewise-scratch-')).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir; one of our own only on a local master, which is one machine."""
     context = df.sparkSession.sparkContext

@@ -102,19 +102,35 @@ def drop_blank(df: DataFrame) -> DataFrame:
     return rows.where(reduce(lambda a, b: a | b, some)) if some else rows
 
 
+def _all_fields(spark: SparkSession, path: str, sep: str) -> tuple[DataFrame, int]:
+    """All rows as columns c0, c1, ..., and how many there are: as many as the row with the most fields has."""
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    facts = spark.read.text(path).agg(F.max(F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))).alias("separators"),
+                                      F.max(F.regexp_count("value", F.lit('"')) % 2).alias("broken")).first()
+    width, broken = (facts["separators"] or 0) // len(sep) + 1, bool(facts["broken"])
+
+    def rows(n: int) -> DataFrame:
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
+        return spark.read.schema(schema).csv(path, sep=sep, header=False, multiLine=broken, quote='"', escape='"', mode="PERMISSIVE")
+
+    # A record over several lines can hold more fields than any of its lines: widen until the column after the last one is empty.
+    while broken and not rows(width + 1).where(F.col(f"c{width}").isNotNull()).isEmpty():
+        width *= 2
+    return rows(width), width
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, row_id: bool = False) -> DataFrame:
     """Delimited file as strings, header found among the first rows.
 
-    Only a bounded peek (50 lines) reaches the driver; the rows are read and filtered by executors.
+    The separator and the header come from a bounded peek (50 lines). The width and whether quoted fields hold line breaks come from
+    one pass over all lines, so no field is lost; without such breaks the read stays splittable.
     """
     head = [r["value"].lstrip("﻿") for r in spark.read.text(path).limit(PEEK_LINES).collect()]
     sep = sep or sniff_separator([line for line in head if line.strip()], path)
-    peek = [r for r in csv.reader(head, delimiter=sep) if any(v.strip() for v in r)]
+    peek = [r for r in csv.reader([line + "\n" for line in head], delimiter=sep) if any(v.strip() for v in r)]
     if not peek:
         raise ValueError(f"{path} is empty.")
-    width = max(len(r) for r in peek)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    raw = spark.read.schema(schema).csv(path, sep=sep, header=False, multiLine=False, quote='"', escape='"', mode="PERMISSIVE")
+    raw, width = _all_fields(spark, path, sep)
     raw = raw.withColumn("c0", F.regexp_replace("c0", "^﻿", "")).withColumn(ROW_ID, F.monotonically_increasing_id())
     cols = [f"c{i}" for i in range(width)]
     rows = raw.where(~reduce(lambda a, b: a & b, [blank(F.col(c)) for c in cols]))

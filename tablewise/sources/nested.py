@@ -50,10 +50,18 @@ def _features(raw: DataFrame) -> DataFrame:
     return raw.select(F.explode("features").alias("f")).select("f.properties.*")
 
 
+def _one_object_a_line(spark: SparkSession, path: str) -> bool:
+    """Whether the file holds several lines and each of them is an object of its own, whatever its name says."""
+    line = F.trim("value")
+    whole = line.startswith("{") & F.try_parse_json(line).isNotNull()
+    facts = spark.read.text(path).where(line != "").agg(F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("objects")).first()
+    return facts["n"] > 1 and facts["n"] == facts["objects"]
+
+
 def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> dict[str, DataFrame]:
     """Table or tables in a JSON file: an array, lines of objects, a FeatureCollection or an object of arrays."""
     if lines is None:
-        lines = path.lower().endswith((".ndjson", ".jsonl"))
+        lines = path.lower().endswith((".ndjson", ".jsonl")) or _one_object_a_line(spark, path)
     raw = spark.read.json(path, multiLine=not lines)
     kinds = {f.name: f.dataType for f in raw.schema.fields}
     if "features" in kinds and "type" in kinds and isinstance(kinds["features"], T.ArrayType):

@@ -81,3 +81,16 @@ def test_load_many(spark, tmp_path):
     good, bad = write(tmp_path / "g.csv", "a,b\n1,2\n"), write(tmp_path / "b.xyz", "?")
     tables, errors = load_many(spark, [good, bad, str(tmp_path / "none.csv")])
     assert list(tables) == ["g.csv"] and sorted(r["name"] for r in errors.collect()) == ["b.xyz", "none.csv"]
+
+
+def test_delimited_loses_no_field(spark, tmp_path):
+    late = "a,b\n" + "".join(f"{i},x\n" for i in range(80)) + "80,y,EXTRA\n" + '81,"two\nlines, ""quoted"""\n'
+    df = read_delimited(spark, write(tmp_path / "late.csv", late))
+    rows = {r["a"]: (r["b"], r["column_3"]) for r in df.collect()}
+    assert len(rows) == 82 and rows["80"] == ("y", "EXTRA") and rows["81"] == ('two\nlines, "quoted"', None)
+    wide = read_delimited(spark, write(tmp_path / "wide.csv", 'a,b,c\n1,"7\n8",5\n2,6\n3,"1\n","2\n","3\n","4\n",5\n'))
+    assert {r["a"]: r[-1] for r in wide.collect()}["3"] == "5" and wide.count() == 3
+
+
+def test_json_lines_under_any_name(spark, tmp_path):
+    assert read_json(spark, write(tmp_path / "l.json", '{"a": 1}\n\n{"a": 2}\n{"a": 3}\n'))["rows"].count() == 3
