@@ -10,15 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.shared import prepare, stash
+from tablewise.llm.shared import prepare
 from tablewise.llm.tokens import U, mix, raw, words
 
 FIT_ROWS = 6000  # documents the scorer is fitted on
 BUCKETS = 1 << 15  # for words, and as many for shapes
 ROUNDS, LEARNING, PENALTY = 150, 1.0, 1e-6
+BLOCK = 1 << 18  # features of one block of rows, so that fitting needs little memory beside the features themselves
 # Character classes: other, lower, upper, digit, and the marks that separate kinds of writing.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 1
@@ -111,13 +113,18 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
 def _fit_linear(index: np.ndarray, value: np.ndarray, cut: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Logistic regression on soft labels by full gradient with per-weight step sizes; the last weight is the bias."""
     w, seen = np.zeros(2 * BUCKETS + 1), np.full(2 * BUCKETS + 1, 1e-8)
-    row = np.repeat(np.arange(len(label)), np.diff(cut))
     weight = np.where(label < 0.5, 0.5 / max((label < 0.5).mean(), 1e-3), 0.5 / max((label >= 0.5).mean(), 1e-3))  # either class counts alike
+    size = np.diff(cut)
+    edge = np.unique(np.concatenate([[0], np.searchsorted(cut, np.arange(0, cut[-1], BLOCK)), [len(label)]]))  # rows are taken block by block
     for _ in range(ROUNDS):
-        score = np.bincount(row, value * w[index], len(label)) + w[-1]
-        error = weight * (1 / (1 + np.exp(-score)) - label) / len(label)
-        g = np.bincount(index, error[row] * value, len(w)) + PENALTY * w
-        g[-1] = error.sum()
+        g, bias = PENALTY * w, 0.0
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            i, v, row = index[cut[a]: cut[b]], value[cut[a]: cut[b]], np.repeat(np.arange(b - a), size[a:b])
+            score = np.bincount(row, v * w[i], b - a) + w[-1]
+            error = weight[a:b] * (1 / (1 + np.exp(-score)) - label[a:b]) / len(label)
+            g += np.bincount(i, error[row] * v, len(w))
+            bias += error.sum()
+        g[-1] = bias
         seen += g * g
         w -= LEARNING * g / np.sqrt(seen)
     return w
@@ -168,12 +175,12 @@ def score_quality(docs: DataFrame, fit_rows: int = FIT_ROWS, least: float = 0.5)
     # Twice the share that is needed by hash, then exactly the smallest ones.
     near = key < F.lit(int(-(2 ** 63) + min(1.0, 2 * fit_rows / max(total, 1)) * (2 ** 64 - 1025)))
     sample = texts.where(F.col("text").isNotNull() & near).select("text", key.alias("k")).distinct().orderBy("k", "text").limit(fit_rows)
-    rows = sample.select("text").mapInArrow(features, "index array<int>, value array<float>, label double").toPandas()
-    if len(rows):
-        cut = np.concatenate([[0], np.cumsum([len(x) for x in rows["index"]])])
-        index, value, label = np.concatenate(rows["index"].to_list()), np.concatenate(rows["value"].to_list()), rows["label"].to_numpy()
-        rows = None  # the arrays are enough; the frame of lists is several times their size
-        w = _fit_linear(index, value, cut, label)
+    rows = sample.select("text").mapInArrow(features, "index array<int>, value array<float>, label double").toArrow().combine_chunks()
+    if rows.num_rows:
+        lists, value = rows.column("index").combine_chunks(), rows.column("value").combine_chunks().flatten().to_numpy()
+        cut = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        w = _fit_linear(lists.flatten().to_numpy(), value, cut, rows.column("label").to_numpy())
+        rows = lists = value = None
     else:
         w = np.zeros(2 * BUCKETS + 1)
     w = w.astype(np.float32)
