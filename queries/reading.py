@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from queries.base import dirty, dirty_sql, load, query
 from tablewise.session import scratch
 from tablewise.sources.delimited import drop_blank, drop_repeated_headers, guarded, read_delimited, write_csv_safe, write_json
-from tablewise.sources.markup import extract_html_tables, extract_markdown_tables, html_to_text
+from tablewise.sources.markup import BLOCK_TAGS, HIDDEN_TAGS, extract_html_tables, extract_markdown_tables, html_to_text
 from tablewise.sources.nested import flatten, flatten_json_strings, read_json
 from tablewise.sources.store import detect_delimited_text, flag_binary_text, load_many
 
@@ -114,7 +114,15 @@ def io11(spark, sf):
     return detect_delimited_text(docs.unionByName(made))
 
 
-@query("io12_html_text")
+# DuckDB's engine has no back-references: each hidden element is spelled out.
+HIDDEN_HTML = "|".join(["<!--.*?-->", *[rf"<{t}(?:[\s/][^>]*)?>.*?</{t}\s*>" for t in HIDDEN_TAGS]])
+BLOCK_HTML = rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?:[\s/][^>]*)?>"
+
+
+@query("io12_html_text", rf"""
+    with v as (select page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is){HIDDEN_HTML}', '', 'g'), '(?i){BLOCK_HTML}', chr(10), 'g'), '<[A-Za-z/!?][^>]*>', '', 'g') as t from pages),
+    d as (select page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') as t from v)
+    select page_id, trim(regexp_replace(regexp_replace(t, '[^\S\n]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) as text from d""")
 def io12(spark, sf):
     return html_to_text(load(spark, sf, "pages"))
 

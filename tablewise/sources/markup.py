@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.operators.ordered import spread
@@ -18,8 +20,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # --- fixed values -----------------------------------------------------------
 BLOCK_TAGS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav "
                        "ol p pre section table tbody td tfoot th thead tr ul".split())
-HIDDEN_TAGS = frozenset(("script", "style", "head", "noscript", "template"))
+HIDDEN_TAGS = ("script", "style", "head", "noscript", "template")
+C1 = range(0x80, 0xA0)  # numbers in this range are read as Windows characters
 # ----------------------------------------------------------------------------
+# Possessive loops neither backtrack nor recurse, however long a page or a tag is.
+_ATTRIBUTES = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
+HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(HIDDEN_TAGS)})(?=[\s/>]){_ATTRIBUTES}.*?(?:</\1\s*>|\z)"
+BLOCK = rf"(?i)</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?=[\s/>]){_ATTRIBUTES}"
+TAG = rf"<[A-Za-z/!?]{_ATTRIBUTES}"
+WINDOWS = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in C1)
 
 
 class _Tables(HTMLParser):
@@ -53,28 +62,6 @@ class _Tables(HTMLParser):
             self.open[-1]["cell"].append(data)
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.hidden = [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN_TAGS:
-            self.hidden += 1
-        elif tag in BLOCK_TAGS:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in HIDDEN_TAGS:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in BLOCK_TAGS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
-
-
 def tables_in(html: str, minimum: int = 2) -> list[list[list[str]]]:
     """Cell texts of every table with a header and at least ``minimum`` further rows."""
     parser = _Tables()
@@ -89,14 +76,6 @@ def tables_in(html: str, minimum: int = 2) -> list[list[list[str]]]:
     return out
 
 
-def text_in(html: str) -> str:
-    parser = _Text()
-    parser.feed(html or "")
-    parser.close()
-    lines = (" ".join(line.split()) for line in "".join(parser.parts).split("\n"))
-    return "\n".join(line for line in lines if line)
-
-
 def extract_html_tables(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
     """(page, table_no, row_no, cells); row 0 is the header."""
     key = pages.schema[page].dataType.simpleString()
@@ -110,15 +89,33 @@ def extract_html_tables(pages: DataFrame, page: str = "page_id", html: str = "ht
     return spread(pages.select(page, html)).mapInPandas(run, f"{page} {key}, table_no int, row_no int, cells array<string>")
 
 
-def html_to_text(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, text): visible text, block elements on their own lines."""
-    key = pages.schema[page].dataType.simpleString()
+def _character(code: Column) -> Column:
+    """The character of a numeric reference; numbers that stand for none give the replacement character."""
+    known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(known, F.translate(plain, "".join(map(chr, C1)), WINDOWS)).otherwise(F.lit("\ufffd"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({page: batch[page], "text": [text_in(h) for h in batch[html]]})
 
-    return spread(pages.select(page, html)).mapInPandas(run, f"{page} {key}, text string")
+def decode_references(c: Column) -> Column:
+    """Character references that end in a semicolon, named or numbered; anything else after an ampersand stays as it is."""
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def piece(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 9)).cast("long")
+        char = F.when(name == "amp", "&").when(name.startswith("#"), _character(number)).when(name != "", F.try_element_at(names, name))
+        return F.when(i == 0, part).when(char.isNotNull(), F.concat(char, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(F.concat(F.lit("&"), part))
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), piece), "")).otherwise(c)
+
+
+def html_to_text(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
+    """(page, text): visible text, block elements on their own lines; comments and hidden elements go, null gives an empty text."""
+    shown = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), HIDDEN, "")
+    shown = F.regexp_replace(F.regexp_replace(shown, BLOCK, "\n"), TAG, "")
+    bare = spread(pages.select(page, html)).select(page, shown.alias("__t"))
+    lines = F.regexp_replace(F.regexp_replace(decode_references(F.col("__t")), r"(?U)[\s&&[^\n]]+", " "), r" ?\n[ \n]*", "\n")
+    return bare.select(page, F.trim(lines, F.lit(" \n")).alias("text"))
 
 
 def extract_markdown_tables(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -94,3 +94,12 @@ def test_delimited_loses_no_field(spark, tmp_path):
 
 def test_json_lines_under_any_name(spark, tmp_path):
     assert read_json(spark, write(tmp_path / "l.json", '{"a": 1}\n\n{"a": 2}\n{"a": 3}\n'))["rows"].count() == 3
+
+
+def test_html_text_reads_references_attributes_and_hidden_parts(spark):
+    html = ("<head><title>no</title></head><!-- <p>no --><p title=\"a > b\">A&amp;lt; &eacute;&#233;&#xE9;&#128;&#0;</p>x<SCRIPT>if (a<b) '</p>'</SCRIPT >y"
+            "<br/>1 < 2 & 3 &nosuch; &amp<header>top</header>\u00a0\u3000 a\t b\n\n<template>no")
+    rows = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<p" + " a='b'" * 50_000 + ">z" + "&amp;" * 50_000)], "page_id int, html string")
+    found = {r.page_id: r.text for r in html_to_text(rows).collect()}
+    assert found[1] == "A&lt; ééé€\ufffd\nxy\n1 < 2 & 3 &nosuch; &amp\ntop\na b"
+    assert found[2] == found[3] == "" and found[4] == "z" + "&" * 50_000
