@@ -152,23 +152,41 @@ def headings(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: in
     return out.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= limit).drop("__r")
 
 
+def _runs(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df with the sorted array of structs ``name`` cut into an array of runs that are equal in ``key``."""
+    items, heads = F.col(name), F.col("__heads")
+    first = F.filter(F.sequence(F.lit(1), F.size(items)), lambda i: (i == 1) | (F.get(items, i - 1)[key] != F.get(items, i - 2)[key]))
+    df = df.withColumn("__heads", F.when(F.size(items) > 0, first).otherwise(F.expr("cast(array() as array<int>)")))
+    cut = F.transform(heads, lambda h, j: F.slice(items, h, F.coalesce(F.get(heads, j + 1), F.size(items) + 1) - h))
+    return df.withColumn(name, cut).drop("__heads")
+
+
 def key_sentences(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str = "text", max_chars: int | None = None) -> DataFrame:
-    """Sentences richest in the document's frequent words; with ``max_chars`` only sentences shorter than that."""
-    counts = word_counts(docs, doc, text)
-    peak = counts.groupBy(doc).agg(F.max("n").alias("peak"))
-    sentences = spread(docs.select(doc, text)).select(doc, F.posexplode(sentences_of(F.col(text))).alias("position", "sentence"))
+    """Sentences richest in the document's frequent words; with ``max_chars`` only sentences shorter than that.
+
+    A row is a document, and all is counted inside it, without a shuffle: words of the text and words of its sentences are sorted
+    together, so that each run of one word knows how often the text holds it; the hits are sorted again by sentence."""
+    base = spread(docs.select(doc, text)).select(
+        doc, F.filter(words_of(F.col(text)), _content_word).alias("__w"),
+        F.transform(sentences_of(F.col(text)), lambda s, i: F.struct(i.alias("position"), s.alias("sentence"))).alias("__s"))
     if max_chars is not None:
-        sentences = sentences.where(F.length("sentence") < max_chars)
-    tokens = sentences.withColumn("w", F.regexp_extract_all(F.lower("sentence"), F.lit(LETTERS), F.lit(0))).withColumn("size", F.size("w"))
-    # A sentence without words keeps one empty token, so no second pass over the texts is needed.
-    used = tokens.select(doc, "position", "sentence", "size", F.explode_outer("w").alias("word"))
-    weighed = used.join(counts, [doc, "word"], "left")
-    scored = weighed.groupBy(doc, "position").agg(
-        F.any_value("sentence").alias("sentence"), F.any_value("size").alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits")).join(peak, doc, "left")
-    value = F.col("hits") / F.greatest(F.lit(1), F.coalesce("peak", F.lit(1))) / F.sqrt(F.greatest(F.lit(1), F.col("size")))
-    scored = scored.select(doc, "position", "sentence", value.alias("score"))
-    place = Window.partitionBy(doc).orderBy(F.col("score").desc(), "position")
-    return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+        base = base.withColumn("__s", F.filter("__s", lambda s: F.length(s["sentence"]) < max_chars))
+    base = base.where(F.size("__s") > 0).withColumn("__t", F.transform("__s", lambda s: F.regexp_extract_all(F.lower(s["sentence"]), F.lit(LETTERS), F.lit(0))))
+    entry = lambda w, at: F.struct(w.alias("word"), at.cast("int").alias("at"))
+    used = F.flatten(F.transform("__t", lambda words, i: F.transform(words, lambda w: entry(w, i))))
+    every = _runs(base.withColumn("__e", F.sort_array(F.concat(F.transform("__w", lambda w: entry(w, F.lit(-1))), used))), "__e", "word")
+    # Words of the text come first in a run; as every sentence has a hit of 0, the runs by sentence line up with the sentences.
+    every = every.withColumn("__e", F.transform("__e", lambda run: F.struct(F.size(F.filter(run, lambda e: e["at"] < 0)).alias("n"), run.alias("run"))))
+    hits = F.flatten(F.transform(F.filter("__e", lambda e: e["n"] > 0), lambda e: F.transform(
+        F.filter(e["run"], lambda x: x["at"] >= 0), lambda x: F.struct(x["at"].alias("at"), e["n"].alias("n")))))
+    none = F.transform("__s", lambda s, i: F.struct(i.alias("at"), F.lit(0).alias("n")))
+    summed = every.select(doc, "__s", "__t", F.array_max(F.transform("__e", lambda e: e["n"])).alias("__peak"), F.sort_array(F.concat(none, hits)).alias("__h"))
+    summed = _runs(summed, "__h", "at").withColumn("__h", F.transform("__h", lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])))
+    peak = F.greatest(F.lit(1), F.coalesce("__peak", F.lit(1)))
+    scored = F.transform(F.arrays_zip("__s", "__t", "__h"), lambda z: F.struct(
+        (-(z["__h"] / peak / F.sqrt(F.greatest(F.lit(1), F.size(z["__t"]))))).alias("below"), z["__s"]["position"].alias("position"), z["__s"]["sentence"].alias("sentence")))
+    best = summed.select(doc, F.posexplode(F.slice(F.sort_array(scored), 1, k)).alias("rank", "best"))
+    return best.select(doc, "best.position", "best.sentence", (F.lit(0.0) - F.col("best.below")).alias("score"), (F.col("rank") + 1).alias("rank"))
 
 
 def search_passages(docs: DataFrame, question: str, k: int = 3, doc: str = "doc_id", text: str = "text") -> DataFrame:
