@@ -74,9 +74,9 @@ for _name, _spec in DERIVED.items():
     _derive_query(_name, *_spec)
 
 
-@query("fp06_preview")
+@query("fp06_preview", "select * from customer order by c_custkey limit 50")
 def fp06(spark, sf):
-    return filters.preview(load(spark, sf, "customer"), 50)
+    return filters.preview(load(spark, sf, "customer"), 50, ["c_custkey"])
 
 
 # --- AG: grouped metrics ---

@@ -69,6 +69,16 @@ def ml02c(spark, sf):
     return models.winsorize(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"])
 
 
+@query("ml02_segment_order", "select count(*) as n, 3 as segments, true as falling from part")
+def ml02d(spark, sf):
+    """Every row has a segment, and segments are numbered by size."""
+    found, _ = models.segment(load(spark, sf, "part"), ["p_size", "p_retailprice"], 3)
+    sizes = found.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    falling = F.array_agg(F.struct("segment", F.col("n")))
+    ordered = F.transform(F.sort_array(falling), lambda s: -s["n"])
+    return sizes.agg(F.sum("n").alias("n"), F.max("segment").cast("int").alias("segments"), (F.sort_array(ordered) == ordered).alias("falling"))
+
+
 @query("ml03_silhouette")
 def ml03(spark, sf):
     _, facts = models.segment(load(spark, sf, "part"), ["p_size", "p_retailprice"], 3)
@@ -80,6 +90,13 @@ def ml04(spark, sf):
     return rounded(models.pca2(load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], ["l_orderkey", "l_linenumber"])[0])
 
 
+@query("ml04_explained_share", f"select {r('(1 + abs(corr(l_quantity, l_extendedprice))) / 2')} as pc1, {r('(1 - abs(corr(l_quantity, l_extendedprice))) / 2')} as pc2 from lineitem")
+def ml04b(spark, sf):
+    """Two standardised columns with correlation c have the shares (1 + |c|) / 2 and (1 - |c|) / 2."""
+    _, shares = models.pca2(load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"])
+    return rounded(spark.createDataFrame([tuple(shares)], "pc1 double, pc2 double"))
+
+
 @query("ml05_standardize", f"""
     with s as (select avg(price) as mp, stddev_samp(price) as sp, avg(spiked) as ms, stddev_samp(spiked) as ss from {dirty_sql()})
     select o_orderkey, {r('(price - mp) / sp')} as price, {r('(spiked - ms) / ss')} as spiked from {dirty_sql()}, s where price is not null""")

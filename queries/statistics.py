@@ -186,6 +186,31 @@ def st13b(spark, sf):
     return rounded(h.compare_groups(load(spark, sf, "lineitem"), "l_extendedprice", "l_linestatus"), 6)
 
 
+GROUP_TESTS = f"""
+    with g as (select l_returnflag, count(*) as n, avg(l_extendedprice) as m, var_samp(l_extendedprice) as v from lineitem group by 1),
+    s as (select sum(n) as total, count(*) as g, sum(n * m) / sum(n) as gm from g),
+    b as (select total, g, sum(n * (m - gm) ** 2) as ssb, sum((n - 1) * v) as ssw from g, s group by all),
+    k as (select l_returnflag as g, {_midrank('l_extendedprice')} as rk from lineitem), ks as (select g, count(*) as n, sum(rk) as rs from k group by 1)
+    select 'ANOVA' as test, {r('(ssb / (g - 1)) / (ssw / (total - g))')} as statistic, cast(g - 1 as double) as df1, cast(total - g as double) as df2, 'eta2' as effect, {r('ssb / (ssb + ssw)')} as effect_size from b
+    union all select 'Kruskal-Wallis', {r('12.0 / (sum(n) * (sum(n) + 1)) * sum(rs * rs / n) - 3 * (sum(n) + 1)')}, cast(count(*) - 1 as double), null, '', null from ks"""
+
+
+@query("st13_group_statistics", GROUP_TESTS)
+def st13c(spark, sf):
+    return rounded(h.compare_groups(load(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag").drop("p"))
+
+
+@query("st13_two_group_statistics", WELCH + f"""
+    , k as (select l_linestatus as g, {_midrank('l_extendedprice')} as rk from lineitem),
+    s as (select count(*) filter (g = 'F') as n1, count(*) filter (g = 'O') as n2, sum(rk) filter (g = 'F') as r1 from k),
+    u as (select n1, n2, least(r1 - n1 * (n1 + 1) / 2, n1 * n2 - (r1 - n1 * (n1 + 1) / 2)) as u from s)
+    select 'Welch t' as test, {r('(ma - mb) / sqrt(va / na + vb / nb)', 2)} as statistic,
+           {r('(va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1))', 2)} as df1, 'd' as effect, {r('(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))', 2)} as effect_size from m
+    union all select 'Mann-Whitney U', {r('cast(u as double)', 2)}, null, 'r', {r('abs((u - n1 * n2 / 2) / sqrt(n1::double * n2 * (n1 + n2 + 1) / 12)) / sqrt(n1 + n2)', 2)} from u""")
+def st13d(spark, sf):
+    return rounded(h.compare_groups(load(spark, sf, "lineitem"), "l_extendedprice", "l_linestatus").drop("p", "df2"), 2)
+
+
 @query("st14_outlier_report", f"""
     with s as (select avg(spiked) as m, stddev_samp(spiked) as sd, quantile_cont(spiked, 0.25) as q1, quantile_cont(spiked, 0.75) as q3 from {dirty_sql('o_orderkey', 'spiked')})
     select o_orderkey, {r('spiked', 2)} as spiked, {r('(spiked - m) / sd')} as z from {dirty_sql('o_orderkey', 'spiked')}, s where spiked < q1 - 1.5 * (q3 - q1) or spiked > q3 + 1.5 * (q3 - q1)

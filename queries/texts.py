@@ -67,7 +67,19 @@ def tx05(spark, sf):
     return text.numbers_in_context(docs(spark, sf)).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tx05_number_contexts")
+NUMBER = r"(?i)[$€£]?\s?-?\d[\d,]*\.?\d*(?:\s?%|\s?(?:percent|million|billion|bn|k|m)\b)?"
+
+
+@query("tx05_number_contexts", rf"""
+    with d as (select doc_id, string_split(replace(text, chr(13), ''), chr(10)) as a from documents),
+    l as (select doc_id, unnest(range(len(a))) as line_no, unnest(a) as line from d),
+    m as (select *, regexp_extract_all(line, '{NUMBER}') as f, regexp_split_to_array(line, '{NUMBER}') as g from l),
+    n as (select doc_id, line_no, line, f, g, unnest(range(1, len(f) + 1)) as i from m where len(f) > 0),
+    p as (select doc_id, line_no, line, trim(f[i], ' ' || chr(9)) as value,
+                 list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) as start from n)
+    select doc_id, cast(line_no as integer) as line_no, cast(start as integer) as start, value,
+           trim(substring(line, cast(greatest(0, start - 50) as bigint) + 1, cast(start + length(value) + 50 - greatest(0, start - 50) as bigint)), ' ' || chr(9)) as context
+    from p where not regexp_full_match(value, '\d{{1,2}}')""")
 def tx05b(spark, sf):
     return text.numbers_in_context(docs(spark, sf))
 

@@ -73,8 +73,9 @@ def derived_unit(op: str, unit: str | None, constant: bool) -> str | None:
     return unit if unit and unit != "%" and keeps else None
 
 
-def preview(df: DataFrame, n: int = 50) -> DataFrame:
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 50, order_by: list[str] = ()) -> DataFrame:
+    """The first rows; which ones is only fixed by ``order_by``."""
+    return (df.orderBy(*order_by) if order_by else df).limit(n)
 
 
 def sort_rows(df: DataFrame, by: str, descending: bool = False) -> DataFrame:

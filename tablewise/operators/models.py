@@ -234,6 +234,7 @@ def segment(df: DataFrame, cols: list[str], k: int | None = None, keep: list[str
     data = _features(z, cols).persist()
     n = data.count()
     if n < 20:
+        data.unpersist()
         raise ValueError("Too few complete rows.")
     smallest = max(5, round(0.03 * n))
     tried, best = [], None
@@ -247,8 +248,10 @@ def segment(df: DataFrame, cols: list[str], k: int | None = None, keep: list[str
         if best is None or score > best[1]:
             best = (model, score, candidate)
     if best is None:
+        data.unpersist()
         raise ValueError(f"No clear segments: every split leaves a group with fewer than {smallest} rows.")
     model, score, chosen = best
+    data.unpersist()
     out = model.transform(data).withColumn("segment", _relabel(model))
     return out, {"k": chosen, "silhouette": score, "tried": tried, "inertia": model.summary.trainingCost, "model": model}
 

@@ -182,8 +182,15 @@ def scatter_points(df: DataFrame, x: str, y: str, key: str, color: str | None =
 
 
 def duplicate_count(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows, distinct rows and the difference."""
-    per = df.groupBy(*(cols or df.columns)).agg(F.count(F.lit(1)).alias("c"))
+    """Rows, distinct rows and the difference.
+
+    Rows are told apart by two 64-bit hashes, so long texts stay where they are; nested columns take part as they are. A hash passes
+    over nulls, so each column comes with a flag for them."""
+    chosen = [f for f in df.schema.fields if cols is None or f.name in cols]
+    nested = [f.name for f in chosen if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType))]
+    flat = [x for f in chosen if f.name not in nested for x in (F.col(f"`{f.name}`"), F.col(f"`{f.name}`").isNull())]
+    prints = [F.xxhash64(F.lit(seed), *(flat if seed % 2 else flat[::-1])).alias(f"__h{seed}") for seed in (1, 2)]
+    per = df.select(*prints, *[F.col(f"`{c}`") for c in nested]).groupBy("__h1", "__h2", *[f"`{c}`" for c in nested]).agg(F.count(F.lit(1)).alias("c"))
     return per.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows")).withColumn(
         "duplicates", F.col("rows") - F.col("distinct_rows"))
 

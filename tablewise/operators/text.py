@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,12 +154,13 @@ def headings(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: in
     return out.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= limit).drop("__r")
 
 
-def _runs(df: DataFrame, name: str, key: str) -> DataFrame:
-    """df with the sorted array of structs ``name`` cut into an array of runs that are equal in ``key``."""
+def _runs(df: DataFrame, name: str, key: Callable[[Column], Column]) -> DataFrame:
+    """df with the sorted array ``name`` cut into an array of runs that are equal in ``key``."""
     items, heads = F.col(name), F.col("__heads")
-    first = F.filter(F.sequence(F.lit(1), F.size(items)), lambda i: (i == 1) | (F.get(items, i - 1)[key] != F.get(items, i - 2)[key]))
+    first = F.filter(F.sequence(F.lit(1), F.size(items)), lambda i: (i == 1) | (key(F.get(items, i - 1)) != key(F.get(items, i - 2))))
     df = df.withColumn("__heads", F.when(F.size(items) > 0, first).otherwise(F.expr("cast(array() as array<int>)")))
-    cut = F.transform(heads, lambda h, j: F.slice(items, h, F.coalesce(F.get(heads, j + 1), F.size(items) + 1) - h))
+    # Element by element: a slice reads the whole array, once for each run.
+    cut = F.transform(heads, lambda h, j: F.transform(F.sequence(h, F.coalesce(F.get(heads, j + 1), F.size(items) + 1) - 1), lambda i: F.get(items, i - 1)))
     return df.withColumn(name, cut).drop("__heads")
 
 
@@ -171,17 +174,20 @@ def key_sentences(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str =
         F.transform(sentences_of(F.col(text)), lambda s, i: F.struct(i.alias("position"), s.alias("sentence"))).alias("__s"))
     if max_chars is not None:
         base = base.withColumn("__s", F.filter("__s", lambda s: F.length(s["sentence"]) < max_chars))
-    base = base.where(F.size("__s") > 0).withColumn("__t", F.transform("__s", lambda s: F.regexp_extract_all(F.lower(s["sentence"]), F.lit(LETTERS), F.lit(0))))
+    base = base.withColumn("__t", F.transform("__s", lambda s: F.regexp_extract_all(F.lower(s["sentence"]), F.lit(LETTERS), F.lit(0))))
     entry = lambda w, at: F.struct(w.alias("word"), at.cast("int").alias("at"))
-    used = F.flatten(F.transform("__t", lambda words, i: F.transform(words, lambda w: entry(w, i))))
-    every = _runs(base.withColumn("__e", F.sort_array(F.concat(F.transform("__w", lambda w: entry(w, F.lit(-1))), used))), "__e", "word")
+    used = F.flatten(F.transform("__t", lambda words, i: F.transform(F.filter(words, _content_word), lambda w: entry(w, i))))
+    every = _runs(base.withColumn("__e", F.sort_array(F.concat(F.transform("__w", lambda w: entry(w, F.lit(-1))), used))), "__e", lambda e: e["word"])
     # Words of the text come first in a run; as every sentence has a hit of 0, the runs by sentence line up with the sentences.
     every = every.withColumn("__e", F.transform("__e", lambda run: F.struct(F.size(F.filter(run, lambda e: e["at"] < 0)).alias("n"), run.alias("run"))))
+    # A hit is one long: the sentence above, the count in the lower 32 bits.
+    packed = lambda at: F.shiftleft(at.cast("long"), 32)
     hits = F.flatten(F.transform(F.filter("__e", lambda e: e["n"] > 0), lambda e: F.transform(
-        F.filter(e["run"], lambda x: x["at"] >= 0), lambda x: F.struct(x["at"].alias("at"), e["n"].alias("n")))))
-    none = F.transform("__s", lambda s, i: F.struct(i.alias("at"), F.lit(0).alias("n")))
+        F.filter(e["run"], lambda x: x["at"] >= 0), lambda x: packed(x["at"]) + e["n"])))
+    none = F.transform("__s", lambda s, i: packed(i))
     summed = every.select(doc, "__s", "__t", F.array_max(F.transform("__e", lambda e: e["n"])).alias("__peak"), F.sort_array(F.concat(none, hits)).alias("__h"))
-    summed = _runs(summed, "__h", "at").withColumn("__h", F.transform("__h", lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])))
+    summed = _runs(summed, "__h", lambda x: F.shiftright(x, 32)).withColumn(
+        "__h", F.transform("__h", lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(0xFFFFFFFF))))
     peak = F.greatest(F.lit(1), F.coalesce("__peak", F.lit(1)))
     scored = F.transform(F.arrays_zip("__s", "__t", "__h"), lambda z: F.struct(
         (-(z["__h"] / peak / F.sqrt(F.greatest(F.lit(1), F.size(z["__t"]))))).alias("below"), z["__s"]["position"].alias("position"), z["__s"]["sentence"].alias("sentence")))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tablewise.meta import ColumnMeta
 from tablewise.operators import change, forecast, hypothesis, models, moments, pivots, series, survey
 from tablewise.operators.aggregate import default_agg, group_summary, non_additive_by_name
-from tablewise.operators.ordered import estimated_bytes
 from tablewise.operators.profile import Profile, build_profile, quality_audit
 
 
@@ -161,15 +160,11 @@ def package_members(name: str, p: Profile) -> list[str]:
     return [a for a, applies in wanted[name] if applies]
 
 
-CACHE_BYTES = 8 << 30
-
-
 def run_package(df: DataFrame, name: str, metas: list[ColumnMeta] | None = None) -> dict[str, DataFrame | str]:
     """Result frame per analysis; one that cannot run leaves its message instead.
 
-    The analyses share one frame, which is kept only while it is small enough to be worth keeping.
+    Frames are lazy: a caller who wants the analyses to share one read persists df, and releases it when they are done.
     """
-    df = df.persist() if estimated_bytes(df) <= CACHE_BYTES else df
     p = build_profile(df, metas)
     out: dict[str, DataFrame | str] = {}
     for analysis in package_members(name, p):
