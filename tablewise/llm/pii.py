@@ -119,7 +119,8 @@ def disguised(text: str) -> bool:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the rewritten text shows: they cover a rewritten place and no plain span of their kind."""
+    """Spans that only the rewritten text shows: they cover a rewritten place and no plain span of their kind covers them wholly. One that
+    reaches beyond a plain span, which then is a fragment of it, stays beside that."""
     if not disguised(text):
         return []
     n = len(text)
@@ -130,7 +131,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     out = []
     for kind, s, e in plain_spans(new):
         a, b = begins[s], ends[e - 1]
-        if text[a:b] != new[s:e] and not any(k == kind and x < b and a < y for k, x, y in base):
+        if text[a:b] != new[s:e] and not any(k == kind and x <= a and b <= y for k, x, y in base):
             out.append((kind, a, b))
     return out
 

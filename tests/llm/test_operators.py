@@ -266,6 +266,17 @@ def test_disguises_map_back_to_the_source():
     assert redacted("a@b.co and 1.2.3.4", plain_spans("a@b.co and 1.2.3.4")) == "[EMAIL] and [IP]"
 
 
+def test_disguises_reach_beyond_plain_fragments():
+    for whole in ("jоhn@example.com", "jo\u200bhn@example.com", "john@mail.exаmple.com", "john dot doe@example.com", "+49 30 123456 seven eight nine"):
+        text = f"write ({whole}) now"
+        base = plain_spans(text)
+        added = added_spans(text, base)
+        assert base and [text[s:e] for _, s, e in added] == [whole]
+        assert redacted(text, base + added) == f"write ([{base[0][0].upper()}]) now"
+    covered = "john@example.com and ip 10.0.0.1 (at) home"
+    assert added_spans(covered, plain_spans(covered)) == []
+
+
 def test_pii_odd_rows(spark, odd):
     got = find_pii(odd.withColumn("pii_base", F.lit("mine"))).select("doc_id", span_text(F.col("pii_base")).alias("s"), "pii_redacted", "keep").collect()
     assert len(got) == len(ODD) and all(r.s == "" and r.keep == "mine" for r in got) and [r.pii_redacted for r in got if r.doc_id == 1] == [None]
