@@ -16,7 +16,7 @@ from tablewise.llm.contextmix import score_texts
 from tablewise.llm.decontaminate import find_leaks
 from tablewise.llm.mixing import mix_sources
 from tablewise.llm.neardup import near_duplicates
-from tablewise.llm.pii import added_spans, find_pii, plain_spans, redacted, span_text
+from tablewise.llm.pii import _RULES, added_spans, disguised, find_pii, plain_spans, redacted, span_text
 from tablewise.llm.preferences import format_preferences, neighbour_pairs
 from tablewise.llm.quality import fit_labellers, score_quality
 from tablewise.llm.shared import word_count
@@ -277,6 +277,22 @@ def test_disguises_reach_beyond_plain_fragments():
     assert added_spans(covered, plain_spans(covered)) == []
 
 
+def test_one_digit_word_or_plus_is_a_disguise():
+    cases = {"ip 10.0.0.seven": "10.0.0.seven", "card 4111 1111 1111 111 one": "4111 1111 1111 111 one", "+49 30 five five five five five": "+49 30 five five five five five",
+             "call plus 49 30 1234567": "plus 49 30 1234567", "call plus (49) 30 1234567": None, "ip 10.0.0.ſeven": "10.0.0.ſeven", "ip 10.0.0.fİve": "10.0.0.fİve"}
+    for text, want in cases.items():
+        assert disguised(text)
+        for around in (text, f"my phone, my money. {text}", f"Seven of ten: {text}"):
+            found = added_spans(around, plain_spans(around))
+            assert want is None or want in [around[s:e] for _, s, e in found], around
+    parts = ["one", "ſix", "nİne", "Two", "plus", "PLUſ", "dot", " at ", "(", ")", "[", "]", " ", " ", "-", "7", "a", "é", ".", "@", "\n"]
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(parts, 9)) for _ in range(5000)]
+    assert all(disguised(t) for t in texts if _RULES.search(t)) and sum(bool(_RULES.search(t)) for t in texts) > 500
+    for t in texts:
+        added_spans(t, plain_spans(t))
+
+
 def test_pii_odd_rows(spark, odd):
     got = find_pii(odd.withColumn("pii_base", F.lit("mine"))).select("doc_id", span_text(F.col("pii_base")).alias("s"), "pii_redacted", "keep").collect()
     assert len(got) == len(ODD) and all(r.s == "" and r.keep == "mine" for r in got) and [r.pii_redacted for r in got if r.doc_id == 1] == [None]
