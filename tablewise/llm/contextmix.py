@@ -1,19 +1,20 @@
 """Language-model scores by online logistic context mixing.
 
 A text is its words' bytes, each word closed by a space symbol, and one end symbol. A byte is eight binary decisions. For each, one bit
-predictor per context order (the last 1, 2, 3, 4 and 6 bytes; before a word's first byte stands a mark for how the previous word ended)
-gives a probability from its hashed context's counts. The predictors are mixed in the logistic domain by weights that a gate selects (how many
+predictor per context order (the last 1, 2, 3, 4 and 6 bytes, over spaces into the words before; zeros stand before the text's start) gives a probability from its hashed context's counts. The predictors are mixed in the logistic domain by weights that a gate selects (how many
 of the orders know the context, and which bit it is); the weights are learned online, batch after batch, in every partition and
 averaged between rounds. An adaptive map from mixed to observed probabilities refines the result.
 
 What a decision sees is fixed by its last six bytes, so decisions are counted and scored once for each distinct seven-byte gram, grams
-once for each distinct word, and a text sums its words. Counts come from all training texts and grow with them. Only the most frequent
-words, a bounded number, are broadcast to the texts; the other words of a text are joined."""
+once for each distinct pair of a word and its tail (the six bytes before it), and a text sums its pairs. Counts come from all training
+texts and grow with them. Only the most frequent words and pairs, a bounded number, are broadcast to the texts; the others of a text
+are joined."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -22,19 +23,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.llm.shared import prepare, stash
-from tablewise.llm.tokens import U, mix, raw, words
+from tablewise.llm.tokens import _LOWER, _SPACE, U, mix, raw, words
 
 ORDERS = (1, 2, 3, 4, 6)
 SPACE, END = 0x20, 0x0A  # symbols that no word holds
-HELD_WORDS = 400_000  # distinct words a counting task holds before it hands them on
-BLOCK_WORDS = 500_000  # distinct words that are scored together
-FREQUENT = 500_000  # words that are broadcast to the texts
+TAIL = 6  # bytes before a word that its decisions see: the longest order
+HELD_WORDS = 400_000  # distinct pairs a counting task holds before it hands them on
+BLOCK_WORDS = 500_000  # distinct pairs that are scored together
+FREQUENT = 500_000  # words and pairs that are broadcast to the texts
 ROUNDS, BATCH, RATE = 3, 2048, 0.02
 PRIOR = 0.4
 GATES, BINS = 6 * 8, 33
 
-# How a word ended, by its last byte: 1 a sentence, 2 another mark, 3 a letter or digit; 0 stands before the first word.
-_ENDED = bytes(1 if c in b".!?" else 3 if chr(c).isalnum() or c > 127 else 2 for c in range(256))
+_NO_TAIL = U(1 << 63)  # in the key of a word whatever its tail
+
+
+def _pieces(text: bytes) -> list[bytes]:
+    """Each word of a lower-cased text, and last the end token (no bytes), behind its tail. White space counts as one space."""
+    found = text.split()
+    line = bytes(TAIL) + b" ".join(found) + b" "
+    starts = list(accumulate(map(len, found), lambda at, n: at + n + 1, initial=0))
+    return [line[a: b + TAIL - 1] for a, b in pairwise(starts)] + [line[starts[-1]: starts[-1] + TAIL]]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,36 +51,65 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         keys = list({**learned, **other})
+        before = np.frombuffer(b"".join([k[:TAIL] for k in keys]), np.uint8).reshape(-1, TAIL).astype(np.int64)
+        tail = sum(before[:, TAIL - 1 - k] << 8 * k for k in range(TAIL))  # the nearest byte is the lowest
         out = pa.RecordBatch.from_arrays([
-            pa.array([w for _, w in keys], pa.binary()), pa.array([e for e, _ in keys], pa.int32()),
-            pa.array([learned[k] for k in keys], pa.int64()), pa.array([learned[k] + other[k] for k in keys], pa.int64())], ["word", "ended", "n", "n_all"])
+            pa.array([k[TAIL:] for k in keys], pa.binary()), pa.array(tail),
+            pa.array([learned[k] for k in keys], pa.int64()), pa.array([learned[k] + other[k] for k in keys], pa.int64())], ["word", "tail", "n", "n_all"])
         learned.clear()
         other.clear()
         return out
 
     for batch in batches:
         for text, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-            found = (text or "").encode().lower().split()
-            ended = b"\0" + bytes([w[-1] for w in found]).translate(_ENDED)
-            into = other if held else learned
-            into.update(zip(ended, found, strict=False))
-            into[ended[-1], b""] += 1
-        if len(learned) + len(other) > HELD_WORDS:
-            yield flush()
+            (other if held else learned).update(_pieces((text or "").encode().lower()))
+            if len(learned) + len(other) > HELD_WORDS:
+                yield flush()
     if learned or other:
         yield flush()
 
 
-def _word_keys(data: np.ndarray, bounds: np.ndarray, ended: np.ndarray) -> np.ndarray:
-    """64-bit keys of words, one to a text (none is the end token), with how the word before ended."""
-    h, cut = words(data, bounds)
-    whole = np.full(len(bounds) - 1, U(1))
-    whole[np.diff(cut) > 0] = h[cut[:-1][np.diff(cut) > 0]]
-    return mix(whole + ended.astype(U) * U(0xA0761D6478BD642F)).view(np.int64)
+def _keys(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """64-bit keys of hashed words (1 is the end token) with their tails."""
+    return mix(h + mix(tail + U(1))).view(np.int64)
 
 
-def _grams(column: pa.Array, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seven-byte grams (six bytes of context, one symbol) of each word and its closing symbol, and the bounds between words."""
+def _hashes(column: pa.Array) -> np.ndarray:
+    """Hashes of words, one to a text; none is the end token."""
+    h, cut = words(*raw_bytes(column))
+    whole = np.full(len(column), U(1))
+    whole[np.diff(cut) > 0] = h[cut[:-1][np.diff(cut) > 0]]
+    return whole
+
+
+def _tails(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Tails of all tokens of texts: each text's words and its end token."""
+    space = _SPACE[data]
+    last = ~space
+    last[:-1] &= space[1:]
+    stops = bounds[1:][np.diff(bounds) > 0] - 1
+    last[stops] = ~space[stops]
+    # The words' bytes, lower-cased, with one space behind each word.
+    ends = np.concatenate([[0], np.cumsum((~space).astype(np.int64) + last)])
+    line = np.full(ends[-1], SPACE, np.uint8)
+    line[ends[:-1][~space]] = _LOWER[data[~space]]
+    count = np.concatenate([[0], np.cumsum(last)])[bounds]
+    heads = np.zeros(count[-1] + len(bounds) - 1, bool)  # each text's first token; the others begin behind a word
+    heads[count[:-1] + np.arange(len(bounds) - 1)] = True
+    begin = np.empty(len(heads), np.int64)
+    begin[heads] = ends[bounds[:-1]]
+    begin[~heads] = ends[1:][last]
+    first = np.repeat(ends[bounds[:-1]], np.diff(count) + 1)
+    tail = np.zeros(len(first), U)
+    for k in range(TAIL):
+        at = begin - 1 - k
+        inside = at >= first
+        tail[inside] |= line[at[inside]].astype(U) << U(8 * k)
+    return tail
+
+
+def _grams(column: pa.Array, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seven-byte grams (six bytes of context, one symbol) of each word behind its tail and of its closing symbol, and the bounds between words."""
     data, bounds = raw_bytes(column)
     size = np.diff(bounds)
     cut = np.concatenate([[0], np.cumsum(size + 1)])
@@ -84,9 +122,10 @@ def _grams(column: pa.Array, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     gram = line.astype(U)
     for back in range(1, 7):
         before = np.zeros(len(line), np.uint8)
-        before[back:] = line[: len(line) - back]
-        byte = np.where(place >= back, before, np.where(place == back - 1, ended[row] + 1, 0))
-        gram |= byte.astype(U) << U(8 * back)
+        before[back:] = line[: max(len(line) - back, 0)]
+        early = np.flatnonzero(place < back)
+        before[early] = tail[row[early]] >> (8 * (back - 1 - place[early])) & 255
+        gram |= before.astype(U) << U(8 * back)
     return gram, cut
 
 
@@ -106,7 +145,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return g, np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
 
     for batch in batches:
-        gram, cut = _grams(batch.column("word"), batch.column("ended").to_numpy())
+        gram, cut = _grams(batch.column("word"), batch.column("tail").to_numpy())
         n = np.repeat(batch.column("n").to_numpy(), np.diff(cut))
         g, inverse = np.unique(gram, return_inverse=True)
         held.append((g, np.bincount(inverse, n).astype(np.int64)))
@@ -259,32 +298,39 @@ def _gram_scores(grams: DataFrame) -> DataFrame:
     return grouped(score, "gram long, bits double")
 
 
-def _word_scores(vocabulary: DataFrame, grams: DataFrame, distinct: int) -> DataFrame:
-    """(key, bits, n_all, c): words are dealt into blocks; each block asks for its distinct grams once."""
+def _pair_scores(pairs: DataFrame, grams: DataFrame, distinct: int) -> DataFrame:
+    """(key, bits, n_all, c): pairs of tail and word are dealt into blocks; each block asks for its distinct grams once. c is null, as
+    counts belong to words."""
     blocks = max(1, -(-distinct // BLOCK_WORDS))
-    dealt = vocabulary.withColumn("block", F.pmod(F.xxhash64("word", "ended"), F.lit(blocks)).cast("int"))
+    dealt = pairs.select("word", "tail", "n_all").withColumn("block", F.pmod(F.xxhash64("word", "tail"), F.lit(blocks)).cast("int"))
 
     def wanted(t: pa.Table) -> pa.Table:
-        g = np.unique(_grams(t["word"], t["ended"].to_numpy())[0])
+        g = np.unique(_grams(t["word"], t["tail"].to_numpy())[0])
         return pa.table({"block": pa.array(np.full(len(g), t["block"][0].as_py(), np.int32)), "gram": pa.array(g.view(np.int64))})
 
-    asked = dealt.select("word", "ended", "block").groupBy("block").applyInArrow(wanted, "block int, gram long").join(grams, "gram")
+    asked = dealt.select("word", "tail", "block").groupBy("block").applyInArrow(wanted, "block int, gram long").join(grams, "gram")
 
     def total(t: pa.Table, known: pa.Table) -> pa.Table:
         order = np.argsort(known["gram"].to_numpy().view(U))
         gram, bits = known["gram"].to_numpy().view(U)[order], known["bits"].to_numpy()[order]
-        out = []
+        out = [pa.table({"key": pa.array([], pa.int64()), "bits": pa.array([], pa.float64()), "n_all": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})]
         for at in range(0, len(t), 100_000):
             part = t.slice(at, 100_000)
-            ended = part["ended"].to_numpy()
-            g, cut = _grams(part["word"], ended)
+            tail = part["tail"].to_numpy()
+            g, cut = _grams(part["word"], tail)
             cost = np.add.reduceat(bits[np.searchsorted(gram, g)], cut[:-1])
-            out.append(pa.table({"key": pa.array(_word_keys(*raw_bytes(part["word"]), ended)), "bits": pa.array(cost), "n_all": part["n_all"], "c": part["c"]}))
-        return pa.concat_tables(out) if out else pa.table({"key": pa.array([], pa.int64()), "bits": pa.array([], pa.float64()), "n_all": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+            out.append(pa.table({"key": pa.array(_keys(_hashes(part["word"]), tail.view(U))), "bits": pa.array(cost), "n_all": part["n_all"], "c": pa.nulls(len(part), pa.int64())}))
+        return pa.concat_tables(out)
 
     return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(total, "key long, bits double, n_all long, c long")
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = _hashes(batch.column("word"))
+        yield pa.RecordBatch.from_arrays([pa.array(_keys(h, np.full(len(h), _NO_TAIL))), pa.array(np.zeros(len(h))), batch.column("n_all"), batch.column("c")], ["key", "bits", "n_all", "c"])
+
+
 def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (log10, unigrams with one added), score (log10 probability of the
     text), bits_per_byte.
@@ -295,23 +341,20 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     out, the model has no counts and every decision costs what its prior says."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counted = docs.select("text", "held_out").mapInArrow(_count_words, "word binary, ended int, n long, n_all long")
-    pairs = counted.groupBy("word", "ended").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
-    # A word's count over all four ways the word before can end; at most four rows to a word.
-    whole = pairs.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct("ended", "n", "n_all")).alias("each"))
-    vocabulary = stash(whole.select("word", "c", F.explode("each").alias("e")).select("word", "c", "e.ended", "e.n", "e.n_all"), "vocabulary")
-    facts = vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first()
-    tokens, distinct = facts[0] or 0, facts[1]
-    types = vocabulary.where("c > 0").select("word").distinct().count()
-    tasks = max(1, -(-distinct // BLOCK_WORDS))
-    spread = vocabulary.select("word", "ended", "n").repartition(tasks)
+    counted = docs.select("text", "held_out").mapInArrow(_count_words, "word binary, tail long, n long, n_all long")
+    pairs = stash(counted.groupBy("word", "tail").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")), "pairs")
+    whole = stash(pairs.groupBy("word").agg(F.sum("n").alias("c"), F.sum("n_all").alias("n_all")), "vocabulary")
+    tokens, types = whole.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    distinct = pairs.count()
+    spread = pairs.select("word", "tail", "n").repartition(max(1, -(-distinct // BLOCK_WORDS)))
     grams = stash(spread.mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    scored = stash(_word_scores(vocabulary, stash(_gram_scores(grams), "gram-bits"), distinct), "words")
+    costs = _pair_scores(pairs, stash(_gram_scores(grams), "gram-bits"), distinct)
+    scored = stash(costs.unionByName(whole.mapInArrow(_word_counts, "key long, bits double, n_all long, c long")), "scored")
     return _score_rows(docs, scored, tokens, types)
 
 
 def _frequent(scored: DataFrame) -> pd.DataFrame:
-    """The most frequent words, as many whole count levels as fit the bound, by key."""
+    """The most frequent words and pairs, as many whole count levels as fit the bound, by key."""
     level = F.floor(F.log("n_all") * 16).alias("level")
     room, least = FREQUENT, None
     for r in scored.groupBy(level).count().orderBy(F.desc("level")).collect():  # a few hundred levels
@@ -325,38 +368,32 @@ def _frequent(scored: DataFrame) -> pd.DataFrame:
 
 def _score_rows(docs: DataFrame, scored: DataFrame, tokens: int, types: int) -> DataFrame:
     known = _frequent(scored)
-    key, bits, count = known["key"].to_numpy(np.int64), known["bits"].to_numpy(np.float64), known["c"].to_numpy(np.int64)
+    key, bits, count = known["key"].to_numpy(np.int64), known["bits"].to_numpy(np.float64), known["c"].to_numpy(np.float64)
     scale = np.log10(float(tokens + types + 1))  # one added to each known token and to the unknown one
-    base = np.log10(count + 1.0) - scale
-    ended_of = np.frombuffer(_ENDED, np.uint8)
+    base = np.where(np.isnan(count), 0.0, np.log10(count + 1.0) - scale)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = raw(batch.column("text"))
             h, cut = words(data, bounds)
             n = np.diff(cut)
-            space = np.isin(data, np.frombuffer(b"\x20\x09\x0a\x0b\x0c\x0d", np.uint8))
-            last = ~space
-            last[:-1] &= space[1:]
-            stops = bounds[1:][np.diff(bounds) > 0] - 1
-            last[stops] = ~space[stops]
-            ends = ended_of[data[last]].astype(U)
-            # The end token follows each text's words; what precedes it is how the word before ended, or nothing at the start.
+            # The end token follows each text's words.
             at = cut + np.arange(len(cut))
             row = np.repeat(np.arange(len(n)), n + 1)
             all_h = np.full(len(h) + len(n), U(1))
             is_word = np.ones(len(all_h), bool)
             is_word[at[1:] - 1] = False
             all_h[is_word] = h
-            before = np.zeros(len(all_h), U)
-            before[np.flatnonzero(is_word) + 1] = ends
-            keys = mix(all_h + before * U(0xA0761D6478BD642F)).view(np.int64)
+            # Each token is looked up twice: as a word for its count, and with its tail for its bits.
+            keys = np.concatenate([_keys(all_h, np.full(len(all_h), _NO_TAIL)), _keys(all_h, _tails(data, bounds))])
+            row = np.tile(row, 2)
             some, inverse = np.unique(keys, return_inverse=True)
             spot = np.minimum(np.searchsorted(key, some), max(len(key) - 1, 0))
             hit = key[spot] == some if len(key) else np.zeros(len(some), bool)
             value = lambda v: np.where(hit, v[spot], 0.0) if len(key) else np.zeros(len(some))
             add = lambda v: np.bincount(row, v[inverse], len(n))
-            rare = ~hit[inverse]
+            rare = np.flatnonzero(~hit[inverse])
+            rare = rare[np.argsort(row[rare], kind="stable")]
             runs = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=len(n)))])
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("held_out"), batch.column("rid"), pa.array(n + 1), pa.array(add(value(count > 0)).astype(np.int64)), pa.array(add(value(base))),

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewise.llm import mixing, neardup
+from tablewise.llm import contextmix, mixing, neardup
 from tablewise.llm.components import components
 from tablewise.llm.contextmix import score_texts
 from tablewise.llm.decontaminate import find_leaks
@@ -151,6 +151,39 @@ def test_context_mixing_odd_rows(spark, odd):
     assert score_texts(odd.limit(0), F.lit(False)).count() == 0
 
 
+def test_contexts_are_the_true_last_bytes():
+    import pyarrow as pa
+
+    texts = ["The  cat\tsat", "", "a b c d e f g", " x", None, "Über alles!\n", "nospaceatall"]
+    data, bounds = contextmix.raw(pa.array(texts))
+    tails, at = contextmix._tails(data, bounds), 0
+    for t in texts:
+        found = (t or "").encode().lower().split()
+        line = bytes(6) + b"".join(w + b" " for w in found) + b"\n"
+        pieces = contextmix._pieces((t or "").encode().lower())
+        assert [p[6:] for p in pieces] == [*found, b""]
+        tail = np.array([int.from_bytes(p[:6], "big") for p in pieces])
+        assert tails[at: at + len(pieces)].tolist() == tail.tolist()
+        grams, _ = contextmix._grams(pa.array([p[6:] for p in pieces], pa.binary()), tail)
+        assert grams.tolist() == [int.from_bytes(line[k: k + 7], "big") for k in range(len(line) - 6)]
+        at += len(pieces)
+    assert at == len(tails)
+
+
+def test_context_mixing_sees_the_word_before(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    after = {"river": "bridge", "stone": "wall", "green": "leaf", "quiet": "house"}
+    told = [" ".join(f"{w} {after[w]}" for w in rng.choice(list(after), 12)) for _ in range(60)]
+    shuffled = [" ".join(rng.permutation(t.split())) for t in told]
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(told)] + [(1000 + i, t, True) for i, t in enumerate(shuffled)] + [(2000, "", True), (2001, told[0].replace(" ", " \n"), True)], "doc_id long, text string, held boolean")
+    got = {r.doc_id: r for r in score_texts(docs, F.col("held")).collect()}
+    assert sum(got[i].score for i in range(60)) > 0.7 * sum(got[1000 + i].score for i in range(60))
+    assert math.isclose(got[2001].score, got[0].score, rel_tol=1e-9)
+    monkeypatch.setattr(contextmix, "FREQUENT", 0)  # all words and pairs are joined
+    for r in score_texts(docs, F.col("held")).collect():
+        assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(r, got[r.doc_id], strict=True))
+
+
 def plain_targets(sizes, share=1.5):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(order)}
