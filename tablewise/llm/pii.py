@@ -36,17 +36,25 @@ _DIGIT = re.compile("[0-9]")
 _WORD = "|".join(DIGITS)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOTTED = rf"(?:\s+dot\s+|\s?{_OPEN}\s?(?:dot|\.)\s?{_CLOSE}\s?)"
+_LABELS = r"[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)*+"  # joined by plain dots
 _RULES = re.compile(
-    rf"(?P<at>\s?{_OPEN}\s?(?:at|@)\s?{_CLOSE}\s?|(?<=[A-Za-z0-9])\s+at\s+(?!(?:the|an?|this|that)\b)(?=[A-Za-z0-9-]{{1,63}}{_DOTTED}))"
+    rf"(?P<at>\s?{_OPEN}\s?(?:at|@)\s?{_CLOSE}\s?|(?<=[A-Za-z0-9])\s+at\s+(?!(?:the|an?|this|that)\b(?!\.))(?={_LABELS}{_DOTTED}[A-Za-z0-9]))"
+    rf"|(?P<plain_at>(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]{{1,63}}+\.[A-Za-z0-9]))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOTTED}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus\s+(?=[0-9(]|(?:{_WORD})\b))"
     rf"|(?P<digit>\b(?:{_WORD})\b)(?:[ -](?=(?:{_WORD})\b))?", re.IGNORECASE)
 # The screens of disguised(), over lower-cased text; each starts with what re finds fast. A "plus" before a digit word is found by that word.
 _BRACKETED = re.compile(rf"{_OPEN}\s?(?:at|@|dot|\.)\s?{_CLOSE}")
 _SPELLED_DOT = re.compile(r"\sdot\s")
+_SPELLED_AT = re.compile(r"\sat\s+[a-z0-9-]+\.[a-z0-9]")
 _SPELLED_PLUS = re.compile(r"plus\s+[0-9(]")
 _SPELLED_DIGIT = {w: re.compile(rf"{w}(?<=\b{w})\b") for w in DIGITS}
 _SAME_LETTER = {"\u017f": "s", "\u0130": "i", "\u0131": "i"}  # what re.IGNORECASE takes for a letter of the words, and lower() does not
+_LAST = re.compile(r"[A-Za-z0-9._%+-]++\Z")
+_LETTERS = re.compile("[A-Za-z]")
+_NO_LOCAL = frozenset(["us", "me", "him", "her", "them", "you", "page", "form", "address"])
+_TELLING = re.compile(r"[0-9._]")
+_INTRODUCED = re.compile(r"(?:mail|contact|kontakt|correo|courriel)(?:\s*:)?\s+\Z", re.IGNORECASE)
 _FOREIGN = re.compile("[\u00ad\u0370-\u04ff\u0660-\u0669\u06f0-\u06f9\u200b-\u200d\u2024\u2060\ufe50-\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 
 
@@ -97,11 +105,13 @@ def _ascii_of(c: str) -> str:
 
 
 def _rewrite(text: str, begins: list[int], ends: list[int], pattern: re.Pattern, write) -> tuple[str, list[int], list[int]]:
-    """Replace matches; begins and ends say for each written character which source characters it stands for."""
+    """Replace matches, except those that write gives None for; begins and ends say for each written character which source characters it stands for."""
     parts, b, e, done = [], [], [], 0
     for m in pattern.finditer(text):
         s, t = m.span()
         new = write(m)
+        if new is None:
+            continue
         parts += [text[done:s], new]
         b += begins[done:s] + [begins[s]] * len(new)
         e += ends[done:s] + [ends[t - 1]] * len(new)
@@ -113,7 +123,18 @@ def _rewrite(text: str, begins: list[int], ends: list[int], pattern: re.Pattern,
 _LETTER = str.maketrans(_SAME_LETTER)
 
 
-def _write(m: re.Match) -> str:
+def _is_address(text: str, end: int) -> bool:
+    """Whether what ends here reads as a local part: beside letters it holds a digit, dot or underscore, or a word for mail or contact
+    stands before it, and it is none that often follows those."""
+    local = _LAST.search(text, max(0, end - 64), end)
+    if not local or not _LETTERS.search(local[0]) or local[0].lower() in _NO_LOCAL:
+        return False
+    return bool(_TELLING.search(local[0]) or _INTRODUCED.search(text, max(0, local.start() - 24), local.start()))
+
+
+def _write(m: re.Match) -> str | None:
+    if m.lastgroup == "plain_at":
+        return "@" if _is_address(m.string, m.start()) else None
     return {"at": "@", "dot": ".", "plus": "+"}.get(m.lastgroup) or DIGITS[m["digit"].translate(_LETTER).lower()]
 
 
@@ -124,6 +145,8 @@ def disguised(text: str) -> bool:
     low = text.lower()
     if any(c in text for c in "[({<") and _BRACKETED.search(low) or "dot" in low and _SPELLED_DOT.search(low) or "plus" in low and _SPELLED_PLUS.search(low):
         return True
+    if "." in low and _SPELLED_AT.search(low):
+        return True
     return any(w in low and test.search(low) for w, test in _SPELLED_DIGIT.items())
 
 

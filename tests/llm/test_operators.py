@@ -326,6 +326,18 @@ def test_one_digit_word_or_plus_is_a_disguise():
         added_spans(t, plain_spans(t))
 
 
+def test_spelled_at_before_plain_dots():
+    cases = {"write john at mail.example dot com now": "john at mail.example dot com", "x jane at a.b [dot] example.org": "jane at a.b [dot] example.org",
+             "see john.doe at example.com": "john.doe at example.com", "see j_d at mail.example.com": "j_d at mail.example.com", "me7 at example.com": "me7 at example.com",
+             "E-Mail: john at example.com": "john at example.com", "contact jane at example.org": "jane at example.org"}
+    for text, want in cases.items():
+        assert [text[s:e] for _, s, e in added_spans(text, plain_spans(text))] == [want], text
+    for clean in ("meet at example.com", "we look at mail.example.com", "contact us. Look at example.com", "contact us at example.com", "in 2020 at example.com", "john at the.example dot"):
+        assert added_spans(clean, plain_spans(clean)) == [], clean
+    long = "a at " + "b." * 100_000 + " at  " * 50_000
+    assert added_spans(long, plain_spans(long)) == []
+
+
 def test_pii_odd_rows(spark, odd):
     got = find_pii(odd.withColumn("pii_base", F.lit("mine"))).select("doc_id", span_text(F.col("pii_base")).alias("s"), "pii_redacted", "keep").collect()
     assert len(got) == len(ODD) and all(r.s == "" and r.keep == "mine" for r in got) and [r.pii_redacted for r in got if r.doc_id == 1] == [None]
