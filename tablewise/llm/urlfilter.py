@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +15,7 @@ from tablewise.llm.shared import aside, bounded_broadcast, stash
 
 #: A link element with rel=canonical or a meta refresh, and the address in it.
 _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def host_of(url) -> F.Column:
@@ -24,24 +29,37 @@ def path_of(url) -> F.Column:
 
 
 def address_of(url) -> F.Column:
-    """The node of a url in the alias graph: host, path and query, without scheme and fragment; null if it has no host."""
-    host = host_of(url)
-    return F.when(host != "", F.concat(host, path_of(url), F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)))
+    """The node of a url in the alias graph: host, path (empty is /) and query, without scheme and fragment; null if it has no host."""
+    host, path = host_of(url), path_of(url)
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)))
 
 
 def absolute(base, link) -> F.Column:
-    """A link read on the page base: absolute, without scheme, from the host's root, or beside the page."""
-    scheme = F.regexp_extract(base, r"^([^:/?#]+)://", 1)
+    """A link read on the page base: absolute, without scheme, from the host's root, a query on the page's path, a fragment of the page, or
+    beside the page."""
+    scheme, path = F.regexp_extract(base, r"^([^:/?#]+)://", 1), path_of(base)
+    path = F.when(path == "", F.lit("/")).otherwise(path)
     root = F.concat(scheme, F.lit("://"), host_of(base))
     return (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(root, F.regexp_replace(path_of(base), r"[^/]*$", ""), F.when(path_of(base) == "", F.lit("/")).otherwise(F.lit("")), link)))
+            .when(link.startswith("/"), F.concat(root, link)).when(link.startswith("?"), F.concat(root, path, link)).when(link.startswith("#"), base)
+            .otherwise(F.concat(root, F.regexp_replace(path, r"[^/]*$", ""), link)))
+
+
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links with their character references (those that end in a semicolon) read; the few rows that declare a link reach Python."""
+    for batch in batches:
+        links = [_REFERENCE.sub(lambda m: html.unescape(m[0]), x) for x in batch.column("link").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array(links, pa.string())], ["url", "link"])
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(source, target) addresses of the canonical links and refresh redirects that pages (url, html) declare."""
+    """(source, target) addresses of all canonical links and refresh redirects that pages (url, html) declare, character references read."""
     def found(pattern: str) -> DataFrame:
-        link = F.regexp_extract("html", pattern, 1)
-        return pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", link.alias("link")).where("link != ''").select(
+        links = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select(F.col("url").cast("string").alias("url"), F.explode(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("link"))
+        return links.where("link != ''").mapInArrow(_decoded, "url string, link string").select(
             address_of(F.col("url")).alias("source"), address_of(absolute(F.col("url"), F.col("link"))).alias("target"))
     return found(_CANONICAL).union(found(_REFRESH))
 

@@ -260,6 +260,18 @@ def test_url_rules_and_aliases(spark):
     assert judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_url_aliases_on_real_html(spark):
+    rules = spark.createDataFrame([("block", "bad.org", "/")], "action string, host string, path string")
+    link = '<link rel="canonical" href="{}">'
+    pages = [(1, "http://a.com/1", link.format("http://free.org/") + link.format("http://bad.org/x")), (2, "http://b.com/", link.format("http://bad.org/?a=1&amp;b=2")),
+             (3, "http://c.com/s?a=1&b=2", '<meta http-equiv="refresh" content="0; url=http://bad.org/3">'), (4, "http://d.com/", link.format("http://c.com/s?a=1&amp;b=2")),
+             (5, "http://e.com", link.format("http://bad.org/5")), (6, "http://e.com/", None), (7, "http://f.com/dir/page?p=2", link.format("http://bad.org/7")),
+             (8, "http://f.com/dir/page", link.format("?p=2")), (9, "http://g.com/", '<meta http-equiv="refresh" content="0; url=http://c.com/s?a=1&#38;b=2">'),
+             (10, "http://h.com/dir/page", link.format("#top")), (11, "http://h.com/dir/", link.format("http://bad.org/11")), (12, "http://free.org/", None), (13, "http://f.com/dir/?p=2", None)]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert {i for i, v in got.items() if v == "allow"} == {10, 13} and len(got) == 13
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = np.random.default_rng(4)
     rows = [(i, prose(rng, 60) + (" scum, idiot!" if i % 7 == 0 else "") + (" moron LOSER stupid trash" if i % 14 == 0 else "")) for i in range(700)] + [(9001, None), (9002, "")]
