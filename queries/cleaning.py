@@ -278,6 +278,21 @@ def cl29(spark, sf):
                     F.count_if(F.col("status").isNull()).alias("missing_status"), F.count_distinct("priority").alias("priorities"))
 
 
+_KEY = "regexp_replace(lower(priority), '[^\\p{L}\\p{N}]+', '', 'g')"
+
+
+@query("cl29_cleaned_values", f"""
+    with d as {dirty_sql()}, best as (select k, first(trim(priority) order by n desc, priority) as label from (select priority, {_KEY} as k, count(*) as n from d group by all) group by k),
+    c as (select coalesce(price, {half_up('select avg(price) from d')}) as price, coalesce(status, (select status from d where status is not null group by 1 order by count(*) desc, 1 limit 1)) as status, best.label as priority
+          from d join best on best.k = {_KEY})
+    select status, priority, count(*) as "rows", {r('sum(price)', 2)} as total, {r('min(price)', 2)} as lowest from c group by all""")
+def cl29b(spark, sf):
+    """Every value after cleaning: gaps filled with mean and mode, spellings made one."""
+    metas = [ColumnMeta("o_orderkey", "id"), ColumnMeta("price", "number"), ColumnMeta("status", "category"), ColumnMeta("priority", "category")]
+    done, _, _ = auto_clean(dirty(spark, sf, "o_orderkey", "price", "status", "priority"), metas)
+    return rounded(done.groupBy("status", "priority").agg(F.count(F.lit(1)).alias("rows"), F.sum("price").alias("total"), F.min("price").alias("lowest")), 2)
+
+
 @query("cl30_lineage", f"""
     select 1 as seq, 'fill_missing' as op, count(*) as row_count from {dirty_sql()} union all select 2, 'text_clean', count(*) from {dirty_sql()}
     union all select 3, 'derive', count(*) from {dirty_sql()}

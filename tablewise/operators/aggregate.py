@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewise.meta import is_numeric, is_temporal
 from tablewise.operators.filters import filtered_view
-from tablewise.operators.ordered import IN_MEMORY_BYTES, estimated_bytes, quantiles
+from tablewise.operators.ordered import quantiles
 from tablewise.operators.scalars import numeric
 
 # --- fixed values -----------------------------------------------------------
@@ -102,21 +102,20 @@ def _groups(df: DataFrame, spec: AggSpec) -> DataFrame:
     rows = _keyed(df, spec)
     metrics = list(spec.metrics)
     medians = [m for m in metrics if m[1] == "median"]
-    spread = medians and estimated_bytes(rows) > IN_MEMORY_BYTES
-    direct = [m for m in metrics if not (spread and m[1] == "median")]
-    aggregates = [metric_column(c, a).alias(metric_name(c, a)) for c, a in direct]
-    if not spec.by and not spread:
-        out = rows.agg(*aggregates, F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 0).drop("__n")
-        return out
+    aggregates = [metric_column(c, a).alias(metric_name(c, a)) for c, a in metrics if a != "median"]
+    if not medians:
+        if not spec.by:
+            return rows.agg(*aggregates, F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 0).drop("__n")
+        return rows.groupBy(*spec.by).agg(*aggregates)
     by = spec.by or ("__all",)  # a constant key lets the global median take the same way as the grouped one
     rows = rows if spec.by else rows.withColumn("__all", F.lit(0))
-    out = rows.groupBy(*by).agg(*aggregates) if aggregates else rows.select(*by).distinct()
-    if spread:
-        for col, agg in medians:
-            clean = rows.withColumn(col, numeric(F.col(col)))
-            out = out.join(quantiles(clean, col, {metric_name(col, agg): 0.5}, by, "ranges"), list(by), "left")
-        out = out.select(*spec.by, *[metric_name(c, a) for c, a in metrics])
-    return out
+    out = rows.groupBy(*by).agg(*aggregates, F.count(F.lit(1)).alias("__n"))
+    for col, agg in medians:
+        clean = rows.withColumn(col, numeric(F.col(col)))
+        keyed = quantiles(clean, col, {metric_name(col, agg): 0.5}, list(by)).withColumnsRenamed({k: f"__r{i}" for i, k in enumerate(by)})
+        on = [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(by)]
+        out = out.join(keyed, on, "left").drop(*[f"__r{i}" for i in range(len(by))])
+    return out.select(*spec.by, *[metric_name(c, a) for c, a in metrics])
 
 
 def default_order(df: DataFrame, spec: AggSpec, out: DataFrame) -> list[Column]:

@@ -33,7 +33,8 @@ def mode_value(df: DataFrame, col: str) -> Column:
     return counts.orderBy(F.col("n").desc(), F.col(col)).limit(1).select(col).scalar()
 
 
-def fill_missing(df: DataFrame, col: str, method: str, value=None, order_by=None, partition_by=(), quantile_method: str = "auto") -> DataFrame:
+def fill_missing(df: DataFrame, col: str, method: str, value=None, order_by=None, partition_by=(), quantile_method: str = "exact", known=None) -> DataFrame:
+    """``known`` is the mean, median or mode where the caller has it already; otherwise it is found here."""
     _need(df, col)
     if method in ("ffill", "bfill", "interpolate"):
         if not order_by:
@@ -41,7 +42,9 @@ def fill_missing(df: DataFrame, col: str, method: str, value=None, order_by=None
         fn = {"ffill": fill_forward, "bfill": fill_backward, "interpolate": interpolate}[method]
         return fn(df, col, list(order_by), list(partition_by))
     c = _value(df, col)
-    if method == "mean":
+    if known is not None and method in ("mean", "median", "mode"):
+        fill = js_round(F.lit(float(known)), 2) if is_numeric(df, col) else F.lit(known)
+    elif method == "mean":
         fill = js_round(df.agg(F.avg(c).alias("m")).scalar(), 2)
     elif method == "median":
         fill = js_round(scalar_quantiles(df.select(c.alias(col)), col, quantile_method, m=0.5)["m"], 2)
@@ -102,8 +105,11 @@ def invalid_count(df: DataFrame, col: str, to: str, **kw) -> DataFrame:
     return both.agg(F.count_if(lost).alias("invalid"))
 
 
-def text_clean(df: DataFrame, col: str, fn: str) -> DataFrame:
+def text_clean(df: DataFrame, col: str, fn: str, known: dict[str, str] | None = None) -> DataFrame:
+    """``known`` are the rewrites of standardize where the caller has them already; otherwise they are found here."""
     _need(df, col)
+    if fn == "standardize" and known:
+        return df.withColumn(col, F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.col(col)], F.col(col)))
     if fn == "standardize":
         return standardize_labels(df, col)
     rewrites = {"trim": squish, "lower": F.lower, "upper": F.upper, "title": title_case, "remove_special": keep_plain}
@@ -137,7 +143,7 @@ def squish_ends(c: Column) -> Column:
     return squeeze_ends(c)
 
 
-def fences(df: DataFrame, col: str, method: str = "iqr", k: float | None = None, quantile_method: str = "auto") -> Column:
+def fences(df: DataFrame, col: str, method: str = "iqr", k: float | None = None, quantile_method: str = "exact") -> Column:
     """Lower and upper bound as one one-row subquery; a measure that is never negative keeps its own minimum as floor."""
     if method not in FENCE_WIDTH:
         raise ValueError(f"Unknown outlier method: {method}")
@@ -158,9 +164,10 @@ def fences(df: DataFrame, col: str, method: str = "iqr", k: float | None = None,
     return marks.select(F.struct(low.alias("low"), "high").alias("s")).scalar()
 
 
-def outliers(df: DataFrame, col: str, method: str = "iqr", action: str = "cap", k: float | None = None, quantile_method: str = "auto") -> DataFrame:
+def outliers(df: DataFrame, col: str, method: str = "iqr", action: str = "cap", k: float | None = None, quantile_method: str = "exact", known: tuple[float, float] | None = None) -> DataFrame:
+    """``known`` are the two bounds where the caller has them already; otherwise they are found here."""
     _need(df, col)
-    bounds = fences(df, col, method, k, quantile_method)
+    bounds = dict(zip(("low", "high"), map(F.lit, known), strict=True)) if known else fences(df, col, method, k, quantile_method)
     v = numeric(F.col(col))
     if action == "cap":
         return df.withColumn(col, F.when(v < bounds["low"], bounds["low"]).when(v > bounds["high"], bounds["high"]).otherwise(v))

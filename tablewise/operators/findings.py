@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.tails import chi2_upper, f_upper, t_two_sided
 from tablewise.operators import series as ts
-from tablewise.operators.aggregate import auto_grain, default_agg, metric_column
-from tablewise.operators.hypothesis import anova, chi_square
+from tablewise.operators.aggregate import COUNT_NAME, metric_column, non_additive_by_name
+from tablewise.operators.cube import Evidence, evidence_cube
 from tablewise.operators.moments import pearson
 from tablewise.operators.profile import Profile, build_profile
 from tablewise.operators.scalars import numeric
@@ -65,87 +67,132 @@ def unusual_cells(df: DataFrame, outcome: str, positive: str, dims: list[str], m
     return cells.withColumn("rate", rate).withColumn("z", F.try_divide(F.col("rate") - overall, F.sqrt(overall * (1 - overall) / F.col("n"))))
 
 
-def _time_findings(df: DataFrame, p: Profile, measure, agg, out: list) -> None:
-    date = p.roles["date"]
-    grain = auto_grain(df, date)
-    frame = ts.period_values(df, date, measure, agg, grain)
+def alpha_finding(row) -> dict | None:
+    return None if row["alpha"] is None else _finding("alpha", "Survey", 60, "High", alpha=row["alpha"], items=row["k"], n=row["n"])
+
+
+def quality_finding(p: Profile) -> dict | None:
+    """The data's health, if it is below 90 or anything is worse than a remark."""
+    if p.health["score"] >= 90 and all(i["severity"] == "info" for i in p.issues):
+        return None
+    return _finding("quality", "Quality", 75 if p.health["score"] < 85 else 40, "High", issues=len(p.issues), score=p.health["score"])
+
+
+def series_facts(values: list[float], periods: list) -> dict:
+    """What the finders want to know of one reduced series in time order: its correlation with time, the change between its halves, the
+    largest change with whether it stands out, and the rises it ends with. The frame it comes from has one row a calendar bucket."""
+    n = len(values)
+    y, x = np.array(values, dtype=float), np.arange(n)
+    with np.errstate(all="ignore"):
+        r = float(np.corrcoef(x, y)[0, 1]) if n > 1 else math.nan
+    first, last = (y[: n // 2].mean(), y[n - n // 2:].mean()) if n > 1 else (0.0, 0.0)
+    moves = [(b / a - 1 if a else 0.0) for a, b in zip(values, values[1:])]
+    jump = max(((abs(m), -i) for i, m in enumerate(moves) if m), default=None)
+    change = moves[-jump[1]] if jump else None
+    spread = float(np.std(moves, ddof=1)) if len(moves) > 1 else None
+    streak = 0
+    while streak < n - 1 and values[n - 1 - streak] > values[n - 2 - streak]:
+        streak += 1
+    return {"n": n, "r": None if math.isnan(r) else r, "change": last / first - 1 if first else None, "jump": change, "jump_period": periods[1 - jump[1]] if jump else None,
+            "flagged": bool(jump and spread is not None and abs(change) > 0.15 and abs(change) > 1.8 * spread), "streak": streak}
+
+
+def series_findings(facts: dict, grain: str, additive: bool) -> list[dict]:
+    """Trend, spike and streak of one series of at least four periods."""
+    out, n, r, change = [], facts["n"], facts["r"], facts["change"]
+    if n < 4:
+        return out
+    p_value = t_two_sided(r * ((n - 2) / max(1e-12, 1 - r * r)) ** 0.5, n - 2) if r is not None else None
+    weak = p_value is not None and p_value > 0.05
+    if change is not None and not (weak and abs(change) < 0.05):
+        out.append(_finding("trend", "Trend", (55 if weak else 90) + min(10, abs(change) * 20), confidence(p_value, n), grain=grain, r=r, change=change))
+    if additive and facts["flagged"]:
+        out.append(_finding("spike", "Anomaly", 80 + min(10, abs(facts["jump"]) * 10), "Medium", period=facts["jump_period"], change=facts["jump"]))
+    if facts["streak"] >= 3:
+        out.append(_finding("streak", "Trend", 70 + facts["streak"], "Medium", periods=facts["streak"]))
+    return out
+
+
+def time_findings(df: DataFrame, date: str, measure: str | None, agg: str, grain: str) -> list[dict]:
+    """The findings along time; one aggregate, whose rows are calendar buckets."""
     additive = agg in ("sum", "count")
-    if additive and grain != "year":
-        frame = ts.drop_partial_tail(frame, longer_than=4)
-    frame = frame.persist()
-    trend, half = ts.trend_fit(frame).first(), ts.half_split_change(frame).first()
-    n = trend["n"]
-    if n >= 4:
-        r = trend["r"]
-        p_value = t_two_sided(r * ((n - 2) / max(1e-12, 1 - r * r)) ** 0.5, n - 2) if r is not None and r == r else None
-        change = half["change"]
-        weak = p_value is not None and p_value > 0.05
-        if change is not None and not (weak and abs(change) < 0.05):
-            out.append(_finding("trend", "Trend", (55 if weak else 90) + min(10, abs(change) * 20), confidence(p_value, n), grain=grain, r=r, change=change))
-        jump = ts.largest_jump(frame).first()
-        if additive and jump["flagged"]:
-            out.append(_finding("spike", "Anomaly", 80 + min(10, abs(jump["change"]) * 10), "Medium", period=jump["period"], change=jump["change"]))
-        streak = ts.growth_streak(frame).first()["streak"]
-        if streak >= 3:
-            out.append(_finding("streak", "Trend", 70 + streak, "Medium", periods=streak))
-    frame.unpersist()
-
-
-def discover(df: DataFrame, metas=None, profile: Profile | None = None) -> DataFrame:
-    """Everything worth telling about the data, strongest first."""
+    rows = sorted((r["period"], r["value"]) for r in ts.period_values(df, date, measure, agg, grain).collect())
+    values = [v for _, v in rows]
+    if additive and grain != "year" and len(values) > 4 and values[-1] < sum(values[-4:-1]) / 3 * 0.5:  # a last period that is not over yet
+        rows, values = rows[:-1], values[:-1]
+    return series_findings(series_facts(values, [p for p, _ in rows]), grain, additive)
+
+
+def findings_frame(spark, found: list[dict]) -> DataFrame:
+    """Findings as rows, strongest first."""
+    ranked = sorted(found, key=lambda f: -f["score"])
+    return spark.createDataFrame([(i + 1, f["id"], f["kind"], f["score"], f["confidence"], f["evidence"]) for i, f in enumerate(ranked)], FINDING_SCHEMA)
+
+
+def discover(df: DataFrame, metas=None, profile: Profile | None = None, share_dims: int | None = 4, linked_dims: int | None = 5, skewed: int | None = 6) -> DataFrame:
+    """Everything worth telling about the data, strongest first.
+
+    Beside the profile it takes three aggregates: the evidence cube (shares, group tests, unusual cells and associations), the series and
+    the correlations. share_dims, linked_dims and skewed say how many dimensions and numbers are looked at from the left; None is all."""
     p = profile or build_profile(df, metas)
-    spark = df.sparkSession
     measure = p.roles["measure"]
     meta = p.meta(measure) if measure else None
-    agg = default_agg(df, measure, meta.unit if meta else None, bool(meta and meta.likert))
+    agg = _measure_agg(p, measure, meta)
+    additive = agg in ("sum", "count")
     dims = p.roles["dims"]
+    near = [d for d in dims[:linked_dims] if p.columns[d]["unique"] <= 12]
+    outcome = next((m.name for m in p.metas if m.type == "category" and p.columns[m.name]["unique"] == 2 and re.search(OUTCOME_NAME, m.name, re.I)), None)
+    others = [d for d in dims[:share_dims] if d != outcome] if outcome else []
     out: list[dict] = []
+    hit = None
+    if outcome:
+        values = sorted(v for v, _ in p.columns[outcome]["top"])
+        hit = F.col(f"`{outcome}`").cast("string") == next((v for v in values if re.match(POSITIVE_VALUE, v, re.I)), values[0])
+    pairs = list(dict.fromkeys([*combinations(others, 2), *combinations(near, 2)]))
+    named = list(dict.fromkeys([*dims[:share_dims], *near]))
+    evidence = Evidence.of(evidence_cube(df, named, measure, hit, pairs)) if named else Evidence()
     dominant = None
     if measure and agg == "sum" and p.rows >= 30:
-        row = dominant_value(df, measure).first()
-        if row["share"] is not None and row["share"] > 0.2:
-            dominant = row
+        c = p.columns[measure]
+        share = c["max"] / c["positive"] if c.get("positive") else None
+        if share is not None and share > 0.2:
+            dominant = {"share": share, "largest": c["max"]}
     if p.roles["date"]:
-        _time_findings(df, p, measure, agg, out)
-    for d in dims[:4]:
-        if agg in ("sum", "count"):
-            row = leading_share(df, d, measure).first()
+        out += time_findings(df, p.roles["date"], measure, agg, p.columns[p.roles["date"]]["grain"])
+    for d in dims[:share_dims]:
+        if additive:
+            row = evidence.leading_share(d, measure is not None)
             if row["groups"] >= 2 and row["share"] is not None and row["times_even"] > 1.3 and row["groups"] <= 30:
                 out.append(_finding(f"share_{d}", "Segment", 60 + row["times_even"] * 5, "High", level=row["level"], share=row["share"], groups=row["groups"]))
         if measure and sum(o["id"].startswith("anova_") for o in out) < 2:
-            row = anova(df, measure, d).first()
+            row = evidence.anova(d)
             if row and row["f"] is not None:
                 pf = f_upper(row["f"], row["df1"], row["df2"])
                 if pf < 0.05 and row["eta2"] >= 0.01:
                     out.append(_finding(f"anova_{d}", "Segment", 55 + row["eta2"] * 150 + (10 if pf < 0.001 else 0), confidence(pf, row["df2"]), f=row["f"], eta2=row["eta2"], p=pf))
-    outcome = next((m.name for m in p.metas if m.type == "category" and p.columns[m.name]["unique"] == 2 and re.search(OUTCOME_NAME, m.name, re.I)), None)
-    others = [d for d in dims[:4] if d != outcome]
-    if outcome and len(others) >= 2:
-        values = sorted(str(r[0]) for r in df.select(outcome).where(F.col(outcome).isNotNull()).distinct().collect())
-        positive = next((v for v in values if re.match(POSITIVE_VALUE, v, re.I)), values[0])
-        best = unusual_cells(df, outcome, positive, others).orderBy(F.col("z").desc_nulls_last(), "dim_a", "dim_b", "a", "b").first()
-        if best and best["z"] is not None and best["z"] > 3:
-            out.append(_finding("combo", "Anomaly", 88 + min(8, best["z"]), "High" if best["z"] > 4 else "Medium", a=best["a"], b=best["b"], rate=best["rate"], z=best["z"]))
+    best = evidence.unusual_cell(others) if len(others) >= 2 else None
+    if best and best["z"] > 3:
+        out.append(_finding("combo", "Anomaly", 88 + min(8, best["z"]), "High" if best["z"] > 4 else "Medium", a=best["a"], b=best["b"], rate=best["rate"], z=best["z"]))
     numbers = [c for c in p.roles["numeric"] if p.columns[c]["unique"] > 5]
     if len(numbers) >= 2:
-        pairs = []
-        for row in pearson(df, numbers).where((F.abs("r") < 0.985) & (F.abs("r") >= 0.2) & (F.col("n") >= 10)).orderBy(F.abs("r").desc(), "column_a", "column_b").collect():
+        told = []
+        for row in sorted((r for r in pearson(df, numbers).collect() if 0.2 <= abs(r["r"]) < 0.985 and r["n"] >= 10), key=lambda r: (-abs(r["r"]), r["column_a"], r["column_b"])):
             pr = t_two_sided(row["t"], row["n"] - 2)
             if pr < 0.01:
-                pairs.append((row, pr))
-        for i, (row, pr) in enumerate(pairs[:2]):
+                told.append((row, pr))
+        for i, (row, pr) in enumerate(told[:2]):
             out.append(_finding(f"corr_{i}", "Relationship", 50 + abs(row["r"]) * 40, confidence(pr, row["n"]), a=row["column_a"], b=row["column_b"], r=row["r"]))
     linked = None
-    for a, b in combinations([d for d in dims[:5] if p.columns[d]["unique"] <= 12], 2):
-        row = chi_square(df, a, b).first()
-        if row["df"] and row["df"] > 0:
+    for a, b in combinations(near, 2):
+        row = evidence.chi_square(a, b)
+        if row["df"] > 0:
             pc = chi2_upper(row["chi2"], row["df"])
             if pc < 0.01 and 0.15 < row["cramers_v"] < 0.95 and (linked is None or row["cramers_v"] > linked[2]["cramers_v"]):
                 linked = (a, b, row, pc)
     if linked:
         a, b, row, pc = linked
         out.append(_finding("assoc", "Relationship", 45 + row["cramers_v"] * 60, confidence(pc, row["n"]), a=a, b=b, v=row["cramers_v"]))
-    for c in numbers[:6]:
+    for c in numbers[:skewed]:
         d = p.columns[c]
         if d["n"] >= 30 and d["skew"] is not None and abs(d["skew"]) > 1.5:
             out.append(_finding(f"skew_{c}", "Distribution", 35 + min(15, abs(d["skew"]) * 4), "High", skew=d["skew"], mean=d["mean"], median=d["median"]))
@@ -155,11 +202,8 @@ def discover(df: DataFrame, metas=None, profile: Profile | None = None) -> DataF
         top, bottom = max(rows, key=lambda r: r["top_two"]), max(rows, key=lambda r: r["bottom_two"])
         out.append(_finding("likert", "Survey", 85, "High", item=top["item"], top_two=top["top_two"], lowest=bottom["item"], bottom_two=bottom["bottom_two"]))
         if len(likert) >= 3:
-            row = cronbach_alpha(df, likert).first()
-            if row["alpha"] is not None:
-                out.append(_finding("alpha", "Survey", 60, "High", alpha=row["alpha"], items=row["k"], n=row["n"]))
-    if p.health["score"] < 90 or any(i["severity"] != "info" for i in p.issues):
-        out.append(_finding("quality", "Quality", 75 if p.health["score"] < 85 else 40, "High", issues=len(p.issues), score=p.health["score"]))
+            out += [f for f in [alpha_finding(cronbach_alpha(df, likert).first())] if f]
+    out += [f for f in [quality_finding(p)] if f]
     for f in out:
         split = re.match(r"^(share_|anova_)(.+)$", f["id"])
         if split and (p.inconsistent.get(split.group(2)) or p.columns[split.group(2)]["whitespace"]):
@@ -170,6 +214,15 @@ def discover(df: DataFrame, metas=None, profile: Profile | None = None) -> DataF
             if f["id"] in ("trend", "spike", "streak") or re.match(r"^(share_|anova_)", f["id"]):
                 f["confidence"], f["score"] = "Low", f["score"] - 30
         out.append(_finding("dominant", "Anomaly", 96, "High", share=dominant["share"], value=dominant["largest"]))
-    ranked = sorted(out, key=lambda f: -f["score"])
-    rows = [(i + 1, f["id"], f["kind"], f["score"], f["confidence"], f["evidence"]) for i, f in enumerate(ranked)]
-    return spark.createDataFrame(rows, FINDING_SCHEMA)
+    return findings_frame(df.sparkSession, out)
+
+
+def _measure_agg(p: Profile, measure: str | None, meta) -> str:
+    """The measure's default aggregation, read off the profile: what all lies between 0 and 10 in whole numbers is a rating."""
+    if measure is None:
+        return "count"
+    if non_additive_by_name(measure, meta.unit, meta.likert):
+        return "mean"
+    c = p.columns[measure]
+    rating = bool(c.get("n")) and c["whole"] and c["min"] >= 0 and c["max"] <= 10
+    return "mean" if rating and not re.search(COUNT_NAME, measure, re.I) else "sum"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.tails import normal_cdf, p_chi2, p_f, p_normal, p_t, t_critical
 from tablewise.operators.ordered import quantiles, value_ranks
-from tablewise.operators.pivots import among, crosstab_cells, leading_levels
+from tablewise.operators.pivots import among, leading_levels
 from tablewise.operators.scalars import numeric
+from tablewise.session import cut_lineage
 
 
 def _values(df: DataFrame, measure: str, group: str) -> DataFrame:
@@ -139,26 +141,58 @@ def chi_square_cells(df: DataFrame, a: str, b: str, k: int = 12) -> DataFrame:
     return cells.withColumn("residual", (F.col("n") - F.col("expected")) / F.sqrt("expected"))
 
 
+HELD_CELLS = 100_000  # a cube of no more cells is evaluated where it is collected
+CHI_COLUMNS = "n long, chi2 double, df long, cramers_v double, low_expected double"
+
+
 def chi_square(df: DataFrame, a: str, b: str, k: int | None = None) -> DataFrame:
-    """Chi-square of all levels, or of the top ``k`` of either column. Only cells that hold rows are formed: the empty ones add up to
-    what the expected counts of the others leave of n, and cells of low expectation are counted from the two margins."""
-    cells = crosstab_cells(df, a, b, k).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), "n")
-    rows, cols = (cells.groupBy(c).agg(F.sum("n").alias(f"n_{c}")) for c in "ab")
-    total = cells.agg(F.sum("n").alias("n")).scalar()
-    expected = F.col("n_a") * F.col("n_b") / total
-    held = cells.join(rows, "a").join(cols, "b").agg(
-        F.sum((F.col("n") - expected) * (F.col("n") - expected) / expected).alias("held"), F.sum(expected).alias("expected"), F.sum("n").alias("n"))
+    """Chi-square of all levels, or of the top ``k`` of either column.
+
+    One Expand over {a, b}, {a} and {b} counts cells and margins in one scan. A cube of at most HELD_CELLS rows is evaluated on the driver;
+    a larger one is written to the shared folder and joined there. Empty cells are never formed: over the cells that hold rows, the sum
+    of n^2 / (row total * column total) gives the statistic, and cells of low expectation are counted from the two margins."""
+    pairs = df.select(*[F.col(f"`{c}`").cast("string").alias(x) for c, x in ((a, "a"), (b, "b"))])
+    pairs = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull()) if k is None else pairs
+    cube = pairs.groupingSets([[F.col("a"), F.col("b")], [F.col("a")], [F.col("b")]], F.col("a"), F.col("b")).agg(F.grouping_id().alias("set"), F.count(F.lit(1)).alias("n"))
+    rows = cube.limit(HELD_CELLS + 1).toArrow()
+    row = _chi_held(rows.to_pandas(), k) if rows.num_rows <= HELD_CELLS else _chi_written(cut_lineage(cube), k)
+    return df.sparkSession.createDataFrame([row], CHI_COLUMNS)
+
+
+def _chi_row(n: int, q: float | None, r: int, c: int, low: float | None) -> tuple:
+    """The result from the sum q, the numbers of levels and the number of cells of low expectation."""
+    chi2 = max(0.0, n * (q - 1)) if n else None
+    return n, chi2, (r - 1) * (c - 1), (chi2 / (n * max(1, min(r, c) - 1))) ** 0.5 if n else None, low / (r * c) if r and c else None
+
+
+def _chi_held(cube, k: int | None) -> tuple:
+    cells = cube[(cube["set"] == 0) & cube["a"].notna() & cube["b"].notna()]
+    for c, at in (("a", 1), ("b", 2)):
+        if k is not None:
+            margin = cube[(cube["set"] == at) & cube[c].notna()].sort_values(["n", c], ascending=[False, True])
+            cells = cells[cells[c].isin(margin[c].iloc[:k])]
+    r, c = cells.groupby("a")["n"].sum(), cells.groupby("b")["n"].sum()
+    n = int(cells["n"].sum())
+    q = float((cells["n"] / cells["a"].map(r) * cells["n"] / cells["b"].map(c)).sum()) if n else None
+    low = int(np.searchsorted(np.sort(c.to_numpy()), -(-5 * n // r.to_numpy()), side="left").sum()) if n else None
+    return _chi_row(n, q, len(r), len(c), low)
+
+
+def _chi_written(cube: DataFrame, k: int | None) -> tuple:
+    cells = cube.where((F.col("set") == 0) & F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b", "n")
+    rows, cols = (cube.where((F.col("set") == at) & F.col(c).isNotNull()).select(c, F.col("n").alias(f"n_{c}")) for c, at in (("a", 1), ("b", 2)))
+    if k is not None:  # at most k * k cells, whose margins are sums over them
+        for c, margin in (("a", rows), ("b", cols)):
+            cells = cells.join(F.broadcast(margin.orderBy(F.col(f"n_{c}").desc(), c).limit(k).select(c)), c, "left_semi")
+        rows, cols = (cells.groupBy(c).agg(F.sum("n").alias(f"n_{c}")) for c in "ab")
+    held = cells.join(rows, "a").join(cols, "b").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("n") / F.col("n_a") * F.col("n") / F.col("n_b")).alias("q")).first()
     # A cell is low if n_a * n_b < 5 n. Margins of one size go together: n rows have at most sqrt(2 n) different sizes.
-    bound = F.ceil(F.lit(5) * total / F.col("n_a"))
-    points = rows.groupBy("n_a").agg(F.count(F.lit(1)).alias("r")).select(bound.alias("at"), "r", F.lit(0).cast("long").alias("c")).union(
+    points = rows.groupBy("n_a").agg(F.count(F.lit(1)).alias("r")).select(F.ceil(F.lit(5 * held["n"]) / F.col("n_a")).alias("at"), "r", F.lit(0).cast("long").alias("c")).union(
         cols.groupBy("n_b").agg(F.count(F.lit(1)).alias("c")).select(F.col("n_b").alias("at"), F.lit(0).cast("long"), "c"))
     under = Window.orderBy("at", F.col("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    low = points.withColumn("under", F.sum("c").over(under)).agg(F.sum(F.col("r") * F.col("under")).alias("low"), F.sum("r").alias("r"), F.sum("c").alias("c"))
-    fact = lambda name: low.select(name).scalar()
-    row = held.select("n", (F.col("held") + F.greatest(F.lit(0.0), F.col("n") - F.col("expected"))).alias("chi2"), fact("r").alias("r"), fact("c").alias("c"),
-                                                    (fact("low") / (fact("r") * fact("c"))).alias("low_expected"))
-    span = F.greatest(F.lit(1), F.least(F.col("r") - 1, F.col("c") - 1))
-    return row.select("n", "chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), F.sqrt(F.col("chi2") / (F.col("n") * span)).alias("cramers_v"), "low_expected")
+    low = points.withColumn("under", F.sum("c").over(under)).agg(
+        *[F.coalesce(x, F.lit(0)) for x in (F.sum("r"), F.sum("c"), F.sum(F.col("r") * F.col("under")))]).first()
+    return _chi_row(held["n"], held["q"], *low)
 
 
 def chi_square_test(df: DataFrame, a: str, b: str, k: int | None = None) -> DataFrame:

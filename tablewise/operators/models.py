@@ -12,7 +12,7 @@ from tablewise.functions.tails import f_upper, p_t
 from tablewise.meta import is_numeric
 from tablewise.operators.moments import union_all
 from tablewise.operators.ordered import value_ranks
-from tablewise.operators.scalars import numeric
+from tablewise.operators.scalars import correlation_of, numeric
 
 MAX_LEVELS = 12  # indicators of one column; rarer levels share the indicator OTHER
 OTHER = "(other)"
@@ -64,13 +64,13 @@ def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
     a, b = numeric(F.col(x)), numeric(F.col(y))
     both = df.select(a.alias("x"), b.alias("y")).dropna()
     return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"),
-                    F.coalesce(F.regr_intercept("y", "x"), F.avg("y")).alias("intercept"), F.corr("x", "y").alias("r"))
+                    F.coalesce(F.regr_intercept("y", "x"), F.avg("y")).alias("intercept"), correlation_of(F.col("x"), F.col("y")).alias("r"))
 
 
 def top_predictors(df: DataFrame, target: str, candidates: list[str], k: int = 4) -> DataFrame:
     """Numeric columns most correlated with the target, in one aggregation."""
     y = numeric(F.col(target))
-    packed = F.array(*[F.struct(F.lit(c).alias("column"), F.corr(numeric(F.col(c)), y).alias("r")) for c in candidates])
+    packed = F.array(*[F.struct(F.lit(c).alias("column"), correlation_of(numeric(F.col(c)), y).alias("r")) for c in candidates])
     return df.agg(packed.alias("t")).select(F.inline("t")).where(F.col("r").isNotNull()).orderBy(F.abs("r").desc(), "column").limit(k)
 
 

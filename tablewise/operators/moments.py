@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.tails import p_chi2, p_t
-from tablewise.operators.ordered import IN_MEMORY_BYTES, estimated_bytes, quantiles, spread, value_ranks
-from tablewise.operators.scalars import numeric
+from tablewise.operators.ordered import value_ranks
+from tablewise.operators.scalars import correlation_of, numeric
 
 QUANTILE_POINTS = {"p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
 # Aggregates per pass: keeps generated code within the JIT's limits.
 CHUNK = 60
-COLUMNS_PER_PASS = 10
-
-
-def adjusted_skewness(n: Column, g1: Column, sd: Column) -> Column:
-    """Sample skewness G1 from Spark's population skewness."""
-    return F.when(n < 3, F.lit(None)).when(sd == 0, 0.0).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def adjusted_kurtosis(n: Column, g2: Column, sd: Column) -> Column:
-    """Sample excess kurtosis G2 from Spark's population excess kurtosis."""
-    return F.when(n < 4, F.lit(None)).when(sd == 0, 0.0).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -34,64 +24,87 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def column_quantiles(values: DataFrame, cols: list[str], method: str) -> dict[str, list]:
-    """Quantile points of every column; a handful of numbers per column reaches the driver."""
-    probs = list(QUANTILE_POINTS.values())
-    if method == "memory":
-        spots = [F.percentile(F.col(c), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i, c in enumerate(cols)]
-        row = spread(values).agg(*spots).first()
-        return {c: row[i] or [None] * len(probs) for i, c in enumerate(cols)}
-    found = quantiles(values.unpivot([], cols, "column", "v"), "v", QUANTILE_POINTS, ["column"], method).collect()
-    out = {c: [None] * len(probs) for c in cols}
-    out.update({row["column"]: [row[n] for n in QUANTILE_POINTS] for row in found})
-    return out
+DESCRIBED = ("n", "mean", "sd", "min", *QUANTILE_POINTS, "max", "iqr", "skew", "kurt", "cv", "sum", "zeros", "outliers", "se")
+COUNTED = ("n", "zeros", "outliers", "negatives", "extreme")
 
 
-def describe(df: DataFrame, cols: list[str], method: str = "auto", quality: bool = False) -> DataFrame:
-    """Counts, moments, quantiles and outlier counts, one row per column, in two passes.
+def fences(low: float, high: float, width: float) -> tuple[float, float]:
+    return low - width * (high - low), high + width * (high - low)
 
-    The first pass finds the quantiles: in memory while the plan is small, else by the distributed rank search, where
-    every column is a group that may span any number of ranges.  The second is one code-generated aggregate with the
-    fences as literals.  ``quality`` adds negatives, whole numbers and values beyond three IQRs to it.
-    """
-    values = df.select(*[numeric(F.col(f"`{c}`")).alias(c) for c in cols])
-    if method == "auto":
-        method = "memory" if estimated_bytes(df) <= IN_MEMORY_BYTES else "ranges"
-    marks = column_quantiles(values, cols, method)
-    frames = []
-    for start in range(0, len(cols), COLUMNS_PER_PASS):
-        packed = F.array(*[F.struct(*_facts(c, marks[c], quality)) for c in cols[start:start + COLUMNS_PER_PASS]])
-        frames.append(values.agg(packed.alias("t")).select(F.inline("t")))
-    base = union_all(frames)
-    n, sd = F.col("n"), F.col("sd")
-    return base.select(
-        "column", "n", "mean", "sd", "min", "p5", "q1", "median", "q3", "p95", "max", (F.col("q3") - F.col("q1")).alias("iqr"),
-        adjusted_skewness(n, F.col("g1"), sd).alias("skew"), adjusted_kurtosis(n, F.col("g2"), sd).alias("kurt"),
-        F.when(F.col("mean") != 0, sd / F.abs("mean")).alias("cv"), "sum", "zeros", "outliers", (sd / F.sqrt(n)).alias("se"),
-        *(["negatives", "whole", "extreme"] if quality else []))
-
-
-def _facts(c: str, marks: list, quality: bool) -> list[Column]:
-    v = F.col(f"`{c}`")
-    points = dict(zip(QUANTILE_POINTS, marks))
-    out = [F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"),
-           F.sum(v).alias("sum"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), F.count_if(v == 0).alias("zeros"),
-           *[F.lit(x).cast("double").alias(name) for name, x in points.items()]]
-
-    def beyond(width):
-        if points["q1"] is None:
-            return F.count_if(F.lit(False))
-        iqr = points["q3"] - points["q1"]
-        return F.count_if((v < points["q1"] - width * iqr) | (v > points["q3"] + width * iqr))
-
-    out.append(beyond(1.5).alias("outliers"))
-    if quality:
-        flat = points["q1"] is None or points["q3"] <= points["q1"]
-        out += [F.count_if(v < 0).alias("negatives"), (F.count_if(v != F.floor(v)) == 0).alias("whole"),
-                (F.count_if(F.lit(False)) if flat else beyond(3.0)).alias("extreme")]
+
+def log_fences(spots: dict, width: float) -> tuple[float, float]:
+    """Fences on the log scale of a positive column, from the neighbouring values of its quartiles."""
+    l1, l3 = (math.log(a) + (math.log(b) - math.log(a)) * part for a, b, part in (spots["q1"], spots["q3"]))
+    low, high = fences(l1, l3, width)
+    return math.exp(low), math.exp(high)
+
+
+def beyond(v: Column, bounds: tuple[float, float]) -> Column:
+    return F.count_if((v < bounds[0]) | (v > bounds[1]))
+
+
+def described(facts: dict, counts: dict[str, int]) -> dict:
+    """One column's record from what its histogram passes found and the counts beyond its fences."""
+    from tablewise.operators.narrowing import between
+
+    out = {k: None for k in (*DESCRIBED, "negatives", "whole", "extreme", "positive")} | {"n": facts["n"]} | {k: 0 for k in COUNTED[1:]} | {"whole": True}
+    if not facts["n"]:
+        return out | counts
+    out |= {k: facts[k] for k in ("mean", "sd", "min", "max", "skew", "kurt", "sum", "zeros", "negatives", "positive")} | {k: between(facts["spots"][k]) for k in QUANTILE_POINTS}
+    out["spots"] = facts["spots"]
+    out["iqr"], out["whole"] = out["q3"] - out["q1"], facts["broken"] == 0
+    if out["sd"] is not None and out["mean"] is not None:
+        out["se"] = out["sd"] / facts["n"] ** 0.5
+        out["cv"] = out["sd"] / abs(out["mean"]) if out["mean"] else None
+    return out | counts
+
+
+def fence_counts(column: str, facts: dict) -> list[tuple[str, Column]]:
+    """The counts that need a column's quartiles: beyond 1.5 and 3 IQRs and, for skewed positive columns, beyond 3 on the log scale."""
+    from tablewise.operators.narrowing import between
+
+    if not facts["n"]:
+        return []
+    v = F.col(f"`{column}`")
+    q1, q3 = between(facts["spots"]["q1"]), between(facts["spots"]["q3"])
+    out = [("outliers", beyond(v, fences(q1, q3, 1.5))), ("extreme", beyond(v, fences(q1, q3, 3.0)) if q3 > q1 else F.count_if(F.lit(False)))]
+    if (facts["skew"] or 0) > 1 and facts["min"] > 0:
+        low, high = log_fences(facts["spots"], 3.0)
+        out.append(("log_extreme", beyond(v, (low, high)) if q3 > q1 else F.count_if(F.lit(False))))
     return out
 
 
+def describe_rows(df: DataFrame, cols: list[str], histogram: int = 0, also: list[Column] = ()) -> tuple[dict[str, dict], dict]:
+    """Every column's record, and the values of the aggregates in ``also`` over the other columns, which ride along with the counts
+    beyond the fences."""
+    from tablewise.operators.narrowing import column_facts
+
+    numbers = [numeric(F.col(f"`{c}`")).alias(c) for c in cols]
+    facts = column_facts(df.select(*numbers), cols, QUANTILE_POINTS, histogram) if cols else {}
+    asked = [(c, name, count) for c in cols for name, count in fence_counts(c, facts[c])]
+    wanted = [*[count.alias(f"__f{i}") for i, (_, _, count) in enumerate(asked)], *also]
+    source = df.select(*numbers, *[F.col(f"`{c}`") for c in df.columns if c not in cols])
+    row: dict = {}
+    for start in range(0, len(wanted), CHUNK):
+        row |= source.agg(*wanted[start:start + CHUNK]).first().asDict()
+    counts: dict[str, dict] = {c: {} for c in cols}
+    for i, (c, name, _) in enumerate(asked):
+        counts[c][name] = row.pop(f"__f{i}")
+    return {c: described(facts[c], counts[c]) | ({"histogram": facts[c]["bins"]} if histogram else {}) for c in cols}, row
+
+
+def describe(df: DataFrame, cols: list[str], quality: bool = False, histogram: int = 0) -> DataFrame:
+    """Counts, moments, quantiles and outlier counts, one row per column.
+
+    Histogram passes (at most four, the first of which carries the moments) find the quantiles of all columns at once; one aggregate
+    counts what lies beyond the fences. Only bin counts leave the tasks. ``quality`` adds negatives, whole numbers and values beyond
+    three IQRs, ``histogram`` that many bin counts."""
+    found, _ = describe_rows(df, cols, histogram)
+    names = [*DESCRIBED, *(["negatives", "whole", "extreme"] if quality else []), *(["histogram"] if histogram else [])]
+    kind = lambda k: "long" if k in COUNTED else "boolean" if k == "whole" else "array<long>" if k == "histogram" else "double"
+    return df.sparkSession.createDataFrame([(c, *[found[c][k] for k in names]) for c in cols], ", ".join(["column string", *[f"`{k}` {kind(k)}" for k in names]]))
+
+
 def jarque_bera(described: DataFrame) -> DataFrame:
     """Normality test from a described frame; needs eight values."""
     jb = F.when(F.col("n") >= 8, F.col("n") / 6 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4))
@@ -120,9 +133,9 @@ def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
     for i in range(0, len(pairs), CHUNK):
         packed = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
                                     F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"),
-                                    F.try_divide(F.covar_samp(a, b), F.lit(1.0)).alias("cov"), F.corr(a, b).alias("r"))
+                                    correlation_of(F.col(a), F.col(b)).alias("r"))
                            for a, b in pairs[i:i + CHUNK]])
-        frames.append(values.agg(packed.alias("t")).select(F.inline("t")).drop("cov"))
+        frames.append(values.agg(packed.alias("t")).select(F.inline("t")))
     return correlation_frame(union_all(frames))
 
 

@@ -18,7 +18,6 @@ BYTES_PER_RANGE = 128 << 20
 SAMPLE_PER_RANGE = 40
 MAX_RANGES = 16384
 CUTS_PER_BLOCK = 64
-IN_MEMORY_BYTES = 256 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -205,33 +204,13 @@ def value_ranks(df: DataFrame, value: str, partition_by: list[str] = (), weight:
     return placed.withColumn("midrank", F.col("before") + (F.col("cnt") + 1) / 2)
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] = (), method: str = "auto",
-              ranges: int | None = None) -> DataFrame:
-    """Linear-interpolated (type 7) quantiles per group.
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] = (), method: str = "exact") -> DataFrame:
+    """Linear-interpolated (type 7) quantiles per group, by narrowing histograms at every size; ``approx`` takes Spark's sketch in one pass."""
+    from tablewise.operators.narrowing import group_quantiles
 
-    ``percentile`` keeps a group's distinct values in one task's memory, so it is used only while the plan's
-    estimated size is small; beyond that the values are counted, cut into ranges and located by their rank.
-    """
-    present = df.where(F.col(value).isNotNull())
-    if method == "auto":
-        method = "memory" if estimated_bytes(df) <= IN_MEMORY_BYTES else "ranges"
     if method == "approx":
-        return present.groupBy(*by).agg(*[F.percentile_approx(value, p, 10000).alias(n) for n, p in probs.items()])
-    if method == "memory":
-        return present.groupBy(*by).agg(*[F.percentile(F.col(value), F.lit(p)).alias(n) for n, p in probs.items()])
-    ranked = value_ranks(present, value, list(by), ranges=ranges)
-    wanted = []
-    for name, p in probs.items():
-        spot = (F.col("total") - 1) * F.lit(float(p))
-        low = F.floor(spot)
-        high = F.least(low + 1, F.col("total") - 1)
-        holds = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("cnt"))
-        x = F.col(value).cast("double")
-        wanted += [F.max(F.when(holds(low), x)).alias(f"__lo_{name}"), F.max(F.when(holds(high), x)).alias(f"__hi_{name}"),
-                   F.max(spot - low).alias(f"__fr_{name}")]
-    found = ranked.groupBy(*by).agg(*wanted)
-    picked = [(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__fr_{n}")).alias(n) for n in probs]
-    return found.select(*by, *picked)
+        return df.where(F.col(value).isNotNull()).groupBy(*by).agg(*[F.percentile_approx(value, p, 10000).alias(n) for n, p in probs.items()])
+    return group_quantiles(df, value, probs, list(by))
 
 
 def nth_row_sample(df: DataFrame, step: int, order_by: list[str], ranges: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tablewise.meta import is_string
 from tablewise.operators.aggregate import AggSpec, _groups, metric_column, metric_name
-from tablewise.operators.ordered import IN_MEMORY_BYTES, estimated_bytes, quantiles
+from tablewise.operators.ordered import quantiles
 from tablewise.operators.scalars import numeric
 
 OTHER = "Other"
@@ -146,22 +146,14 @@ def top_values(df: DataFrame, col: str, k: int = 12, order=None) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), F.col(col)).limit(k)
 
 
-def box_summary(df: DataFrame, y: str, by: str | None = None, k: int = 12, method: str = "auto") -> DataFrame:
+def box_summary(df: DataFrame, y: str, by: str | None = None, k: int = 12, method: str = "exact") -> DataFrame:
     """n, mean, sd, quartiles and range, for the ``k`` most frequent groups."""
-    if method == "auto":
-        method = "memory" if estimated_bytes(df) <= IN_MEMORY_BYTES else "ranges"
-    keys = [by] if by else []
     rows = df.where(among(df, by, leading_levels(df, [by], k)[by])) if by else df
-    rows = rows.select(*keys, numeric(F.col(y)).alias(y)).where(F.col(y).isNotNull())
+    rows = rows.select(F.col(by) if by else F.lit(0).alias("__all"), numeric(F.col(y)).alias(y)).where(F.col(y).isNotNull())
     facts = [F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"), F.min(y).alias("min"), F.max(y).alias("max")]
-    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    if method == "memory":
-        spots = F.percentile(F.col(y), F.array(*[F.lit(p) for p in probs.values()])).alias("__q")
-        base = rows.groupBy(*keys).agg(*facts, spots)
-        return base.select(*[c for c in base.columns if c != "__q"], *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
-    keyed = rows if by else rows.withColumn("__all", F.lit(0))
-    keys = keys or ["__all"]
-    return keyed.groupBy(*keys).agg(*facts).join(quantiles(keyed, y, probs, keys, method), keys).drop("__all")
+    key = by or "__all"
+    out = rows.groupBy(key).agg(*facts).join(quantiles(rows, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [key], method), key)
+    return out if by else out.drop("__all")
 
 
 def scatter_points(df: DataFrame, x: str, y: str, key: str, color: str | None = None, size: str | None = None,

@@ -6,16 +6,16 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.functions.parsing import number_text, squeeze_ends
 from tablewise.functions.text import label_key
 from tablewise.meta import ColumnMeta, is_numeric, is_temporal, simple_metas
 from tablewise.operators.aggregate import grain_for_span
-from tablewise.operators.moments import describe
+from tablewise.operators.moments import describe_rows
 from tablewise.operators.pivots import duplicate_count
-from tablewise.operators.scalars import numeric
 
 # --- fixed values -----------------------------------------------------------
 NEVER_NEGATIVE_NAME = (r"(price|cost|revenue|sales|amount|quantity|qty|count|days|age|hours|duration|weight|height|units|distance|"
@@ -76,47 +76,122 @@ def variants_of(counts: DataFrame) -> DataFrame:
 
 
 def top_per_column(counts: DataFrame, k: int = 12) -> DataFrame:
-    from pyspark.sql import Window
-
     # row_number <= k lets Spark cut each task's rows to k per column before the shuffle.
     place = Window.partitionBy("column").orderBy(F.col("n").desc(), "value")
     return counts.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
-def profile_frame(df: DataFrame, metas: list[ColumnMeta] | None = None) -> DataFrame:
-    """One row per column: type, missing, distinct and (for numbers) all descriptive statistics."""
-    metas = metas or simple_metas(df)
-    cols = [m.name for m in metas]
-    facts = value_facts(column_counts(df, cols), [m.name for m in metas if m.type == "category"])
-    kinds = F.create_map(*[x for m in metas for x in (F.lit(m.name), F.lit(m.type))])
-    out = facts.withColumn("type", kinds[F.col("column")])
+EXACT_DISTINCT = 16  # a column other than a category is counted exactly up to 2 ** 16 distinct values, and estimated beyond
+HISTOGRAM, TOP = 24, 12
+TEXT_FACTS = ("rows", "missing", "unique", "whitespace", "avg_length", "inconsistent")
+
+
+HELD_LABELS = 50_000  # value counts that are evaluated where they are collected
+REWRITES = 1_000  # spellings of a column that a rewrite is kept for
+
+
+def category_facts(df: DataFrame, labels: list[str], hashed: list[str] = (), k: int = TOP) -> dict[str, dict]:
+    """Facts and top values of label columns through their value counts, and exact distinct counts of other columns through hashes.
+
+    One group-by of (column, value) counts the labels. At most HELD_LABELS counts are evaluated on the driver; beyond that spellings
+    of a label meet in a second group-by and top values are cut to k in every task, and only the results are collected."""
+    out: dict[str, dict] = {}
+    if hashed:
+        prints = [F.struct(F.lit(c).alias("column"), F.xxhash64(f"`{c}`").alias("h"), F.col(f"`{c}`").isNotNull().alias("there")) for c in hashed]
+        distinct = df.select(F.inline(F.array(*prints))).where("there").groupBy("column", "h").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("one").alias("unique"))
+        out |= {c: {"unique": 0} for c in hashed} | {r["column"]: {"unique": r["unique"]} for r in distinct.collect()}
+    if not labels:
+        return out
+    counts = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _text(df, c).alias("value")) for c in labels]))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    v = F.col("value")
+    held = counts.select("*", label_key(v).alias("key"), (v != squeeze_ends(v)).alias("stray"), F.length(v).alias("chars"), squeeze_ends(v).alias("clean")).limit(HELD_LABELS + 1).collect()
+    if len(held) <= HELD_LABELS:
+        for c in labels:
+            out[c] = _label_facts([r for r in held if r["column"] == c], k)
+        return out
+    place = Window.partitionBy("column").orderBy(v.isNull(), F.col("n").desc(), "value")
+    best = counts.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).groupBy("column").agg(
+        F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct("rank", "value", "n")))).alias("top"))
+    for row in value_facts(counts, labels).join(best, "column", "left").collect():
+        out[row["column"]] = {f: row[f] for f in TEXT_FACTS} | {"top": [(t["value"], t["n"]) for t in row["top"] or []]}
+    return out
+
+
+def _label_facts(rows: list, k: int) -> dict:
+    known = [r for r in rows if r["value"] is not None]
+    n = sum(r["n"] for r in rows)
+    spellings: dict[str, list] = {}
+    for r in known:
+        spellings.setdefault(r["key"], []).append(r)
+    several = {key: same for key, same in spellings.items() if len(same) > 1}
+    there = sum(r["n"] for r in known)
+    out = {"rows": n, "missing": n - there, "unique": len(known), "whitespace": sum(r["n"] for r in known if r["stray"]), "inconsistent": len(several),
+           "avg_length": sum(r["chars"] * r["n"] for r in known) / there if there else None,
+           "top": [(r["value"], r["n"]) for r in sorted(known, key=lambda r: (-r["n"], r["value"]))[:k]]}
+    rewrites = {r["value"]: best["clean"] for same in several.values() for best in [min(same, key=lambda x: (-x["n"], x["value"]))] for r in same if r["value"] != best["clean"]}
+    return out | ({"rewrites": rewrites} if 0 < len(rewrites) <= REWRITES else {})
+
+
+def _plain_facts(df: DataFrame, c: str, i: int, now) -> list:
+    """Aggregates of a column that is not a category: presence, distinct values, stray spaces and length of strings, range of dates."""
+    v = F.col(f"`{c}`")
+    kind = df.schema[c].dataType
+    nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
+    known = F.when(v.isNotNull(), F.xxhash64(F.to_json(v) if nested else v))
+    out = [F.count(v).alias(f"{i}_present"), F.theta_sketch_estimate(F.theta_sketch_agg(known, EXACT_DISTINCT)).alias(f"{i}_unique")]
+    if isinstance(kind, T.StringType):
+        out += [F.count_if(v != squeeze_ends(v)).alias(f"{i}_whitespace"), F.avg(F.length(v)).alias(f"{i}_avg_length")]
+    if is_temporal(df, c):
+        at = v.cast("timestamp")
+        out += [F.min(at).alias(f"{i}_first"), F.max(at).alias(f"{i}_last"), F.count_if(at > now).alias(f"{i}_future")]
+    return out
+
+
+def profile_rows(df: DataFrame, metas: list[ColumnMeta], exact_unique: bool = False, histogram: int = HISTOGRAM, only: set[str] | None = None) -> dict[str, dict]:
+    """One record per column: counts, distinct values, text facts; of numbers all descriptive statistics and a histogram; of categories
+    the top values; of dates range, grain and values in the future. ``only`` names the columns to look at.
+
+    Numbers go through histogram passes, categories through value counts; everything else, and what numbers need besides, is one
+    aggregate of fixed-size states for all columns. No value of a number, date, id or text is shuffled."""
+    metas = [m for m in metas if only is None or m.name in only]
     numbers = [m.name for m in metas if m.type == "number" and is_numeric(df, m.name)]
-    if numbers:
-        out = out.join(describe(df, numbers, quality=True), "column", "left")
-    return out.withColumn("missing_share", F.col("missing") / F.col("rows"))
-
-
-def date_facts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Range of date columns and how many values lie more than two days ahead."""
-    limit = F.current_timestamp() + F.expr(f"interval {FUTURE_SLACK_DAYS} days")
-    packed = F.array(*[F.struct(
-        F.lit(c).alias("column"), F.min(F.col(c).cast("timestamp")).alias("first"), F.max(F.col(c).cast("timestamp")).alias("last"),
-        F.count_if(F.col(c).cast("timestamp") > limit).alias("future")) for c in cols])
-    return df.agg(packed.alias("t")).select(F.inline("t")).withColumn(
-        "days", (F.unix_micros("last") - F.unix_micros("first")) / 86400e6)
-
-
-def log_extremes(df: DataFrame, cols: list[str], width: float = 3.0) -> dict[str, int]:
-    """Values beyond three IQRs on the log scale, for skewed positive columns."""
-    logs = df.select(*[F.log(numeric(F.col(c))).alias(c) for c in cols])
-    marks = {row["column"]: row for row in describe(logs, cols).select("column", "q1", "q3").collect()}
-    counted = []
-    for c in cols:
-        low, high = marks[c]["q1"], marks[c]["q3"]
-        span, v = high - low, numeric(F.col(c))
-        beyond = F.count_if((v < math.exp(low - width * span)) | (v > math.exp(high + width * span))) if span > 0 else F.lit(0)
-        counted.append(beyond.alias(c))
-    return df.agg(*counted).first().asDict()
+    labels = [m.name for m in metas if m.type == "category"]
+    plain = [m.name for m in metas if m.name not in labels]
+    now = F.current_timestamp() + F.expr(f"interval {FUTURE_SLACK_DAYS} days")
+    also = [F.count(F.lit(1)).alias("__rows"), *[x for i, c in enumerate(plain) for x in _plain_facts(df, c, i, now)]]
+    described, found = describe_rows(df, numbers, histogram, also)
+    counted = category_facts(df, labels, plain if exact_unique else [])
+    rows, out = found["__rows"], {}
+    for m in metas:
+        c = {"column": m.name, "type": m.type, "rows": rows, "missing": rows, "unique": 0, "whitespace": 0, "avg_length": None, "inconsistent": 0}
+        if m.name in plain:
+            mine = {k.split("_", 1)[1]: x for k, x in found.items() if k.split("_", 1)[0] == str(plain.index(m.name))}
+            c |= {k: x for k, x in mine.items() if k != "present"} | {"missing": rows - mine["present"]}
+            if "first" in mine:
+                c["grain"] = grain_for_span(None if mine["first"] is None else (mine["last"] - mine["first"]).total_seconds() / 86400)
+        c |= counted.get(m.name, {}) | described.get(m.name, {})
+        c["missing_share"] = c["missing"] / rows if rows else None
+        out[m.name] = c
+    return out
+
+
+PROFILE_SCHEMA = ("column string, type string, rows long, missing long, unique long, missing_share double, whitespace long, avg_length double, inconsistent long, invalid long, "
+                  "invalid_examples array<string>, n long, mean double, sd double, min double, p5 double, q1 double, median double, q3 double, p95 double, max double, iqr double, "
+                  "skew double, kurt double, cv double, sum double, zeros long, outliers long, se double, negatives long, whole boolean, extreme long, histogram array<long>, "
+                  "top array<struct<value: string, n: long>>, first timestamp, last timestamp, future long, grain string")
+
+
+def profile_frame(df: DataFrame, metas: list[ColumnMeta] | None = None, exact_unique: bool = False, histogram: int = HISTOGRAM) -> DataFrame:
+    """One row per column with everything that ``profile_rows`` finds. Distinct values of columns that are no categories are exact up to
+    2 ** 16 and estimated beyond; ``exact_unique`` counts them exactly, at the price of shuffling a hash of each distinct value."""
+    metas = metas or simple_metas(df)
+    found = profile_rows(df, metas, exact_unique, histogram)
+    schema = T.StructType.fromDDL(PROFILE_SCHEMA)
+    rows = []
+    for m in metas:
+        c = found[m.name] | {"invalid": m.invalid, "invalid_examples": list(m.invalid_examples)}
+        rows.append(tuple(c.get(f.name) for f in schema.fields))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 @dataclass
@@ -142,21 +217,23 @@ def _impossible(name: str, negatives: int, rows: int) -> bool:
     return bool(negatives and named and negatives / max(1, rows) <= 0.05)
 
 
-def build_profile(df: DataFrame, metas: list[ColumnMeta] | None = None, unnamed_headers: int = 0) -> Profile:
-    """Run the profile aggregates and apply the health, issue and role rules to their few result rows."""
+def build_profile(df: DataFrame, metas: list[ColumnMeta] | None = None, unnamed_headers: int = 0, exact_unique: bool = False) -> Profile:
+    """Run the profile aggregates and apply the health, issue and role rules to their few result rows. ``exact_unique`` as in profile_frame;
+    the rules only ask whether a column has fewer than 31 different values, so estimates do not change them."""
     metas = metas or simple_metas(df)
-    columns = {r["column"]: r.asDict() for r in profile_frame(df, metas).collect()}
     dup = duplicate_count(df).first()
+    return _judged(dup, metas, profile_rows(df, metas, exact_unique), unnamed_headers)
+
+
+def refresh_profile(p: Profile, df: DataFrame, metas: list[ColumnMeta], changed: set[str]) -> Profile:
+    """The profile after a step that kept all rows and changed only some columns: those are read again, the others are kept."""
+    names = {m.name for m in metas}
+    columns = {c: x for c, x in p.columns.items() if c in names} | (profile_rows(df, metas, only=changed) if changed & names else {})
+    return _judged(duplicate_count(df).first(), metas, columns, p.unnamed_headers)
+
+
+def _judged(dup, metas: list[ColumnMeta], columns: dict[str, dict], unnamed_headers: int) -> Profile:
     bad = {m.name: columns[m.name]["inconsistent"] for m in metas if m.type == "category" and columns[m.name]["inconsistent"]}
-    dates = [m.name for m in metas if m.type == "date" and is_temporal(df, m.name)]
-    if dates:
-        for r in date_facts(df, dates).collect():
-            columns[r["column"]].update(first=r["first"], last=r["last"], future=r["future"], grain=grain_for_span(r["days"]))
-    numbers = {m.name: columns[m.name] for m in metas if m.type == "number" and columns[m.name].get("n") is not None}
-    skewed = [c for c, d in numbers.items() if d["n"] and (d["skew"] or 0) > 1 and (d["min"] or 0) > 0]
-    if skewed:
-        for c, count in log_extremes(df, skewed).items():
-            numbers[c]["log_extreme"] = count
     p = Profile(dup["rows"], metas, columns, dup["duplicates"], bad, unnamed_headers)
     p.health, p.issues, p.roles = health(p), quality_issues(p), roles(p)
     return p
@@ -263,7 +340,7 @@ def quality_audit(spark: SparkSession, p: Profile) -> DataFrame:
 
 
 def schema_summary(spark: SparkSession, p: Profile) -> DataFrame:
-    """One readable line per column."""
+    """One readable line per column, with its role in the data."""
     rows = []
     for m in p.metas:
         c = p.columns[m.name]
@@ -272,8 +349,11 @@ def schema_summary(spark: SparkSession, p: Profile) -> DataFrame:
             detail = f"min {c['min']:g}, median {c['median']:g}, max {c['max']:g}"
         elif m.type == "date" and c.get("first"):
             detail = f"{c['first']:%Y-%m-%d} to {c['last']:%Y-%m-%d}"
-        rows.append((m.name, m.type, m.unit, int(c["missing"]), detail))
-    return spark.createDataFrame(rows, "column string, type string, unit string, missing long, detail string")
+        elif c.get("top"):
+            detail += ": " + ", ".join(f"{value} ({n})" for value, n in c["top"][:5])
+        part = "measure" if m.name == p.roles["measure"] else "date" if m.name == p.roles["date"] else "dimension" if m.name in p.roles["dims"] else "scale" if m.likert else ""
+        rows.append((m.name, m.type, m.unit, int(c["missing"]), part, detail))
+    return spark.createDataFrame(rows, "column string, type string, unit string, missing long, role string, detail string")
 
 
 def health_score(df: DataFrame) -> DataFrame:

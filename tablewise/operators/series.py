@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.operators.aggregate import auto_grain, bucket, default_agg, metric_column
-from tablewise.operators.scalars import numeric, scalar
+from tablewise.operators.scalars import correlation_of, numeric, scalar
 
 # --- fixed values -----------------------------------------------------------
 PERIODS_PER_YEAR = {"day": 365, "week": 52, "month": 12, "quarter": 4, "year": 1}
@@ -99,10 +99,10 @@ def time_series(df: DataFrame, date: str, measure: str | None = None, grain: str
 
 
 def trend_fit(frame: DataFrame, by=()) -> DataFrame:
-    """Correlation and least-squares line of the value against its position."""
+    """Correlation (none of a constant series) and least-squares line of the value against its position."""
     rows = indexed(frame, by).withColumn("x", F.col("i").cast("double"))
     return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("x", "value").alias("r"),
+        F.count(F.lit(1)).alias("n"), correlation_of(F.col("x"), F.col("value")).alias("r"),
         F.coalesce(F.regr_slope("value", "x"), F.lit(0.0)).alias("slope"),
         F.coalesce(F.regr_intercept("value", "x"), F.avg("value")).alias("intercept"),
         F.max_by("period", F.struct(F.col("value"), -F.col("i"))).alias("peak"))

@@ -108,33 +108,74 @@ def preview_step(df: DataFrame, key: str, op: str, /, **params) -> dict:
 
 
 def auto_clean(df: DataFrame, metas: list[ColumnMeta], order_by: list[str] | None = None) -> tuple[DataFrame, list[Step], list[ColumnMeta]]:
-    """Apply the first recommended fix, profile again, until nothing is left to fix or thirty rounds have passed."""
-    from tablewise.operators.profile import build_profile
+    """Apply the recommended fixes, worst first, until nothing is left to fix or thirty rounds have passed.
 
-    steps = []
+    A round takes the first fix of every column, as those do not touch each other; dropping duplicates has a round of its own. What a fix
+    needs to know (means, modes, fences) is in the profile, so it costs no pass. After a round only the columns it changed are profiled
+    again; after dropped rows all are."""
+    from tablewise.operators.profile import build_profile, refresh_profile
+
+    steps: list[Step] = []
+    p = build_profile(df, metas)
     for round_no in range(MAX_ROUNDS):
-        p = build_profile(df, metas)
-        fix = next((i for i in p.issues if i["op"] and not _tried(steps, i)), None)
-        if fix is None:
+        fixes = _next_fixes(p.issues, steps)
+        if not fixes:
             break
-        params = dict(fix["params"])
-        if params.get("method") == "ffill":
-            if not order_by:
-                steps.append(Step("skipped", {"column": fix["column"], "issue": fix["issue"]}))
-                continue
-            params["order_by"] = order_by
-        if fix["op"] == "drop_duplicates" and order_by:
-            params["order_by"] = order_by
-        df = apply_step(df, fix["op"], **params)
-        steps.append(Step(fix["op"], params))
+        changed: set[str] = set()
+        dropped = False
+        for fix in fixes:
+            params = dict(fix["params"])
+            if params.get("method") == "ffill":
+                if not order_by:
+                    steps.append(Step("skipped", {"column": fix["column"], "issue": fix["issue"]}))
+                    continue
+                params["order_by"] = order_by
+            if fix["op"] == "drop_duplicates":
+                dropped = True
+                if order_by:
+                    params["order_by"] = order_by
+            df = apply_step(df, fix["op"], **params, **_known(p, fix))
+            steps.append(Step(fix["op"], params))
+            changed |= {fix["column"]} if fix["column"] else set()
+        if not changed and not dropped:
+            continue
         metas = [m for m in metas if m.name in df.columns]
-        if fix["op"] == "convert_type":
-            metas = [m.with_(invalid=0) if m.name == fix["column"] else m for m in metas]
         if (round_no + 1) % CUT_EVERY == 0:
             df = cut_lineage(df)
+        p = build_profile(df, metas, p.unnamed_headers) if dropped else refresh_profile(p, df, metas, changed)
     return df, [s for s in steps if s.op != "skipped"], metas
 
 
+def _next_fixes(issues: list[dict], steps: list[Step]) -> list[dict]:
+    """The fixes of one round: in the order of the issues, one a column, none beyond a change of the rows."""
+    out: list[dict] = []
+    for issue in issues:
+        if not issue["op"] or _tried(steps, issue) or issue["column"] in {f["column"] for f in out}:
+            continue
+        if issue["op"] == "drop_duplicates":
+            return out or [issue]
+        out.append(issue)
+    return out
+
+
+def _known(p, fix: dict) -> dict:
+    """What the profile knows of a fix's column that the step would look for again."""
+    from tablewise.operators.moments import fences, log_fences
+
+    c = p.columns.get(fix["column"]) or {}
+    params = fix["params"]
+    if fix["op"] == "fill_missing" and params["method"] in ("mean", "median"):
+        return {"known": c[params["method"]]} if c.get("n") else {}
+    if fix["op"] == "fill_missing" and params["method"] == "mode":
+        return {"known": c["top"][0][0]} if c.get("top") else {}
+    if fix["op"] == "text_clean" and params["fn"] == "standardize":
+        return {"known": c["rewrites"]} if c.get("rewrites") else {}
+    if fix["op"] == "outliers":
+        low, high = log_fences(c["spots"], params["k"]) if params["method"] == "logiqr" else fences(c["q1"], c["q3"], params["k"])
+        return {"known": (c["min"] if c["min"] >= 0 and low < c["min"] else low, high)}
+    return {}
+
+
 def _tried(steps: list[Step], issue: dict) -> bool:
     for s in steps:
         if s.op == "skipped" and s.params == {"column": issue["column"], "issue": issue["issue"]}:

@@ -46,7 +46,7 @@ def test_ranks_and_quantiles(frame, ranges):
     want = pdf.assign(midrank=pdf["v"].rank()).dropna(subset=["v"]).drop_duplicates("v").set_index("v")["midrank"].sort_index()
     got = value_ranks(df, "v", ranges=ranges).toPandas().set_index("v")["midrank"].astype(float).sort_index()
     pd.testing.assert_series_equal(got, want)
-    q = quantiles(df, "v", {"a": 0.1, "b": 0.5}, ["g"], "ranges", ranges).toPandas().set_index("g").sort_index()
+    q = quantiles(df, "v", {"a": 0.1, "b": 0.5}, ["g"]).toPandas().set_index("g").sort_index()
     expected = pdf.groupby("g", dropna=False)["v"].quantile([0.1, 0.5]).unstack().set_axis(["a", "b"], axis=1)
     for g in ("hot", "a", "b", "c"):
         assert np.allclose(q.loc[g].astype(float), expected.loc[g])
