@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -84,32 +85,77 @@ def candidate_pairs(tables: dict[str, DataFrame], types: dict[str, dict[str, str
 RELATION_SCHEMA = "table_a string, column_a string, table_b string, column_b string, overlap double, kind string"
 
 
+SKETCH = 14  # a sketch holds up to 2 ** 14 distinct hashes; up to that number its counts are exact
+SURE = 5.0  # standard deviations by which a sketched overlap must lie under the minimum to be left unchecked
+
+
+def _text(df: DataFrame, c: str) -> Column:
+    return number_text(F.col(f"`{c}`")) if is_numeric(df, c) else F.col(f"`{c}`").cast("string")
+
+
+def key_sketches(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]]) -> dict[tuple[str, str], tuple[int, bytes]]:
+    """Rows and a theta sketch of the distinct values of every column that a pair names: one aggregate, so one pass, a table."""
+    named: dict[str, list[str]] = {}
+    for a, ca, b, cb in pairs:
+        for t, c in ((a, ca), (b, cb)):
+            if c not in named.setdefault(t, []):
+                named[t].append(c)
+    out = {}
+    for t, cols in named.items():
+        hashed = tables[t].select(*[F.when(_text(tables[t], c).isNotNull(), F.xxhash64(_text(tables[t], c))).alias(f"c{i}") for i, c in enumerate(cols)])
+        row = hashed.agg(F.count(F.lit(1)).alias("rows"), *[F.theta_sketch_agg(f"c{i}", SKETCH).alias(f"s{i}") for i in range(len(cols))]).first()
+        out |= {(t, c): (row["rows"], bytes(row[f"s{i}"])) for i, c in enumerate(cols)}
+    return out
+
+
+def _sketched_overlaps(spark, pairs: list, sketches: dict) -> list:
+    """Per pair the estimated numbers of distinct values of either side and of both; local rows, so no job reads a table."""
+    rows = [(i, bytearray(sketches[a, ca][1]), bytearray(sketches[b, cb][1])) for i, (a, ca, b, cb) in enumerate(pairs)]
+    est = F.theta_sketch_estimate
+    frame = spark.createDataFrame(rows, "i int, a binary, b binary").select("i", est("a").alias("da"), est("b").alias("db"), est(F.theta_intersection("a", "b")).alias("both"))
+    return sorted(frame.collect())
+
+
 def find_relationships(tables: dict[str, DataFrame], types=None, normalise=normalise_name, minimum: float = 0.3) -> DataFrame:
-    """Overlap of distinct keys for every candidate pair, with the kind of relationship."""
+    """Overlap of distinct keys for every candidate pair, with the kind of relationship.
+
+    Whole tables may be given: one pass a table sketches all columns that may relate to another table's. Pairs whose overlap lies under the
+    minimum beyond doubt go; those whose sketches hold every value are settled, and the others are counted exactly, so whatever is
+    reported is exact."""
     spark = next(iter(tables.values())).sparkSession
-    frames = []
-    for a, ca, b, cb in candidate_pairs(tables, types, normalise):
-        da, db = tables[a], tables[b]
-        text = lambda d, c: number_text(F.col(c)) if is_numeric(d, c) else F.col(c).cast("string")
-        side = lambda d, c, t: d.select(text(d, c).alias("v"), F.lit(t).alias("side"))
-        # One pass: rows per value and side, then everything the pair needs in a single aggregate.
-        per = side(da, ca, "a").unionByName(side(db, cb, "b")).groupBy("v").agg(
-            F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
-        known = F.col("v").isNotNull()
-        facts = per.agg(
-            F.count_if(known & (F.col("na") > 0)).alias("da"), F.count_if(known & (F.col("nb") > 0)).alias("db"),
-            F.count_if(known & (F.col("na") > 0) & (F.col("nb") > 0)).alias("both"), F.sum("na").alias("ra"), F.sum("nb").alias("rb"))
-        ua, ub = F.try_divide("da", "ra"), F.try_divide("db", "rb")
-        frames.append(facts.select(
-            F.lit(a).alias("table_a"), F.lit(ca).alias("column_a"), F.lit(b).alias("table_b"), F.lit(cb).alias("column_b"),
-            F.try_divide("both", F.least("da", "db")).alias("overlap"),
-            relationship_kind(ua, ub).alias("kind")))
-    if not frames:
+    pairs = candidate_pairs(tables, types, normalise)
+    if not pairs:
         return spark.createDataFrame([], RELATION_SCHEMA)
-    out = frames[0]
-    for f in frames[1:]:
+    sketches = key_sketches(tables, pairs)
+    settled, frames = [], []
+    for (a, ca, b, cb), row in zip(pairs, _sketched_overlaps(spark, pairs, sketches), strict=True):
+        da, db, both = row["da"], row["db"], row["both"]
+        if not da or not db:
+            continue
+        if max(da, db) <= 1 << SKETCH:
+            settled.append((a, ca, b, cb, both / min(da, db), da / sketches[a, ca][0], db / sketches[b, cb][0]))
+            continue
+        # The values of the smaller side that both sketches could hold are a sample of it of about this size.
+        sample = min(da, db) * min(1.0, (1 << SKETCH) / max(da, db))
+        share = both / min(da, db)
+        doubt = SURE * math.sqrt(max(share * (1 - share), 1 / sample) / sample) if sample >= 1 else 1.0
+        if share + doubt >= minimum:
+            frames.append(_counted_overlap(tables, a, ca, b, cb))
+    out = spark.createDataFrame(settled, "table_a string, column_a string, table_b string, column_b string, overlap double, ua double, ub double")
+    for f in frames:
         out = out.unionByName(f)
-    return out.where(F.col("overlap") >= minimum).orderBy(F.col("overlap").desc(), "table_a", "column_a", "table_b", "column_b")
+    return out.where(F.col("overlap") >= minimum).select("table_a", "column_a", "table_b", "column_b", "overlap", relationship_kind(F.col("ua"), F.col("ub")).alias("kind")).orderBy(
+        F.col("overlap").desc(), "table_a", "column_a", "table_b", "column_b")
+
+
+def _counted_overlap(tables: dict[str, DataFrame], a: str, ca: str, b: str, cb: str) -> DataFrame:
+    """The exact counts of one pair: rows per value and side, then everything the pair needs in a single aggregate."""
+    side = lambda t, c: tables[t].select(_text(tables[t], c).alias("v"), F.lit(t == a).alias("left"))
+    per = side(a, ca).unionByName(side(b, cb)).groupBy("v").agg(F.count_if("left").alias("na"), F.count_if(~F.col("left")).alias("nb"))
+    known, here, there = F.col("v").isNotNull(), F.col("na") > 0, F.col("nb") > 0
+    facts = per.agg(F.count_if(known & here).alias("da"), F.count_if(known & there).alias("db"), F.count_if(known & here & there).alias("both"), F.sum("na").alias("ra"), F.sum("nb").alias("rb"))
+    return facts.select(F.lit(a).alias("table_a"), F.lit(ca).alias("column_a"), F.lit(b).alias("table_b"), F.lit(cb).alias("column_b"),
+                        F.try_divide("both", F.least("da", "db")).alias("overlap"), F.try_divide("da", "ra").alias("ua"), F.try_divide("db", "rb").alias("ub"))
 
 
 def relationship_kind(unique_a: Column, unique_b: Column) -> Column:
