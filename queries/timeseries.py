@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from queries.base import load, query, r, rounded
@@ -117,18 +119,79 @@ def ts01b(spark, sf):
     return shown(ts.trend_fit(months(spark, sf)), 4, slope=2, intercept=2)
 
 
-@query("ts02_forecast")
+def _rows(columns, rows):
+    return f"(values {', '.join(str(row) for row in rows)}) as t({columns})"
+
+
+def _forecast_sql(source, m, h=6):
+    """CTEs that rate every model on a held-out tail and fit the best again: smoothing is a recursion over the periods, a row a lane.
+    source has s (series), p (period) and v; m is the season's length."""
+    holt = [(i, x, y) for i, (x, y) in enumerate(product(forecast.HOLT_ALPHA, forecast.HOLT_BETA))]
+    winters = [(i, *g) for i, g in enumerate(product(forecast.HW_ALPHA, forecast.HW_BETA, forecast.HW_GAMMA))]
+    return f"""with recursive w0 as (select s, p, v, row_number() over (partition by s order by p) - 1 as i, count(*) over (partition by s) as n,
+                                      avg(v) over (partition by s order by p rows between 3 preceding and 1 preceding) as before from {source}),
+    w as (select s, p, v, i, count(*) over (partition by s) as n from w0 where not coalesce(i = n - 1 and n > 6 and v < before * 0.5, false)),
+    d as (select *, greatest(1, least({h}, n // 4)) as hold from w where n >= 6),
+    u as (select 'train' as k, s, i, v, n - hold as n, hold as h from d where i < n - hold union all select 'full', s, i, v, n, {h} from d),
+    z as (select k, s, any_value(n) as n, any_value(h) as h, list(cast(v as double) order by i) as y from u group by k, s),
+    holt as (select k, s, lane, a, b, 1 as i, y[1] as l, y[2] - y[1] as t, cast(0 as double) as e from z, {_rows('lane, a, b', holt)}
+             union all select k, s, lane, a, b, i + 1, nl, b * (nl - l) + (1 - b) * t, e + (v - l - t) * (v - l - t)
+                       from (select holt.*, y[i + 1] as v, a * y[i + 1] + (1 - a) * (l + t) as nl from holt join z using (k, s) where i < n)),
+    hw as (select k, s, lane, a, b, g, {m} as i, list_avg(y[1:{m}]) as l, (list_avg(y[{m + 1}:{2 * m}]) - list_avg(y[1:{m}])) / {m} as t, list_transform(y[1:{m}], lambda x: x - list_avg(y[1:{m}])) as q, cast(0 as double) as e
+           from z, {_rows('lane, a, b, g', winters)} where n >= {2 * m}
+           union all select k, s, lane, a, b, g, i + 1, nl, b * (nl - l) + (1 - b) * t, list_append(q[2:], g * (v - nl) + (1 - g) * q[1]), e + (v - l - t - q[1]) * (v - l - t - q[1])
+                     from (select hw.*, y[i + 1] as v, a * (y[i + 1] - q[1]) + (1 - a) * (l + t) as nl from hw join z using (k, s) where i < n)),
+    bh as (select holt.*, n, h from holt join z using (k, s) where i = n qualify row_number() over (partition by k, s order by e, lane) = 1),
+    bw as (select hw.*, n, h from hw join z using (k, s) where i = n qualify row_number() over (partition by k, s order by e, lane) = 1),
+    line as (select k, s, any_value(n) as n, any_value(h) as h, regr_slope(v, i) as b, regr_intercept(v, i) as a from u group by k, s),
+    f as (select k, s, 0 as mi, j, y[n] as x from (select *, unnest(range(1, h + 1)) as j from z)
+          union all select k, s, 1, j, list_avg(y[n - 2:n]) from (select *, unnest(range(1, h + 1)) as j from z)
+          union all select k, s, 2, j, a + b * (n + j - 1) from (select *, unnest(range(1, h + 1)) as j from line)
+          union all select k, s, 3, j, l + j * t from (select *, unnest(range(1, h + 1)) as j from bh)
+          union all select k, s, 4, j, l + j * t + q[(j - 1) % {m} + 1] from (select *, unnest(range(1, h + 1)) as j from bw)),
+    rms as (select s, 0 as mi, sqrt(avg((v - before) ** 2)) as rms from (select *, lag(v) over (partition by s order by i) as before from u where k = 'full') where i >= 1 group by s
+            union all select s, 1, sqrt(avg(case when i < 3 then 0 else (v - m3) ** 2 end)) from (select *, avg(v) over (partition by s order by i rows between 3 preceding and 1 preceding) as m3 from u where k = 'full') where i >= 1 group by s
+            union all select s, 2, sqrt(avg((v - a - b * i) ** 2)) from u join line using (k, s) where k = 'full' and i >= 1 group by s
+            union all select s, 3, sqrt(e / (n - 1)) from bh where k = 'full' union all select s, 4, sqrt(e / (n - {m})) from bw where k = 'full'),
+    named as (select * from (values (0, '{forecast.NAIVE}'), (1, '{forecast.AVERAGE}'), (2, '{forecast.TREND}'), (3, '{forecast.HOLT.replace("'", "''")}'), (4, '{forecast.HOLT_WINTERS}')) t(mi, method)),
+    rated as (select s, mi, sqrt(avg((v - x) ** 2)) as rmse, avg(case when v <> 0 then abs((v - x) / v) else 0 end) as mape
+              from f join d using (s) where k = 'train' and d.i = d.n - d.hold + j - 1 and (mi < 4 or d.n >= {2 * m + max(3, h)}) group by s, mi),
+    ranked as (select s, method, mi, rmse, mape, row_number() over (partition by s order by rmse, mi) as rank from rated join named using (mi)),
+    made as (select s, method, j, x, last_p, lowest, case when greatest(rms, rmse) > 0 then greatest(rms, rmse) else sd * 0.1 end * sqrt(j) as width
+             from ranked join rms using (s, mi) join f using (s, mi) join (select s, max(p) as last_p, min(v) as lowest, stddev_samp(v) as sd from d group by s) using (s) where rank = 1 and k = 'full')"""
+
+
+def _bands(digits=2):
+    low = lambda z: r(f"case when lowest >= 0 then greatest(0, x - {z} * width) else x - {z} * width end", digits)
+    return f"{low(forecast.Z80)} as lo80, {r(f'x + {forecast.Z80} * width', digits)} as hi80, {low(forecast.Z95)} as lo95, {r(f'x + {forecast.Z95} * width', digits)} as hi95"
+
+
+@query("ts02_forecast", _forecast_sql(f"(select 0 as s, p, v from {MONTHS})", 12) + f"""
+    select cast(last_p + to_months(cast(j as integer)) as date) as period, cast(j as integer) as step, method, {r('x', 2)} as yhat, {_bands()} from made""")
 def ts02(spark, sf):
     return shown(forecast.forecast(load(spark, sf, "orders"), "o_orderdate", "o_totalprice", 6, "month", agg="sum"), 2)
 
 
-@query("ts02_forecast_per_series")
+PER_SERIES = """(select {'c_nationkey': c_nationkey, 'o_orderpriority': o_orderpriority} as s, date_trunc('month', o_orderdate) as p, sum(o_totalprice) as v
+                from orders join customer on o_custkey = c_custkey group by 1, 2)"""
+
+
+@query("ts02_forecast_per_series", _forecast_sql(PER_SERIES, 12) + f"""
+    select s.c_nationkey as c_nationkey, s.o_orderpriority as o_orderpriority, cast(last_p + to_months(cast(j as integer)) as date) as period, cast(j as integer) as step, method, {r('x', 2)} as yhat, {_bands()} from made""")
 def ts02b(spark, sf):
     orders, customers = load(spark, sf, "orders"), load(spark, sf, "customer")
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
     return shown(forecast.forecast(joined, "o_orderdate", "o_totalprice", 6, "month", ["c_nationkey", "o_orderpriority"], "sum"), 2)
 
 
+@query("ts05_intervals", _forecast_sql("(select o_orderstatus as s, date_trunc('quarter', o_orderdate) as p, sum(o_totalprice) as v from orders group by 1, 2)", 4, 8) + f"""
+    select s as o_orderstatus, cast(j as integer) as step, {_bands()} from made""")
+def ts05(spark, sf):
+    """Bands of eight quarters ahead; they widen with the root of the step and stop at zero."""
+    made = forecast.forecast(load(spark, sf, "orders"), "o_orderdate", "o_totalprice", 8, "quarter", ["o_orderstatus"], "sum")
+    return rounded(made.select("o_orderstatus", "step", "lo80", "hi80", "lo95", "hi95"), 2)
+
+
 @query("ts03_simple_forecasts", f"""
     with i as (select p, v, row_number() over (order by p) - 1 as i, count(*) over () as n from {MONTHS}),
     f as (select max(n) as n, max_by(v, i) as naive, avg(case when i >= n - 3 then v end) as average3, regr_slope(v, i) as b, regr_intercept(v, i) as a from i)
@@ -163,9 +226,12 @@ def ts04(spark, sf):
     return rounded(scored.where(~F.col("method").startswith("Holt")).select("method", "rmse"), 2)
 
 
-@query("ts04_model_comparison")
+PRIORITY_MONTHS = "(select o_orderpriority as s, date_trunc('month', o_orderdate) as p, sum(o_totalprice) as v from orders group by 1, 2)"
+
+
+@query("ts04_model_comparison", _forecast_sql(PRIORITY_MONTHS, 12) + f" select s as o_orderpriority, cast(rank as integer) as rank, method, {r('rmse', 2)} as rmse, {r('mape')} as mape from ranked")
 def ts04b(spark, sf):
-    return rounded(forecast.compare_models(load(spark, sf, "orders"), "o_orderdate", "o_totalprice", 6, "month", ["o_orderpriority"], "sum"))
+    return rounded(forecast.compare_models(load(spark, sf, "orders"), "o_orderdate", "o_totalprice", 6, "month", ["o_orderpriority"], "sum"), 4, rmse=2)
 
 
 @query("ts06_periods", "select distinct cast(date_trunc('week', ts) as date) as period from events")
