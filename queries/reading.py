@@ -8,8 +8,8 @@ from queries.base import dirty, dirty_sql, load, query
 from tablewise.session import scratch
 from tablewise.sources.delimited import drop_blank, drop_repeated_headers, guarded, read_delimited, write_csv_safe, write_json
 from tablewise.sources.markup import BLOCK_TAGS, HIDDEN_TAGS, extract_html_tables, extract_markdown_tables, html_to_text
-from tablewise.sources.nested import flatten, flatten_json_strings, read_json
-from tablewise.sources.store import detect_delimited_text, flag_binary_text, load_many
+from tablewise.sources.nested import flatten, flatten_json_strings, read_json, read_xml
+from tablewise.sources.store import detect_delimited_text, flag_binary_text, load_dataset, load_many, save_dataset
 
 EXPORT = {
     "key_text": "case when o_orderkey % 29 = 0 then 'key_text' when o_orderkey % 31 = 0 then 'N/A' else cast(o_orderkey as string) end",
@@ -37,6 +37,27 @@ def io01b(spark, sf):
     return read_delimited(spark, path)
 
 
+@query("io02_detect_header", """
+    select cast(o_orderkey as varchar) as "order key", o_orderstatus as status, o_orderpriority as priority, cast(o_custkey as varchar) as customer from orders""")
+def io02(spark, sf):
+    """Every file begins with two lines that are no header: a title in one field, and a line of mostly empty fields."""
+    path = f"{scratch(spark)}/titled.txt"
+    rows = load(spark, sf, "orders").selectExpr("concat_ws(';', o_orderkey, o_orderstatus, o_orderpriority, o_custkey) as value").coalesce(1)
+    head = spark.createDataFrame([("Orders of the year;;;",), (";;made by hand;",), ("order key;status;priority;customer",)], "value string").coalesce(1)
+    head.union(rows).coalesce(1).write.text(path)
+    return read_delimited(spark, path)
+
+
+@query("io04_clean_headers", """
+    select cast(o_orderkey as varchar) as k, o_orderstatus as column_2, o_orderpriority as k_2, cast(o_custkey as varchar) as note, o_orderstatus as k_3 from orders""")
+def io04(spark, sf):
+    """Blank and repeated names in the header."""
+    path = f"{scratch(spark)}/named.csv"
+    lines = load(spark, sf, "orders").selectExpr("concat_ws(',', o_orderkey, o_orderstatus, o_orderpriority, o_custkey, o_orderstatus) as value")
+    lines.withColumnRenamed("value", "k,,k,note,k").write.csv(path, header=True, sep="\u0001", quote="\u0000")
+    return read_delimited(spark, path)
+
+
 @query("io03_drop_repeated_headers", """
     select cast(o_orderkey as varchar) as key_text, o_orderstatus as status_text from orders
     where o_orderkey % 29 <> 0 and o_orderkey % 31 <> 0""")
@@ -75,6 +96,41 @@ ORDER_PAGE = ("concat('<html><body><p>Order</p><table><tr><th>field</th><th>valu
               "'</td></tr><tr><td> priority </td><td><b>', o_orderpriority, '</b></td></tr></table><table><tr><td>a</td></tr><tr><td>b</td></tr></table></body></html>')")
 
 
+@query("sc05_arrays_and_json", """
+    select o_orderkey, concat(o_orderstatus, '; ', o_orderpriority) as joined, cast(2 as integer) as size, upper(o_orderpriority) as second,
+           concat('{"s":"', o_orderstatus, '","n":', o_custkey, '}') as json, o_custkey + 1 as n from orders""")
+def sc05(spark, sf):
+    """The array and JSON functions that flattening is made of."""
+    tags = F.array("o_orderstatus", "o_orderpriority")
+    text = F.to_json(F.struct(F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("n")))
+    return load(spark, sf, "orders").select("o_orderkey", F.array_join(tags, "; ").alias("joined"), F.size(tags).alias("size"), F.get(F.transform(tags, F.upper), F.lit(1)).alias("second"), text.alias("json"),
+                                            (F.from_json(text, "s string, n bigint")["n"] + 1).alias("n"))
+
+
+@query("io07_read_geojson", "select o_orderkey as k, o_orderstatus as s, concat(o_orderstatus, ', ', o_orderpriority) as tags from orders")
+def io07(spark, sf):
+    """A FeatureCollection for each customer's orders; geometry is left out."""
+    path = f"{scratch(spark)}/orders.geojson"
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(F.lit(1.0), F.lit(2.0)).alias("coordinates")).alias("geometry"),
+                       F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.array("o_orderstatus", "o_orderpriority").alias("tags")).alias("properties"))
+    files = load(spark, sf, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
+    files.select("value").write.text(path)
+    return read_json(spark, path, lines=True)["features"]
+
+
+XML_ORDER = "concat('<order key=\"', o_orderkey, '\"\\n><status>', o_orderstatus, '</status><priority>', o_orderpriority, '</priority><who><cust>', o_custkey, '</cust></who><gift/></order>')"
+
+
+@query("io08_read_xml", "select cast(o_orderkey as varchar) as \"@key\", o_orderstatus as status, o_orderpriority as priority, cast(o_custkey as varchar) as who from orders")
+def io08(spark, sf):
+    """A file for each year, whose rows begin after 2,500 lines of notes; start tags run over two lines."""
+    path = f"{scratch(spark)}/orders.xml"
+    notes = "array_join(transform(sequence(1, 2500), i -> concat('<note>', i, '</note>')), '\\n')"
+    files = load(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.array_join(F.collect_list(F.expr(XML_ORDER)), "\n").alias("rows"))
+    files.selectExpr("year", f"concat('<?xml version=\"1.0\"?>\\n<!-- made > here --><export><head>', {notes}, '</head>\\n<orders>', rows, '</orders></export>') as value").write.partitionBy("year").text(path)
+    return read_xml(spark, f"{path}/*").drop("gift")
+
+
 @query("io09_html_tables", """
     select o_orderkey as page_id, 1 as table_no, 0 as row_no, 'field|value' as cells from orders
     union all select o_orderkey, 1, 1, concat('status|', o_orderstatus) from orders
@@ -132,6 +188,14 @@ def io13(spark, sf):
     return load(spark, sf, "orders")
 
 
+@query("io13_dataset_store", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders")
+def io13b(spark, sf):
+    """Saved under a user's name and loaded again."""
+    base = scratch(spark)
+    save_dataset(load(spark, sf, "orders"), base, "ann", "orders")
+    return load_dataset(spark, base, "ann", "orders")
+
+
 @query("io14_csv_guard", """
     select o_orderkey, case when o_orderkey % 13 = 0 then concat('''=', o_orderstatus) when o_orderkey % 13 = 1 then concat('''@', o_orderstatus)
         when o_orderkey % 13 = 2 then '-5' when o_orderkey % 13 = 3 then concat('''-', o_orderstatus) else o_orderstatus end as status from orders""")

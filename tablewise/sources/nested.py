@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 
-from collections import Counter
-from xml.etree import ElementTree
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewise.operators.ordered import RANGE, carry, running_total
+
 # --- fixed values -----------------------------------------------------------
 MAX_STRUCT_FIELDS = 30
 MAX_COLUMNS: int | None = None  # set to cut wide results
@@ -80,29 +79,34 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return flatten(_features(spark.read.json(path, multiLine=True)))
 
 
-def repeated_tag(spark: SparkSession, path: str, peek_lines: int = 2000) -> str | None:
-    """The child element that repeats most under one parent, judged on the first lines."""
-    lines = [r["value"] for r in spark.read.text(path).limit(peek_lines).collect()]
-    parser = ElementTree.XMLPullParser(["start", "end"])
-    stack, pairs, holds, first_seen = [], Counter(), [], {}
-    try:
-        parser.feed("\n".join(lines))
-        for event, node in parser.read_events():
-            if event == "start":
-                if holds:
-                    holds[-1] = True
-                    first_seen.setdefault((stack[-1], node.tag), len(first_seen))
-                stack.append(node.tag)
-                holds.append(False)
-            else:
-                tag, has_children = stack.pop(), holds.pop()
-                if has_children and stack:
-                    pairs[(stack[-1], tag)] += 1
-    except ElementTree.ParseError:
-        if not pairs:
-            raise ValueError("This XML file could not be read.") from None
-    best = min(pairs, key=lambda pair: (-pairs[pair], first_seen[pair]), default=None)
-    return best[1] if best and pairs[best] >= 2 else None
+def xml_tags(spark: SparkSession, path: str) -> DataFrame:
+    """(__range, pos, name, kind, depth) of every tag in the order of the files: kind is 1 for a start tag, -1 for an end tag, 0 for one that
+    closes itself; depth counts the elements that are open after it. Records end at ">", so a tag over many lines is one record and
+    files stay splittable; depths cross the borders of splits through one row a split."""
+    raw = spark.read.option("lineSep", ">").text(path)
+    place = F.concat_ws("|", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    tag = F.regexp_extract("value", r"<(/?[A-Za-z_][^\s<>/]*)[^<]*$", 1)
+    tags = raw.select(place.alias(RANGE), F.monotonically_increasing_id().alias("pos"), tag.alias("tag"), F.col("value").endswith("/").alias("bare")).where(F.col("tag") != "")
+    kind = F.when(F.col("tag").startswith("/"), -1).when(F.col("bare"), 0).otherwise(1)
+    named = tags.select(RANGE, "pos", F.regexp_replace("tag", "^/", "").alias("name"), kind.alias("kind"))
+    return running_total(named, "kind", ["pos"], name="depth", keep_range=True).withColumn("depth", F.col("depth") + F.col("kind"))
+
+
+def repeated_tag(spark: SparkSession, path: str) -> str | None:
+    """The element with children of its own that occurs most often below one kind of parent, counted over the whole file."""
+    tags = xml_tags(spark, path)
+    # What follows each tag: inside a split the next row, at its end the first row of the next split.
+    heads = tags.groupBy(RANGE).agg(F.min_by("kind", "pos").alias("head"))  # one row a split
+    heads = heads.withColumn("after", F.lead("head").over(Window.orderBy(RANGE))).select(RANGE, "after")
+    inside = Window.partitionBy(RANGE).orderBy("pos")
+    tags = tags.withColumn("next", F.lead("kind").over(inside)).join(F.broadcast(heads), RANGE, "left").withColumn("next", F.coalesce("next", "after")).drop("after")
+    opened = tags.where("kind >= 0").withColumn("level", F.col("depth") - F.col("kind"))  # elements around it
+    # A start tag is asked for its parent at its own level, and answers as a parent one level down.
+    sides = F.array(F.struct(F.col("level").alias("at"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("side")), F.struct((F.col("level") + 1).alias("at"), F.col("name").alias("parent"), F.lit(0).alias("side")))
+    placed = opened.select(RANGE, "pos", "name", "kind", "next", F.inline(sides))
+    found = carry(placed, F.col("parent"), ["pos", "side"], ["at"], "above").where((F.col("side") == 1) & F.col("above").isNotNull() & (F.col("kind") == 1) & (F.col("next") >= 0))
+    best = found.groupBy("above", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RANGE, "pos")).alias("first")).where("n >= 2").orderBy(F.col("n").desc(), "first").limit(1).collect()
+    return best[0]["name"] if best else None
 
 
 def _leaf_text(c: Column, kind: T.DataType) -> Column:
