@@ -85,6 +85,20 @@ def ml03(spark, sf):
     return spark.createDataFrame([(facts["k"], facts["silhouette"])], "k int, silhouette double")
 
 
+@query("ml03_silhouette_of_labels", f"""
+    with z as (select p_partkey, case when p_size > 25 then 'large' when p_size > 20 then 'middle' else 'small' end as label, p_size / 15.0 as x, p_retailprice / 300.0 as y, greatest(1, count(*) over () // 600) as step, count(*) over () as n from part),
+    t as (select * from z where n < 1200 or p_partkey % step = 0),
+    d as (select a.p_partkey as k, a.label, b.label as other, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as d, count(*) as n from t a cross join t b group by all),
+    s as (select k, label, coalesce(max(case when label = other and n > 1 then d / (n - 1) end), 0) as a, min(case when label <> other then d / n end) as b from d group by all)
+    select label, count(*) as n, {r('avg(a)', 6)} as a, {r('avg(b)', 6)} as b, {r('avg((b - a) / greatest(a, b))', 6)} as silhouette from s group by label""")
+def ml03b(spark, sf):
+    """Silhouettes of given labels on the systematic sample of parts."""
+    label = F.when(F.col("p_size") > 25, "large").when(F.col("p_size") > 20, "middle").otherwise("small")
+    df = load(spark, sf, "part").select("p_partkey", label.alias("label"), (F.col("p_size") / 15.0).alias("x"), (F.col("p_retailprice") / 300.0).alias("y"))
+    found = models.silhouette_rows(df, ["x", "y"], "label", "p_partkey")
+    return rounded(found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.avg("s").alias("silhouette")), 6)
+
+
 @query("ml04_pca")
 def ml04(spark, sf):
     return rounded(models.pca2(load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], ["l_orderkey", "l_linenumber"])[0])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.tails import f_upper, p_t
 from tablewise.meta import is_numeric
+from tablewise.operators.filters import systematic_sample
 from tablewise.operators.moments import union_all
 from tablewise.operators.ordered import value_ranks
 from tablewise.operators.scalars import correlation_of, numeric
@@ -218,11 +219,33 @@ def _relabel(model) -> Column:
     return numbers[F.col("__label")]
 
 
-def silhouette(predicted: DataFrame, label: str = "__label") -> float:
-    """Mean silhouette by squared Euclidean distance to cluster statistics, over all rows."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
+SILHOUETTE_ROWS = 600  # about so many rows stand for all of them; up to twice as many are all taken
+BLOCK_POINTS = 256
 
-    return ClusteringEvaluator(predictionCol=label, featuresCol="features").evaluate(predicted)
+
+def silhouette_rows(df: DataFrame, cols: list[str], label: str, key: str, rows: int | None = None, most: int = SILHOUETTE_ROWS) -> DataFrame:
+    """(key, label, a, b, s) of the rows of a systematic sample: mean Euclidean distance to the sample's other rows of the own label, the
+    smallest such mean over the other labels, and the silhouette; 0 where there is no other label.
+
+    key is an integer that tells rows apart. The sample is every step-th key, step being rows // most, so it holds every row of a small
+    frame. Its points go in blocks of a label, of bounded size; a row meets each block once and folds over it, so no pairs are formed."""
+    n = df.count() if rows is None else rows
+    picked = systematic_sample(df, key, max(1, n // most)) if n >= 2 * most else df
+    sample = picked.select(F.col(key).alias("key"), F.col(label).alias("label"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    parts = max(1, -(-2 * most // BLOCK_POINTS))
+    blocks = sample.groupBy(F.col("label").alias("other"), F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")).agg(F.collect_list("x").alias("points"))
+    far = F.aggregate("points", F.lit(0.0), lambda t, p: t + F.sqrt(F.aggregate(F.zip_with("x", p, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, d: s + d)))
+    labels = blocks.agg(F.collect_set(F.struct("other", "part")).alias("b")).scalar()  # one entry a block: the sample's size bounds them
+    met = sample.withColumn("m", F.explode(labels)).select("key", "label", "x", "m.other", "m.part").join(F.broadcast(blocks), ["other", "part"])
+    per = met.groupBy("key", "label", "other").agg(F.sum(far).alias("d"), F.sum(F.size("points")).alias("n"))
+    own = F.col("label") == F.col("other")
+    sides = per.groupBy("key", "label").agg(F.coalesce(F.max(F.when(own & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))), F.lit(0.0)).alias("a"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"))
+    return sides.withColumn("s", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+
+
+def silhouette(predicted: DataFrame, cols: list[str], label: str = "__label", key: str = "__row", rows: int | None = None) -> float:
+    """Mean silhouette of a systematic sample."""
+    return silhouette_rows(predicted, cols, label, key, rows).agg(F.avg("s")).first()[0]
 
 
 def segment(df: DataFrame, cols: list[str], k: int | None = None, keep: list[str] = ()) -> tuple[DataFrame, dict]:
@@ -231,7 +254,7 @@ def segment(df: DataFrame, cols: list[str], k: int | None = None, keep: list[str
         raise ValueError("Choose at least two numeric columns.")
     raw = df.select(*keep, *[F.col(c) for c in cols], *[numeric(F.col(c)).alias(f"raw_{c}") for c in cols])
     z = standardize(winsorize(raw, cols), cols, [*keep, *[f"raw_{c}" for c in cols]])
-    data = _features(z, cols).persist()
+    data = _features(z, cols).withColumn("__row", F.monotonically_increasing_id()).persist()
     n = data.count()
     if n < 20:
         data.unpersist()
@@ -243,7 +266,7 @@ def segment(df: DataFrame, cols: list[str], k: int | None = None, keep: list[str
         if not k and min(model.summary.clusterSizes) < smallest:
             tried.append((candidate, None))
             continue
-        score = silhouette(model.transform(data))
+        score = silhouette(model.transform(data), cols, rows=n)
         tried.append((candidate, score))
         if best is None or score > best[1]:
             best = (model, score, candidate)
@@ -252,7 +275,7 @@ def segment(df: DataFrame, cols: list[str], k: int | None = None, keep: list[str
         raise ValueError(f"No clear segments: every split leaves a group with fewer than {smallest} rows.")
     model, score, chosen = best
     data.unpersist()
-    out = model.transform(data).withColumn("segment", _relabel(model))
+    out = model.transform(data).drop("__row").withColumn("segment", _relabel(model))
     return out, {"k": chosen, "silhouette": score, "tried": tried, "inertia": model.summary.trainingCost, "model": model}
 
 

@@ -55,3 +55,22 @@ def test_pca(spark, data):
     df, x, z, *_ = data
     scores, share = models.pca2(df, ["x", "z", "y"])
     assert sum(share) <= 1 + 1e-9 and share[0] >= share[1] and scores.count() == 300
+
+
+@pytest.mark.parametrize("n", [90, 2600])
+def test_silhouette_equals_all_distances(spark, n):
+    rng = np.random.default_rng(n)
+    x, label = rng.normal(0, 1, (n, 3)), rng.integers(0, 4, n)
+    label[label == 3] = np.where(np.arange((label == 3).sum()) == 0, 3, 2)  # a segment of one row
+    df = spark.createDataFrame([(int(i), int(g), *map(float, v)) for i, (g, v) in enumerate(zip(label, x, strict=True))], "id long, g int, a double, b double, c double")
+    step = max(1, n // models.SILHOUETTE_ROWS) if n >= 2 * models.SILHOUETTE_ROWS else 1
+    at = np.arange(0, n, step)
+    far = np.sqrt(((x[at, None] - x[None, at]) ** 2).sum(-1))
+    want = {}
+    for i, row in enumerate(at):
+        means = {g: far[i][label[at] == g].sum() / ((label[at] == g).sum() - (g == label[row])) for g in set(label[at]) if g != label[row] or (label[at] == g).sum() > 1}
+        a, b = means.pop(label[row], 0.0), min(means.values())
+        want[int(row)] = (b - a) / max(a, b)
+    got = {r.key: r.s for r in models.silhouette_rows(df, ["a", "b", "c"], "g", "id").collect()}
+    assert got == pytest.approx(want)
+    assert models.silhouette_rows(df.where("g = 0"), ["a", "b", "c"], "g", "id").where("s != 0").count() == 0
