@@ -9,24 +9,31 @@ TRAINED_ROLE = "assistant"
 
 
 def _safe(c) -> F.Column:
-    """Markers inside a text are broken up, so that no text can open or close a turn."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"<\|", "< |")
+    """Markers inside a text get a backslash more between < and |, so that no text can open or close a turn and different texts stay
+    different; plain_text takes it out again."""
+    return F.regexp_replace(c, r"<(\\*)\|", r"<\\$1|")
+
+
+def plain_text(c) -> F.Column:
+    """A text as it was before it was rendered."""
+    return F.regexp_replace(c, r"<\\(\\*)\|", r"<$1|")
 
 
 def _head(turn) -> F.Column:
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"))
+    return F.concat(F.lit("<|"), _safe(turn["role"]), F.lit("|>\n"))
 
 
 def _rendered(turn) -> F.Column:
-    return F.concat(_head(turn), turn["text"], F.lit("<|end|>\n"))
+    return F.concat(_head(turn), _safe(turn["text"]), F.lit("<|end|>\n"))
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns): a conversation's turns in order as one array of role and text, markers in them broken up.
+    """(conv_id, turns): a conversation's turns in order as one array of role and text. An array must fit into a row, so a conversation
+    may hold up to 2 GB.
 
     Turns sort by number, then role, then text; a null number comes first. Exactly repeated rows count once. Null roles and texts are
     empty. Rows without a conv_id take no part."""
-    one = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", _safe(F.col("role")).alias("role"), _safe(F.col("text")).alias("text")).distinct()
+    one = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     packed = one.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return packed.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
@@ -36,7 +43,7 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     rejected_spans (arrays of start and end in code points of the completion: what carries loss), identical.
 
     turns: conv_id, turn, role, text. pairs: pair_id, chosen_id, rejected_id; other columns of either are ignored. A common prefix holds
-    turns of equal role and text. Loss lies on the trained role's texts with their end markers; all else is masked. A conversation that
+    turns of equal role and text, compared as they are; markers inside them are escaped only where they are rendered. Loss lies on the trained role's texts with their end markers; all else is masked. A conversation that
     is missing or null has no turns, so its completion is empty and nothing is common. Identical conversations are all prompt, with
     empty completions, and are marked. Everything is DataFrame functions; the only shuffles are one grouping of turns and two joins."""
     packed = conversations(turns)
@@ -73,3 +80,20 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     """Pairs for a table that names none: conversations 2k (chosen) and 2k + 1 (rejected), if at least one is there."""
     ids = turns.where("conv_id is not null").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).distinct()
     return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
+
+
+def branching_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and pairs that branch, for a table that names no pairs: a conversation is the chosen side; the rejected one, under the id
+    -1 - conv_id, has the same turns up to its last answer and there the last answer of the conversation whose id differs in the
+    lowest bit. pair_id is -1 - conv_id. Conversations without an answer give no pair; without a neighbour's answer the rejected side
+    ends with the common turns. Negative ids, and rows without an id, take no part; a null
+    turn number comes first."""
+    told = turns.where("conv_id >= 0").select("conv_id", "turn", "role", "text")
+    last = told.where(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("a"))
+    twin = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("a.text").alias("other"), F.lit(True).alias("there"))
+    both = last.join(twin, "conv_id", "left")
+    new = (F.lit(-1) - F.col("conv_id")).alias("conv_id")
+    before = told.join(last, "conv_id").where(F.coalesce(F.col("turn") < F.col("a.turn"), F.col("turn").isNull() & F.col("a.turn").isNotNull())).select(new, "turn", "role", "text")
+    answer = both.where("there").select(new, F.col("a.turn").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.col("other").alias("text"))
+    pairs = last.select((F.lit(-1) - F.col("conv_id")).alias("pair_id"), F.col("conv_id").alias("chosen_id"), (F.lit(-1) - F.col("conv_id")).alias("rejected_id"))
+    return turns.select("conv_id", "turn", "role", "text").unionByName(before).unionByName(answer), pairs

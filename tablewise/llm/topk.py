@@ -92,17 +92,19 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k items of highest integer inner product, ties to the smaller vec_id.
 
     items and queries hold vec_id (integer) and v (array of long). A query is not its own candidate. Only vectors of the query's length
-    are candidates. Rows with a null id or vector, or a null component, take no part; exactly repeated rows count once. Fewer than k
-    candidates give fewer rows, none give none. Empty tables give an empty result."""
+    are candidates. Rows with a null id or vector, or a null component, take no part. Every other row is a candidate, so repeated rows
+    count each; rows of a query's id are its own, and a query given several times is one. Fewer than k candidates give fewer rows,
+    none give none. Empty tables give an empty result."""
     prepare(items.sparkSession)
 
     def valid(df: DataFrame) -> DataFrame:
         df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<bigint>").alias("v"))
-        return df.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).withColumn("dim", F.size("v")).distinct()
+        return df.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).withColumn("dim", F.size("v"))
 
-    items, queries = stash(valid(items), "items"), stash(valid(queries), "queries")
+    items, queries = stash(valid(items), "items"), stash(valid(queries).distinct(), "queries")
     ranges, chunks = (max(1, -(-df.count() // n)) for df, n in ((items, RANGE), (queries, CHUNK)))
-    items = items.withColumn("r", F.pmod(F.xxhash64("vec_id", "v"), F.lit(ranges))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # The place in the written table keeps equal rows apart, so that they fill ranges evenly too.
+    items = items.withColumn("r", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(ranges))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     queries = queries.withColumn("c", F.pmod(F.xxhash64("vec_id", "v"), F.lit(chunks)).cast("int"))
     unit = ["dim", "c", "r"]
 

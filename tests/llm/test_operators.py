@@ -17,7 +17,7 @@ from tablewise.llm.decontaminate import find_leaks
 from tablewise.llm.mixing import mix_sources
 from tablewise.llm.neardup import near_duplicates
 from tablewise.llm.pii import _RULES, added_spans, disguised, find_pii, plain_spans, redacted, span_text
-from tablewise.llm.preferences import format_preferences, neighbour_pairs
+from tablewise.llm.preferences import branching_pairs, format_preferences, neighbour_pairs, plain_text
 from tablewise.llm.quality import fit_labellers, score_quality
 from tablewise.llm.shared import word_count
 from tablewise.llm.topk import quantised, top_k
@@ -224,12 +224,12 @@ def test_mixing_meets_targets(spark, monkeypatch):
 def test_top_k_equals_brute_force_with_ties(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(400)] + [(1000 + i, [1.0] * 6) for i in range(40)]
-    rows += [(2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (50, rows[50][1])]
+    rows += [(2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (50, rows[50][1])] + [rows[1], rows[1]]
     df = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(df, df.where("vec_id % 50 = 0")).collect()}
-    v = {r.vec_id: np.array(r.v) for r in df.collect()}
-    for q in [i for i in v if i % 50 == 0]:
-        best = sorted((-int(v[q] @ x), i) for i, x in v.items() if i != q)[:5]
+    v = [(r.vec_id, np.array(r.v)) for r in df.collect()]  # repeated rows are candidates each
+    for q, y in {i: x for i, x in v if i % 50 == 0}.items():
+        best = sorted((-int(y @ x), i) for i, x in v if i != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
     assert top_k(df.limit(0), df.limit(0)).count() == 0 and top_k(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
 
@@ -241,11 +241,38 @@ def test_preferences(spark):
     got = {r.pair_id: r for r in format_preferences(df, neighbour_pairs(df)).collect()}
     a = got[0]
     assert sorted(got) == [0, 1, 2, 3] and a.prompt == "<|user|>\nhi<|end|>\n" and a.prompt_turns == 1
-    assert a.chosen == "<|assistant|>\ngood < |end|><|end|>\n" and a.rejected == "<|assistant|>\nbad<|end|>\n<|user|>\nwhy<|end|>\n"
-    assert [a.chosen[s.start:s.end] for s in a.chosen_spans] == ["good < |end|><|end|>"] and [a.rejected[s.start:s.end] for s in a.rejected_spans] == ["bad<|end|>"]
+    assert a.chosen == "<|assistant|>\ngood <\\|end|><|end|>\n" and a.rejected == "<|assistant|>\nbad<|end|>\n<|user|>\nwhy<|end|>\n"
+    assert [a.chosen[s.start:s.end] for s in a.chosen_spans] == ["good <\\|end|><|end|>"] and [a.rejected[s.start:s.end] for s in a.rejected_spans] == ["bad<|end|>"]
     assert got[1].rejected == "" and got[1].prompt == "" and got[2].identical and got[2].chosen == got[2].rejected == "" and not got[1].identical
 
 
+def test_turns_are_compared_as_they_are_and_escapes_can_be_undone(spark):
+    texts = ["a<|b", "a< |b", "a<\\|b", "a<\\\\|b", "<||>", "<|end|>", "", "<", "|"]
+    turns = [(2 * i, 0, "user", "a<|b") for i in range(len(texts))] + [(2 * i + 1, 0, "user", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in format_preferences(df, neighbour_pairs(df)).withColumn("back", plain_text("rejected")).collect()}
+    assert [got[i].prompt_turns for i in range(len(texts))] == [1] + [0] * (len(texts) - 1)
+    for i, t in enumerate(texts[1:], 1):
+        assert got[i].rejected.count("<|") == 2 and got[i].rejected.endswith("<|end|>\n") and plain(got[i].rejected[len("<|user|>\n"):-len("<|end|>\n")]) == t
+
+
+def plain(text):
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
+def test_pairs_that_branch(spark):
+    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "one"), (0, 2, "user", "more"), (0, 3, "assistant", "two"), (0, 4, "user", "thanks"), (1, 0, "user", "z"), (1, 1, "assistant", "other"),
+             (2, 0, "user", "no answer"), (4, 0, "assistant", "alone"), (None, 0, "assistant", "lost"), (1, None, "assistant", "lost")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("other", F.lit(1))
+    told, pairs = branching_pairs(df)
+    got = {r.pair_id: r for r in format_preferences(told, pairs).collect()}
+    assert sorted(got) == [-5, -2, -1] and got[-1].prompt_turns == 3 and got[-2].prompt_turns == 2
+    assert got[-1].chosen == "<|assistant|>\ntwo<|end|>\n<|user|>\nthanks<|end|>\n" and got[-1].rejected == "<|assistant|>\nother<|end|>\n"
+    assert got[-2].rejected == "<|assistant|>\ntwo<|end|>\n" and got[-5].rejected == "" and got[-5].chosen == "<|assistant|>\nalone<|end|>\n"
+    told, pairs = branching_pairs(df.limit(0))
+    assert format_preferences(told, pairs).count() == 0
+
+
 def test_url_rules_and_aliases(spark):
     rules = spark.createDataFrame([("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "bad.org", "/"), ("allow", "good.org", "/")], "action string, host string, path string")
     pages = [(1, "http://A.example.NET/en/x", None), (2, "http://example.net", None), (3, "http://example.net/de/", None), (4, None, None), (5, "no url", "<p>"),
