@@ -52,6 +52,11 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     for side in ("chosen", "rejected"):
         sides = sides.join(packed.select(F.col("conv_id").alias(f"{side}_id"), F.col("turns").alias(f"_{side}")), f"{side}_id", "left")
         sides = sides.withColumn(f"_{side}", F.coalesce(f"_{side}", none))
+    return _formatted(sides)
+
+
+def _formatted(sides: DataFrame) -> DataFrame:
+    """Pairs with the turns of both sides (_chosen, _rejected) as prompt and completions."""
     shorter = F.least(F.size("_chosen"), F.size("_rejected"))
     steps = F.when(shorter > 0, F.sequence(F.lit(0), shorter - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     same = lambda i: F.col("_chosen")[i] == F.col("_rejected")[i]
@@ -82,18 +87,19 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
 
 
-def branching_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns and pairs that branch, for a table that names no pairs: a conversation is the chosen side; the rejected one, under the id
-    -1 - conv_id, has the same turns up to its last answer and there the last answer of the conversation whose id differs in the
-    lowest bit. pair_id is -1 - conv_id. Conversations without an answer give no pair; without a neighbour's answer the rejected side
-    ends with the common turns. Negative ids, and rows without an id, take no part; a null
-    turn number comes first."""
-    told = turns.where("conv_id >= 0").select("conv_id", "turn", "role", "text")
-    last = told.where(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("a"))
-    twin = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("a.text").alias("other"), F.lit(True).alias("there"))
-    both = last.join(twin, "conv_id", "left")
-    new = (F.lit(-1) - F.col("conv_id")).alias("conv_id")
-    before = told.join(last, "conv_id").where(F.coalesce(F.col("turn") < F.col("a.turn"), F.col("turn").isNull() & F.col("a.turn").isNotNull())).select(new, "turn", "role", "text")
-    answer = both.where("there").select(new, F.col("a.turn").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.col("other").alias("text"))
-    pairs = last.select((F.lit(-1) - F.col("conv_id")).alias("pair_id"), F.col("conv_id").alias("chosen_id"), (F.lit(-1) - F.col("conv_id")).alias("rejected_id"))
-    return turns.select("conv_id", "turn", "role", "text").unionByName(before).unionByName(answer), pairs
+def format_branches(turns: DataFrame) -> DataFrame:
+    """As format_preferences, for pairs that branch, in a table that names none: a conversation is the chosen side; the rejected one has
+    the same turns up to its last answer and there the last answer of the conversation whose id differs in the lowest bit.
+
+    pair_id and rejected_id are -1 - conv_id. Conversations without an answer give no pair; without a neighbour's answer the rejected
+    side ends with the common turns. Negative and null ids take no part. One grouping of turns; only last answers are joined to it."""
+    packed = conversations(turns.where("conv_id >= 0"))
+    places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i)), lambda i: i.isNotNull())
+    packed = packed.withColumn("at", F.array_max(places)).where("at is not null")
+    answers = packed.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.get("turns", F.col("at"))["text"].alias("other"))
+    both = packed.join(answers, "conv_id", "left")
+    other = F.struct(F.lit(TRAINED_ROLE).alias("role"), F.col("other").alias("text"))
+    stem = F.slice("turns", F.lit(1), F.col("at"))
+    new = F.lit(-1) - F.col("conv_id")
+    return _formatted(both.select(new.alias("pair_id"), F.col("conv_id").alias("chosen_id"), new.alias("rejected_id"), F.col("turns").alias("_chosen"),
+                                  F.when(F.col("other").isNull(), stem).otherwise(F.concat(stem, F.array(other))).alias("_rejected")))

@@ -17,7 +17,7 @@ from tablewise.llm.decontaminate import find_leaks
 from tablewise.llm.mixing import mix_sources
 from tablewise.llm.neardup import near_duplicates
 from tablewise.llm.pii import _RULES, added_spans, disguised, find_pii, plain_spans, redacted, span_text
-from tablewise.llm.preferences import branching_pairs, format_preferences, neighbour_pairs, plain_text
+from tablewise.llm.preferences import format_branches, format_preferences, neighbour_pairs, plain_text
 from tablewise.llm.quality import fit_labellers, score_quality
 from tablewise.llm.shared import word_count
 from tablewise.llm.topk import quantised, top_k
@@ -264,13 +264,11 @@ def test_pairs_that_branch(spark):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "one"), (0, 2, "user", "more"), (0, 3, "assistant", "two"), (0, 4, "user", "thanks"), (1, 0, "user", "z"), (1, 1, "assistant", "other"),
              (2, 0, "user", "no answer"), (4, 0, "assistant", "alone"), (None, 0, "assistant", "lost"), (1, None, "assistant", "lost")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("other", F.lit(1))
-    told, pairs = branching_pairs(df)
-    got = {r.pair_id: r for r in format_preferences(told, pairs).collect()}
+    got = {r.pair_id: r for r in format_branches(df).collect()}
     assert sorted(got) == [-5, -2, -1] and got[-1].prompt_turns == 3 and got[-2].prompt_turns == 2
     assert got[-1].chosen == "<|assistant|>\ntwo<|end|>\n<|user|>\nthanks<|end|>\n" and got[-1].rejected == "<|assistant|>\nother<|end|>\n"
     assert got[-2].rejected == "<|assistant|>\ntwo<|end|>\n" and got[-5].rejected == "" and got[-5].chosen == "<|assistant|>\nalone<|end|>\n"
-    told, pairs = branching_pairs(df.limit(0))
-    assert format_preferences(told, pairs).count() == 0
+    assert format_branches(df.limit(0)).count() == 0
 
 
 def test_url_rules_and_aliases(spark):
