@@ -33,20 +33,21 @@ def conversations(turns: DataFrame) -> DataFrame:
 
     Turns sort by number, then role, then text; a null number comes first. Exactly repeated rows count once. Null roles and texts are
     empty. Rows without a conv_id take no part."""
-    one = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    packed = one.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    one = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = one.groupBy("conv_id").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("turn", "role", "text")))).alias("t"))
     return packed.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
-def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+def format_preferences(turns: DataFrame, pairs: DataFrame, packed: DataFrame | None = None) -> DataFrame:
     """One row per pair: pair_id, chosen_id, rejected_id, prompt_turns, prompt, chosen, rejected (rendered completions), chosen_spans and
     rejected_spans (arrays of start and end in code points of the completion: what carries loss), identical.
 
     turns: conv_id, turn, role, text. pairs: pair_id, chosen_id, rejected_id; other columns of either are ignored. A common prefix holds
     turns of equal role and text, compared as they are; markers inside them are escaped only where they are rendered. Loss lies on the trained role's texts with their end markers; all else is masked. A conversation that
     is missing or null has no turns, so its completion is empty and nothing is common. Identical conversations are all prompt, with
-    empty completions, and are marked. Everything is DataFrame functions; the only shuffles are one grouping of turns and two joins."""
-    packed = conversations(turns)
+    empty completions, and are marked. Everything is DataFrame functions; the only shuffles are one grouping of turns and two joins.
+    packed: conversations(turns), where it is at hand."""
+    packed = conversations(turns) if packed is None else packed
     none = F.expr("cast(array() as array<struct<role:string,text:string>>)")
     sides = pairs.select("pair_id", "chosen_id", "rejected_id")
     for side in ("chosen", "rejected"):
@@ -87,13 +88,13 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
 
 
-def format_branches(turns: DataFrame) -> DataFrame:
+def format_branches(turns: DataFrame, packed: DataFrame | None = None) -> DataFrame:
     """As format_preferences, for pairs that branch, in a table that names none: a conversation is the chosen side; the rejected one has
     the same turns up to its last answer and there the last answer of the conversation whose id differs in the lowest bit.
 
     pair_id and rejected_id are -1 - conv_id. Conversations without an answer give no pair; without a neighbour's answer the rejected
     side ends with the common turns. Negative and null ids take no part. One grouping of turns; only last answers are joined to it."""
-    packed = conversations(turns.where("conv_id >= 0"))
+    packed = (conversations(turns) if packed is None else packed).where("conv_id >= 0")
     places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i)), lambda i: i.isNotNull())
     packed = packed.withColumn("at", F.array_max(places)).where("at is not null")
     answers = packed.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.get("turns", F.col("at"))["text"].alias("other"))

@@ -12,7 +12,7 @@ from tablewise.llm.linefreq import rate_lines
 from tablewise.llm.mixing import mix_sources
 from tablewise.llm.neardup import near_duplicates
 from tablewise.llm.pii import KINDS, count_kind, find_pii, span_text
-from tablewise.llm.preferences import format_branches, format_preferences, neighbour_pairs
+from tablewise.llm.preferences import conversations, format_branches, format_preferences, neighbour_pairs
 from tablewise.llm.quality import score_quality
 from tablewise.llm.shared import stash, word_count
 from tablewise.llm.topk import quantised, top_k
@@ -61,7 +61,8 @@ def op6_top_k(spark: SparkSession, sf: str) -> DataFrame:
 def op7_preferences(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours as they are (pair_id from 0), and pairs that branch at a conversation's last answer (pair_id below 0)."""
     turns = table(spark, sf, "conversations")
-    return format_preferences(turns, neighbour_pairs(turns)).unionByName(format_branches(turns))
+    packed = stash(conversations(turns), "conversations")
+    return format_preferences(turns, neighbour_pairs(turns), packed).unionByName(format_branches(turns, packed))
 
 
 def op8_url_rules(spark: SparkSession, sf: str) -> DataFrame:
