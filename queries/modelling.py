@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from queries.base import dirty, dirty_sql, load, query, r, rounded
 from tablewise.operators import models
+from tablewise.operators.absorb import fit_absorbed
 
 REGR = "l_extendedprice, l_quantity"
 
@@ -85,6 +86,19 @@ def ml03(spark, sf):
     return spark.createDataFrame([(facts["k"], facts["silhouette"])], "k int, silhouette double")
 
 
+@query("ml01_regression_absorbed", f"""
+    with w as (select l_extendedprice - avg(l_extendedprice) over g as y, l_quantity - avg(l_quantity) over g as a, l_discount - avg(l_discount) over g as b, l_suppkey from lineitem window g as (partition by l_suppkey)),
+    s as (select sum(y * y) as yy, sum(a * a) as aa, sum(b * b) as bb, sum(a * b) as ab, sum(a * y) as ay, sum(b * y) as by_, count(*) as n, count(*) - count(distinct l_suppkey) - 2 as df from w),
+    c as (select *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) as ca, (by_ * aa - ay * ab) / (aa * bb - ab * ab) as cb from s),
+    e as (select *, yy - ca * ay - cb * by_ as sse from c)
+    select 'l_quantity' as term, {r('ca')} as coef, {r('sqrt(bb / (aa * bb - ab * ab) * sse / df)')} as se, n, df, {r('1 - sse / yy', 6)} as r2_within from e
+    union all select 'l_discount', {r('cb')}, {r('sqrt(aa / (aa * bb - ab * ab) * sse / df)')}, n, df, {r('1 - sse / yy', 6)} from e""")
+def ml01e(spark, sf):
+    """Slopes with an indicator for every supplier, as within-group regression gives them."""
+    fitted = fit_absorbed(load(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], ["l_suppkey"])
+    return rounded(fitted.select("term", "coef", "se", "n", "df", "r2_within"), 4, r2_within=6)
+
+
 @query("ml03_silhouette_of_labels", f"""
     with z as (select p_partkey, case when p_size > 25 then 'large' when p_size > 20 then 'middle' else 'small' end as label, p_size / 15.0 as x, p_retailprice / 300.0 as y, greatest(1, count(*) over () // 600) as step, count(*) over () as n from part),
     t as (select * from z where n < 1200 or p_partkey % step = 0),
