@@ -244,6 +244,24 @@ def cl26(spark, sf):
     return clean.add_clusters(df, ["p_size", "p_retailprice"], 3)
 
 
+@query("cl26_cluster_invariants", """
+    select count(*) as "rows", count(case when p_partkey % 40 = 0 then null else p_size end) as labelled, cast(3 as bigint) as segments, true as numbered_by_size, true as nearest_mean from part""")
+def cl26b(spark, sf):
+    """Rows with a missing input have no segment, segments are numbered by falling size, and each row lies nearest to its own segment's mean."""
+    df = load(spark, sf, "part").selectExpr("p_partkey", "p_size", "case when p_partkey % 40 = 0 then null else p_retailprice end as p_retailprice")
+    done = clean.add_clusters(df, ["p_size", "p_retailprice"], 3)
+    inputs = df.select("p_size", "p_retailprice")
+    m = inputs.agg(F.avg("p_size").alias("a"), F.stddev_samp("p_size").alias("sa"), F.avg("p_retailprice").alias("b"), F.stddev_samp("p_retailprice").alias("sb")).first()
+    z = done.select("segment", ((F.col("p_size") - m["a"]) / m["sa"]).alias("x"), ((F.col("p_retailprice") - m["b"]) / m["sb"]).alias("y"))
+    means = sorted(z.where("segment is not null").groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")).collect())
+    far = lambda g: (F.col("x") - g["x"]) * (F.col("x") - g["x"]) + (F.col("y") - g["y"]) * (F.col("y") - g["y"])
+    own = F.coalesce(*[F.when(F.col("segment") == g["segment"], far(g)) for g in means])
+    # k-means stops when its centres hardly move, so rows on a border may lie a trifle nearer to the next.
+    falling = all(a["n"] >= b["n"] for a, b in zip(means, means[1:]))
+    return z.agg(F.count(F.lit(1)).alias("rows"), F.count("segment").alias("labelled"), F.count_distinct("segment").alias("segments"), F.lit(falling).alias("numbered_by_size"),
+                 (F.count_if(own > F.least(*[far(g) for g in means]) + 0.05) == 0).alias("nearest_mean"))
+
+
 STEPS = [Step("fill_missing", {"col": "price", "method": "mean"}), Step("text_clean", {"col": "no_such_column", "fn": "trim"}),
          Step("derive", {"name": "half", "a": "price", "op": "/", "b": 2, "constant": True}), Step("filter", {"col": "half", "op": ">", "value": 50000})]
 

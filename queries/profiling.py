@@ -359,6 +359,77 @@ def pk01b(spark, sf):
     return rounded(run(dirty(spark, sf, *COLS), "describe", None, METAS).select("column", "n", "mean"), 2)
 
 
+@query("pk01_run_distribution", f"""
+    with j as (select count(price) as n, skewness(price) as s, kurtosis(price) as k from {dirty_sql()}), t as (select *, n / 6.0 * (s * s + k * k / 4) as jb from j)
+    select 'price' as "column", n, {r('s')} as skew, {r('k')} as kurt, {r('jb', 2)} as jb, {r('exp(-jb / 2)')} as p from t""")
+def pk01c(spark, sf):
+    """The tail of a chi-square with two degrees of freedom is exp(-x / 2)."""
+    return rounded(run(dirty(spark, sf, *COLS), "distribution", {"col": "price"}, METAS), 4, jb=2)
+
+
+@query("pk01_run_outliers", f"""
+    with s as (select avg(price) as m, stddev_samp(price) as sd, quantile_cont(price, 0.25) as q1, quantile_cont(price, 0.75) as q3 from {dirty_sql('price')})
+    select count(price) as n, count_if(price < q1 - 1.5 * (q3 - q1) or price > q3 + 1.5 * (q3 - q1)) as outside, count_if(abs((price - m) / sd) > 3) as far,
+           {r('min(q1 - 1.5 * (q3 - q1))', 2)} as low, {r('min(q3 + 1.5 * (q3 - q1))', 2)} as high from {dirty_sql('price')}, s""")
+def pk01d(spark, sf):
+    return rounded(run(dirty(spark, sf, *COLS), "outliers", None, METAS), 2)
+
+
+@query("pk01_run_crosstab", f"""
+    with o as (select status as a, priority as b, count(*) as n from {dirty_sql()} where status is not null and priority is not null group by 1, 2), ra as (select a, sum(n) as ra from o group by 1), rb as (select b, sum(n) as rb from o group by 1),
+    e as (select coalesce(n, 0) as n, ra * rb * 1.0 / (select sum(n) from o) as e from ra cross join rb left join o using (a, b))
+    select cast(sum(n) as bigint) as n, {r('sum((n - e) ** 2 / e)')} as chi2, ((select count(*) from ra) - 1) * ((select count(*) from rb) - 1) as df, {r('avg(case when e < 5 then 1.0 else 0.0 end)')} as low_expected from e""")
+def pk01e(spark, sf):
+    return rounded(run(dirty(spark, sf, *COLS), "crosstab", {"a": "status", "b": "priority"}, METAS).select("n", "chi2", "df", "low_expected"))
+
+
+@query("pk01_run_correlation", f"""
+    select 'o_custkey' as column_a, 'price' as column_b, count(*) as n, {r('corr(o_custkey, price)', 6)} as r from {dirty_sql()} where price is not null
+    union all select 'o_custkey', 'spiked', count(*), {r('corr(o_custkey, spiked)', 6)} from {dirty_sql()} union all select 'price', 'spiked', count(*), {r('corr(price, spiked)', 6)} from {dirty_sql()} where price is not null""")
+def pk01f(spark, sf):
+    cols = ["o_custkey", "price", "spiked"]
+    return rounded(run(dirty(spark, sf, *cols), "correlation", {"cols": cols}).select("column_a", "column_b", "n", "r"), 6)
+
+
+@query("pk01_run_regression", f"""
+    select '(Intercept)' as term, {r('regr_intercept(spiked, price)', 2)} as coef from {dirty_sql()} union all select 'price', {r('regr_slope(spiked, price)', 2)} from {dirty_sql()}""")
+def pk01g(spark, sf):
+    return rounded(run(dirty(spark, sf, "price", "spiked"), "regression", {"target": "spiked", "predictors": ["price"]}).select("term", "coef"), 2)
+
+
+@query("pk01_run_paired", f"""
+    with d as (select spiked - price as d from {dirty_sql()} where price is not null)
+    select count(*) as n, {r('avg(d)', 2)} as mean_diff, count(*) - 1 as df, {r('avg(d) / (stddev_samp(d) / sqrt(count(*)))')} as t from d""")
+def pk01h(spark, sf):
+    return rounded(run(dirty(spark, sf, "price", "spiked"), "paired", {"a": "spiked", "b": "price"}).select("n", "mean_diff", "df", "t"), 4, mean_diff=2)
+
+
+@query("pk01_run_timeseries", f"""
+    with y as (select date_trunc('year', o_orderdate) as p, avg(price) as v from {dirty_sql()} group by 1)
+    select cast(p as date) as period, {r('v', 2)} as value, {r('v / nullif(lag(v) over (order by p), 0) - 1')} as change from y""")
+def pk01i(spark, sf):
+    made = run(dirty(spark, sf, *COLS), "timeseries", {"grain": "year"}, METAS)
+    return rounded(made.select(F.col("period").cast("date").alias("period"), "value", "change"), 4, value=2)
+
+
+@query("pk01_run_survey", " union all ".join(f"""select '{q}' as item, count({q}) as n, {r(f"avg(list_position([{', '.join(repr(x) for x in LIKERT)}], {q}))")} as mean_score from {dirty_sql()}""" for q in ("q1", "q2", "q3")))
+def pk01j(spark, sf):
+    metas = [ColumnMeta(q, "category", order=LIKERT, likert=True) for q in ("q1", "q2", "q3")]
+    return rounded(run(dirty(spark, sf, "q1", "q2", "q3"), "survey", None, metas).select("item", "n", "mean_score"))
+
+
+@query("pk01_run_quality", f"select item, \"column\", n as score from ({_ISSUES})")
+def pk01k(spark, sf):
+    found = run(signed_rows(spark, sf), "quality", None, SIGNED_METAS).where("section = 'issue'")
+    return found.select("item", "column", F.col("score").cast("long").alias("score"))
+
+
+@query("pk01_run_clusters", "select cast(3 as bigint) as segments, count(*) as \"rows\" from part")
+def pk01l(spark, sf):
+    made = run(load(spark, sf, "part").select("p_size", "p_retailprice"), "clusters", {"cols": ["p_size", "p_retailprice"], "k": 3})
+    return made.agg(F.count(F.lit(1)).alias("segments"), F.sum("n").alias("rows"))
+
+
 @query("pk02_package_stats")
 def pk02(spark, sf):
     """Rows that each analysis of the package gives."""

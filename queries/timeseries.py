@@ -273,3 +273,11 @@ def ts08(spark, sf):
 def ts09(spark, sf):
     urgent = load(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
     return shown(ts.resample(urgent, "o_orderdate", "o_totalprice", "day"), 2)
+
+
+@query("ts09_resample_all", f"""
+    with d as (select date_trunc('day', ts) as p, sum(value) as v from events group by 1)
+    select cast(p as date) as period, {r('coalesce(v, 0)', 2)} as value from (select unnest(generate_series((select min(p) from d), (select max(p) from d), interval 1 day)) as p) left join d using (p)""")
+def ts09b(spark, sf):
+    """All events a day on a complete calendar."""
+    return shown(ts.resample(load(spark, sf, "events"), "ts", "value", "day"), 2)
