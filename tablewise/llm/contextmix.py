@@ -1,24 +1,27 @@
 """Language-model scores by online logistic context mixing.
 
 A text is its words' bytes, each word closed by a space symbol, and one end symbol. A byte is eight binary decisions. For each, one bit
-predictor per context order (the last 1, 2, 3, 4 and 6 bytes, over spaces into the words before; zeros stand before the text's start) gives a probability from its hashed context's counts. The predictors are mixed in the logistic domain by weights that a gate selects (how many
-of the orders know the context, and which bit it is); the weights are learned online, batch after batch, in every partition and
-averaged between rounds. An adaptive map from mixed to observed probabilities refines the result.
+predictor per context order (the last 1, 2, 3, 4 and 6 bytes, over spaces into the words before; zeros stand before the text's start)
+gives a probability from the counts in the slot that its context and the bits so far hash to. The predictors are mixed in the logistic
+domain by weights that a gate selects (how many of the orders know the context, and which bit it is). An adaptive map from mixed to
+observed probabilities refines the result.
 
-What a decision sees is fixed by its last six bytes, so decisions are counted and scored once for each distinct seven-byte gram, grams
-once for each distinct pair of a word and its tail (the six bytes before it), and a text sums its pairs. Counts come from all training
-texts and grow with them. Only the most frequent words and pairs, a bounded number, are broadcast to the texts; the others of a text
-are joined."""
+Training reads the texts once. Each task walks its texts in order, piece by piece: a piece is predicted from what the task has counted
+so far, weights and map move along its coding cost, then its bits are counted. Slots are summed over tasks by slot ranges, weights are
+averaged, and a second pass scores all texts. Equal decisions of a piece (seven bytes) are predicted once.
+
+Tables have 2^b slots, where b grows with the logarithm of the training bytes, half as fast, up to `MAX_BITS`. Every training byte is
+counted at any size; beyond that bound contexts share slots more often. It keeps a task's tables under 400 MB and the broadcast ones
+under 100 MB."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,206 +29,133 @@ from tablewise.llm.shared import prepare, stash
 from tablewise.llm.tokens import _LOWER, _SPACE, U, mix, raw, words
 
 ORDERS = (1, 2, 3, 4, 6)
+SMALLER = (6, 5, 3, 2, 0)  # powers of two by which an order's table is smaller than the longest one's
+MIN_BITS, MAX_BITS, LEAST_BITS = 18, 25, 16
 SPACE, END = 0x20, 0x0A  # symbols that no word holds
-TAIL = 6  # bytes before a word that its decisions see: the longest order
-HELD_WORDS = 400_000  # distinct pairs a counting task holds before it hands them on
-BLOCK_WORDS = 500_000  # distinct pairs that are scored together
-FREQUENT = 500_000  # words and pairs that are broadcast to the texts
-ROUNDS, BATCH, RATE = 3, 2048, 0.02
-PRIOR = 0.4
+TAIL = 6  # bytes of the longest context
+PIECE, FIRST_PIECE = 6 << 20, 256 << 10  # bytes predicted together; training starts with the smaller ones
+RANGE = 1 << 18  # slots that travel together
+FREQUENT = 500_000  # words whose counts are broadcast to the texts
+SLICE, RATE, PRIOR = 16_384, 0.16, 0.4
 GATES, BINS = 6 * 8, 33
+STEPS = 1024  # parts of one unit in a kept logit
+WORD, TABLE, WEIGHT = 0, 1, 2  # kinds of rows that training gives
+WEIGHT_PARTS = 64
 
-_NO_TAIL = U(1 << 63)  # in the key of a word whatever its tail
-
-
-def _pieces(text: bytes) -> list[bytes]:
-    """Each word of a lower-cased text, and last the end token (no bytes), behind its tail. White space counts as one space."""
-    found = text.split()
-    line = bytes(TAIL) + b" ".join(found) + b" "
-    starts = list(accumulate(map(len, found), lambda at, n: at + n + 1, initial=0))
-    return [line[a: b + TAIL - 1] for a, b in pairwise(starts)] + [line[starts[-1]: starts[-1] + TAIL]]
+_GRAM = U((1 << 8 * (TAIL + 1)) - 1)
+_END_HASH = U(1)  # stands for the end token among hashed words
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    learned, other = Counter(), Counter()
+def table_bits(train_bytes: int) -> list[int]:
+    """Logarithms of the slots of each order's table."""
+    longest = int(np.clip(np.floor(np.log2(max(train_bytes, 1)) / 2 + 10), MIN_BITS, MAX_BITS))
+    return [max(longest - s, LEAST_BITS) for s in SMALLER]
 
-    def flush() -> pa.RecordBatch:
-        keys = list({**learned, **other})
-        before = np.frombuffer(b"".join([k[:TAIL] for k in keys]), np.uint8).reshape(-1, TAIL).astype(np.int64)
-        tail = sum(before[:, TAIL - 1 - k] << 8 * k for k in range(TAIL))  # the nearest byte is the lowest
-        out = pa.RecordBatch.from_arrays([
-            pa.array([k[TAIL:] for k in keys], pa.binary()), pa.array(tail),
-            pa.array([learned[k] for k in keys], pa.int64()), pa.array([learned[k] + other[k] for k in keys], pa.int64())], ["word", "tail", "n", "n_all"])
-        learned.clear()
-        other.clear()
-        return out
-
-    for batch in batches:
-        for text, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-            (other if held else learned).update(_pieces((text or "").encode().lower()))
-            if len(learned) + len(other) > HELD_WORDS:
-                yield flush()
-    if learned or other:
-        yield flush()
-
-
-def _keys(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """64-bit keys of hashed words (1 is the end token) with their tails."""
-    return mix(h + mix(tail + U(1))).view(np.int64)
-
-
-def _hashes(column: pa.Array) -> np.ndarray:
-    """Hashes of words, one to a text; none is the end token."""
-    h, cut = words(*raw_bytes(column))
-    whole = np.full(len(column), U(1))
-    whole[np.diff(cut) > 0] = h[cut[:-1][np.diff(cut) > 0]]
-    return whole
-
-
-def _tails(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Tails of all tokens of texts: each text's words and its end token."""
-    space = _SPACE[data]
-    last = ~space
-    last[:-1] &= space[1:]
-    stops = bounds[1:][np.diff(bounds) > 0] - 1
-    last[stops] = ~space[stops]
-    # The words' bytes, lower-cased, with one space behind each word.
-    ends = np.concatenate([[0], np.cumsum((~space).astype(np.int64) + last)])
-    line = np.full(ends[-1], SPACE, np.uint8)
-    line[ends[:-1][~space]] = _LOWER[data[~space]]
-    count = np.concatenate([[0], np.cumsum(last)])[bounds]
-    heads = np.zeros(count[-1] + len(bounds) - 1, bool)  # each text's first token; the others begin behind a word
-    heads[count[:-1] + np.arange(len(bounds) - 1)] = True
-    begin = np.empty(len(heads), np.int64)
-    begin[heads] = ends[bounds[:-1]]
-    begin[~heads] = ends[1:][last]
-    first = np.repeat(ends[bounds[:-1]], np.diff(count) + 1)
-    tail = np.zeros(len(first), U)
-    for k in range(TAIL):
-        at = begin - 1 - k
-        inside = at >= first
-        tail[inside] |= line[at[inside]].astype(U) << U(8 * k)
-    return tail
-
-
-def _grams(column: pa.Array, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seven-byte grams (six bytes of context, one symbol) of each word behind its tail and of its closing symbol, and the bounds between words."""
-    data, bounds = raw_bytes(column)
-    size = np.diff(bounds)
-    cut = np.concatenate([[0], np.cumsum(size + 1)])
-    line = np.zeros(cut[-1], np.uint8)
-    row = np.repeat(np.arange(len(size)), size + 1)
-    place = np.arange(cut[-1]) - cut[row]
-    inner = place < size[row]
-    line[inner] = data
-    line[~inner] = np.where(size == 0, END, SPACE)
-    gram = line.astype(U)
-    for back in range(1, 7):
-        before = np.zeros(len(line), np.uint8)
-        before[back:] = line[: max(len(line) - back, 0)]
-        early = np.flatnonzero(place < back)
-        before[early] = tail[row[early]] >> (8 * (back - 1 - place[early])) & 255
-        gram |= before.astype(U) << U(8 * back)
-    return gram, cut
-
-
-def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    a = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
-    offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset: a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
-    data = np.frombuffer(a.buffers()[2], np.uint8) if len(a) and a.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data[offsets[0]: offsets[-1]], offsets - offsets[0]
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        g, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        return g, np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together up to a piece, as larger pieces repeat more."""
+    held, size, rows = [], 0, 0
     for batch in batches:
-        gram, cut = _grams(batch.column("word"), batch.column("tail").to_numpy())
-        n = np.repeat(batch.column("n").to_numpy(), np.diff(cut))
-        g, inverse = np.unique(gram, return_inverse=True)
-        held.append((g, np.bincount(inverse, n).astype(np.int64)))
-        size += len(g)
-        if size > 4_000_000:
-            held = [merged()]
-            size = len(held[0][0])
-            if size > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["gram", "n"])
-                held, size = [], 0
+        if held and (size + batch.nbytes > PIECE or rows + len(batch) > 100_000):
+            yield pa.Table.from_batches(held)
+            held, size, rows = [], 0, 0
+        held.append(batch)
+        size += batch.nbytes
+        rows += len(batch)
     if held:
-        g, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+        yield pa.Table.from_batches(held)
+
+
+def _grams(data: np.ndarray, bounds: np.ndarray, sizes: Iterator[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of the texts' symbols: each symbol with the six before it in its text (seven bytes, the symbol lowest), and its text's
+    number. A piece may end anywhere; the next one goes on with the bytes before it."""
+    head, a, text = np.zeros(TAIL + 1, np.uint8), 0, 0
+    while text < len(bounds) - 1:
+        b = min(a + next(sizes), len(data))
+        part = data[a:b]
+        kept = ~_SPACE[part]
+        stop = int(np.searchsorted(bounds[1:], b, "right"))  # texts that end inside, empty ones included
+        ends = (bounds[1 + text: 1 + stop] - a).astype(np.int64)
+        last = kept.copy()
+        last[:-1] &= ~kept[1:]
+        if b < len(data):
+            last[-1:] &= _SPACE[data[b]]
+        inner = ends[ends > 0] - 1
+        last[inner] |= kept[inner]
+        given = np.zeros(len(part) + 1, np.int32)  # symbols before a byte, end symbols left out
+        np.cumsum(kept.astype(np.int8) + last, out=given[1:])
+        closed = np.cumsum(np.bincount(ends, minlength=len(part) + 1), dtype=np.int32)  # texts that ended before a byte
+        line = np.full(len(head) + given[-1] + len(ends), SPACE, np.uint8)
+        line[: len(head)] = head
+        at = (given[:-1] + closed[:-1])[kept] + len(head)
+        line[at] = _LOWER[part[kept]]
+        end_at = given[ends] + np.arange(len(ends)) + len(head)
+        line[end_at] = END
+        size = len(line) - len(head)
+        gram = _windows(line, size)
+        for k in range(TAIL):
+            early = end_at + 1 + k - len(head)
+            early = early[(early < np.append(end_at[1:] + 1, len(line)) - len(head))] if len(end_at) else early
+            gram[early] &= U((1 << 8 * (k + 1)) - 1)
+        row = np.repeat(np.arange(text, text + len(ends) + 1, dtype=np.int32), np.diff(np.concatenate([[0], end_at + 1 - len(head), [size]])))
+        yield gram, row
+        head = line[-len(head):].copy()
+        over = np.flatnonzero(head == END)
+        if len(over):
+            head[: over[-1] + 1] = 0
+        a, text = b, stop
+
+
+def _windows(line: np.ndarray, size: int) -> np.ndarray:
+    """The seven bytes that end at each of the last size places."""
+    gram = np.zeros(size, U)
+    for k in range(TAIL + 1):
+        gram |= line[len(line) - size - k: len(line) - k].astype(U) << U(8 * k)
+    return gram
+
+
+def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.log(one + np.float32(PRIOR)) - np.log(zero + np.float32(PRIOR))
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-class _Low:
-    """Counts of the two lowest orders, whose number is bounded by their alphabet: sorted keys (context, symbol) and counts."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.key, self.n = rows["key"].to_numpy(np.uint64), rows["n"].to_numpy(np.float64)
+def _bases(gram: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    """For either half of the symbol the slot that its nodes are near: 16 slots belong together, shifted by the context's hash."""
+    h = ((gram >> U(8)) & U((1 << 8 * order) - 1)) + U(order << 56)
+    first = mix(h)
+    second = mix(first + ((gram >> U(4)) & U(15)) + U(1))
+    return [(x >> U(64 - bits)).astype(np.int64) for x in (first, second)]
 
 
-def _decisions(gram: np.ndarray, n: np.ndarray, low: dict[int, _Low], own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each of the eight bits: the predictors' inputs, the gate and the bit, of grams that share their last three context bytes with
-    none elsewhere. own: whether a gram's own occurrence counts (when learning it is left out)."""
-    symbol = gram & U(255)
-    tables = []
-    for order in ORDERS:
-        mask = U((1 << (8 * (order + 1))) - 1)
-        key, inverse = np.unique(gram & mask, return_inverse=True)
-        if order in low:
-            # All symbols of the contexts here, also those that other partitions hold.
-            wanted = np.isin(low[order].key >> U(8), np.unique(key >> U(8)))
-            full_key, full_n = low[order].key[wanted], low[order].n[wanted]
-        else:
-            full_key, full_n = key, np.bincount(inverse, n)
-        tables.append((full_key, np.concatenate([[0.0], np.cumsum(full_n)]), key, inverse))
+def _decisions(gram: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The eight bits of the symbols: the bit's number, which half it is in, the node it decides at (1 to 15) and its value."""
     for bit in range(8):
-        shift = U(8 - bit)
-        one = (symbol >> (shift - U(1))) & U(1)
-        inputs, known = [], np.zeros(len(gram), np.int64)
-        for full_key, run, key, inverse in tables:
-            node = (key >> shift) << shift  # keys of the node are a range of the sorted ones; equal contexts are looked up once
-            half = node | (U(1) << (shift - U(1)))
-            a, b, c = (run[np.searchsorted(full_key, x)] for x in (node, half, node + (U(1) << shift)))
-            n0, n1 = (b - a)[inverse], (c - b)[inverse]
-            if not own:
-                n0, n1 = np.maximum(n0 - (one == 0), 0), np.maximum(n1 - (one == 1), 0)
-            known += n0 + n1 >= 2
-            p = (n1 + PRIOR) / (n0 + n1 + 2 * PRIOR)
-            inputs.append(_stretch(p))
-        inputs.append(np.full(len(gram), 0.3))
-        yield np.stack(inputs, 1), known * 8 + bit, one.astype(np.float64)
-
-
-def _learn(gram: np.ndarray, n: np.ndarray, low: dict[int, _Low], weights: np.ndarray) -> np.ndarray:
-    """One online pass over the grams in hashed order: after each batch the weights of its gates move along the coding-cost gradient."""
-    w, seen = weights.copy(), np.full(GATES, 1e-3)
-    order = np.argsort(mix(gram), kind="stable")
-    for x, gate, one in _decisions(gram, n, low, own=False):
-        for at in range(0, len(order), BATCH):
-            rows = order[at: at + BATCH]
-            g, c = gate[rows], np.sqrt(n[rows])
-            p = _squash((x[rows] * w[g]).sum(1))
-            step = (c * (one[rows] - p))[:, None] * x[rows]
-            total = np.bincount(g, c, GATES)
-            hit = np.flatnonzero(total)
-            for k in range(x.shape[1]):
-                move = np.bincount(g, step[:, k], GATES)[hit] / total[hit]
-                w[hit, k] += RATE * 8 * move / np.sqrt(1 + seen[hit] / 50)
-            seen[hit] += 1
-    return w
+        half = (gram >> U(4) if bit < 4 else gram).astype(np.int64) & 15
+        place = bit % 4
+        yield bit, bit // 4, (1 << place) | (half >> (4 - place)), (half >> (3 - place)) & 1
+
+
+def _predict(tables: list[np.ndarray], bases: list[list[np.ndarray]], half: int, node: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Logits of the orders, and how many of them know the context. Tables hold counts (ones in the upper half) or kept logits."""
+    inputs, known = [], np.zeros(len(node), np.int64)
+    for table, base in zip(tables, bases, strict=True):
+        got = table[base[half] ^ node]
+        if table.dtype == np.int16:
+            inputs.append((got >> 1).astype(np.float32) * np.float32(1 / STEPS))
+            known += got & 1
+        else:
+            zero, one = (got & U(0xFFFFFFFF)).astype(np.float32), (got >> U(32)).astype(np.float32)
+            inputs.append(_stretch(zero, one))
+            known += zero + one >= 2
+    inputs.append(np.full(len(node), 0.3, np.float32))
+    return inputs, known
+
+
+def _mixed(inputs: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return sum(weights[:, k].astype(np.float32)[gate] * x for k, x in enumerate(inputs))
 
 
 def _map_bins(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,101 +164,222 @@ def _map_bins(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, place - low
 
 
-def _refined(x: np.ndarray, gate: np.ndarray, table: np.ndarray) -> np.ndarray:
-    low, part = _map_bins(x)
-    return 0.5 * _squash(x) + 0.5 * (table[gate, low] * (1 - part) + table[gate, low + 1] * part)
-
-
-def _by_task(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    got = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
-    if not got:
-        return np.zeros(0, U), np.zeros(0)
-    return np.concatenate([g for g, _ in got]).view(U), np.concatenate([n for _, n in got]).astype(np.float64)
-
-
-def _gram_scores(grams: DataFrame) -> DataFrame:
-    """(gram, bits): what coding the gram's symbol in its context costs."""
-    used = grams.where("n > 0")
-    low = {}
-    for order in (1, 2):
-        key = F.col("gram").bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1)).alias("key")
-        low[order] = _Low(used.groupBy(key).agg(F.sum("n").alias("n")).orderBy("key").toPandas())  # at most 256^2 and 256^3 rows, whatever the corpus
-    # All grams that share the last three context bytes come together, so orders 3, 4 and 6 are counted where they are used.
-    tasks = max(1, -(-grams.count() // 200_000))
-    dealt = stash(grams.repartition(tasks, F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << 32) - 1)), 8)).withColumn("task", F.spark_partition_id()), "dealt")
-    shape = (GATES, len(ORDERS) + 1)
-    weights = np.full(shape, 0.3)
-
-    def grouped(work, schema: str) -> DataFrame:
-        return dealt.groupBy("task").applyInArrow(work, schema)
-
-    for _ in range(ROUNDS):
-        def learn(t: pa.Table) -> pa.Table:
-            g, n = _by_task(t.to_batches())
-            w = _learn(g[n > 0], n[n > 0], low, weights)
-            return pa.table({"task": t["task"].slice(0, 1), "n": pa.array([float(n.sum())]), "w": pa.array([w.ravel().tolist()])})
-
-        got = grouped(learn, "task int, n double, w array<double>").orderBy("task").toPandas()
-        if len(got) and got["n"].sum() > 0:
-            weights = np.average(np.stack(got["w"]), axis=0, weights=got["n"]).reshape(shape)
-
-    def observe(t: pa.Table) -> pa.Table:
-        g, n = _by_task(t.to_batches())
-        hits = np.zeros((2, GATES * BINS))
-        for x, gate, one in _decisions(g[n > 0], n[n > 0], low, own=False):
-            b, part = _map_bins((x * weights[gate]).sum(1))
-            for bins, share in ((b, 1 - part), (b + 1, part)):
-                for v in range(2):
-                    hits[v] += np.bincount(gate * BINS + bins, n[n > 0] * share * (one == v), GATES * BINS)
-        return pa.table({"task": t["task"].slice(0, 1), "zero": pa.array([hits[0].tolist()]), "one": pa.array([hits[1].tolist()])})
-
-    seen = grouped(observe, "task int, zero array<double>, one array<double>").orderBy("task").toPandas()
-    middle = _squash(np.tile(np.linspace(-8, 8, BINS), GATES))
-    zero, one = (np.sum(np.stack(seen[k]), axis=0) if len(seen) else np.zeros(GATES * BINS) for k in ("zero", "one"))
-    table = np.clip((one + 4 * middle) / (zero + one + 4), 1e-6, 1 - 1e-6).reshape(GATES, BINS)
-
-    def score(t: pa.Table) -> pa.Table:
-        g, n = _by_task(t.to_batches())
-        bits = np.zeros(len(g))
-        for x, gate, hit in _decisions(g, n, low, own=True):
-            p = np.clip(_refined((x * weights[gate]).sum(1), gate, table), 1e-9, 1 - 1e-9)
-            bits -= np.log2(np.where(hit == 1, p, 1 - p))
-        return pa.table({"gram": pa.array(g.view(np.int64)), "bits": pa.array(bits)})
-
-    return grouped(score, "gram long, bits double")
-
-
-def _pair_scores(pairs: DataFrame, grams: DataFrame, distinct: int) -> DataFrame:
-    """(key, bits, n_all, c): pairs of tail and word are dealt into blocks; each block asks for its distinct grams once. c is null, as
-    counts belong to words."""
-    blocks = max(1, -(-distinct // BLOCK_WORDS))
-    dealt = pairs.select("word", "tail", "n_all").withColumn("block", F.pmod(F.xxhash64("word", "tail"), F.lit(blocks)).cast("int"))
-
-    def wanted(t: pa.Table) -> pa.Table:
-        g = np.unique(_grams(t["word"], t["tail"].to_numpy())[0])
-        return pa.table({"block": pa.array(np.full(len(g), t["block"][0].as_py(), np.int32)), "gram": pa.array(g.view(np.int64))})
-
-    asked = dealt.select("word", "tail", "block").groupBy("block").applyInArrow(wanted, "block int, gram long").join(grams, "gram")
-
-    def total(t: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known["gram"].to_numpy().view(U))
-        gram, bits = known["gram"].to_numpy().view(U)[order], known["bits"].to_numpy()[order]
-        out = [pa.table({"key": pa.array([], pa.int64()), "bits": pa.array([], pa.float64()), "n_all": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})]
-        for at in range(0, len(t), 100_000):
-            part = t.slice(at, 100_000)
-            tail = part["tail"].to_numpy()
-            g, cut = _grams(part["word"], tail)
-            cost = np.add.reduceat(bits[np.searchsorted(gram, g)], cut[:-1])
-            out.append(pa.table({"key": pa.array(_keys(_hashes(part["word"]), tail.view(U))), "bits": pa.array(cost), "n_all": part["n_all"], "c": pa.nulls(len(part), pa.int64())}))
-        return pa.concat_tables(out)
-
-    return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(total, "key long, bits double, n_all long, c long")
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Learner:
+    """What one task learns from its texts, in their order."""
+
+    def __init__(self, bits: list[int]):
+        self.bits = bits
+        self.tables = [np.zeros(1 << b, U) for b in bits]
+        self.weights, self.seen = np.full((GATES, len(ORDERS) + 1), 0.3), np.full(GATES, 1e-3)
+        self.hits, self.n = np.zeros((2, GATES * BINS)), 0
+
+    def learn(self, gram: np.ndarray) -> None:
+        gram = np.sort(gram)
+        new = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        n = np.diff(new, append=len(gram))
+        gram = gram[new]
+        deal = np.argsort(mix(gram))  # so that no slice holds neighbouring contexts only
+        gram, n = gram[deal], n[deal]
+        bases = [_bases(gram, order, bits) for order, bits in zip(ORDERS, self.bits, strict=True)]
+        for bit, half, node, one in _decisions(gram):
+            inputs, known = _predict(self.tables, bases, half, node)
+            self._step(inputs, known * 8 + bit, one, n)
+            add = n.astype(U) << (one.astype(U) * U(32))
+            for table, base in zip(self.tables, bases, strict=True):
+                np.add.at(table, base[half] ^ node, add)
+        self.n += int(n.sum())
+
+    def _step(self, inputs: list[np.ndarray], gate: np.ndarray, one: np.ndarray, n: np.ndarray) -> None:
+        for a in range(0, len(gate), SLICE):
+            s = slice(a, a + SLICE)
+            g, x, c = gate[s], [v[s] for v in inputs], n[s]
+            z = _mixed(x, g, self.weights)
+            low, part = _map_bins(z)
+            for bins, share in ((low, 1 - part), (low + 1, part)):
+                spot = g * BINS + bins
+                both = np.bincount(spot, c * share, GATES * BINS)
+                ones = np.bincount(spot, c * share * one[s], GATES * BINS)
+                self.hits += np.stack([both - ones, ones])
+            total = np.bincount(g, c, GATES)
+            hit = np.flatnonzero(total)
+            wrong = c * (one[s] - _squash(z))
+            pace = RATE / np.sqrt(1 + self.seen[hit] / 50) / total[hit]
+            for k, v in enumerate(x):
+                self.weights[hit, k] += pace * np.bincount(g, wrong * v, GATES)[hit]
+            self.seen[hit] += 1
+
+
+_LEARNED = "kind int, part int, key long, n long, data binary"
+_LEARNED_NAMES = ["kind", "part", "key", "n", "data"]
+
+
+def _row(kind: int, part: int, key: int, n: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([key], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], _LEARNED_NAMES)
+
+
+class _WordCounts:
+    """Counts of hashed words, handed on when there are many."""
+
+    def __init__(self):
+        self.key, self.n, self.more = np.zeros(0, U), np.zeros(0, np.int64), []
+
+    def add(self, h: np.ndarray) -> None:
+        self.more.append(np.unique(h, return_counts=True))
+        if sum(len(k) for k, _ in self.more) > 1_000_000:
+            self._merge()
+
+    def _merge(self) -> None:
+        keys = np.concatenate([self.key, *(k for k, _ in self.more)])
+        n = np.concatenate([self.n, *(v for _, v in self.more)])
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.key, self.n, self.more = keys[new], (np.add.reduceat(n, new) if len(new) else n), []
+
+    def flush(self, least: int) -> Iterator[pa.RecordBatch]:
+        if least == 0:
+            self._merge()
+        if len(self.key) > least:
+            m = len(self.key)
+            zeros = pa.array(np.zeros(m, np.int32))
+            yield pa.RecordBatch.from_arrays([zeros, zeros, pa.array(self.key.view(np.int64)), pa.array(self.n), pa.nulls(m, pa.binary())], _LEARNED_NAMES)
+            self.key, self.n = np.zeros(0, U), np.zeros(0, np.int64)
+
+
+def _pack(slots: np.ndarray) -> bytes:
+    """Counts by the place of their bytes, as the upper ones are mostly zero."""
+    return pa.compress(np.ascontiguousarray(slots.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, slots: int) -> np.ndarray:
+    plain = pa.decompress(data, slots * 8, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(8, slots).T).view(U).ravel()
+
+
+def _trainer(bits: list[int]):
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, counts, size, task = None, _WordCounts(), FIRST_PIECE, TaskContext.get().partitionId()
+
+        def sizes() -> Iterator[int]:
+            nonlocal size
+            while True:
+                yield size
+                size = min(2 * size, PIECE)
+
+        for table in _gathered(batches):
+            learner = learner or _Learner(bits)
+            data, bounds = raw(table.column("text"))
+            for gram, _ in _grams(data, bounds, sizes()):
+                if len(gram):
+                    learner.learn(gram)
+            h, _ = words(data, bounds)
+            counts.add(np.concatenate([h, np.full(len(bounds) - 1, _END_HASH)]))
+            yield from counts.flush(2_000_000)
+        yield from counts.flush(0)
+        if learner:
+            for order, slots in enumerate(learner.tables):
+                for at in range(0, len(slots), RANGE):
+                    part = slots[at: at + RANGE]
+                    if part.any():
+                        yield _row(TABLE, order << 16 | at // RANGE, task, len(part), _pack(part))
+            told = np.concatenate([learner.weights.ravel() * learner.n, learner.hits.ravel(), [learner.n]])
+            yield _row(WEIGHT, -1 - task % WEIGHT_PARTS, task, 1, told.tobytes())
+
+    return train
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of one part after the other: counts become kept logits, weights stay sums."""
+    part, total = None, None
+
+    def out() -> pa.RecordBatch:
+        if part >= 0:
+            zero, one = np.minimum(total[0], 2**32).astype(np.float32), np.minimum(total[1], 2**32).astype(np.float32)
+            kept = np.rint(np.clip(_stretch(zero, one), -14, 14) * STEPS).astype(np.int16)
+            data = (kept << 1 | (zero + one >= 2)).astype(np.int16).tobytes()
+        else:
+            data = total.tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+
     for batch in batches:
-        h = _hashes(batch.column("word"))
-        yield pa.RecordBatch.from_arrays([pa.array(_keys(h, np.full(len(h), _NO_TAIL))), pa.array(np.zeros(len(h))), batch.column("n_all"), batch.column("c")], ["key", "bits", "n_all", "c"])
+        for p, n, data in zip(batch["part"].to_pylist(), batch["n"].to_pylist(), batch["data"].to_pylist(), strict=True):
+            if p >= 0:
+                slots = _unpack(data, n)
+                more = np.stack([slots & U(0xFFFFFFFF), slots >> U(32)]).astype(np.int64)
+            else:
+                more = np.frombuffer(data, np.float64)
+            if p != part:
+                if part is not None:
+                    yield out()
+                part, total = p, more.copy()
+            else:
+                total += more
+    if part is not None:
+        yield out()
+
+
+class Model:
+    """Kept logits by slot, weights by gate and the adaptive map."""
+
+    def __init__(self, bits: list[int], rows: list):
+        self.bits = bits
+        self.tables = [np.zeros(1 << b, np.int16) for b in bits]
+        self.weights = np.full((GATES, len(ORDERS) + 1), 0.3)
+        told = np.zeros(self.weights.size + 2 * GATES * BINS + 1)
+        for part, data in sorted((r.part, bytes(r.data)) for r in rows):
+            if part < 0:
+                told += np.frombuffer(data)
+            else:
+                slots = np.frombuffer(data, np.int16)
+                at = (part & 0xFFFF) * RANGE
+                self.tables[part >> 16][at: at + len(slots)] = slots
+        if told[-1] > 0:
+            self.weights = (told[: self.weights.size] / told[-1]).reshape(self.weights.shape)
+        zero, one = told[self.weights.size: -1].reshape(2, -1)
+        middle = _squash(np.tile(np.linspace(-8, 8, BINS), GATES))
+        self.map = np.clip((one + 4 * middle) / (zero + one + 4), 1e-6, 1 - 1e-6).astype(np.float32)
+
+    def bits_of(self, gram: np.ndarray) -> np.ndarray:
+        """What coding each gram's symbol in its context costs."""
+        cost = np.zeros(len(gram))
+        bases = [_bases(gram, order, bits) for order, bits in zip(ORDERS, self.bits, strict=True)]
+        for bit, half, node, one in _decisions(gram):
+            inputs, known = _predict(self.tables, bases, half, node)
+            gate = known * 8 + bit
+            x = _mixed(inputs, gate, self.weights)
+            low, part = _map_bins(x)
+            spot = gate * BINS + low
+            p = 0.5 * _squash(x) + 0.5 * (self.map[spot] * (1 - part) + self.map[spot + 1] * part)
+            cost -= np.log2(np.clip(np.where(one == 1, p, 1 - p), 1e-9, None))
+        return cost
+
+    def text_bits(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(bounds) - 1)
+        for gram, row in _grams(data, bounds, iter(lambda: PIECE, None)):
+            if not len(gram):
+                continue
+            # Equal grams meet by sorting 40 bits of their hash above their place; where two grams share a hash, runs are only shorter.
+            place = np.sort((mix(gram) & ~U((1 << 24) - 1)) | np.arange(len(gram), dtype=U)) & U((1 << 24) - 1)
+            place = place.astype(np.int64)
+            run = gram[place]
+            new = np.concatenate([[True], run[1:] != run[:-1]])
+            cost = np.empty(len(gram))
+            cost[place] = self.bits_of(run[new])[np.cumsum(new) - 1]
+            first, last = int(row[0]), int(row[-1])
+            total[first: last + 1] += np.bincount(row - first, cost, last - first + 1)
+        return total
+
+
+def fit(train: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the texts of train (column text), and (key, c): counts of its hashed words and end tokens."""
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = table_bits(size)
+    learned = stash(train.select("text").mapInArrow(_trainer(bits), _LEARNED), "learned")
+    vocabulary = stash(learned.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("c")), "vocabulary")
+    ranges = sum(max(1, (1 << b) // RANGE) for b in bits)
+    told = learned.where(F.col("kind") != WORD).select("part", "key", "n", "data").repartition(min(ranges, 200), "part").sortWithinPartitions("part", "key")
+    merged = stash(told.mapInArrow(_merge, "part int, data binary"), "tables")
+    return Model(bits, merged.collect()), vocabulary  # two bytes a slot, as many as MAX_BITS bounds
 
 
 def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -338,76 +389,63 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     docs needs doc_id and text; other columns are ignored. held_out marks the rows that nothing is learned from; null counts as false.
     A-Z is lower-cased, words are what white space leaves, and each text ends with one end token, so null and empty texts score that
     token alone. Repeated rows are learned from repeatedly and score alike. An empty table gives an empty result; if all rows are held
-    out, the model has no counts and every decision costs what its prior says."""
+    out, the model has no counts and every decision costs what its prior says. Weights are averaged over the tasks that read the
+    training texts, so scores move a little with the way files are split; counts do not."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counted = docs.select("text", "held_out").mapInArrow(_count_words, "word binary, tail long, n long, n_all long")
-    pairs = stash(counted.groupBy("word", "tail").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")), "pairs")
-    whole = stash(pairs.groupBy("word").agg(F.sum("n").alias("c"), F.sum("n_all").alias("n_all")), "vocabulary")
-    tokens, types = whole.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    distinct = pairs.count()
-    spread = pairs.select("word", "tail", "n").repartition(max(1, -(-distinct // BLOCK_WORDS)))
-    grams = stash(spread.mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    costs = _pair_scores(pairs, stash(_gram_scores(grams), "gram-bits"), distinct)
-    scored = stash(costs.unionByName(whole.mapInArrow(_word_counts, "key long, bits double, n_all long, c long")), "scored")
-    return _score_rows(docs, scored, tokens, types)
-
-
-def _frequent(scored: DataFrame) -> pd.DataFrame:
-    """The most frequent words and pairs, as many whole count levels as fit the bound, by key."""
-    level = F.floor(F.log("n_all") * 16).alias("level")
+    model, vocabulary = fit(docs.where(~F.col("held_out")))
+    tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("key")).first()
+    return _score_rows(docs, model, vocabulary, tokens, types)
+
+
+def _frequent(vocabulary: DataFrame) -> pd.DataFrame:
+    """The most frequent words, as many whole count levels as fit the bound, by key."""
+    level = F.floor(F.log("c") * 16).alias("level")
     room, least = FREQUENT, None
-    for r in scored.groupBy(level).count().orderBy(F.desc("level")).collect():  # a few hundred levels
+    for r in vocabulary.groupBy(level).count().orderBy(F.desc("level")).collect():  # a few hundred levels
         room -= r["count"]
         if room < 0:
             break
         least = r["level"]
-    chosen = scored.where(F.lit(False)) if least is None else scored.where(level >= least)
-    return chosen.select("key", "bits", "c").orderBy("key").toPandas()
+    chosen = vocabulary.where(F.lit(False)) if least is None else vocabulary.where(level >= least)
+    return chosen.select("key", "c").orderBy("key").toPandas()
 
 
-def _score_rows(docs: DataFrame, scored: DataFrame, tokens: int, types: int) -> DataFrame:
-    known = _frequent(scored)
-    key, bits, count = known["key"].to_numpy(np.int64), known["bits"].to_numpy(np.float64), known["c"].to_numpy(np.float64)
-    scale = np.log10(float(tokens + types + 1))  # one added to each known token and to the unknown one
-    base = np.where(np.isnan(count), 0.0, np.log10(count + 1.0) - scale)
+def _score_rows(docs: DataFrame, model: Model, vocabulary: DataFrame, tokens: int, types: int) -> DataFrame:
+    known = _frequent(vocabulary)
+    scale = float(np.log10(float(tokens + types + 1)))  # one added to each known token and to the unknown one
+    shared = docs.sparkSession.sparkContext.broadcast((model, known["key"].to_numpy(np.int64), known["c"].to_numpy(np.float64)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        model, key, count = shared.value
+        for batch in _gathered(batches):
             data, bounds = raw(batch.column("text"))
             h, cut = words(data, bounds)
             n = np.diff(cut)
             # The end token follows each text's words.
-            at = cut + np.arange(len(cut))
+            all_h = np.insert(h, cut[1:], _END_HASH).view(np.int64)
             row = np.repeat(np.arange(len(n)), n + 1)
-            all_h = np.full(len(h) + len(n), U(1))
-            is_word = np.ones(len(all_h), bool)
-            is_word[at[1:] - 1] = False
-            all_h[is_word] = h
-            # Each token is looked up twice: as a word for its count, and with its tail for its bits.
-            keys = np.concatenate([_keys(all_h, np.full(len(all_h), _NO_TAIL)), _keys(all_h, _tails(data, bounds))])
-            row = np.tile(row, 2)
-            some, inverse = np.unique(keys, return_inverse=True)
+            some, inverse = np.unique(all_h, return_inverse=True)
             spot = np.minimum(np.searchsorted(key, some), max(len(key) - 1, 0))
             hit = key[spot] == some if len(key) else np.zeros(len(some), bool)
-            value = lambda v: np.where(hit, v[spot], 0.0) if len(key) else np.zeros(len(some))
-            add = lambda v: np.bincount(row, v[inverse], len(n))
+            value = np.zeros(len(some))
+            value[hit] = np.log10(count[spot[hit]] + 1.0)
             rare = np.flatnonzero(~hit[inverse])
-            rare = rare[np.argsort(row[rare], kind="stable")]
             runs = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=len(n)))])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("held_out"), batch.column("rid"), pa.array(n + 1), pa.array(add(value(count > 0)).astype(np.int64)), pa.array(add(value(base))),
-                pa.array(add(value(bits))), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(runs.astype(np.int32)), pa.array(keys[rare]))],
-                ["doc_id", "held_out", "rid", "n_tokens", "n_known", "base", "bits", "bytes", "rare"])
+            out = pa.table({
+                "doc_id": batch["doc_id"], "held_out": batch["held_out"], "rid": batch["rid"], "n_tokens": pa.array(n + 1),
+                "n_known": pa.array(np.bincount(row, hit[inverse], len(n)).astype(np.int64)), "logs": pa.array(np.bincount(row, value[inverse], len(n))),
+                "bits": pa.array(model.text_bits(data, bounds)), "bytes": pa.array(np.diff(bounds)),
+                "rare": pa.ListArray.from_arrays(pa.array(runs.astype(np.int32)), pa.array(all_h[rare]))})
+            yield from out.combine_chunks().to_batches()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     part = stash(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
-        look, f"doc_id {kind}, held_out boolean, rid long, n_tokens long, n_known long, base double, bits double, bytes long, rare array<bigint>"), "rows")
-    rare = part.select("rid", F.explode("rare").alias("key")).join(scored.select("key", F.col("bits").alias("b"), "c"), "key")
-    rest = rare.groupBy("rid").agg(F.count_if(F.col("c") > 0).alias("k"), F.sum(F.log10(F.col("c") + 1.0) - F.lit(float(scale))).alias("s"), F.sum("b").alias("b"))
+        look, f"doc_id {kind}, held_out boolean, rid long, n_tokens long, n_known long, logs double, bits double, bytes long, rare array<bigint>"), "rows")
+    rare = part.select("rid", F.explode("rare").alias("key")).join(vocabulary, "key")  # words that training does not hold have no row
+    rest = rare.groupBy("rid").agg(F.count("c").alias("k"), F.sum(F.log10(F.col("c") + 1.0)).alias("s"))
     out = part.drop("rare").join(rest, "rid", "left")
-    total = F.col("bits") + F.coalesce("b", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("base_score"), (-total * float(np.log10(2.0))).alias("score"),
-        (total / F.greatest(F.col("bytes"), F.lit(1))).alias("bits_per_byte"))
+        (F.col("logs") + F.coalesce("s", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"), (-F.col("bits") * float(np.log10(2.0))).alias("score"),
+        (F.col("bits") / F.greatest(F.col("bytes"), F.lit(1))).alias("bits_per_byte"))
