@@ -33,10 +33,11 @@ SMALLER = (6, 5, 3, 2, 0)  # powers of two by which an order's table is smaller
 MIN_BITS, MAX_BITS, LEAST_BITS = 18, 25, 16
 SPACE, END = 0x20, 0x0A  # symbols that no word holds
 TAIL = 6  # bytes of the longest context
-PIECE, FIRST_PIECE = 6 << 20, 256 << 10  # bytes predicted together; training starts with the smaller ones
+PIECE, FIRST_PIECE = 8 << 20, 256 << 10  # bytes predicted together; training starts with the smaller ones
 RANGE = 1 << 18  # slots that travel together
 FREQUENT = 500_000  # words whose counts are broadcast to the texts
-SLICE, RATE, PRIOR = 16_384, 0.16, 0.4
+SLICE, RATE, PRIOR = 8_192, 0.16, 0.4
+MEMO_BITS = 21  # logarithm of how many grams' costs a task remembers
 GATES, BINS = 6 * 8, 33
 STEPS = 1024  # parts of one unit in a kept logit
 WORD, TABLE, WEIGHT = 0, 1, 2  # kinds of rows that training gives
@@ -107,15 +108,12 @@ def _grams(data: np.ndarray, bounds: np.ndarray, sizes: Iterator[int]) -> Iterat
 
 
 def _windows(line: np.ndarray, size: int) -> np.ndarray:
-    """The seven bytes that end at each of the last size places."""
-    gram = np.zeros(size, U)
-    for k in range(TAIL + 1):
-        gram |= line[len(line) - size - k: len(line) - k].astype(U) << U(8 * k)
-    return gram
+    """The seven bytes that end at each of the last size places; line has seven bytes before these."""
+    return np.ndarray((size,), ">u8", np.ascontiguousarray(line), len(line) - size - 7, (1,)).astype(U) & _GRAM
 
 
 def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.log(one + np.float32(PRIOR)) - np.log(zero + np.float32(PRIOR))
+    return np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR)))
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -147,7 +145,7 @@ def _predict(tables: list[np.ndarray], bases: list[list[np.ndarray]], half: int,
             inputs.append((got >> 1).astype(np.float32) * np.float32(1 / STEPS))
             known += got & 1
         else:
-            zero, one = (got & U(0xFFFFFFFF)).astype(np.float32), (got >> U(32)).astype(np.float32)
+            zero, one = got.astype(np.uint32).astype(np.float32), (got >> U(32)).astype(np.float32)
             inputs.append(_stretch(zero, one))
             known += zero + one >= 2
     inputs.append(np.full(len(node), 0.3, np.float32))
@@ -155,13 +153,15 @@ def _predict(tables: list[np.ndarray], bases: list[list[np.ndarray]], half: int,
 
 
 def _mixed(inputs: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return sum(weights[:, k].astype(np.float32)[gate] * x for k, x in enumerate(inputs))
+    total = weights[0][gate] * inputs[0]
+    for w, x in zip(weights[1:], inputs[1:], strict=True):
+        total += w[gate] * x
+    return total
 
 
-def _map_bins(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = (np.clip(x, -8, 8) + 8) * ((BINS - 1) / 16)
-    low = np.minimum(place.astype(np.int64), BINS - 2)
-    return low, place - low
+def _place(x: np.ndarray) -> np.ndarray:
+    """Where a mixed logit lies among the map's points."""
+    return np.clip(x, -8, 8) * np.float32((BINS - 1) / 16) + np.float32((BINS - 1) / 2)
 
 
 class _Learner:
@@ -170,8 +170,8 @@ class _Learner:
     def __init__(self, bits: list[int]):
         self.bits = bits
         self.tables = [np.zeros(1 << b, U) for b in bits]
-        self.weights, self.seen = np.full((GATES, len(ORDERS) + 1), 0.3), np.full(GATES, 1e-3)
-        self.hits, self.n = np.zeros((2, GATES * BINS)), 0
+        self.weights, self.seen = np.full((len(ORDERS) + 1, GATES), 0.3, np.float32), np.full(GATES, 1e-3)
+        self.hits, self.n = np.zeros(2 * GATES * BINS), 0
 
     def learn(self, gram: np.ndarray) -> None:
         gram = np.sort(gram)
@@ -179,34 +179,33 @@ class _Learner:
         n = np.diff(new, append=len(gram))
         gram = gram[new]
         deal = np.argsort(mix(gram))  # so that no slice holds neighbouring contexts only
-        gram, n = gram[deal], n[deal]
+        for a in range(0, len(gram), SLICE):
+            some = deal[a: a + SLICE]
+            self._slice(gram[some], n[some])
+        self.n += int(n.sum())
+
+    def _slice(self, gram: np.ndarray, n: np.ndarray) -> None:
+        """A slice is predicted and then counted; it is small enough for a core's cache."""
         bases = [_bases(gram, order, bits) for order, bits in zip(ORDERS, self.bits, strict=True)]
+        c = n.astype(np.float32)
         for bit, half, node, one in _decisions(gram):
             inputs, known = _predict(self.tables, bases, half, node)
-            self._step(inputs, known * 8 + bit, one, n)
+            gate = known * 8 + bit
+            z = _mixed(inputs, gate, self.weights)
+            spot = np.rint(_place(z)).astype(np.int64)
+            spot += gate * BINS
+            self.hits += np.bincount(spot * 2 + one, c, 2 * GATES * BINS)
+            total = np.bincount(known, c, len(ORDERS) + 1)
+            level = np.flatnonzero(total)
+            hit = level * 8 + bit
+            wrong = c * (one - _squash(z))
+            pace = RATE / np.sqrt(1 + self.seen[hit] / 50) / total[level]
+            for k, v in enumerate(inputs):
+                self.weights[k, hit] += pace * np.bincount(known, wrong * v, len(ORDERS) + 1)[level]
+            self.seen[hit] += 1
             add = n.astype(U) << (one.astype(U) * U(32))
             for table, base in zip(self.tables, bases, strict=True):
                 np.add.at(table, base[half] ^ node, add)
-        self.n += int(n.sum())
-
-    def _step(self, inputs: list[np.ndarray], gate: np.ndarray, one: np.ndarray, n: np.ndarray) -> None:
-        for a in range(0, len(gate), SLICE):
-            s = slice(a, a + SLICE)
-            g, x, c = gate[s], [v[s] for v in inputs], n[s]
-            z = _mixed(x, g, self.weights)
-            low, part = _map_bins(z)
-            for bins, share in ((low, 1 - part), (low + 1, part)):
-                spot = g * BINS + bins
-                both = np.bincount(spot, c * share, GATES * BINS)
-                ones = np.bincount(spot, c * share * one[s], GATES * BINS)
-                self.hits += np.stack([both - ones, ones])
-            total = np.bincount(g, c, GATES)
-            hit = np.flatnonzero(total)
-            wrong = c * (one[s] - _squash(z))
-            pace = RATE / np.sqrt(1 + self.seen[hit] / 50) / total[hit]
-            for k, v in enumerate(x):
-                self.weights[hit, k] += pace * np.bincount(g, wrong * v, GATES)[hit]
-            self.seen[hit] += 1
 
 
 _LEARNED = "kind int, part int, key long, n long, data binary"
@@ -282,7 +281,7 @@ def _trainer(bits: list[int]):
                     part = slots[at: at + RANGE]
                     if part.any():
                         yield _row(TABLE, order << 16 | at // RANGE, task, len(part), _pack(part))
-            told = np.concatenate([learner.weights.ravel() * learner.n, learner.hits.ravel(), [learner.n]])
+            told = np.concatenate([learner.weights.ravel() * float(learner.n), learner.hits, [learner.n]])
             yield _row(WEIGHT, -1 - task % WEIGHT_PARTS, task, 1, told.tobytes())
 
     return train
@@ -318,13 +317,28 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+class _Memo:
+    """Costs of grams that a task has scored before, each in the one place that its hash names; later ones take the place over."""
+
+    def __init__(self):
+        self.gram, self.cost = np.full(1 << MEMO_BITS, ~U(0)), np.zeros(1 << MEMO_BITS, np.float32)
+
+    def costs(self, gram: np.ndarray, work) -> np.ndarray:
+        at = (mix(gram) >> U(64 - MEMO_BITS)).astype(np.int64)
+        out = self.cost[at]
+        new = np.flatnonzero(self.gram[at] != gram)
+        out[new] = work(gram[new])
+        self.gram[at[new]], self.cost[at[new]] = gram[new], out[new]
+        return out
+
+
 class Model:
     """Kept logits by slot, weights by gate and the adaptive map."""
 
     def __init__(self, bits: list[int], rows: list):
         self.bits = bits
         self.tables = [np.zeros(1 << b, np.int16) for b in bits]
-        self.weights = np.full((GATES, len(ORDERS) + 1), 0.3)
+        self.weights = np.full((len(ORDERS) + 1, GATES), 0.3, np.float32)
         told = np.zeros(self.weights.size + 2 * GATES * BINS + 1)
         for part, data in sorted((r.part, bytes(r.data)) for r in rows):
             if part < 0:
@@ -334,26 +348,32 @@ class Model:
                 at = (part & 0xFFFF) * RANGE
                 self.tables[part >> 16][at: at + len(slots)] = slots
         if told[-1] > 0:
-            self.weights = (told[: self.weights.size] / told[-1]).reshape(self.weights.shape)
-        zero, one = told[self.weights.size: -1].reshape(2, -1)
+            self.weights = (told[: self.weights.size] / told[-1]).reshape(self.weights.shape).astype(np.float32)
+        zero, one = told[self.weights.size: -1].reshape(-1, 2).T
         middle = _squash(np.tile(np.linspace(-8, 8, BINS), GATES))
         self.map = np.clip((one + 4 * middle) / (zero + one + 4), 1e-6, 1 - 1e-6).astype(np.float32)
 
     def bits_of(self, gram: np.ndarray) -> np.ndarray:
         """What coding each gram's symbol in its context costs."""
-        cost = np.zeros(len(gram))
-        bases = [_bases(gram, order, bits) for order, bits in zip(ORDERS, self.bits, strict=True)]
-        for bit, half, node, one in _decisions(gram):
-            inputs, known = _predict(self.tables, bases, half, node)
-            gate = known * 8 + bit
-            x = _mixed(inputs, gate, self.weights)
-            low, part = _map_bins(x)
-            spot = gate * BINS + low
-            p = 0.5 * _squash(x) + 0.5 * (self.map[spot] * (1 - part) + self.map[spot + 1] * part)
-            cost -= np.log2(np.clip(np.where(one == 1, p, 1 - p), 1e-9, None))
+        cost = np.zeros(len(gram), np.float32)
+        for a in range(0, len(gram), SLICE):  # small enough for a core's cache
+            some = gram[a: a + SLICE]
+            bases = [_bases(some, order, bits) for order, bits in zip(ORDERS, self.bits, strict=True)]
+            for bit, half, node, one in _decisions(some):
+                inputs, known = _predict(self.tables, bases, half, node)
+                gate = known * 8 + bit
+                x = _mixed(inputs, gate, self.weights)
+                place = _place(x)
+                low = np.minimum(place.astype(np.int64), BINS - 2)
+                place -= low.astype(np.float32)
+                spot = gate * BINS + low
+                p = self.map[spot]
+                p += (self.map[spot + 1] - p) * place
+                p = (p + _squash(x)) * np.float32(0.5)
+                cost[a: a + SLICE] -= np.log2(np.maximum(np.where(one == 1, p, 1 - p), np.float32(1e-7)))
         return cost
 
-    def text_bits(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def text_bits(self, data: np.ndarray, bounds: np.ndarray, memo: _Memo) -> np.ndarray:
         total = np.zeros(len(bounds) - 1)
         for gram, row in _grams(data, bounds, iter(lambda: PIECE, None)):
             if not len(gram):
@@ -363,8 +383,8 @@ class Model:
             place = place.astype(np.int64)
             run = gram[place]
             new = np.concatenate([[True], run[1:] != run[:-1]])
-            cost = np.empty(len(gram))
-            cost[place] = self.bits_of(run[new])[np.cumsum(new) - 1]
+            cost = np.empty(len(gram), np.float32)
+            cost[place] = np.repeat(memo.costs(run[new], self.bits_of), np.diff(np.flatnonzero(new), append=len(gram)))
             first, last = int(row[0]), int(row[-1])
             total[first: last + 1] += np.bincount(row - first, cost, last - first + 1)
         return total
@@ -418,6 +438,7 @@ def _score_rows(docs: DataFrame, model: Model, vocabulary: DataFrame, tokens: in
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, key, count = shared.value
+        memo = _Memo()
         for batch in _gathered(batches):
             data, bounds = raw(batch.column("text"))
             h, cut = words(data, bounds)
@@ -435,7 +456,7 @@ def _score_rows(docs: DataFrame, model: Model, vocabulary: DataFrame, tokens: in
             out = pa.table({
                 "doc_id": batch["doc_id"], "held_out": batch["held_out"], "rid": batch["rid"], "n_tokens": pa.array(n + 1),
                 "n_known": pa.array(np.bincount(row, hit[inverse], len(n)).astype(np.int64)), "logs": pa.array(np.bincount(row, value[inverse], len(n))),
-                "bits": pa.array(model.text_bits(data, bounds)), "bytes": pa.array(np.diff(bounds)),
+                "bits": pa.array(model.text_bits(data, bounds, memo)), "bytes": pa.array(np.diff(bounds)),
                 "rare": pa.ListArray.from_arrays(pa.array(runs.astype(np.int32)), pa.array(all_h[rare]))})
             yield from out.combine_chunks().to_batches()
 

@@ -151,23 +151,75 @@ def test_context_mixing_odd_rows(spark, odd):
     assert score_texts(odd.limit(0), F.lit(False)).count() == 0
 
 
-def test_contexts_are_the_true_last_bytes():
+ODD_TEXTS = ["The  cat\tsat", "", "a b c d e f g", " x", None, "Über alles!\n", "nospaceatall", "ab", "the cat sat on the cat " * 3]
+
+
+def plain_windows(text):
+    """Each symbol of a text and the six before it, one by one."""
+    line = bytes(6) + b"".join(w + b" " for w in (text or "").encode().lower().split()) + b"\n"
+    return [int.from_bytes(line[k: k + 7], "big") for k in range(len(line) - 6)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_contexts_are_the_true_last_bytes(size):
     import pyarrow as pa
 
-    texts = ["The  cat\tsat", "", "a b c d e f g", " x", None, "Über alles!\n", "nospaceatall"]
-    data, bounds = contextmix.raw(pa.array(texts))
-    tails, at = contextmix._tails(data, bounds), 0
-    for t in texts:
-        found = (t or "").encode().lower().split()
-        line = bytes(6) + b"".join(w + b" " for w in found) + b"\n"
-        pieces = contextmix._pieces((t or "").encode().lower())
-        assert [p[6:] for p in pieces] == [*found, b""]
-        tail = np.array([int.from_bytes(p[:6], "big") for p in pieces])
-        assert tails[at: at + len(pieces)].tolist() == tail.tolist()
-        grams, _ = contextmix._grams(pa.array([p[6:] for p in pieces], pa.binary()), tail)
-        assert grams.tolist() == [int.from_bytes(line[k: k + 7], "big") for k in range(len(line) - 6)]
-        at += len(pieces)
-    assert at == len(tails)
+    got = list(contextmix._grams(*contextmix.raw(pa.array(ODD_TEXTS)), iter(lambda: size, None)))
+    want = [(i, g) for i, t in enumerate(ODD_TEXTS) for g in plain_windows(t)]
+    assert [(r, g) for grams, rows in got for r, g in zip(rows.tolist(), grams.tolist(), strict=True)] == want
+    assert list(contextmix._grams(*contextmix.raw(pa.array([], pa.string())), iter(lambda: size, None))) == []
+
+
+def plain_mix(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) % 2**64
+    return x ^ x >> 31
+
+
+def test_context_mixing_scores_equal_brute_force(spark):
+    """Counts, inputs, gate, mixing and map one decision after the other; weights and map as they were learned."""
+    docs = spark.createDataFrame([(i, t, i % 4 == 1) for i, t in enumerate(ODD_TEXTS + ["the dog sat", "abba ab"])], "doc_id long, text string, held boolean").coalesce(1)
+    model, _ = contextmix.fit(docs.where("not held"))
+    texts = [(r.doc_id, r.text, r.held) for r in docs.collect()]
+
+    def nodes(gram):
+        for order, bits in zip(contextmix.ORDERS, model.bits, strict=True):
+            first = plain_mix((gram >> 8) % (1 << 8 * order) + (order << 56))
+            second = plain_mix((first + (gram >> 4) % 16 + 1) % 2**64)
+            for bit in range(8):
+                half = (gram >> 4) % 16 if bit < 4 else gram % 16
+                yield order, bit, ((first if bit < 4 else second) >> 64 - bits) ^ (1 << bit % 4 | half >> 4 - bit % 4), gram >> 7 - bit & 1
+
+    count = Counter()
+    for _, t, held in texts:
+        count.update(n[:1] + n[2:] for g in plain_windows(t) if not held for n in nodes(g))
+    got = {r.doc_id: r.score for r in score_texts(docs, F.col("held")).collect()}
+    for i, t, _ in texts:
+        bits = 0.0
+        for g in plain_windows(t):
+            inputs, known, one = [[] for _ in range(8)], [0] * 8, [0] * 8
+            for order, bit, slot, value in nodes(g):
+                n0, n1 = count[order, slot, 0], count[order, slot, 1]
+                inputs[bit].append(round(math.log((n1 + 0.4) / (n0 + 0.4)) * 1024) / 1024)
+                known[bit] += n0 + n1 >= 2
+                one[bit] = value
+            for bit in range(8):
+                gate = known[bit] * 8 + bit
+                z = sum(w * x for w, x in zip(model.weights[:, gate].tolist(), [*inputs[bit], 0.3], strict=True))
+                place = (min(max(z, -8), 8) + 8) * 2
+                low = min(int(place), 31)
+                mapped = model.map[gate * 33 + low] * (low + 1 - place) + model.map[gate * 33 + low + 1] * (place - low)
+                p = 0.5 * mapped + 0.5 / (1 + math.exp(-z))
+                bits -= math.log2(p if one[bit] else 1 - p)
+        assert math.isclose(-bits * math.log10(2), got[i], rel_tol=1e-4), i
+
+
+def test_context_tables_grow_with_the_input_and_sum_over_tasks(spark):
+    assert [contextmix.table_bits(n)[-1] for n in (0, 10**6, 10**8, 10**9, 10**14)] == [18, 19, 23, 24, 25]
+    texts = [(f"w{i} common words of row {i % 5}",) for i in range(400)]
+    one, many = (contextmix.fit(spark.createDataFrame(texts, "text string").repartition(n)) for n in (1, 7))
+    assert all((a == b).all() for a, b in zip(one[0].tables, many[0].tables, strict=True))
+    assert sorted(one[1].collect()) == sorted(many[1].collect())
 
 
 def test_context_mixing_sees_the_word_before(spark, monkeypatch):
@@ -179,7 +231,7 @@ def test_context_mixing_sees_the_word_before(spark, monkeypatch):
     got = {r.doc_id: r for r in score_texts(docs, F.col("held")).collect()}
     assert sum(got[i].score for i in range(60)) > 0.7 * sum(got[1000 + i].score for i in range(60))
     assert math.isclose(got[2001].score, got[0].score, rel_tol=1e-9)
-    monkeypatch.setattr(contextmix, "FREQUENT", 0)  # all words and pairs are joined
+    monkeypatch.setattr(contextmix, "FREQUENT", 0)  # all words are joined
     for r in score_texts(docs, F.col("held")).collect():
         assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(r, got[r.doc_id], strict=True))
 
