@@ -20,6 +20,8 @@ from tablewise.llm.tokens import raw
 Q, LENGTH, EDITS, BAND = 8, 60, 0.08, 8  # gram length; characters of a stretch (an item's own length, if shorter); edits a character; diagonals
 BLOCK_BYTES = 4 << 20  # benchmark text that is indexed at a time; more of it takes more passes over the documents
 PIECE = 4 << 20
+HITS = 1 << 20  # shared grams that are listed at a time
+REACH = LENGTH + int(EDITS * LENGTH)  # characters that hold a stretch within its budget
 
 # ASCII letters and digits (lower-cased) and all bytes of other characters stay; anything else separates.
 _PLAIN = np.full(256, 32, np.uint8)
@@ -65,18 +67,48 @@ class Index:
         self.table = np.zeros(1 << bits, bool)
         self.table[(self.code * _MULTIPLIER) >> self.shift] = True
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text position, item and item position of every shared gram."""
+    def shared(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions whose grams the items hold, where these begin in the index, and how many there are."""
         p = np.flatnonzero(self.table[(grams * _MULTIPLIER) >> self.shift])
-        g = grams[p]
-        lo, hi = np.searchsorted(self.code, g, "left"), np.searchsorted(self.code, g, "right")
-        count = hi - lo
+        lo = np.searchsorted(self.code, grams[p], "left")
+        count = np.searchsorted(self.code, grams[p], "right") - lo
+        some = np.flatnonzero(count)
+        return p[some], lo[some], count[some]
+
+    def listed(self, p: np.ndarray, lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text position, item and item position of every shared gram."""
         k = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return np.repeat(p, count), self.item[k], self.place[k]
 
 
+def _slices(p: np.ndarray, count: np.ndarray) -> Iterator[slice]:
+    """Slices of positions with at most HITS shared grams, or those of 2 * REACH characters. Neighbours overlap so far that one of them
+    holds whatever lies within REACH characters."""
+    total = np.cumsum(count)
+    a = 0
+    while a < len(p):
+        b = max(np.searchsorted(total, total[a] - count[a] + HITS, "right"), np.searchsorted(p, p[a] + 2 * REACH))
+        yield slice(a, b)
+        if b >= len(p):
+            return
+        a = np.searchsorted(p, p[b] - REACH)
+
+
+def _joined(index: Index, regions: np.ndarray) -> np.ndarray:
+    """Regions of a band that touch as one, as slices and pieces overlap."""
+    regions = regions[np.lexsort(regions.T[[4, 3, 2, 1, 0]])]
+    if len(regions) < 2:
+        return regions
+    new = np.ones(len(regions), bool)
+    new[1:] = (regions[1:, :3] != regions[:-1, :3]).any(1) | (regions[1:, 3] > regions[:-1, 4] + index.n[regions[1:, 1]])
+    begin = np.flatnonzero(new)
+    return np.concatenate([regions[begin, :4], np.maximum.reduceat(regions[:, 4], begin)[:, None]], 1)
+
+
 def _regions(index: Index, p: np.ndarray, item: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Rows of doc, item, band, first and last text position: where a band reaches the bound of the lemma."""
+    if not len(p):
+        return np.zeros((0, 5), np.int64)
     e, n = index.edits[item], index.n[item]
     diagonal = p - place
     twice = np.flatnonzero(diagonal % BAND < e)  # the band before reaches so far, too
@@ -141,15 +173,16 @@ def _leaks(index: Index, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int
     """Text number, item number, score, first and last byte (exclusive) of the best leak of each item in each text."""
     plain, at = _normal(data)
     cut = np.searchsorted(at, bounds)
-    found = [np.zeros((0, 3), np.int64)]
+    found = [np.zeros((0, 5), np.int64)]
     grams = _grams(plain)
     for begin in range(0, len(grams), PIECE):
-        p, item, place = index.hits(grams[begin: begin + PIECE])
-        found.append(np.stack([p + begin, item, place], 1))
-    p, item, place = np.concatenate(found).T
-    doc = np.searchsorted(cut, p, "right") - 1
-    whole = p + Q <= cut[doc + 1] if len(p) else np.zeros(0, bool)
-    regions = _regions(index, p[whole], item[whole], place[whole], doc[whole])
+        p, lo, count = index.shared(grams[begin: begin + PIECE + REACH])
+        for some in _slices(p, count):
+            at_p, item, place = index.listed(p[some] + begin, lo[some], count[some])
+            doc = np.searchsorted(cut, at_p, "right") - 1
+            whole = at_p + Q <= cut[doc + 1]
+            found.append(_regions(index, at_p[whole], item[whole], place[whole], doc[whole]))
+    regions = _joined(index, np.concatenate(found))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for k in range(0, len(regions), 256):
         part = regions[k: k + 256]
@@ -169,7 +202,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs needs text, benchmark item_id (integer) and text; other columns of docs pass through, one called leaks is replaced. Case,
     punctuation and spacing do not count. Null and empty texts have no leaks. Items of fewer than Q normalised characters, or without
-    text, take no part; items of equal text are each reported. Rows are independent, so nothing is shuffled; repeated rows repeat
+    text, take no part; items of equal text are each reported; of equal leaks of an item in a text the first is. Repetitive texts share
+    grams with repetitive items at very many places; these are listed in slices, so they take time and no memory. Rows are independent, so nothing is shuffled; repeated rows repeat
     their result. An empty benchmark gives empty arrays."""
     prepare(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name.lower() != "leaks"]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewise.llm import contextmix, mixing, neardup
+from tablewise.llm import contextmix, decontaminate, mixing, neardup
 from tablewise.llm.components import components
 from tablewise.llm.contextmix import score_texts
 from tablewise.llm.decontaminate import find_leaks
@@ -236,6 +236,66 @@ def test_context_mixing_sees_the_word_before(spark, monkeypatch):
         assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(r, got[r.doc_id], strict=True))
 
 
+def plain_within(window, text):
+    """Fewest edits between a stretch and any part of a text."""
+    row = [0] * (len(text) + 1)
+    for a in window:
+        new = [row[0] + 1]
+        for j, b in enumerate(text):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def plain_local(item, text):
+    """Best local alignment: matches minus edits."""
+    row, best = [0] * (len(text) + 1), 0
+    for a in item:
+        new = [0]
+        for j, b in enumerate(text):
+            new.append(max(0, row[j] + (1 if a == b else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+@pytest.mark.parametrize("hits", [1, 50, 1 << 20])
+def test_leaks_equal_brute_force_in_slices_of_any_size(monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = np.random.default_rng(11)
+    letters = lambda k, n: "".join(rng.choice(list("abcdefgh"[:k]), n))
+    items = [letters(8, 66), letters(8, 40), "ab" * 33, "a" * 64]
+    texts = ["ab" * 90, "a" * 150, letters(2, 120), letters(8, 100)]
+    for item in items[:2]:
+        for edits in (0, 2, 4, 9):
+            part = list(item)
+            for at in rng.choice(len(part), edits, replace=False):
+                part[at] = "" if rng.random() < 0.3 else "h"
+            texts.append(letters(8, 30) + "".join(part) + letters(8, 20))
+    index = decontaminate.Index(items)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = {(d, i) for d, i, *_ in decontaminate._leaks(index, data, np.cumsum([0, *map(len, texts)]))}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            n, e = int(index.n[i]), int(index.edits[i])
+            if any(plain_within(item[a: a + n], text) <= e for a in range(0, len(item) - n + 1, 2)):
+                assert (d, i) in got
+            if (d, i) in got:
+                assert plain_local(item, text) >= n - 2 * e
+    assert {(0, 2), (1, 3)} <= got
+
+
+def test_repetitive_texts_take_bounded_memory():
+    import tracemalloc
+
+    index = decontaminate.Index(["a" * 300, "a " * 40])
+    text = np.frombuffer(b"a " * 50_000 + b"a" * 20_000, np.uint8)
+    tracemalloc.start()
+    leaks = decontaminate._leaks(index, text, np.array([0, len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for _, i, *_ in leaks] == [0, 1] and peak < 500 << 20
+
+
 def plain_targets(sizes, share=1.5):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(order)}
