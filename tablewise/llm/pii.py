@@ -24,6 +24,7 @@ Span = tuple[str, int, int]
 # Digit words, and letters of other scripts that look like Latin ones.
 DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 LOOK_ALIKE = dict(zip("аеорсхуіјѕкмтвнАВЕКМНОРСТХУІЈЅοανρτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyijskmtbhABEKMHOPCTXYIJSoavptuikABEZHIKMNOPTYX", strict=True))
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,17 +36,21 @@ _DIGIT = re.compile("[0-9]")
 
 _WORD = "|".join(DIGITS)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_DOTTED = rf"(?:\s+dot\s+|\s?{_OPEN}\s?(?:dot|\.)\s?{_CLOSE}\s?)"
+_DOT_REFERENCE, _AT_REFERENCE = "&(?:period|#0*46|#x0*2e);", "&(?:commat|#0*64|#x0*40);"
+_DOTTED = rf"(?:\s+dot\s+|\s-dot-\s|_dot_|\s?{_DOT_REFERENCE}\s?|\s?{_OPEN}\s?(?:dot|\.)\s?{_CLOSE}\s?)"
 _LABELS = r"[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)*+"  # joined by plain dots
 _RULES = re.compile(
-    rf"(?P<at>\s?{_OPEN}\s?(?:at|@)\s?{_CLOSE}\s?|(?<=[A-Za-z0-9])\s+at\s+(?!(?:the|an?|this|that)\b(?!\.))(?={_LABELS}{_DOTTED}[A-Za-z0-9]))"
+    rf"(?P<at>\s?{_OPEN}\s?(?:at|@)\s?{_CLOSE}\s?|\s?{_AT_REFERENCE}\s?|(?<=[A-Za-z0-9])\s+@\s+(?={_LABELS}(?:(?<=\.[a-z]{{2}})|(?<=\.[a-z]{{3}})|{_DOTTED}[A-Za-z0-9]))"
+    rf"|(?<=[A-Za-z0-9])(?:\s-at-\s|_at_)(?={_LABELS}{_DOTTED}[A-Za-z0-9])|(?<=[A-Za-z0-9])\s+at\s+(?!(?:the|an?|this|that)\b(?!\.))(?={_LABELS}{_DOTTED}[A-Za-z0-9]))"
     rf"|(?P<plain_at>(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]{{1,63}}+\.[A-Za-z0-9]))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOTTED}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus\s+(?=[0-9(]|(?:{_WORD})\b))"
     rf"|(?P<digit>\b(?:{_WORD})\b)(?:[ -](?=(?:{_WORD})\b))?", re.IGNORECASE)
 # The screens of disguised(), over lower-cased text; each starts with what re finds fast. A "plus" before a digit word is found by that word.
 _BRACKETED = re.compile(rf"{_OPEN}\s?(?:at|@|dot|\.)\s?{_CLOSE}")
-_SPELLED_DOT = re.compile(r"\sdot\s")
+_REFERENCE = re.compile(f"{_AT_REFERENCE}|{_DOT_REFERENCE}")
+_SPACED_AT = re.compile(r"\s@\s")
+_SPELLED_DOT = re.compile(r"[\s_-]dot[\s_-]")
 _SPELLED_AT = re.compile(r"\sat\s+[a-z0-9-]+\.[a-z0-9]")
 _SPELLED_PLUS = re.compile(r"plus\s+[0-9(]")
 _SPELLED_DIGIT = {w: re.compile(rf"{w}(?<=\b{w})\b") for w in DIGITS}
@@ -55,7 +60,9 @@ _LETTERS = re.compile("[A-Za-z]")
 _NO_LOCAL = frozenset(["us", "me", "him", "her", "them", "you", "page", "form", "address"])
 _TELLING = re.compile(r"[0-9._]")
 _INTRODUCED = re.compile(r"(?:mail|contact|kontakt|correo|courriel)(?:\s*:)?\s+\Z", re.IGNORECASE)
-_FOREIGN = re.compile("[\u00ad\u0370-\u04ff\u0660-\u0669\u06f0-\u06f9\u200b-\u200d\u2024\u2060\ufe50-\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
+# Dashes count between digits, where identifiers have hyphens; the hyphens of Unicode also between letters.
+_FOREIGN = re.compile("[\u00ad\u0370-\u04ff\u0660-\u0669\u06f0-\u06f9\u200b-\u200d\u2024\u2060\ufe50-\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]"
+                      r"|(?<=[0-9)])[\u2010-\u2015\u2212](?=[0-9(])|(?<=[A-Za-z0-9])[\u2010\u2011](?=[A-Za-z0-9])")
 
 
 def _luhn(digits: str) -> bool:
@@ -98,6 +105,8 @@ def plain_spans(text: str) -> list[Span]:
 def _ascii_of(c: str) -> str:
     if c in ZERO_WIDTH:
         return ""
+    if c in DASHES:
+        return "-"
     plain = LOOK_ALIKE.get(c) or unicodedata.normalize("NFKC", c)
     if not plain.isascii() and c.isdigit():
         plain = str(unicodedata.digit(c))
@@ -145,7 +154,7 @@ def disguised(text: str) -> bool:
     low = text.lower()
     if any(c in text for c in "[({<") and _BRACKETED.search(low) or "dot" in low and _SPELLED_DOT.search(low) or "plus" in low and _SPELLED_PLUS.search(low):
         return True
-    if "." in low and _SPELLED_AT.search(low):
+    if "." in low and _SPELLED_AT.search(low) or "&" in low and _REFERENCE.search(low) or "@" in low and _SPACED_AT.search(low):
         return True
     return any(w in low and test.search(low) for w, test in _SPELLED_DIGIT.items())
 

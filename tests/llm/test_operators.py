@@ -236,6 +236,15 @@ def test_context_mixing_sees_the_word_before(spark, monkeypatch):
         assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(r, got[r.doc_id], strict=True))
 
 
+def test_references_dashes_and_marked_words_are_read():
+    for want in ("john&#64;example.com", "john&commat;example.com", "john&#x40;example&period;com", "john -at- example -dot- com", "john_at_example_dot_com", "john @ example.com",
+                 "4111\u20131111\u20131111\u20131111", "4111\u20101111\u20111111\u22121111", "+49\u201330\u20131234567", "john@my\u2011host.example.com"):
+        text = f"see {want}, then"
+        assert [text[s:e] for _, s, e in added_spans(text, plain_spans(text))] == [want], want
+    for clean in ("polka-dot-dress &amp; more", "from 1990\u20131995 \u2014 at home", "two @ 5.00 each", "one\u2014john@example.com", "look_at_me", "R&D; a &period; b"):
+        assert added_spans(clean, plain_spans(clean)) == [], clean
+
+
 def plain_within(window, text):
     """Fewest edits between a stretch and any part of a text."""
     row = [0] * (len(text) + 1)
