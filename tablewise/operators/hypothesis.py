@@ -101,7 +101,8 @@ def mann_whitney(df: DataFrame, measure: str, group: str, a, b, ranges: int | No
     sums = rank_sums(two, measure, group, ranges)
     (na, nb), (ra, _) = _pick(a, b, "n"), _pick(a, b, "rank_sum")
     row = sums.agg(na.alias("n_a"), nb.alias("n_b"), ra.alias("__r")).where(F.col("n_a").isNotNull() & F.col("n_b").isNotNull())
-    n1, n2 = F.col("n_a"), F.col("n_b")
+    # Doubles: the variance holds the third power of a size, which passes 2^63 at 2.6 million rows.
+    n1, n2 = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     u1 = F.col("__r") - n1 * (n1 + 1) / 2
     u = F.least(u1, n1 * n2 - u1)
     z = (u - n1 * n2 / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
@@ -114,7 +115,7 @@ def kruskal(df: DataFrame, measure: str, group: str, ranges: int | None = None)
     sums = rank_sums(df, measure, group, ranges)
     row = sums.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("total"),
                    F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("q")).where(F.col("groups") >= 2)
-    n = F.col("total")
+    n = F.col("total").cast("double")
     return row.select((12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)).alias("h"), (F.col("groups") - 1).alias("df"))
 
 

@@ -84,3 +84,12 @@ def test_survey(spark):
     got = {r["item"]: r for r in survey_summary(df, {"a": order, "b": order}).collect()}
     assert got["a"]["n"] == 4 and got["a"]["mean_score"] == 2.25 and got["b"]["n"] == 3
     assert cronbach_alpha(df, {"a": order, "b": order}).first()["n"] == 3
+
+
+def test_rank_test_of_millions_of_rows(spark):
+    """The variance of U holds the third power of a size; here it passes 2^63."""
+    n = 2_200_000
+    df = spark.range(2 * n).selectExpr("if(id % 2 = 0, 'a', 'b') as g", "if(id % 4 = 1, 0.0d, 1.0d) as v")
+    row = h.mann_whitney(df, "v", "g", "a", "b").first()
+    assert (row["n_a"], row["n_b"], row["u"]) == (n, n, 0.25 * n * n)
+    assert row["z"] == pytest.approx(-0.25 * n * n / math.sqrt(n * n * (2 * n + 1) / 12)) and row["r_effect"] == pytest.approx(abs(row["z"]) / math.sqrt(2 * n))
