@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.operators.ordered import RANGE, carry, running_total
+from tablewise.operators.ordered import RANGE, running_total
+from tablewise.session import cut_lineage
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # --- fixed values -----------------------------------------------------------
 MAX_STRUCT_FIELDS = 30
@@ -79,33 +86,87 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return flatten(_features(spark.read.json(path, multiLine=True)))
 
 
-def xml_tags(spark: SparkSession, path: str) -> DataFrame:
-    """(__range, pos, name, kind, depth) of every tag in the order of the files: kind is 1 for a start tag, -1 for an end tag, 0 for one that
-    closes itself; depth counts the elements that are open after it. Records end at ">", so a tag over many lines is one record and
-    files stay splittable; depths cross the borders of splits through one row a split."""
+def _tags_read(spark: SparkSession, path: str) -> DataFrame:
+    """(__range, pos, name, kind) of every tag, a range being a file split, in the order of its scan."""
     raw = spark.read.option("lineSep", ">").text(path)
     place = F.concat_ws("|", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
     tag = F.regexp_extract("value", r"<(/?[A-Za-z_][^\s<>/]*)[^<]*$", 1)
     tags = raw.select(place.alias(RANGE), F.monotonically_increasing_id().alias("pos"), tag.alias("tag"), F.col("value").endswith("/").alias("bare")).where(F.col("tag") != "")
     kind = F.when(F.col("tag").startswith("/"), -1).when(F.col("bare"), 0).otherwise(1)
-    named = tags.select(RANGE, "pos", F.regexp_replace("tag", "^/", "").alias("name"), kind.alias("kind"))
-    return running_total(named, "kind", ["pos"], name="depth", keep_range=True).withColumn("depth", F.col("depth") + F.col("kind"))
+    return tags.select(RANGE, "pos", F.regexp_replace("tag", "^/", "").alias("name"), kind.alias("kind"))
+
+
+def xml_tags(spark: SparkSession, path: str) -> DataFrame:
+    """(__range, pos, name, kind, depth) of every tag in the order of the files: kind is 1 for a start tag, -1 for an end tag, 0 for one that
+    closes itself; depth counts the elements that are open after it. Records end at ">", so a tag over many lines is one record and
+    files stay splittable; depths cross the borders of splits through one row a split."""
+    return running_total(_tags_read(spark, path), "kind", ["pos"], name="depth", keep_range=True).withColumn("depth", F.col("depth") + F.col("kind"))
+
+
+_FACTS = f"{RANGE} string, what string, level int, above string, name string, n long, first long"
+
+
+class _Split:
+    """What one split says of its elements: levels count from its start, parents that it does not hold stay open."""
+
+    def __init__(self, place: str):
+        self.place, self.level, self.head, self.held = place, 0, None, None
+        self.last: dict[int, str] = {}  # the latest element of each level
+        self.found: dict[tuple, list] = {}  # (level, parent or None, name) -> [elements with children, first]
+
+    def tag(self, pos: int, name: str, kind: int) -> None:
+        if self.head is None:
+            self.head = kind
+        if self.held and kind >= 0:  # a start tag has a child if no end tag follows
+            self.count(*self.held)
+        self.held = (self.level, self.last.get(self.level - 1), name, pos) if kind == 1 else None
+        if kind >= 0:
+            self.last[self.level] = name
+        self.level += kind
+
+    def count(self, level: int, above: str | None, name: str, pos: int) -> None:
+        self.found.setdefault((level if above is None else None, above, name), [0, pos])[0] += 1
+
+    def facts(self) -> list[tuple]:
+        out = [(self.place, "split", self.level, None, None, self.head, None)]
+        out += [(self.place, "last", level + 1, name, None, None, None) for level, name in self.last.items()]
+        out += [(self.place, "found", *key, *value) for key, value in self.found.items()]
+        return out + ([(self.place, "held", self.held[0], self.held[1], self.held[2], 1, self.held[3])] if self.held else [])
+
+
+def _split_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One walk over the tags of each split, whose few facts are all that is shuffled."""
+    split, schema = None, pa.schema([(RANGE, pa.string()), ("what", pa.string()), ("level", pa.int32()), ("above", pa.string()), ("name", pa.string()), ("n", pa.int64()), ("first", pa.int64())])
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    for batch in batches:
+        places = batch[RANGE].dictionary_encode()
+        at, names = places.indices.to_pylist(), places.dictionary.to_pylist()
+        for k, pos, name, kind in zip(at, batch["pos"].to_pylist(), batch["name"].to_pylist(), batch["kind"].to_pylist(), strict=True):
+            if split is None or split.place != names[k]:
+                if split:
+                    yield table(split.facts())
+                split = _Split(names[k])
+            split.tag(pos, name, kind)
+    if split:
+        yield table(split.facts())
 
 
 def repeated_tag(spark: SparkSession, path: str) -> str | None:
-    """The element with children of its own that occurs most often below one kind of parent, counted over the whole file."""
-    tags = xml_tags(spark, path)
-    # What follows each tag: inside a split the next row, at its end the first row of the next split.
-    heads = tags.groupBy(RANGE).agg(F.min_by("kind", "pos").alias("head"))  # one row a split
-    heads = heads.withColumn("after", F.lead("head").over(Window.orderBy(RANGE))).select(RANGE, "after")
-    inside = Window.partitionBy(RANGE).orderBy("pos")
-    tags = tags.withColumn("next", F.lead("kind").over(inside)).join(F.broadcast(heads), RANGE, "left").withColumn("next", F.coalesce("next", "after")).drop("after")
-    opened = tags.where("kind >= 0").withColumn("level", F.col("depth") - F.col("kind"))  # elements around it
-    # A start tag is asked for its parent at its own level, and answers as a parent one level down.
-    sides = F.array(F.struct(F.col("level").alias("at"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("side")), F.struct((F.col("level") + 1).alias("at"), F.col("name").alias("parent"), F.lit(0).alias("side")))
-    placed = opened.select(RANGE, "pos", "name", "kind", "next", F.inline(sides))
-    found = carry(placed, F.col("parent"), ["pos", "side"], ["at"], "above").where((F.col("side") == 1) & F.col("above").isNotNull() & (F.col("kind") == 1) & (F.col("next") >= 0))
-    best = found.groupBy("above", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RANGE, "pos")).alias("first")).where("n >= 2").orderBy(F.col("n").desc(), "first").limit(1).collect()
+    """The element with children of its own that occurs most often below one kind of parent, counted over the whole file.
+
+    A split counts its own elements in one walk. What crosses its borders - depths, the latest element of each level, what follows its
+    last tag - goes on through a few rows a split, and so do its counts of elements whose parent an earlier split holds."""
+    facts = cut_lineage(_tags_read(spark, path).mapInArrow(_split_facts, _FACTS))  # one row for each split, level and kind of element in it
+    along = Window.orderBy(RANGE)
+    splits = facts.where("what = 'split'").select(RANGE, F.coalesce(F.sum("level").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"), F.lead("n").over(along).alias("after"))
+    rest = facts.where("what != 'split'").join(F.broadcast(splits), RANGE).where("what != 'held' or after >= 0")
+    # A split's open elements ask before its own latest ones answer.
+    asked = rest.withColumn("at", F.col("level") + F.col("off")).withColumn("side", (F.col("what") == "last").cast("int"))
+    handed = Window.partitionBy("at").orderBy(RANGE, "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.last(F.when(F.col("side") == 1, F.col("above")), ignorenulls=True).over(handed)
+    open_ones = asked.where("above is null or side = 1").withColumn("above", latest).where("side = 0 and above is not null")
+    found = asked.where("above is not null and side = 0").unionByName(open_ones)
+    best = found.groupBy("above", "name").agg(F.sum("n").alias("n"), F.min(F.struct(RANGE, "first")).alias("first")).where("n >= 2").orderBy(F.col("n").desc(), "first").limit(1).collect()
     return best[0]["name"] if best else None
 
 

@@ -49,3 +49,25 @@ def test_nothing_repeats(spark, tmp_path):
     assert repeated_tag(spark, str(tmp_path / "b.xml")) is None
     with pytest.raises(ValueError):
         read_xml(spark, str(tmp_path / "b.xml"))
+
+
+def test_splits_tell_few_rows(spark, file):
+    """What is shuffled for the row element are counts of a split, not its tags."""
+    from tablewise.sources import nested
+
+    facts = nested._tags_read(spark, file).mapInArrow(nested._split_facts, nested._FACTS).collect()
+    assert len(facts) < 20 and {(r["above"], r["name"], r["n"]) for r in facts if r["what"] == "found"} >= {("rows", "row", 60), ("row", "b", 60), ("rest", "row2", 2)}
+
+
+def test_files_of_a_year_are_bounded(spark, tmp_path, monkeypatch):
+    """The orders of one year spread over files, each with its notes before and its end behind."""
+    from queries import reading
+
+    rows = spark.range(400).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "if(id % 50 = 3, null, 'F') as o_orderstatus", "'1-URGENT' as o_orderpriority", "timestamp'1995-03-01 00:00:00' as o_orderdate")
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(reading, "XML_FILE", 100)
+    monkeypatch.setattr(reading, "scratch", lambda spark: str(tmp_path / "made"))
+    got = sorted((int(r["@key"]), r["status"], r["priority"], int(r["who"])) for r in reading.io08(spark, str(tmp_path)).collect())
+    assert got == [(i, "F", "1-URGENT", i % 7) for i in range(400) if i % 50 != 3]
+    texts = [p.read_text() for p in (tmp_path / "made" / "orders.xml").glob("year=1995/file=*/part-*")]
+    assert len(texts) == 4 and all(t.startswith("<?xml") and t.endswith("</orders></export>\n") and t.count("<note>") == 2500 for t in texts)
