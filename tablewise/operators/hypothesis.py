@@ -86,11 +86,12 @@ def anova_test(df: DataFrame, measure: str, group: str) -> DataFrame:
 def rank_sums(df: DataFrame, measure: str, group: str, ranges: int | None = None) -> DataFrame:
     """(g, n, rank_sum) over groups with at least two values.
 
-    Rows collapse to (group, value) counts; a value's average rank is looked up once per distinct value.
+    Rows collapse to (group, value) counts; a value's average rank is looked up once per distinct value. Groups of one row leave by
+    (group, value): a join by group would put a whole group in one task.
     """
     v = _values(df, measure, group)
-    big = v.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 2).select("g")
-    counted = v.join(big, "g", "left_semi").groupBy("g", "v").agg(F.count(F.lit(1)).alias("w"))
+    lone = v.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v")).where(F.col("c") == 1).select("g", "v")
+    counted = v.groupBy("g", "v").agg(F.count(F.lit(1)).alias("w")).join(lone, ["g", "v"], "left_anti")
     ranks = value_ranks(counted, "v", weight="w", ranges=ranges).select("v", "midrank")
     return counted.join(ranks, "v").groupBy("g").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("midrank")).alias("rank_sum"))
 

@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Spark joins small shuffle partitions up to this size, compressed; sorts and hash tables of a task hold ten times as much and more.
+ADVISORY, ADVISED, SPARKS_OWN = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m", ("67108864b", "64MB", "64m")
 
 
 def build_session(app: str = "tablewise", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,6 +33,8 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    if spark.conf.get(ADVISORY) in SPARKS_OWN:  # what somebody else set stays
+        spark.conf.set(ADVISORY, ADVISED)
     return spark
 
 

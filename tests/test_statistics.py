@@ -93,3 +93,13 @@ def test_rank_test_of_millions_of_rows(spark):
     row = h.mann_whitney(df, "v", "g", "a", "b").first()
     assert (row["n_a"], row["n_b"], row["u"]) == (n, n, 0.25 * n * n)
     assert row["z"] == pytest.approx(-0.25 * n * n / math.sqrt(n * n * (2 * n + 1) / 12)) and row["r_effect"] == pytest.approx(abs(row["z"]) / math.sqrt(2 * n))
+
+
+def test_rank_sums_deal_by_value(spark):
+    """Lone groups take no part in the ranks, and no exchange deals rows by the group alone."""
+    rows = [("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 2.0), ("c", 0.0), ("d", 2.0), (None, 5.0), ("b", None)]
+    sums = h.rank_sums(spark.createDataFrame(rows, "g string, v double"), "v", "g")
+    assert sorted(map(tuple, sums.collect())) == [("a", 2, 5.0), ("b", 2, 5.0)]
+    hot = h.rank_sums(spark.range(20_000).selectExpr("0 as g", "cast(id as double) as v"), "v", "g")
+    cut = hot._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi, (g" not in cut and hot.first()["rank_sum"] == 20_000 * 20_001 / 2
