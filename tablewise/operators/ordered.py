@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 RANGE = "__range"
 BYTES_PER_RANGE = 128 << 20
+ROWS_PER_RANGE = 500_000
+COUNTED_BYTES = 4 << 20  # by Catalyst's estimate, which knows the files' compressed size only; plans below it are not counted
 SAMPLE_PER_RANGE = 40
 MAX_RANGES = 16384
 CUTS_PER_BLOCK = 64
@@ -38,10 +40,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if estimated_bytes(df) < cores * SPREAD_BYTES_PER_CORE else df
 
 
+SLICE_BYTES = 8 << 20
+
+
+def sliced(df: DataFrame) -> DataFrame:
+    """Deal an input so that each slice has some 8 MB of its files, before work whose tasks hold a table of what a slice names."""
+    n = -(-estimated_bytes(df) // SLICE_BYTES)
+    if n <= df.sparkSession.sparkContext.defaultParallelism:
+        return spread(df)
+    return df.withColumn("__slice", F.monotonically_increasing_id()).repartition(n, "__slice").drop("__slice")
+
+
+def takes_ranges(df: DataFrame, ranges: int | None = None) -> bool:
+    """Whether a frame is cut into ranges, or at least counted for it; no job is run."""
+    return ranges != 1 and ((ranges or 1) > 1 or estimated_bytes(df) >= COUNTED_BYTES)
+
+
 def range_count(df: DataFrame, ranges: int | None = None) -> int:
-    if ranges is not None:
-        return max(1, ranges)
-    return max(1, min(MAX_RANGES, estimated_bytes(df) // BYTES_PER_RANGE))
+    """At least ``ranges``, and so many that none is far beyond ROWS_PER_RANGE rows; 1 asks for a single range."""
+    if not takes_ranges(df, ranges):
+        return 1
+    size = estimated_bytes(df)
+    rows = df.count() if size >= COUNTED_BYTES else 0
+    return max(ranges or 1, min(MAX_RANGES, max(size // BYTES_PER_RANGE, -(-rows // ROWS_PER_RANGE))))
 
 
 def _sort_key(df: DataFrame, name: str) -> Column:

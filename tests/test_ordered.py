@@ -61,3 +61,30 @@ def test_running_total_and_sample(frame, ranges):
     assert (got["total"].astype(int) == by.transform("sum")).all()
     kept = nth_row_sample(df, 9, ["t", "id"], ranges).toPandas()["id"]
     assert set(kept) == set(pdf["id"].iloc[::9])
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """A frame whose files are small may hold many rows; the ranges asked for are the fewest."""
+    from tablewise.operators import ordered
+
+    df = spark.range(5000).selectExpr("id", "if(id % 3 = 0, null, cast(id as double)) as v")
+    assert ordered.range_count(df) == 1
+    monkeypatch.setattr(ordered, "COUNTED_BYTES", 1 << 10)
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 400)
+    assert (ordered.range_count(df), ordered.range_count(df, 6), ordered.range_count(df, 20), ordered.range_count(df, 1)) == (13, 13, 20, 1)
+    assert ordered.with_ranges(df, ["id"]).groupBy(ordered.RANGE).count().agg({"count": "max"}).first()[0] < 1500
+    got = [r["v"] for r in interpolate(df, "v", ["id"]).orderBy("id").collect()]
+    assert got == [1.0, *map(float, range(1, 5000))]
+
+
+def test_slices_follow_the_bytes(spark, tmp_path, monkeypatch):
+    from tablewise.operators import ordered
+    from tablewise.operators.text import bigrams
+
+    spark.range(900).selectExpr("id as doc_id", "concat('green apples ', sha2(cast(id as string), 256), ' ripe pears') as text").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(ordered, "SLICE_BYTES", 2 << 10)
+    dealt = ordered.sliced(docs)
+    assert dealt.columns == docs.columns and sorted(dealt.collect()) == sorted(docs.collect())
+    assert "RepartitionByExpression [__slice" in dealt._jdf.queryExecution().logical().toString()
+    assert [tuple(r) for r in bigrams(docs, doc=None).collect()] == [("green apples", 900), ("ripe pears", 900)]
