@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.meta import NUMERIC_TYPES
-from tablewise.operators.ordered import carry, range_count, spread, with_ranges
+from tablewise.operators.ordered import carry, spread, takes_ranges, with_ranges
 from tablewise.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
@@ -77,7 +77,7 @@ def verify_claims(answers: DataFrame, facts: DataFrame, key: str = "answer_id",
         F.lit(False).alias("fine"))
     order = ["value", "kind", "position"]
     line = quoted.unionByName(known)
-    if range_count(line, ranges) > 1:
+    if takes_ranges(line, ranges):
         line = cut_lineage(line)  # reading the texts is the costly part, and the ranges pass over the rows several times
     line = with_ranges(line, [key, *order], ranges)
     near = carry(line, F.when(F.col("kind") == 0, F.col("value")), order, [key], "below", "above")
