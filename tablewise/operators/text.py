@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.parsing import squeeze_ends
-from tablewise.operators.ordered import spread
+from tablewise.operators.ordered import sliced, spread
 
 # --- fixed values -----------------------------------------------------------
 STOP_WORDS = frozenset((
@@ -94,7 +94,7 @@ def keywords(docs: DataFrame, k: int = 25, doc: str | None = "doc_id", text: str
 def bigrams(docs: DataFrame, k: int = 15, doc: str | None = "doc_id", text: str = "text") -> DataFrame:
     """Adjacent content words that occur together more than once."""
     keys = [doc] if doc else []
-    listed = spread(docs.select(*keys, text)).select(*keys, words_of(F.col(text)).alias("w")).where(F.size("w") > 1)
+    listed = sliced(docs.select(*keys, text)).select(*keys, words_of(F.col(text)).alias("w")).where(F.size("w") > 1)
     n = F.size("w") - 1
     pairs = listed.select(*keys, F.inline(F.arrays_zip(F.slice("w", 1, n).alias("a"), F.slice("w", 2, n).alias("b"))))
     pairs = pairs.where(_content_word(F.col("a")) & _content_word(F.col("b")))
