@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.operators.ordered import spread
@@ -28,6 +28,10 @@ _ATTRIBUTES = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
 HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(HIDDEN_TAGS)})(?=[\s/>]){_ATTRIBUTES}.*?(?:</\1\s*>|\z)"
 BLOCK = rf"(?i)</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?=[\s/>]){_ATTRIBUTES}"
 TAG = rf"<[A-Za-z/!?]{_ATTRIBUTES}"
+_BLANK = r"[\s&&[^\n]]*+"
+_PIPED = rf"{_BLANK}\|.*\|{_BLANK}(?=\n|\z)"
+# The first pipe line of a run that has dashes below, those, and all pipe lines that follow, one at least.
+MARKDOWN_TABLE = rf"(?U)(?<![^\n]){_PIPED}\n(?={_BLANK}\|?{_BLANK}:?-{{2,}}){_PIPED}(?:\n{_PIPED})++"
 WINDOWS = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in C1)
 
 
@@ -119,17 +123,15 @@ def html_to_text(pages: DataFrame, page: str = "page_id", html: str = "html") ->
 
 
 def extract_markdown_tables(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, table_no, row_no, cells) of pipe tables; row 0 is the header, the dashed line is left out."""
-    lines = spread(docs.select(doc, text)).select(doc, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    along = Window.partitionBy(doc).orderBy("line_no")
-    piped = F.col("line").rlike(r"(?U)^\s*\|.*\|\s*$")
-    dashed = F.coalesce(F.lead("line").over(along).rlike(r"(?U)^\s*\|?\s*:?-{2,}"), F.lit(False))
-    marked = lines.withColumn("piped", piped).withColumn("opens", F.col("piped") & dashed)
-    # A run is a stretch of pipe lines; the table starts at its first line that has dashes below.
-    marked = marked.withColumn("run", F.count_if(~F.col("piped")).over(along)).where("piped")
-    marked = marked.withColumn("start", F.min(F.when(F.col("opens"), F.col("line_no"))).over(Window.partitionBy(doc, "run")))
-    inside = marked.where((F.col("line_no") >= F.col("start")) & (F.col("line_no") != F.col("start") + 1))
+    """(doc, table_no, row_no, cells) of pipe tables; row 0 is the header, the dashed line is left out. Rows of one doc and text count as
+    copies, each of whose lines has a number of its own.
+
+    A text is one row, in which a regular expression finds the tables: only texts are shuffled, for their copies, not lines."""
+    dealt = docs.select(doc, F.col(text).alias("__t")).where(F.col("__t").contains("|")).repartition(doc, "__t")
+    copies = dealt.groupBy(doc, "__t").agg(F.count(F.lit(1)).alias("__n"))
+    tables = copies.select(doc, "__n", F.posexplode(F.regexp_extract_all("__t", F.lit(MARKDOWN_TABLE), F.lit(0))).alias("__i", "__t"))
+    rows = F.filter(F.split("__t", "\n"), lambda line, i: i != 1)
+    lines = tables.select(doc, (F.col("__i") + 1).alias("table_no"), "__n", F.posexplode(rows).alias("__r", "line"))
+    lines = lines.select(doc, "table_no", "line", "__r", "__n", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("__k"))
     cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    rows = inside.withColumn("cells", cells).withColumn("row_no", F.row_number().over(Window.partitionBy(doc, "start").orderBy("line_no")) - 1)
-    rows = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(doc, "start"))).where(F.col("__n") > 1)
-    return rows.select(doc, F.dense_rank().over(Window.partitionBy(doc).orderBy("start")).alias("table_no"), "row_no", "cells")
+    return lines.select(doc, "table_no", (F.col("__r") * F.col("__n") + F.col("__k")).cast("int").alias("row_no"), cells.alias("cells"))

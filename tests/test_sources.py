@@ -103,3 +103,14 @@ def test_html_text_reads_references_attributes_and_hidden_parts(spark):
     found = {r.page_id: r.text for r in html_to_text(rows).collect()}
     assert found[1] == "A&lt; ééé€\ufffd\nxy\n1 < 2 & 3 &nosuch; &amp\ntop\na b"
     assert found[2] == found[3] == "" and found[4] == "z" + "&" * 50_000
+
+
+def test_markdown_tables_inside_a_row(spark):
+    """No lines are shuffled or windowed; copies of a doc number their lines together, loose dashes and lone headers open nothing."""
+    table, loose = "x\n| f | v |\n|---|---|\n| s | 1 |\nend\n| g |\n| -- |", "| a |\n--\n| b |\n\n|---|---|"
+    docs = spark.createDataFrame([(1, table), (2, table), (2, table), (3, loose), (4, None), (5, "| h |\n|:--|\n" + "| 1 |\n" * 20_000)], "doc_id int, text string")
+    found = extract_markdown_tables(docs)
+    got = sorted((r["doc_id"], r["table_no"], r["row_no"], r["cells"]) for r in found.where("doc_id < 5").collect())
+    header, row = ["f", "v"], ["s", "1"]
+    assert got == [(1, 1, 0, header), (1, 1, 1, row), (2, 1, 0, header), (2, 1, 1, header), (2, 1, 2, row), (2, 1, 3, row)]
+    assert found.where("doc_id = 5").count() == 20_001 and "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
