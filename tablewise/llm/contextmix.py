@@ -34,6 +34,7 @@ MIN_BITS, MAX_BITS, LEAST_BITS = 18, 25, 16
 SPACE, END = 0x20, 0x0A  # symbols that no word holds
 TAIL = 6  # bytes of the longest context
 PIECE, FIRST_PIECE = 8 << 20, 256 << 10  # bytes predicted together; training starts with the smaller ones
+SCORED = 2 << 20  # bytes scored together; a task holds some sixty bytes for each
 RANGE = 1 << 18  # slots that travel together
 FREQUENT = 500_000  # words whose counts are broadcast to the texts
 SLICE, RATE, PRIOR = 8_192, 0.16, 0.4
@@ -375,7 +376,7 @@ class Model:
 
     def text_bits(self, data: np.ndarray, bounds: np.ndarray, memo: _Memo) -> np.ndarray:
         total = np.zeros(len(bounds) - 1)
-        for gram, row in _grams(data, bounds, iter(lambda: PIECE, None)):
+        for gram, row in _grams(data, bounds, iter(lambda: SCORED, None)):
             if not len(gram):
                 continue
             # Equal grams meet by sorting 40 bits of their hash above their place; where two grams share a hash, runs are only shorter.
