@@ -38,7 +38,7 @@ SCORED = 2 << 20  # bytes scored together; a task holds some sixty bytes for eac
 RANGE = 1 << 18  # slots that travel together
 FREQUENT = 500_000  # words whose counts are broadcast to the texts
 SLICE, RATE, PRIOR = 8_192, 0.16, 0.4
-MEMO_BITS = 21  # logarithm of how many grams' costs a task remembers
+MEMO_BITS = 22  # logarithm of how many grams' costs a task remembers
 GATES, BINS = 6 * 8, 33
 STEPS = 1024  # parts of one unit in a kept logit
 WORD, TABLE, WEIGHT = 0, 1, 2  # kinds of rows that training gives
