@@ -16,6 +16,7 @@ under 100 MB."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,11 @@ MIN_BITS, MAX_BITS, LEAST_BITS = 18, 25, 16
 SPACE, END = 0x20, 0x0A  # symbols that no word holds
 TAIL = 6  # bytes of the longest context
 PIECE, FIRST_PIECE = 8 << 20, 256 << 10  # bytes predicted together; training starts with the smaller ones
-SCORED = 2 << 20  # bytes scored together; a task holds some sixty bytes for each
+SCORED = 512 << 10  # bytes scored together; a task holds some sixty bytes for each
 RANGE = 1 << 18  # slots that travel together
 FREQUENT = 500_000  # words whose counts are broadcast to the texts
 SLICE, RATE, PRIOR = 8_192, 0.16, 0.4
+SUMMED = 2_048  # decisions that one product sums
 MEMO_BITS = 22  # logarithm of how many grams' costs a task remembers
 GATES, BINS = 6 * 8, 33
 STEPS = 1024  # parts of one unit in a kept logit
@@ -45,6 +47,7 @@ WORD, TABLE, WEIGHT = 0, 1, 2  # kinds of rows that training gives
 WEIGHT_PARTS = 64
 
 _GRAM = U((1 << 8 * (TAIL + 1)) - 1)
+_LOW = 0 if sys.byteorder == "little" else 1  # where the lower half of a slot lies
 _END_HASH = U(1)  # stands for the end token among hashed words
 
 
@@ -113,14 +116,26 @@ def _windows(line: np.ndarray, size: int) -> np.ndarray:
     return np.ndarray((size,), ">u8", np.ascontiguousarray(line), len(line) - size - 7, (1,)).astype(U) & _GRAM
 
 
-def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR)))
+def _stretch(zero: np.ndarray, one: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    one = one + np.float32(PRIOR)
+    one /= zero + np.float32(PRIOR)
+    return np.log(one, out=out)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _suffix_first(gram: np.ndarray) -> np.ndarray:
+    """Grams so turned that sorting brings contexts together by their last bytes, which all orders share."""
+    return (gram >> U(8)).byteswap() | (gram & U(0xFF))
+
+
+def _symbol_last(line: np.ndarray) -> np.ndarray:
+    """The grams that were turned."""
+    return (line & ~U(0xFFFF)).byteswap() << U(8) | (line & U(0xFF))
+
+
 def _bases(gram: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
     """For either half of the symbol the slot that its nodes are near: 16 slots belong together, shifted by the context's hash."""
     h = ((gram >> U(8)) & U((1 << 8 * order) - 1)) + U(order << 56)
@@ -129,35 +144,31 @@ def _bases(gram: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
     return [(x >> U(64 - bits)).astype(np.int64) for x in (first, second)]
 
 
-def _decisions(gram: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """The eight bits of the symbols: the bit's number, which half it is in, the node it decides at (1 to 15) and its value."""
-    for bit in range(8):
-        half = (gram >> U(4) if bit < 4 else gram).astype(np.int64) & 15
-        place = bit % 4
-        yield bit, bit // 4, (1 << place) | (half >> (4 - place)), (half >> (3 - place)) & 1
+def _decisions(gram: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """The four bits of a half of the symbols, a row each: the nodes they decide at (1 to 15) and their values."""
+    symbol = (gram >> U(4) if half == 0 else gram).astype(np.int64) & 15
+    return np.stack([1 << place | symbol >> 4 - place for place in range(4)]), np.stack([symbol >> 3 - place & 1 for place in range(4)])
 
 
-def _predict(tables: list[np.ndarray], bases: list[list[np.ndarray]], half: int, node: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Logits of the orders, and how many of them know the context. Tables hold counts (ones in the upper half) or kept logits."""
-    inputs, known = [], np.zeros(len(node), np.int64)
-    for table, base in zip(tables, bases, strict=True):
-        got = table[base[half] ^ node]
-        if table.dtype == np.int16:
-            inputs.append((got >> 1).astype(np.float32) * np.float32(1 / STEPS))
-            known += got & 1
-        else:
-            zero, one = got.astype(np.uint32).astype(np.float32), (got >> U(32)).astype(np.float32)
-            inputs.append(_stretch(zero, one))
-            known += zero + one >= 2
-    inputs.append(np.full(len(node), 0.3, np.float32))
-    return inputs, known
+def _logits(got: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Logits of slots, and whether (1 or 0) they know the context. Slots are counts (ones in the upper half) or kept logits."""
+    if got.dtype == np.int16:
+        np.multiply(got >> 1, np.float32(1 / STEPS), out=out)
+        return (got & 1).astype(np.int8)
+    both = got.view(np.uint32)
+    zero, one = both[_LOW::2].astype(np.float32), both[1 - _LOW::2].astype(np.float32)
+    known = zero + one >= 2
+    _stretch(zero, one, out)
+    return known.view(np.int8)
 
 
-def _mixed(inputs: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    total = weights[0][gate] * inputs[0]
-    for w, x in zip(weights[1:], inputs[1:], strict=True):
-        total += w[gate] * x
-    return total
+def _mixed(inputs: np.ndarray, known: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Inputs weighted by how many orders know the context, added up in their order."""
+    total = np.empty_like(inputs)
+    for row, w in zip(total, weights, strict=True):
+        w.take(known, out=row, mode="clip")
+    total *= inputs
+    return np.add.reduce(total, axis=0)
 
 
 def _place(x: np.ndarray) -> np.ndarray:
@@ -175,38 +186,57 @@ class _Learner:
         self.hits, self.n = np.zeros(2 * GATES * BINS), 0
 
     def learn(self, gram: np.ndarray) -> None:
-        gram = np.sort(gram)
-        new = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        n = np.diff(new, append=len(gram))
-        gram = gram[new]
+        line = np.sort(_suffix_first(gram))
+        new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        n = np.diff(new, append=len(line))
+        gram = _symbol_last(line[new])
         deal = np.argsort(mix(gram))  # so that no slice holds neighbouring contexts only
         for a in range(0, len(gram), SLICE):
-            some = deal[a: a + SLICE]
+            some = np.sort(deal[a: a + SLICE])  # inside a slice neighbours lie together, as they share slots
             self._slice(gram[some], n[some])
         self.n += int(n.sum())
 
     def _slice(self, gram: np.ndarray, n: np.ndarray) -> None:
-        """A slice is predicted and then counted; it is small enough for a core's cache."""
+        """Each bit of a slice is predicted and then counted. Counts need no weights, so an order's slots of a half, which lie side by
+        side, are read and counted bit after bit while they are in a core's cache; then the weights follow."""
         bases = [_bases(gram, order, bits) for order, bits in zip(ORDERS, self.bits, strict=True)]
-        c = n.astype(np.float32)
-        for bit, half, node, one in _decisions(gram):
-            inputs, known = _predict(self.tables, bases, half, node)
-            gate = known * 8 + bit
-            z = _mixed(inputs, gate, self.weights)
-            spot = np.rint(_place(z)).astype(np.int64)
-            spot += gate * BINS
-            self.hits += np.bincount(spot * 2 + one, c, 2 * GATES * BINS)
-            total = np.bincount(known, c, len(ORDERS) + 1)
-            level = np.flatnonzero(total)
-            hit = level * 8 + bit
-            wrong = c * (one - _squash(z))
-            pace = RATE / np.sqrt(1 + self.seen[hit] / 50) / total[level]
-            for k, v in enumerate(inputs):
-                self.weights[k, hit] += pace * np.bincount(known, wrong * v, len(ORDERS) + 1)[level]
-            self.seen[hit] += 1
-            add = n.astype(U) << (one.astype(U) * U(32))
-            for table, base in zip(self.tables, bases, strict=True):
-                np.add.at(table, base[half] ^ node, add)
+        c, levels = n.astype(np.float64), np.eye(len(ORDERS) + 1)
+        inputs = np.full((4, len(ORDERS) + 1, len(gram)), 0.3, np.float32)
+        for half in range(2):
+            nodes, ones = _decisions(gram, half)
+            add, at = n.astype(U) << (ones << 5).astype(U), np.empty(len(gram), np.int64)
+            known = np.zeros(nodes.shape, np.int8)
+            for k, (table, base) in enumerate(zip(self.tables, bases, strict=True)):
+                for place in range(4):
+                    np.bitwise_xor(base[half], nodes[place], out=at)
+                    got = table[at]
+                    np.add.at(table, at, add[place])
+                    known[place] += _logits(got, inputs[place, k])
+            for place in range(4):
+                self._bit(half * 4 + place, inputs[place], known[place], ones[place], c, levels)
+
+    def _bit(self, bit: int, inputs: np.ndarray, known: np.ndarray, one: np.ndarray, c: np.ndarray, levels: np.ndarray) -> None:
+        """Map and weights move along the coding cost of one bit."""
+        known = known.astype(np.int64)
+        z = _mixed(inputs, known, self.weights[:, bit::8])
+        spot = np.rint(_place(z)).astype(np.int64)
+        spot += known * (8 * BINS)
+        spot *= 2
+        spot += one
+        self.hits[bit * 2 * BINS:] += np.bincount(spot, c, 2 * (GATES - bit) * BINS)
+        total = np.bincount(known, c, len(levels))
+        level = np.flatnonzero(total)
+        hit = level * 8 + bit
+        wrong = one.astype(np.float64)
+        wrong -= _squash(z).astype(np.float64)
+        wrong *= c
+        moved = np.zeros((len(inputs), len(levels)))
+        for a in range(0, len(c), SUMMED):
+            part = inputs[:, a: a + SUMMED].astype(np.float64)
+            part *= wrong[a: a + SUMMED]
+            moved += part @ levels.take(known[a: a + SUMMED], axis=0)
+        self.weights[:, hit] += RATE / np.sqrt(1 + self.seen[hit] / 50) / total[level] * moved[:, level]
+        self.seen[hit] += 1
 
 
 _LEARNED = "kind int, part int, key long, n long, data binary"
@@ -248,12 +278,19 @@ class _WordCounts:
 
 def _pack(slots: np.ndarray) -> bytes:
     """Counts by the place of their bytes, as the upper ones are mostly zero."""
-    return pa.compress(np.ascontiguousarray(slots.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+    planes, used = np.zeros((8, len(slots)), np.uint8), int(np.bitwise_or.reduce(slots))
+    for k in range(8):
+        if used >> 8 * k & 255:
+            planes[k] = (slots >> U(8 * k)).astype(np.uint8)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes, slots: int) -> np.ndarray:
-    plain = pa.decompress(data, slots * 8, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(8, slots).T).view(U).ravel()
+def _add_packed(total: np.ndarray, data: bytes) -> None:
+    """Adds packed counts to the zeros and ones of their slots."""
+    planes = np.frombuffer(pa.decompress(data, total.size * 4, codec="zstd", asbytes=True), np.uint8).reshape(8, -1)
+    for k, plane in enumerate(planes):
+        if plane.any():
+            total[k // 4] += plane.astype(np.int64) << 8 * (k % 4)
 
 
 def _trainer(bits: list[int]):
@@ -303,17 +340,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for p, n, data in zip(batch["part"].to_pylist(), batch["n"].to_pylist(), batch["data"].to_pylist(), strict=True):
-            if p >= 0:
-                slots = _unpack(data, n)
-                more = np.stack([slots & U(0xFFFFFFFF), slots >> U(32)]).astype(np.int64)
-            else:
-                more = np.frombuffer(data, np.float64)
             if p != part:
                 if part is not None:
                     yield out()
-                part, total = p, more.copy()
+                part, total = p, np.zeros((2, n), np.int64) if p >= 0 else np.zeros(len(data) // 8)
+            if p >= 0:
+                _add_packed(total, data)
             else:
-                total += more
+                total += np.frombuffer(data, np.float64)
     if part is not None:
         yield out()
 
@@ -328,8 +362,10 @@ class _Memo:
         at = (mix(gram) >> U(64 - MEMO_BITS)).astype(np.int64)
         out = self.cost[at]
         new = np.flatnonzero(self.gram[at] != gram)
-        out[new] = work(gram[new])
-        self.gram[at[new]], self.cost[at[new]] = gram[new], out[new]
+        if len(new):
+            line, back = np.unique(_suffix_first(gram[new]), return_inverse=True)
+            out[new] = work(_symbol_last(line))[back]
+            self.gram[at[new]], self.cost[at[new]] = gram[new], out[new]
         return out
 
 
@@ -360,18 +396,27 @@ class Model:
         for a in range(0, len(gram), SLICE):  # small enough for a core's cache
             some = gram[a: a + SLICE]
             bases = [_bases(some, order, bits) for order, bits in zip(ORDERS, self.bits, strict=True)]
-            for bit, half, node, one in _decisions(some):
-                inputs, known = _predict(self.tables, bases, half, node)
-                gate = known * 8 + bit
-                x = _mixed(inputs, gate, self.weights)
-                place = _place(x)
-                low = np.minimum(place.astype(np.int64), BINS - 2)
-                place -= low.astype(np.float32)
-                spot = gate * BINS + low
-                p = self.map[spot]
-                p += (self.map[spot + 1] - p) * place
-                p = (p + _squash(x)) * np.float32(0.5)
-                cost[a: a + SLICE] -= np.log2(np.maximum(np.where(one == 1, p, 1 - p), np.float32(1e-7)))
+            inputs = np.full((4, len(ORDERS) + 1, len(some)), 0.3, np.float32)
+            for half in range(2):
+                nodes, ones = _decisions(some, half)
+                known = np.zeros(nodes.shape, np.int8)
+                for k, (table, base) in enumerate(zip(self.tables, bases, strict=True)):
+                    for place in range(4):
+                        known[place] += _logits(table[base[half] ^ nodes[place]], inputs[place, k])
+                for place, one in enumerate(ones):
+                    bit, level = half * 4 + place, known[place].astype(np.int64)
+                    x = _mixed(inputs[place], level, self.weights[:, bit::8])
+                    spot = _place(x)
+                    low = np.minimum(spot.astype(np.int64), BINS - 2)
+                    spot -= low.astype(np.float32)
+                    low += level * (8 * BINS)
+                    p = self.map[bit * BINS:].take(low, mode="clip")
+                    p += (self.map[bit * BINS + 1:].take(low, mode="clip") - p) * spot
+                    p += _squash(x)
+                    p *= np.float32(0.5)
+                    p = np.abs((1 - one).astype(np.float32) - p)  # of the bit as it is
+                    np.maximum(p, np.float32(1e-7), out=p)
+                    cost[a: a + SLICE] -= np.log2(p)
         return cost
 
     def text_bits(self, data: np.ndarray, bounds: np.ndarray, memo: _Memo) -> np.ndarray:
@@ -379,13 +424,7 @@ class Model:
         for gram, row in _grams(data, bounds, iter(lambda: SCORED, None)):
             if not len(gram):
                 continue
-            # Equal grams meet by sorting 40 bits of their hash above their place; where two grams share a hash, runs are only shorter.
-            place = np.sort((mix(gram) & ~U((1 << 24) - 1)) | np.arange(len(gram), dtype=U)) & U((1 << 24) - 1)
-            place = place.astype(np.int64)
-            run = gram[place]
-            new = np.concatenate([[True], run[1:] != run[:-1]])
-            cost = np.empty(len(gram), np.float32)
-            cost[place] = np.repeat(memo.costs(run[new], self.bits_of), np.diff(np.flatnonzero(new), append=len(gram)))
+            cost = memo.costs(gram, self.bits_of)
             first, last = int(row[0]), int(row[-1])
             total[first: last + 1] += np.bincount(row - first, cost, last - first + 1)
         return total
