@@ -214,6 +214,86 @@ def test_context_mixing_scores_equal_brute_force(spark):
         assert math.isclose(-bits * math.log10(2), got[i], rel_tol=1e-4), i
 
 
+def some_grams():
+    return np.array([g for t in ODD_TEXTS for g in plain_windows(t)], np.uint64)
+
+
+def test_orders_are_read_and_counted_one_after_the_other():
+    """An order's four slots of a half come together, so that they are still in a core's cache; each is counted after it is read."""
+    log = []
+
+    class Seen(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray):
+                log.append(len(self))
+            return np.asarray(super().__getitem__(at))
+
+    learner = contextmix._Learner([16, 17, 18, 19, 20])
+    learner.tables = [t.view(Seen) for t in learner.tables]
+    learner.learn(some_grams())
+    assert log == [1 << b for b in (16, 17, 18, 19, 20) for _ in range(4)] * 2
+
+
+@pytest.mark.parametrize("bits", [5, 16])
+def test_learning_equals_brute_force(bits):
+    """One slice, predicted and then counted bit after bit; small tables make contexts meet between two bits."""
+    learner, grams = contextmix._Learner([bits] * 5), some_grams()
+    learner.learn(grams)
+    count, weights, hits = Counter(), np.full((6, 48), 0.3), np.zeros(2 * 48 * 33)
+    for bit in range(8):
+        seen = []
+        for g, n in Counter(grams.tolist()).items():
+            half, nodes = (g >> 4) % 16 if bit < 4 else g % 16, []
+            for order in contextmix.ORDERS:
+                h = plain_mix((g >> 8) % (1 << 8 * order) + (order << 56))
+                h = h if bit < 4 else plain_mix((h + (g >> 4) % 16 + 1) % 2**64)
+                nodes.append((order, h >> 64 - bits ^ (1 << bit % 4 | half >> 4 - bit % 4)))
+            pairs = [(count[node, 0], count[node, 1]) for node in nodes]
+            known = sum(a + b >= 2 for a, b in pairs)
+            inputs = np.array([math.log((b + 0.4) / (a + 0.4)) for a, b in pairs] + [0.3])
+            z = float(weights[:, known * 8 + bit] @ inputs)
+            one = g >> 7 - bit & 1
+            hits[(round(min(max(z, -8), 8) * 2 + 16) + (known * 8 + bit) * 33) * 2 + one] += n
+            seen.append((known, n, one, n * (one - 1 / (1 + math.exp(-z))) * inputs, nodes))
+        for known in {s[0] for s in seen}:
+            level = [s for s in seen if s[0] == known]
+            weights[:, known * 8 + bit] += 0.16 / math.sqrt(1 + 1e-3 / 50) / sum(s[1] for s in level) * sum(s[3] for s in level)
+        for _, n, one, _, nodes in seen:
+            count.update({(node, one): n for node in nodes})
+    assert np.allclose(learner.weights, weights, rtol=1e-4, atol=1e-5)
+    assert learner.hits.sum() == hits.sum() == 8 * len(grams) and np.abs(learner.hits - hits).sum() <= 0.01 * hits.sum()
+    for order, table in zip(contextmix.ORDERS, learner.tables, strict=True):
+        assert all(int(v) == count[(order, i), 0] + (count[(order, i), 1] << 32) for i, v in enumerate(table[: 1 << 12]))
+
+
+def test_grams_turn_and_packed_counts_add_up():
+    grams = some_grams()
+    line = contextmix._suffix_first(grams)
+    assert (contextmix._symbol_last(line) == grams).all()
+    by_suffix = sorted(set(grams.tolist()), key=lambda g: ((g >> 8).to_bytes(6, "little"), g & 255))
+    assert contextmix._symbol_last(np.unique(line)).tolist() == by_suffix
+    slots = np.array([0, 1, 255, 256, 1 << 32, 7 << 32 | 70_000, (1 << 64) - 1], np.uint64)
+    for some in (slots, slots[:3]):
+        total = np.zeros((2, len(some)), np.int64)
+        for _ in range(2):
+            contextmix._add_packed(total, contextmix._pack(some))
+        assert total.tolist() == [[2 * (v % 2**32) for v in some.tolist()], [2 * (v >> 32) for v in some.tolist()]]
+
+
+def test_remembered_costs_are_the_computed_ones(monkeypatch):
+    """A memo of two places, so that most grams take another's place over."""
+    monkeypatch.setattr(contextmix, "MEMO_BITS", 1)
+    memo, grams, asked = contextmix._Memo(), some_grams(), []
+
+    def work(gram):
+        asked.append(gram)
+        return (gram % np.uint64(1009)).astype(np.float32)
+
+    for _ in range(3):
+        assert memo.costs(grams, work).tolist() == (grams % np.uint64(1009)).tolist()
+    assert len(asked[0]) == len(set(grams.tolist()))
+
+
 def test_context_tables_grow_with_the_input_and_sum_over_tasks(spark):
     assert [contextmix.table_bits(n)[-1] for n in (0, 10**6, 10**8, 10**9, 10**14)] == [18, 19, 23, 24, 25]
     texts = [(f"w{i} common words of row {i % 5}",) for i in range(400)]
