@@ -128,7 +128,11 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 def _suffix_first(gram: np.ndarray) -> np.ndarray:
     """Grams so turned that sorting brings contexts together by their last bytes, which all orders share."""
-    return (gram >> U(8)).byteswap() | (gram & U(0xFF))
+    line = np.empty_like(gram)
+    for a in range(0, len(gram), 1 << 16):  # a piece is large, so nothing else of its size is held beside it
+        some = gram[a: a + (1 << 16)]
+        line[a: a + (1 << 16)] = (some >> U(8)).byteswap() | (some & U(0xFF))
+    return line
 
 
 def _symbol_last(line: np.ndarray) -> np.ndarray:
@@ -186,7 +190,8 @@ class _Learner:
         self.hits, self.n = np.zeros(2 * GATES * BINS), 0
 
     def learn(self, gram: np.ndarray) -> None:
-        line = np.sort(_suffix_first(gram))
+        line = _suffix_first(gram)
+        line.sort()
         new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         n = np.diff(new, append=len(line))
         gram = _symbol_last(line[new])
