@@ -194,7 +194,8 @@ class _Learner:
         line.sort()
         new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         n = np.diff(new, append=len(line))
-        gram = _symbol_last(line[new])
+        line = line[new]
+        gram = _symbol_last(line)
         deal = np.argsort(mix(gram))  # so that no slice holds neighbouring contexts only
         for a in range(0, len(gram), SLICE):
             some = np.sort(deal[a: a + SLICE])  # inside a slice neighbours lie together, as they share slots
